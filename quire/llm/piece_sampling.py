@@ -19,12 +19,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .codec import texts_of
-from .common import list_column, mix
+from .common import list_column, mix, powers
 from .token_files import ids_crc32
 
 MODEL, ALPHA, SEED = "piece_bpe_32k.model", 0.25, 1
 UNITS = re.compile(r"\n| *[^ \n]+| +")
 MARK = "▁"
+LONG = 64  # units of more characters are filtered one by one, with rescaling
 TINY, HUGE = 1e-150, 1e150
 
 _samplers: dict[tuple, "Sampler"] = {}
@@ -65,15 +66,21 @@ class Sampler:
         self.rare = (1 / (len(self.raw) + 10)) ** alpha
         self.reach = max(map(len, self.pieces))
         self.most = most
+        codes = [np.frombuffer(p.encode("utf-32-le"), np.uint32).astype(np.uint64) for p in self.weights]
+        up, _ = powers(self.reach)
+        keys = np.array([(mix(c) * up[: len(c)]).sum(dtype=np.uint64) for c in codes], np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.key_ids, self.key_weights = (np.array(x)[order] for x in zip(*self.weights.values()))
+        self.emitted, self.spellings = np.arange(len(self.raw), dtype=np.int32), {}
         self._clear()
 
     def _clear(self):
         self.at: dict[str, int] = {}
-        self.states = 0
-        self.begin, self.end = [], []  # of each unit: its first and last state
-        self.edges = [np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)]
-        self.emitted = np.empty(0, np.int32)
-        self.first_edge = np.zeros(1, np.int64)
+        self.begin, self.end = np.empty(0, np.int64), np.empty(0, np.int64)  # of each unit: its first and last state
+        #: by edge: the state that it ends at plus its share of the draws, the state before, where its ids are, how many
+        self.upto, self.before, self.emit_at, self.emit_n = np.empty(0), *(np.empty(0, np.int64) for _ in range(3))
+        self.first_edge = np.zeros(1, np.int64)  # by state, and one more
 
     def filter(self, unit: str):
         """For each state 1..len(unit): edges (state before, ids, probability that the path into this state takes it)."""
@@ -97,37 +104,82 @@ class Sampler:
             out.append([(i, ids, p / total) for i, ids, p in edges])
         return out
 
+    def _spelling(self, char: str) -> int:
+        """Where the byte pieces of a character without a piece are in `emitted`."""
+        if char not in self.spellings:
+            ids = [self.spelled[b] for b in char.encode()]
+            self.spellings[char] = len(self.emitted)
+            self.emitted = np.concatenate([self.emitted, np.array(ids, np.int32)])
+        return self.spellings[char]
+
+    def _lattices(self, units: list[str]):
+        """Edges of many short units at once: (states of each unit, end state, start state, share, emit_at, emit_n), by end state."""
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        stop = np.cumsum(size)
+        place = np.arange(len(points)) - np.repeat(stop - size, size)  # in its unit
+        left = np.repeat(size, size) - place  # characters up to the unit's end
+        base = np.repeat(stop - size + np.arange(len(units)), size) + place  # the state before the character: a unit has one more than characters
+        up, down = powers(len(points) + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(points) * up[:-1], dtype=np.uint64)])
+        parts = []
+        for n in range(1, min(self.reach, int(size.max())) + 1):
+            i = np.flatnonzero(left >= n)
+            key = (sums[i + n] - sums[i]) * down[i]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[k] == key
+            own = self.key_ids[k[hit]]
+            parts.append((base[i[hit]] + n, base[i[hit]], self.key_weights[k[hit]], own, np.ones(len(own), np.int64), place[i[hit]] + n))
+            if n == 1 and not hit.all():
+                lone = i[~hit]
+                chars = [chr(c) for c in points[lone].tolist()]
+                at = np.array([self._spelling(c) for c in chars], np.int64)
+                many = np.array([len(c.encode()) for c in chars], np.int64)
+                parts.append((base[lone] + 1, base[lone], self.rare**many, at, many, place[lone] + 1))
+        to, start, weight, at, many, level = (np.concatenate(x) for x in zip(*parts))
+        forward = np.zeros(len(points) + len(units))
+        forward[stop - size + np.arange(len(units))] = 1.0
+        order = np.argsort(level, kind="stable")
+        cuts = np.searchsorted(level[order], np.arange(1, int(size.max()) + 2))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            e = order[a:b]
+            np.add.at(forward, to[e], forward[start[e]] * weight[e])
+        order = np.lexsort((start, to))
+        to, start, at, many, share = to[order], start[order], at[order], many[order], (forward[start] * weight / forward[to])[order]
+        return size + 1, to, start, share, at, many
+
+    def _append(self, states, to, start, share, at, many):
+        """Edges by end state, with states counted from 0, become the last ones of the table."""
+        base, n = len(self.first_edge) - 1, int(states.sum())
+        counts = np.bincount(to, minlength=n)
+        stops = np.cumsum(counts)
+        run = np.cumsum(share)
+        run -= np.repeat(np.where(stops > counts, run[np.maximum(stops - counts, 1) - 1], 0.0), counts) if len(run) else 0
+        run = np.minimum(run, 1.0)
+        run[stops[counts > 0] - 1] = 1.0
+        self.upto = np.concatenate([self.upto, base + to + run])
+        self.before = np.concatenate([self.before, base + start])
+        self.emit_at, self.emit_n = np.concatenate([self.emit_at, at]), np.concatenate([self.emit_n, many])
+        self.first_edge = np.concatenate([self.first_edge, self.first_edge[-1] + stops])
+        ends = base + np.cumsum(states)
+        self.begin, self.end = np.concatenate([self.begin, ends - states]), np.concatenate([self.end, ends - 1])
+
     def _learn(self, units: list[str]):
-        upto, before, emit_at, emit_n, emitted, first = [], [], [], [], [], []
-        n_edges, n_emitted = len(self.edges[0]), len(self.emitted)
-        for unit in units:
-            self.at[unit] = len(self.begin)
-            base = self.states
-            first.append(n_edges + len(upto))  # the first state has no edge
-            for j, edges in enumerate(self.filter(unit), 1):
-                first.append(n_edges + len(upto))
-                run = 0.0
-                for i, ids, p in edges:
-                    run += p
-                    upto.append(base + j + min(run, 1.0))
-                    before.append(base + i)
-                    emit_at.append(n_emitted + len(emitted))
-                    emit_n.append(len(ids))
-                    emitted.extend(ids)
-                upto[-1] = base + j + 1.0
-            self.states = base + len(unit) + 1
-            self.begin.append(base)
-            self.end.append(self.states - 1)
-        self.edges = [np.concatenate([a, np.array(b, a.dtype)]) for a, b in zip(self.edges, (upto, before, emit_at, emit_n))]
-        self.emitted = np.concatenate([self.emitted, np.array(emitted, np.int32)])
-        self.first_edge = np.concatenate([self.first_edge[:-1], np.array(first + [n_edges + len(upto)], np.int64)])
+        short, long = [u for u in units if len(u) <= LONG], [u for u in units if len(u) > LONG]
+        self.at.update(zip(short + long, range(len(self.at), len(self.at) + len(units))))
+        for k in range(0, len(short), 50_000):
+            self._append(*self._lattices(short[k : k + 50_000]))
+        for unit in long:
+            rows = [(j, i, p, ids[0] if len(ids) == 1 and unit[i:j] in self.weights else self._spelling(unit[j - 1]), len(ids)) for j, edges in enumerate(self.filter(unit), 1) for i, ids, p in edges]
+            to, start, share, at, many = zip(*rows)
+            self._append(np.array([len(unit) + 1]), *(np.array(x) for x in (to, start, share, at, many)))
 
     def encode(self, texts: list[str], keys: np.ndarray, seed: int = SEED):
         """(ids of all texts, ids of each text); keys: the rows' keys as unsigned 64-bit integers."""
         split = [UNITS.findall(t) for t in texts]
         units = list(chain.from_iterable(split))
         fresh = [u for u in dict.fromkeys(units) if u not in self.at]
-        if fresh and len(self.edges[0]) > self.most:
+        if fresh and len(self.upto) > self.most:
             self._clear()
             fresh = list(dict.fromkeys(units))
         if fresh:
@@ -137,8 +189,8 @@ class Sampler:
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         stream = mix(np.repeat(mix(keys ^ np.uint64(seed)), sizes) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        begin, state = np.asarray(self.begin)[which], np.asarray(self.end)[which]
-        upto, before, emit_at, emit_n = self.edges
+        begin, state = self.begin[which], self.end[which]
+        upto, before, emit_at, emit_n = self.upto, self.before, self.emit_at, self.emit_n
         steps, active, counts = [], np.arange(n), np.zeros(n, np.int64)
         k = 0
         while len(active):
@@ -176,7 +228,7 @@ def _sample(model: str, alpha: float, seed: int, digest: bool):
         for batch in batches:
             docs = batch.column(0)
             keys = docs.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for a, texts in texts_of(batch.column(1)):
+            for a, texts in texts_of(batch.column(1), 1 << 21):
                 n = len(texts)
                 ids, counts = coder.encode(texts, keys[a : a + n], seed)
                 if not digest:
