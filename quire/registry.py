@@ -1,4 +1,7 @@
 """All queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .operators import documents, knowledge, usage
+
+MODULES = (documents, knowledge, usage)
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
