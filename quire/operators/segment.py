@@ -14,10 +14,12 @@ def book_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     h = docs.select("source", "doc_id", F.length("text").alias("n"), F.row_number().over(by).alias("k"))
     h = h.withColumn("start", F.concat(F.lit("# Chapter "), "k"))
     upto = W.partitionBy("source").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
-    toc = h.select("source", "k", "start", F.coalesce(F.sum(F.length("start") + 1).over(upto), F.lit(0)).alias("at"), F.lit(True).alias("toc"), F.lit(0).alias("n"))
     whole = W.partitionBy("source")
-    heads = h.select("source", "k", "start", (F.sum(F.length("start") + 1).over(whole) + F.coalesce(F.sum(F.length("start") + 2 + F.col("n")).over(upto), F.lit(0))).alias("at"), F.lit(False).alias("toc"), "n")
-    lines = toc.union(heads).select("source", F.col("start").alias("line"), "at", "toc", (F.col("at") + F.length("start") + 1 + F.col("n")).alias("stop"))
+    size = F.length("start") + 1
+    contents = F.struct(F.coalesce(F.sum(size).over(upto), F.lit(0)).alias("at"), F.lit(True).alias("toc"), F.lit(0).cast("long").alias("n"))
+    chapter = F.struct((F.sum(size).over(whole) + F.coalesce(F.sum(size + 1 + F.col("n")).over(upto), F.lit(0))).alias("at"), F.lit(False).alias("toc"), F.col("n").cast("long").alias("n"))
+    both = h.select("source", F.col("start").alias("line"), contents.alias("c"), chapter.alias("h"))
+    lines = both.select("source", "line", F.explode(F.array("c", "h")).alias("x")).select("source", "line", "x.at", "x.toc", (F.col("x.at") + F.length("line") + 1 + F.col("x.n")).alias("stop"))
     return lines, h.select("source", "k", "start")
 
 
@@ -27,7 +29,7 @@ def locate(lines: DataFrame, units: DataFrame) -> DataFrame:
     The search goes on from hit to hit, so the candidates of a book (heading lines only) are folded in order; the first
     unit found begins at 0, the last ends with the book.
     """
-    both = units.join(lines, (units.source == lines.source) & (units.start == lines.line)).select(units.source, "k", "at", "toc", "stop")
+    both = units.join(lines.withColumnRenamed("line", "start"), ["source", "start"]).select("source", "k", "at", "toc", "stop")
     got = both.groupBy("source", "k").agg(F.array_sort(F.collect_list(F.struct("at", "toc", "stop"))).alias("hits"))
     book = got.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "hits"))).alias("u"))
     none = F.expr("cast(null as struct<at:bigint,toc:boolean,stop:bigint>)")
