@@ -36,6 +36,18 @@ def partitions(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def by_ranges(df: DataFrame, column: Column, parts: int, name: str = "range") -> DataFrame:
+    """df with the number of each row's range of a whole-number column, from 0; the ranges are cut at its quantiles. Nulls lie in the first.
+
+    One aggregate over the column alone finds the cuts, so wide rows aren't read twice.
+    """
+    at = F.coalesce(column, F.lit(-(1 << 63)))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = df.agg(F.percentile_approx(at, shares, max(10_000, 20 * parts)).alias("c")).first()["c"] if shares else None
+    bounds = F.array(*[F.lit(int(c)).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
+    return df.withColumn("__at", at).withColumn(name, F.size(F.filter(bounds, lambda c: c < F.col("__at")))).drop("__at")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

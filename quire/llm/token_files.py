@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .codec import codec, texts_of
-from .common import list_column, partitions, shared_path
+from .common import by_ranges, list_column, partitions, shared_path
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 #: version 2 pages without dictionaries: integers are stored as deltas in 128-value blocks of their own bit width
@@ -46,7 +46,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     Null and empty texts give end_id alone. Other columns are ignored. An empty table leaves a folder with the schema.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    parts = partitions(docs)
+    dealt = by_ranges(rows, F.col("doc_id"), parts).repartitionById(parts, F.col("range")).drop("range")
+    ordered = dealt.sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
