@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import mix, partitions, segment_hashes
+from .common import by_ranges, mix, partitions, segment_hashes
 
 SIZE = 128  # hashes kept, of 32 bits each
 
@@ -76,17 +76,15 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFr
     lowest range gets the first row of all. One row for each range is known to the driver, and texts are dealt once.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    at = F.coalesce("id", F.lit(-(1 << 63)))
-    cuts = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts)).alias("c")).first()["c"] or []
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    place = rows.withColumn("at", at).withColumn("range", -F.size(F.filter(bounds, lambda c: c < F.col("at"))))
+    place = by_ranges(rows, F.col("id"), parts).withColumn("at", F.coalesce("id", F.lit(-(1 << 63))))
+    place = place.withColumn("range", parts - 1 - F.col("range"))  # descending
     heads = sorted((r["range"], r["head"]) for r in place.groupBy("range").agg(F.max("at").alias("head")).collect())
     if not heads:
         return place.select("range", F.lit(0).alias("lent"), "id", "text")
     lent = docs.sparkSession.createDataFrame([(heads[(k + 1) % len(heads)][1], r) for k, (r, _) in enumerate(heads)], "head long, to int")
     lent = place.join(F.broadcast(lent), F.col("at") == F.col("head")).select(F.col("to").alias("range"), F.lit(1).alias("lent"), "id", "text", "at")
     both = place.select("range", F.lit(0).alias("lent"), "id", "text", "at").union(lent)
-    return both.repartitionByRange(parts, "range").sortWithinPartitions("range", "lent", F.desc("at"), "text").select("range", "lent", "id", "text")
+    return both.repartitionById(parts, F.col("range")).sortWithinPartitions("range", "lent", F.desc("at"), "text").select("range", "lent", "id", "text")
 
 
 def _compare(batches):
