@@ -145,7 +145,7 @@ class DecisionList:
         """The ordered conditional expression: the number, from 1, of the first rule that fires, or 0."""
         of, out = measures(stats), None
         for i, rule in enumerate(self.rules, 1):
-            out = (out or F).when(rule.column(of), F.lit(i))
+            out = (F if out is None else out).when(rule.column(of), F.lit(i))
         return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
     def __str__(self):
