@@ -45,11 +45,11 @@ def mod97(code: Column) -> Column:
     """Whether an IBAN (capitals and digits only) leaves 1 by ISO 7064."""
     turned = F.concat(code.substr(F.lit(5), F.length(code)), code.substr(1, 4))
 
-    def add(rest, c):
-        v = F.ascii(c)
+    def add(rest, i):
+        v = F.ascii(F.substring(turned, i, F.lit(1)))
         return F.when(v >= 65, (rest * 100 + v - 55) % 97).otherwise((rest * 10 + v - 48) % 97)
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), add) == 1
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
 
 def _valid(kind: str, v: Column) -> Column:
