@@ -47,7 +47,7 @@ def codec(name: str, *, drops_space: bool = False, offsets: bool = False) -> "Co
 
 
 class Codec:
-    def __init__(self, name: str, drops_space: bool, offsets: bool, most: int = 1_200_000):
+    def __init__(self, name: str, drops_space: bool, offsets: bool, most: int = 400_000):
         """most: pieces kept; beyond that, the table of pieces is begun anew."""
         import os
 
@@ -133,7 +133,7 @@ class Codec:
         return self.ids[take], counts, self.spans[take] + np.repeat(begins, sizes)[:, None]
 
 
-def texts_of(column, most: int = 1 << 20):
+def texts_of(column, most: int = 1 << 18):
     """Lists of a column's texts, about `most` characters each; nulls are empty. Gives (row range, texts)."""
     a, texts, size = 0, [], 0
     for x in column:

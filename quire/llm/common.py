@@ -84,7 +84,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """p**i and p**-i modulo 2**64 for i < n."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, p, np.uint64)]), dtype=np.uint64) for p in (_PRIME, _INVERSE)]
     return _powers[0][:n], _powers[1][:n]
 
@@ -113,7 +113,7 @@ class Words:
         self.first = np.concatenate([[0], np.searchsorted(self.starts, ends, side="left")])
 
 
-def text_chunks(column, most: int = 1 << 20):
+def text_chunks(column, most: int = 1 << 18):
     """Of an Arrow string column: (row range, bytes, ends of its texts), about `most` bytes at a time; nulls are empty."""
     import pyarrow as pa
 
