@@ -35,19 +35,20 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+PIECES = 400_000  # pieces a worker keeps by default; a matter of memory against time, never of results
 _codecs: dict[tuple, "Codec"] = {}
 
 
-def codec(name: str, *, drops_space: bool = False, offsets: bool = False) -> "Codec":
-    """The worker's own codec for a tokenizer file; kept between tasks."""
-    key = (name, drops_space, offsets)
+def codec(name: str, *, drops_space: bool = False, offsets: bool = False, most: int = PIECES) -> "Codec":
+    """The worker's own codec for a tokenizer file; kept between tasks. most: pieces kept, about 150 bytes each."""
+    key = (name, drops_space, offsets, most)
     if key not in _codecs:
-        _codecs[key] = Codec(name, drops_space, offsets)
+        _codecs[key] = Codec(name, drops_space, offsets, most)
     return _codecs[key]
 
 
 class Codec:
-    def __init__(self, name: str, drops_space: bool, offsets: bool, most: int = 400_000):
+    def __init__(self, name: str, drops_space: bool, offsets: bool, most: int = PIECES):
         """most: pieces kept; beyond that, the table of pieces is begun anew."""
         import os
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .codec import codec, texts_of
+from .codec import PIECES as TABLE, codec, texts_of
 from .common import hilbert_numpy, materialise, mix, partitions
 from .token_files import ids_crc32
 
@@ -42,11 +42,11 @@ def _weights_once() -> np.ndarray:
     return _kept[0]
 
 
-def _encode(tokenizer: str, end_id: int):
+def _encode(tokenizer: str, end_id: int, table: int):
     def run(batches):
         import pyarrow as pa
 
-        coder = codec(tokenizer, drops_space=True)
+        coder = codec(tokenizer, drops_space=True, most=table)
         for batch in batches:
             for a, texts in texts_of(batch.column(1)):
                 ids, counts = coder.encode(texts)
@@ -85,15 +85,15 @@ def _cut(length: int):
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", table: int = TABLE) -> DataFrame:
     """One row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id of every document lies in one piece; all sequences but the last have exactly `length` ids. Null and empty
     texts give end_id alone. Rows that repeat an id, or have none, are documents of their own. An empty table gives no
-    rows; other columns are ignored.
+    rows; other columns are ignored. table: pieces of words that a worker keeps.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    coded = rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, curve_key long, n long, ids binary")
+    coded = rows.mapInArrow(_encode(tokenizer, end_id, table), "doc_id long, curve_key long, n long, ids binary")
     coded = materialise(coded.withColumn("row", F.monotonically_increasing_id()), "packing")
     keys = ["curve_key", "doc_id", "row"]
     order = coded.select(*keys, "n").repartitionByRange(partitions(docs), *keys).sortWithinPartitions(*keys)
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, end_
 
 
 def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), table=1_200_000)
 
 
 QUERIES = {"op9_curve_packing": op9_curve_packing}
