@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .codec import codec, texts_of
+from .codec import PIECES, codec, texts_of
 from .common import by_ranges, list_column, partitions, shared_path
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
@@ -21,12 +21,12 @@ LAYOUT = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary":
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 
 
-def _encode(tokenizer: str, end_id: int):
+def _encode(tokenizer: str, end_id: int, table: int):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, before, coder = TaskContext.get().partitionId(), 0, codec(tokenizer)
+        part, before, coder = TaskContext.get().partitionId(), 0, codec(tokenizer, most=table)
         for batch in batches:
             for a, texts in texts_of(batch.column(1)):
                 ids, counts = coder.encode(texts)
@@ -40,16 +40,17 @@ def _encode(tokenizer: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", table: int = PIECES) -> None:
     """Encode every whole text, append end_id, and write the files in ascending order of the ids (nulls first, ties by text).
 
     Null and empty texts give end_id alone. Other columns are ignored. An empty table leaves a folder with the schema.
+    table: pieces of words that a worker keeps.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = partitions(docs)
     dealt = by_ranges(rows, F.col("doc_id"), parts).repartitionById(parts, F.col("range")).drop("range")
     ordered = dealt.sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.options(**LAYOUT).parquet(path)
+    ordered.mapInArrow(_encode(tokenizer, end_id, table), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +77,7 @@ def _digest(batches):
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
-    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, table=800_000)
     return read_tokens(spark, path).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
