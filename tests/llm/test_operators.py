@@ -444,3 +444,14 @@ def test_token_files_of_odd_tables(spark, tmp_path):
     for k, rows in enumerate(([], [(None, None), (1, "x"), (1, "x"), (1, None)])):
         token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / str(k)))
         assert token_files.read_tokens(spark, str(tmp_path / str(k))).count() == len(rows)
+
+
+def test_late_links_join_roots(spark):
+    """Components after more links equal those of all links at once, with nodes new to both sides."""
+    from quire.llm.components import connected_components
+    from quire.llm.ngram_join import _joined
+
+    early, late = [(1, 2), (2, 3), (5, 6), (8, 9)], [(3, 6), (6, 3), (10, 9), (11, 12), (1, 3)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = sorted(map(tuple, _joined(connected_components(frame(early)), frame(late)).collect()))
+    assert got == [(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (8, 8), (9, 8), (10, 8), (11, 11), (12, 11)]
