@@ -43,5 +43,6 @@ def vocabulary(text: str) -> dict[str, list[str]]:
     import re
 
     parts = re.split(r"(?m)^<!-- (?:PROMPT|TASK): (\w+) -->$", text)
-    listed = text.partition("# TOPIC VOCABULARY")[2].partition("\n# ")[0]
+    section = re.search(r"(?s)# (?:CLINICAL )?TOPIC VOCABULARY(.*?)(?:\n# |\Z)", text)
+    listed = section.group(1) if section else ""
     return {"blocks": parts[1::2], "codes": re.findall(r"(?m)^- `([a-z0-9_]+)` —", listed)}

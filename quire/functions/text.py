@@ -118,9 +118,27 @@ def dehyphenate(c: Column) -> Column:
     return F.regexp_replace(c, r"-\n(?=\p{Ll})", "")
 
 
-def friendly_error(c: Column) -> Column:
+#: fixed values: a message of a text that is too long, and what it is shown as
+TOO_LONG = r"prompt is too long: (\d+) tokens > (\d+) maximum"
+TOO_LONG_SHOWN = ("el texto es demasiado largo para ", " (", " tokens; máximo ", ")")
+
+
+def friendly_error(c: Column, model: str = "el modelo") -> Column:
+    """A text that is too long is told with its numbers; of other errors the quoted message, or all, to 200 characters."""
+    n = lambda k: F.format_number(F.nullif(F.regexp_extract(c, TOO_LONG, k), F.lit("")).cast("long"), 0)
+    a, b, m, z = TOO_LONG_SHOWN
     found = F.coalesce(F.nullif(F.regexp_extract(c, "message['\"]?[:=]\\s*['\"]([^'\"]+)", 1), F.lit("")), c)
-    return F.substring(found, 1, 200)
+    return F.when(c.rlike(TOO_LONG), F.concat(F.lit(a + model + b), n(1), F.lit(m), n(2), F.lit(z))).otherwise(F.substring(found, 1, 200))
+
+
+def json_text(c: Column) -> Column:
+    """A string as a JSON literal."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[|\]$", "")
+
+
+def json_object(c: Column) -> Column:
+    """From the first brace to the last, whatever stands around (fences of code, remarks); null without one."""
+    return F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))
 
 
 def year_of(c: Column) -> Column:

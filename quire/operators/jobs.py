@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 NAME_PATTERNS = ("logo", "icon", "banner", "spacer", "bullet", "rule", "ornament", "divider", "border", "blank", "deco")
 PLACEHOLDER = "ZZOCRZZ[0-9a-f]{16}ZZ"
 RETRYABLE = (429, 500, 502, 503, 529)
-FATAL = ("credit balance", "invalid api key", "authentication", "permission", "not found")
+#: fixed values: errors that a further try doesn't mend
+FATAL = ("invalid_request_error", "prompt is too long", "not_found_error", "permission_error", "authentication_error")
 
 
 def rendered() -> Column:

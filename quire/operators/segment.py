@@ -49,6 +49,6 @@ def locate(lines: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def changed_spans(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Units whose span moved or is new: their results are redone."""
+    """Units whose span moved: their results are redone. New units have none yet."""
     old = before.select("source", "unit_id", F.col("a").alias("a0"), F.col("b").alias("b0"))
-    return after.join(old, ["source", "unit_id"], "left").where("a0 is null or a <> a0 or b <> b0").select("source", "unit_id", "a", "b")
+    return after.join(old, ["source", "unit_id"]).where("a <> a0 or b <> b0").select("source", "unit_id", "a", "b")
