@@ -71,6 +71,8 @@ class Sampler:
         keys = np.array([(mix(c) * up[: len(c)]).sum(dtype=np.uint64) for c in codes], np.uint64)
         order = np.argsort(keys)
         self.keys = keys[order]
+        self.sieve = np.zeros(1 << 20, bool)  # by the first bits of a key: whether a piece may have it
+        self.sieve[keys >> np.uint64(44)] = True
         self.key_ids, self.key_weights = (np.array(x)[order] for x in zip(*self.weights.values()))
         self.emitted, self.spellings = np.arange(len(self.raw), dtype=np.int32), {}
         self._clear()
@@ -126,10 +128,12 @@ class Sampler:
         for n in range(1, min(self.reach, int(size.max())) + 1):
             i = np.flatnonzero(left >= n)
             key = (sums[i + n] - sums[i]) * down[i]
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[k] == key
-            own = self.key_ids[k[hit]]
-            parts.append((base[i[hit]] + n, base[i[hit]], self.key_weights[k[hit]], own, np.ones(len(own), np.int64), place[i[hit]] + n))
+            hit = self.sieve[key >> np.uint64(44)]
+            k = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
+            k = k[found := self.keys[k] == key[hit]]
+            hit[hit] = found
+            own = self.key_ids[k]
+            parts.append((base[i[hit]] + n, base[i[hit]], self.key_weights[k], own, np.ones(len(own), np.int64), place[i[hit]] + n))
             if n == 1 and not hit.all():
                 lone = i[~hit]
                 chars = [chr(c) for c in points[lone].tolist()]
