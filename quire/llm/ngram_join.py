@@ -11,7 +11,9 @@ form a class; one document of each class takes part in the join:
    hold join up nearly all members of a group of near copies.
 4. What is left is exhaustive: of shingles whose rows now lie in several components, all pairs across components that
    pass the length, positional and suffix filters are verified, so no link that joins two components is lost.
-   Pairs within a component aren't needed for the classes and are never made.
+5. All links lie within components, so they are counted there: a component's classes are dealt into blocks, each two
+   blocks meet in a task of their own, and the overlaps of all their pairs come from one product of incidence matrices.
+   Only sums for each class leave the task, so a group of k near copies makes no k*k rows.
 
 Verification intersects the whole sets, once per pair. A very frequent shingle is salted in step 3, from the same table.
 """
@@ -26,6 +28,7 @@ from .components import connected_components
 
 BUCKET_BITS = 18  # the frequency table: 2**18 counts, 1 MB whatever the input
 SALT_ROWS = 200_000  # a shingle bucket with more documents than this is dealt over several tasks
+BLOCK = 128  # classes of a component that are dealt together when links are counted
 RANGES = 256  # suffix filter: parts of the hash space whose counts bound the overlap
 SEED = np.uint64(0x5EED5EED)
 
@@ -292,15 +295,97 @@ def _across(percent: int):
     return run
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs of classes within the threshold: suffix filter on the classes' sketches, then the whole sets."""
+def overlaps(values: np.ndarray, sizes: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many hashes two sets share, for the sets that aren't `right` (rows) by those that are (columns); by all sets if none is."""
+    m = len(sizes)
+    one, two = (~right, right) if right.any() else (np.ones(m, bool),) * 2
+    _, column, often = np.unique(values, return_inverse=True, return_counts=True)
+    shared = often > 1
+    at = np.flatnonzero(shared[column])
+    rows, columns = np.repeat(np.arange(m), sizes)[at], (np.cumsum(shared) - 1)[column[at]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    out = np.zeros((int(one.sum()), int(two.sum())), np.int64)
+    for k in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(columns, [k, k + 4096])
+        held = np.zeros((m, 4096), np.float32)
+        held[rows[a:b], columns[a:b] - k] = 1
+        out += (held[one] @ held[two].T).astype(np.int64)
+    if one is two:
+        np.fill_diagonal(out, sizes)
+    return out
+
+
+def _degrees(percent: int):
+    """Rows (root, x, y, right, class, its documents, its set), sorted by the first three and class, to (class, documents linked with it here)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def counted(batch):
+            """Of whole cells (root, x, y)."""
+            root, x, y, right, c, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            values, offsets = batch.column(6).values.to_numpy(zero_copy_only=False), batch.column(6).offsets.to_numpy()
+            heads = np.flatnonzero(np.append(True, (root[1:] != root[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            keys, sums = [], []
+            for a, b in zip(heads, np.append(heads[1:], len(c))):
+                at = a + np.flatnonzero(np.append(True, c[a + 1 : b] != c[a : b - 1]))  # a class may come from several documents
+                side = right[at]
+                if len(at) < 2 or x[a] != y[a] and (side.all() or not side.any()):
+                    continue
+                sizes = (offsets[at + 1] - offsets[at]).astype(np.int64)
+                sets = values[offsets[a] : offsets[b]] if len(at) == b - a else np.concatenate([values[offsets[i] : offsets[i + 1]] for i in at])
+                one, two = (at[~side], at[side]) if side.any() else (at, at)
+                n1, n2 = (offsets[i + 1].astype(np.int64) - offsets[i] for i in (one, two))
+                near = overlaps(sets, sizes, side) >= needed(n1[:, None], n2[None, :], percent)
+                if side.any():
+                    keys.append(c[two])
+                    sums.append(near.T @ w[one])
+                else:
+                    np.fill_diagonal(near, False)
+                keys.append(c[one])
+                sums.append(near @ w[two])
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sums).astype(np.int64))], names=["c", "k"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            cell = [batch.column(i).to_numpy() for i in range(3)]
+            last = int(np.flatnonzero(np.append(True, np.any([v[1:] != v[:-1] for v in cell], axis=0)))[-1])
+            if last:
+                # a new batch, not a slice: the offsets of lists begin at 0
+                yield from counted(batch.take(pa.array(np.arange(last))))
+            held = batch.take(pa.array(np.arange(last, batch.num_rows)))
+        if held is not None:
+            yield from counted(held)
+
+    return run
+
+
+def _linked(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(class, documents of other classes within the threshold), of all pairs within components; classes(c, root, w), w: its documents."""
+    blocks = classes.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    own = classes.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("x"), F.greatest("b", o).alias("y")))
+    rows = sets.join(own, "c").select("root", F.explode(cells).alias("cell"), "b", "c", "w", "s")
+    rows = rows.select("root", "cell.x", "cell.y", ((F.col("cell.x") != F.col("cell.y")) & (F.col("b") == F.col("cell.y"))).alias("right"), "c", "w", "s")
+    rows = rows.repartition(partitions(classes), "root", "x", "y").sortWithinPartitions("root", "x", "y", "c")
+    return rows.mapInArrow(_degrees(percent), "c long, k long").groupBy("c").agg(F.sum("k").alias("k"))
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs of classes within the threshold: suffix filter on the classes' sketches, then the whole sets. And the sets (c, s) that were asked for."""
     side = lambda x, i: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"))
     near = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "n1", "n2", "s1", "s2")
     near = materialise(near.mapInArrow(_within(percent), "a long, b long"), "pairs")
     asked = near.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "least"), "c")
     sets = materialise(docs.select("id", "text").mapInArrow(_sets(words, _bitmap(docs.sparkSession, asked)), "c long, s array<long>"), "sets")
     rows = near.join(sets.select(F.col("c").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("s2")), "b")
-    return materialise(rows.select("a", "b", "s1", "s2").mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
+    return materialise(rows.select("a", "b", "s1", "s2").mapInArrow(_verify(percent), "a long, b long").distinct(), "links"), sets
 
 
 def _joined(found: DataFrame, late: DataFrame) -> DataFrame:
@@ -314,19 +399,12 @@ def _joined(found: DataFrame, late: DataFrame) -> DataFrame:
     return moved.union(alone)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links_of_class) for every row of docs.
-
-    component_id is the smallest id reachable by links of at least percent/100 Jaccard similarity. Null and empty texts,
-    and texts without words, have no shingles and link with nothing: they are their own component. Rows with a null id
-    come back with it; they take part in links, and a component of null ids alone has a null component_id. Rows that
-    repeat an id are rows of their own. Other columns are ignored, whatever their names. An empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs(id, text): rows (id, class, set size), classes (class, root, component_id, documents), and the sets of all classes that have links."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scan = materialise(docs.mapInArrow(_scan(words), "kind int, id long, c long, n long, sketch binary"), "scan")
     rows = scan.where("kind = 0").select("id", "c", "n")
-    classes = scan.where("kind = 0 and n > 0").groupBy("c").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = scan.where("kind = 0 and n > 0").groupBy("c").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("w"))
     classes = materialise(classes, "classes")
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for bucket, n in scan.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).collect():  # 2**18 rows at most
@@ -337,7 +415,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = prefixes.repartition(partitions(docs), "t", "salt").sortWithinPartitions("t", "salt", "pos", "n", "c")
     led = materialise(dealt.mapInArrow(_lead(percent), "kind int, a long, b long, n int, pos int"), "led")
     pairs = materialise(led.where("kind = 0").select("a", "b").distinct(), "pairs")
-    links = _verified(docs, classes, pairs, words, percent)
+    links, sets = _verified(docs, classes, pairs, words, percent)
     found = connected_components(links)
 
     # what is left: shingles whose rows lie in several components
@@ -348,16 +426,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = held.join(mixed, "t", "left_semi").distinct().repartition(partitions(docs), "t").sortWithinPartitions("t")
     more = rest.select("t", "root", "c", "n", "pos").mapInArrow(_across(percent), "a long, b long").distinct()
     more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    all_links, groups = links, found
+    groups = found
     if more.take(1):
-        late = _verified(docs, classes, more, words, percent)
-        all_links = links.union(late)
+        late, others = _verified(docs, classes, more, words, percent)
+        sets = sets.union(others)
         groups = _joined(found, late)
 
-    degree = all_links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
-    classes = classes.select("c", "least").join(groups, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root"), "least")
+    classes = classes.select("c", "least", "w").join(groups, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root"), "least", "w")
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(roots, "root").join(degree, "c", "left").select("c", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows, materialise(classes.join(roots, "root").select("c", "root", "component_id", "w"), "grouped"), sets
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for every row of docs.
+
+    component_id is the smallest id reachable by links of at least percent/100 Jaccard similarity, n_links the number of
+    other rows that link with this one directly, rows of an equal set included. Null and empty texts,
+    and texts without words, have no shingles and link with nothing: they are their own component. Rows with a null id
+    come back with it; they take part in links, and a component of null ids alone has a null component_id. Rows that
+    repeat an id are rows of their own. Other columns are ignored, whatever their names. An empty table gives no rows.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows, classes, sets = _grouped(docs, words, percent)
+    classes = classes.join(_linked(classes, sets, percent), "c", "left").select("c", "component_id", (F.coalesce("k", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     out = rows.where("n > 0").join(classes, "c").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links")
     return out.union(rows.where("n = 0").select("id", "n", "id", F.lit(0).cast("long")))
 

@@ -98,6 +98,26 @@ def test_near_copies_without_a_hub(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_copies(df).collect()} == classes(dict(rows))
 
 
+def links(texts):
+    sets = [shingles(t) for t in texts]
+    return [sum(1 for j, b in enumerate(sets) if i != j and a and b and 100 * len(a & b) >= 80 * len(a | b)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("block", [128, 3])
+def test_near_copies_count_all_links(docs, rows, spark, monkeypatch, block):
+    """Also between members of a group that aren't its leader, over several blocks, and with equal copies."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(5)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    group = [" ".join(w[:k] + [f"x{k}"] + w[k + 1 :]) for k in range(5, 95, 4)]
+    chain = [" ".join(w[3 * k : 3 * k + 40][::-1]) for k in range(20)]
+    texts = group + group[:3] + chain + ["", "alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in ngram_join.near_copies(df).collect()} == dict(enumerate(links(texts)))
+    known = text_of(rows)
+    assert {r.doc_id: r.n_links for r in ngram_join.near_copies(docs).collect()} == dict(zip(known, links(known.values())))
+
+
 def test_keep_one(docs, rows):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
