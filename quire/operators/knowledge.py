@@ -162,11 +162,25 @@ def entry_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select s.code, cast(s.ord as int) as ord, count(e.dest) as n from {_SECTIONS_DUCK} s left join (select dest from entries where book_id = 1) e on e.dest = s.code group by s.code, s.ord")
 def section_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of every section, zeros included."""
+    """Counts of every section of book 1, zeros included, as its SQL asks; `book_section_counts` has all books."""
     e = table(spark, d, "entries").where("book_id = 1").groupBy(F.col("dest").alias("code")).agg(F.count("*").alias("n"))
     return F.broadcast(sections(spark)).join(e, "code", "left").select("code", "ord", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def by_section(entries: DataFrame) -> DataFrame:
+    """(book_id, code, ord, n): entries of every section of every book, zeros included; unknown sections count as the fallback."""
+    code = F.when(F.col("dest").isin(SECTIONS), F.col("dest")).otherwise(F.lit(FALLBACK))
+    counts = [F.struct(F.lit(c).alias("code"), F.lit(i).alias("ord"), F.count_if(F.col("code") == c).alias("n")) for i, c in enumerate(SECTIONS)]
+    return entries.select("book_id", code.alias("code")).groupBy("book_id").agg(F.array(*counts).alias("s")).select("book_id", F.inline("s"))
+
+
+@query(f"""
+with b as (select distinct book_id from entries)
+select b.book_id, s.code, cast(s.ord as int) as ord, count(e.dest) as n from b cross join {_SECTIONS_DUCK} s left join entries e on e.book_id = b.book_id and e.dest = s.code group by b.book_id, s.code, s.ord""")
+def book_section_counts(spark: SparkSession, d: str) -> DataFrame:
+    return by_section(table(spark, d, "entries"))
+
+
 @query("select book_id, dest, string_agg(title, ' · ' order by unit_id, pos) as titles from entries group by book_id, dest")
 def title_index(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entries").groupBy("book_id", "dest").agg(ordered("titles", "title", " · ", "unit_id", "pos"))

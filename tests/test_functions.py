@@ -65,6 +65,13 @@ def test_changes(spark):
     assert out == {(1, "n", "corrected"), (3, "b2", "kept"), (10004, "a", "added")}
 
 
+def test_sections_of_all_books(spark):
+    e = spark.createDataFrame([(1, "C01"), (1, "C01"), (2, "L5"), (2, "ZZ"), (None, "C02")], "book_id long, dest string")
+    out = knowledge.by_section(e).collect()
+    assert len(out) == 3 * len(dims.SECTIONS)
+    assert {(r.book_id, r.code, r.n) for r in out if r.n} == {(1, "C01", 2), (2, "L5", 1), (2, dims.FALLBACK, 1), (None, "C02", 1)}
+
+
 def test_substitution_and_pending(spark):
     t = "ZZOCRZZ" + "0" * 16 + "ZZ"
     u = "ZZOCRZZ" + "1" * 16 + "ZZ"
