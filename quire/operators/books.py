@@ -7,12 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions import text as X
 from ..views import duck, table
 from .documents import ORACLES as _DOCUMENTS
-from .segment import book_lines, changed_spans, locate
+from .segment import TOC_HITS, TOC_NEIGHBOURS, book_lines, changed_spans, chapter_books, locate, locate_texts
 
 QUERIES, ORACLES = {}, {}
 _UNITS = f"({_DOCUMENTS['locate_units'].strip()})"
-#: fixed value: neighbours on each side of a line that tell a table of contents
-TOC_NEIGHBOURS = 3
 
 
 def query(sql: str | None = None):
@@ -61,7 +59,7 @@ def toc_hits(spark: SparkSession, d: str) -> DataFrame:
     own = F.array(F.struct((F.col("k") - 1).alias("i"), F.col("start").alias("line")), F.struct(F.col("base").alias("i"), F.col("start").alias("line")))
     inner = F.transform("heads", lambda s: F.struct((F.col("base") + 1 + s["j"]).alias("i"), s["line"].alias("line")))
     lines = df.select("source", F.explode(F.concat(own, inner)).alias("l")).select("source", "l.i", "l.line")
-    return contents_hits(lines, df.select("source", "k", "start")).withColumn("contents", F.col("hits") >= 2)
+    return contents_hits(lines, df.select("source", "k", "start")).withColumn("contents", F.col("hits") >= TOC_HITS)
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +81,12 @@ def unit_stats(spark: SparkSession, d: str) -> DataFrame:
     return _units(spark, d).groupBy("source").agg(F.count("*").alias("units"), F.sum(n).alias("n_chars"), F.sum(F.floor(n / 4)).cast("long").alias("tokens"))
 
 
+@query()
+def locate_whole_books(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of the units found by searching all lines of the books: see segment.unit_spans."""
+    return locate_texts(*chapter_books(table(spark, d, "documents")))
+
+
 @query("select source, 'U' || lpad(cast(count(*) + 1 as string), cast(greatest(2, length(cast(count(*) + 1 as string))) as int), '0') as unit_id from documents group by source")
 def lost_units(spark: SparkSession, d: str) -> DataFrame:
     """Content units that weren't located: here one more unit of each book, whose start no line equals."""

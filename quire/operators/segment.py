@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def book_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Books of a table of contents and chapters from documents: lines (source, i, at, line) that may start a unit, and units (source, k, start).
 
-    Only heading lines take part in locating; text is reduced to its length first.
+    Only heading lines take part in locating, and which of them are contents is given; text is reduced to its length first.
+    `locate_texts` searches all lines of whole texts.
     """
     by = W.partitionBy("source").orderBy("doc_id")
     h = docs.select("source", "doc_id", F.length("text").alias("n"), F.row_number().over(by).alias("k"))
@@ -48,6 +52,90 @@ def locate(lines: DataFrame, units: DataFrame) -> DataFrame:
     return rows.select("source", name.alias("unit_id"), F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.col("at")).cast("long").alias("a"), F.coalesce(F.lead("at").over(w), "stop").cast("long").alias("b"), "toc_skipped")
 
 
+#: fixed values: neighbours on each side of a line that are looked at, and how many other starts among them tell a table of contents
+TOC_NEIGHBOURS, TOC_HITS = 3, 2
+
+
+def chapter_books(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Books (source, text) of a table of contents and the documents of a source as chapters, and their units (source, k, start)."""
+    h = docs.select("source", "text", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("k")).withColumn("start", F.concat(F.lit("# Chapter "), "k"))
+    rows = h.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "start", F.coalesce("text", F.lit("")).alias("text")))).alias("r"))
+    contents = F.array_join(F.transform("r", lambda x: x["start"]), "\n")
+    chapters = F.array_join(F.transform("r", lambda x: F.concat(x["start"], F.lit("\n"), x["text"])), "\n")
+    return rows.select("source", F.concat(contents, F.lit("\n"), chapters).alias("text")), h.select("source", "k", "start")
+
+
+def unit_spans(text: str, starts: list[str]) -> list[tuple[int, int, int, bool]]:
+    """(place in starts, a, b, contents skipped) of the units found in a book, in order.
+
+    Every line from behind the previous hit is searched: those that equal the start, stripped, else those that contain it.
+    Of these the first that isn't beside two other starts counts, or the first of all if each is; a unit that isn't found
+    leaves the search where it was. Of a start with several lines the first that isn't blank counts.
+    """
+    lines = text.split("\n")
+    bare = [x.strip() for x in lines]
+    solid = [i for i, x in enumerate(bare) if x]
+    rank = {i: r for r, i in enumerate(solid)}
+    known = {x.strip() for x in starts if x and x.strip()}
+    equal: dict[str, list[int]] = {}
+    for i in solid:
+        equal.setdefault(bare[i], []).append(i)
+
+    def contents(i, own):
+        r = rank[i]
+        near = solid[max(0, r - TOC_NEIGHBOURS) : r] + solid[r + 1 : r + 1 + TOC_NEIGHBOURS]
+        return sum(bare[j] in known and bare[j] != own for j in near) >= TOC_HITS
+
+    def containing(start, at):
+        for i in range(at, len(lines)):
+            if start in lines[i]:
+                yield i
+
+    def found(start, at):
+        same = equal.get(start, [])
+        for hits in (iter(same[bisect_left(same, at) :]), containing(start, at)):
+            first = next(hits, None)
+            if first is None:
+                continue
+            if not contents(first, start):
+                return first, False
+            later = next((i for i in hits if not contents(i, start)), None)
+            return (first, False) if later is None else (later, True)
+        return None, False
+
+    got, at = [], 0
+    for k, start in enumerate(starts):
+        start = next((x.strip() for x in (start or "").splitlines() if x.strip()), "")
+        i, skipped = found(start, at) if start else (None, False)
+        if i is not None:
+            got.append((k, i, skipped))
+            at = i + 1
+    offsets = [0, *accumulate(len(x) + 1 for x in lines)]
+    begins = [0 if n == 0 else offsets[i] for n, (_, i, _) in enumerate(got)] + [len(text)]
+    return [(k, begins[n], begins[n + 1], skipped) for n, (k, _, skipped) in enumerate(got)]
+
+
+def _spans(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = [(r["source"], r["u"][k]["k"], a, b, t) for r in batch.to_pylist() for k, a, b, t in unit_spans(r["text"] or "", [u["start"] for u in r["u"]])]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["source", "k", "a", "b", "toc_skipped"])
+
+
+def locate_texts(books: DataFrame, units: DataFrame) -> DataFrame:
+    """Each unit's half-open span in the whole text of its book: see unit_spans; books(source, text), units(source, k, start).
+
+    The search goes on from hit to hit, so a book and its starts are one row; the first unit found begins at 0, the last
+    ends with the book.
+    """
+    u = units.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "start"))).alias("u"))
+    rows = books.join(u, "source").select(F.col("source").cast("string"), "text", "u").mapInArrow(_spans, "source string, k long, a long, b long, toc_skipped boolean")
+    name = F.concat(F.lit("U"), F.lpad(F.col("k").cast("string"), F.greatest(F.lit(2), F.length(F.col("k").cast("string"))), F.lit("0")))
+    return rows.select("source", name.alias("unit_id"), "a", "b", "toc_skipped")
+
+
 def changed_spans(before: DataFrame, after: DataFrame) -> DataFrame:
     """Units whose span moved: their results are redone. New units have none yet."""
     old = before.select("source", "unit_id", F.col("a").alias("a0"), F.col("b").alias("b0"))

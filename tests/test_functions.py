@@ -98,6 +98,17 @@ def test_changed_spans(spark):
     assert {r.unit_id for r in segment.changed_spans(old, new).collect()} == {"U01"}
 
 
+def test_units_in_whole_texts(spark):
+    """A contents page is skipped, a start within a line is found, lines of the texts count, a lost unit doesn't move the search."""
+    head = "# One\n\n# Three\n# Four\ni\nj\n"
+    text = head + "intro\n # One \nx\n# Lost?\ny\nsee ## Two here\nz\n# Three\nw\n# Four\nv"
+    books = spark.createDataFrame([("s", text), ("t", "## A\nb")], "source string, text string")
+    units = spark.createDataFrame([("s", 1, "# One"), ("s", 2, "\n# Nowhere"), ("s", 3, "## Two\n\n# Sub"), ("s", 4, "# Three"), ("s", 5, "# Four"), ("t", 1, "A")], "source string, k long, start string")
+    got = [tuple(r) for r in segment.locate_texts(books, units).orderBy("source", "a").collect()]
+    two, three, four = text.index("see ## Two"), text.rindex("# Three"), text.rindex("# Four")
+    assert got == [("s", "U01", 0, two, True), ("s", "U03", two, three, False), ("s", "U04", three, four, False), ("s", "U05", four, len(text), False), ("t", "U01", 0, 6, False)]
+
+
 def test_vocabulary():
     text = "<!-- PROMPT: map -->\nx\n<!-- TASK: verify -->\ny\n# TOPIC VOCABULARY\n- `renal` — k\n- `sop` — o\n# Next\n- `no` — x"
     assert dims.vocabulary(text) == {"blocks": ["map", "verify"], "codes": ["renal", "sop"]}
