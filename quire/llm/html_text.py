@@ -2,13 +2,14 @@
 
 The standard library's parser turns a page into lines, one for each block, with the number of tags met in it and the
 elements that it stands in. Lines in elements that can't be content have no ratio. The ratios are smoothed along the page
-and split into two clusters; the upper one is content. Its region is the innermost element that holds nearly all of its
-text, of which every line is taken that isn't in an excluded element, so that short lines between long ones aren't lost.
+and split into two clusters; the upper one is content. Its region is the innermost element that holds all of it, widened
+to headings beside it; every line of the region is taken that isn't in an excluded element, so that short lines between long ones aren't lost.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -24,7 +25,8 @@ SCOPES = {"html", "body", "article", "main", "section", "div", "table", "ul", "o
 #: fixed values: words in class, id and role attributes that tell of no content
 ASIDE = set("ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs masthead header footer comment comments commentlist disqus reply replies respond share sharing social related recommended widget widgets pager pagination toolbar login search skip complementary contentinfo dialog form".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-SIGMA, SHARE = 1.0, 0.9
+SIGMA, DEPTH = 1.0, 400
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class _Lines(HTMLParser):
@@ -35,6 +37,7 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[int, str, bool]] = [(0, "", False)]
         self.lines: list[list] = []
         self.count = 0
+        self.open: Counter[str] = Counter()
         self._line()
 
     def _line(self):
@@ -43,13 +46,15 @@ class _Lines(HTMLParser):
     def _flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append([text, self.tags, tuple(self.stack)])
+            # of a page of unclosed elements, what is deep inside takes an outer element's place, but not its exclusion
+            self.lines.append([text, self.tags, (*self.stack[: min(len(self.stack), DEPTH + 1) - 1], (*self.stack[min(len(self.stack), DEPTH + 1) - 1][:2], self.stack[-1][2]))])
             self._line()
         self.parts = []
 
     def _pop(self, k: int):
         if any(e[1] not in INLINE for e in self.stack[k:]):
             self._flush()
+        self.open.subtract(e[1] for e in self.stack[k:])
         del self.stack[k:]
 
     def handle_starttag(self, tag, attrs):
@@ -57,7 +62,7 @@ class _Lines(HTMLParser):
         if tag not in INLINE:
             self._flush()
         closes = SELF_CLOSING.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-        if closes:
+        if any(self.open[c] > 0 for c in closes):
             for k in range(len(self.stack) - 1, 0, -1):
                 if self.stack[k][1] in closes:
                     self._pop(k)
@@ -66,14 +71,12 @@ class _Lines(HTMLParser):
                     break
         if tag in VOID:
             return
-        if len(self.stack) > 400:  # a page of unclosed elements: what is inside takes the outer element's place
-            return
         self.count += 1
         self.stack.append((self.count, tag, self.stack[-1][2] or self._excluded(tag, attrs)))
+        self.open[tag] += 1
 
     def _excluded(self, tag, attrs) -> bool:
-        names = {e[1] for e in self.stack}
-        if tag in NEVER or tag == "header" and not names & {"article", "main"}:
+        if tag in NEVER or tag == "header" and not (self.open["article"] or self.open["main"]):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
@@ -90,8 +93,9 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        if tag == "p" and not any(e[1] == "p" for e in self.stack):
-            self._flush()
+        if not self.open[tag]:
+            if tag == "p":
+                self._flush()
             return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][1] == tag:
@@ -145,26 +149,24 @@ def main_text(html: str, step: int = 1 << 16) -> str:
     content = upper_cluster(smooth) & ~out
     if not content.any():
         content = ~out
-    # the innermost element that holds nearly all text of the content lines
-    held: dict[int, float] = {}
-    for k in np.flatnonzero(content):
-        for number, _, _ in lines[k][2]:
-            held[number] = held.get(number, 0.0) + size[k]
-    enough = SHARE * size[content].sum()
-    region, depth = 0, -1
-    for k in np.flatnonzero(content):
-        for d, (number, _, _) in enumerate(lines[k][2]):
-            if held[number] >= enough and d > depth:
-                region, depth = number, d
-    # a heading or paragraph isn't a region of its own: its article, or its parent, is
-    path = next(p for _, _, p in lines if any(e[0] == region for e in p))
-    at = next(i for i, e in enumerate(path) if e[0] == region)
+    # the innermost element that holds all content lines
+    paths = [lines[k][2] for k in np.flatnonzero(content)]
+    path, at = paths[0], 0
+    while all(len(p) > at + 1 and p[at + 1][0] == path[at + 1][0] for p in paths if len(path) > at + 1) and len(path) > at + 1:
+        at += 1
+    # a heading or paragraph isn't a region of its own: its outermost article or main, or its parent, is
     wide = [i for i, e in enumerate(path[: at + 1]) if e[1] in ("article", "main")]
     if wide:
-        at = wide[-1]
+        at = wide[0]
     else:
         while at > 0 and (path[at][1] in INLINE or path[at][1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr", "pre", "blockquote", "ul", "ol")):
             at -= 1
+        # headings beside the region, or beside an element around it, belong to it
+        for k in np.flatnonzero(~out):
+            p = lines[k][2]
+            if any(e[1] in HEADINGS for e in p):
+                same = next((i for i, (x, y) in enumerate(zip(p, path[: at + 1])) if x[0] != y[0]), min(len(p), at + 1))
+                at = min(at, same - 1)
     region = path[at][0]
     return " ".join(text for (text, _, p), no in zip(lines, out) if not no and len(p) > at and p[at][0] == region)
 

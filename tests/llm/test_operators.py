@@ -430,6 +430,18 @@ def test_broken_pages():
     assert html_text.main_text("<<>><p a=b c='d>x") is not None
 
 
+def test_main_text_drops_nothing_but_excluded_elements():
+    long = "<p>" + "many words of the text " * 20 + "</p>"
+    clean = " ".join(("many words of the text " * 20).split())
+    more = "<p>the last words of the page, a good deal shorter than the text before</p>"
+    last = more[3:-4]
+    page = f"<body><nav>n</nav><div id=c><h1>T</h1><div class=text>{long * 5}</div><div class=more>{more}</div></div></body>"
+    assert html_text.main_text(page) == " ".join(["T", *[clean] * 5, last])
+    assert html_text.main_text(f"<main><article><h2>A</h2>{long * 9}</article><article><h2>B</h2>{more}</article></main>") == " ".join(["A", *[clean] * 9, "B", last])
+    deep = "<div>" * 500 + long + "<nav>menu " + "<p>" + "of links " * 90 + "</nav><aside>beside</aside>" + more
+    assert html_text.main_text(f"<body>{deep}") == f"{clean} {last}"
+
+
 def test_pages_in_spark(spark):
     df = spark.createDataFrame([(1, "u", PAGE % ("<article>", "</article>"), "x"), (2, None, None, "x"), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in html_text.extract_main_text(df).collect()}
