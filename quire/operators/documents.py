@@ -174,6 +174,62 @@ def split_book(spark: SparkSession, d: str) -> DataFrame:
     return best.select("source", F.col("n_chars").cast("long"), F.col("cut").cast("long"))
 
 
+#: fixed values: line starts where a book is cut, best first; how far from the ideal place, in parts of a part
+CUT_RANKS, CUT_WINDOW = ("# ", "<!-- SECTION", "## "), 0.25
+
+
+def cuts(text: str, parts: int) -> list[int]:
+    """The parts - 1 places where a book is cut, each behind the one before; fewer if the lines don't suffice.
+
+    Near each ideal place the best kind of heading counts, of one kind the nearest, of equals the earliest; where there is
+    none, the nearest line start.
+    """
+    places, at = [], 0
+    for line in text.split("\n"):
+        places.append((at, next((r for r, x in enumerate(CUT_RANKS) if line.strip().startswith(x)), None)))
+        at += len(line) + 1
+    out, last, size = [], 0, len(text) / max(parts, 1)
+    for k in range(1, parts):
+        ideal = size * k
+        later = [(p, r) for p, r in places if p > last]
+        if not later:
+            break
+        near = [(r, abs(p - ideal), p) for p, r in later if r is not None and abs(p - ideal) <= size * CUT_WINDOW]
+        last = min(near)[2] if near else min((abs(p - ideal), p) for p, _ in later)[1]
+        out.append(last)
+    return out
+
+
+def split_parts(books: DataFrame) -> DataFrame:
+    """(source, part, a, b) of books(source, text, parts): the half-open spans of the parts of each book, from 1; one book is a row."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for source, text, parts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                ends = [0, *cuts(text or "", parts or 1), len(text or "")]
+                rows += [(source, k + 1, ends[k], ends[k + 1]) for k in range(len(ends) - 1)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["source", "part", "a", "b"])
+
+    return books.select(F.col("source").cast("string"), F.col("text").cast("string"), F.col("parts").cast("long")).mapInArrow(run, "source string, part long, a long, b long")
+
+
+#: fixed values: tokens above which a book is big, and of a part of it
+BIG_TOKENS, PART_TOKENS = 880_000, 600_000
+
+
+@query()
+def split_book_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of each book's parts, as many as its tokens ask for."""
+    rows = docs(spark, d).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("r"))
+    books = rows.select("source", F.array_join(F.transform("r", lambda x: x["text"]), "\n").alias("text"))
+    tokens = X.est_tokens(F.col("text"))
+    return split_parts(books.withColumn("parts", F.when(tokens > BIG_TOKENS, F.ceil(tokens / PART_TOKENS)).otherwise(1)))
+
+
 @query("select doc_id, cast(len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '|'))) as bigint) as table_lines, regexp_replace(text, '-\\n([a-zß-öø-ÿ])', '\\1', 'g') <> text as hyphenated from documents")
 def dehyphenate(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: x.startswith("|"))).cast("long").alias("table_lines"), (X.dehyphenate(F.col("text")) != F.col("text")).alias("hyphenated"))

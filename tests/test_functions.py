@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire import dims
 from quire.functions import text as X
-from quire.operators import jobs, knowledge, segment
+from quire.operators import documents, jobs, knowledge, segment
 from quire.sources import epub, html
 from quire.streaming import jobs as stream
 
@@ -109,6 +109,18 @@ def test_units_in_whole_texts(spark):
     assert got == [("s", "U01", 0, two, True), ("s", "U03", two, three, False), ("s", "U04", three, four, False), ("s", "U05", four, len(text), False), ("t", "U01", 0, 6, False)]
 
 
+def test_split_into_parts(spark):
+    """Three parts: a chapter within the window wins over nearer lines and sections; where there is no heading, the nearest line."""
+    line = "x" * 9 + "\n"
+    text = line * 8 + "# A chap\n" + "\n" + "## Bsect\n" + "\n" + line * 20
+    got = [tuple(r) for r in documents.split_parts(spark.createDataFrame([("s", text, 3), ("t", "ab", 1)], "source string, text string, parts long")).orderBy("source", "part").collect()]
+    n = len(text)
+    starts = [i + 1 for i, c in enumerate(text) if c == "\n"]
+    second = min((p for p in starts if p > 80), key=lambda p: (abs(p - 2 * n / 3), p))
+    assert got == [("s", 1, 0, 80), ("s", 2, 80, second), ("s", 3, second, n), ("t", 1, 0, 2)]
+    assert documents.cuts("a\nb", 4) == [2]
+
+
 def test_vocabulary():
     text = "<!-- PROMPT: map -->\nx\n<!-- TASK: verify -->\ny\n# TOPIC VOCABULARY\n- `renal` — k\n- `sop` — o\n# Next\n- `no` — x"
     assert dims.vocabulary(text) == {"blocks": ["map", "verify"], "codes": ["renal", "sop"]}
