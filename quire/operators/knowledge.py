@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..dims import FALLBACK, SECTIONS, TOPIC_SECTIONS, TOPICS, sections, sql_list
@@ -212,6 +215,59 @@ def map_merge(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("book_id").agg(F.min_by("title", "unit_id").alias("title"), F.count("*").alias("parts")).join(domains, "book_id")
 
 
+#: fixed values: keys of a map by how its parts are merged
+MAP_LISTS = ("author_credentials", "domains", "conditions", "conditions_secondary", "cross_unit_items", "notes")
+MAP_SCALARS = {"proposed_domain": None, "authority_level": "", "authority_rationale": "", "abbreviation": "", "slug": "", "thesis": ""}
+
+
+def merged_map(parts: list[dict]) -> dict:
+    """One map of a book's parts, in their order; a single part stays as it is.
+
+    Lists are united in order of first mention, secondary conditions go where they are primary ones, 'general' goes beside
+    other domains, the first scalar that isn't empty wins (in metadata key by key), commercial interests are joined. Units
+    are numbered anew over all parts, and mentions of their old ids in a part's cross references follow.
+    """
+    if len(parts) == 1:
+        return parts[0]
+    out, units, lists = dict(parts[0]), [], {k: [] for k in MAP_LISTS}
+    for m in parts:
+        renamed = {}
+        for u in m.get("units") or []:
+            units.append(dict(u, id=f"U{len(units) + 1:02d}"))
+            if u.get("id"):
+                renamed[str(u["id"])] = units[-1]["id"]
+        old = re.compile(r"\b(?:" + "|".join(re.escape(k) for k in sorted(renamed, key=len, reverse=True)) + r")\b") if renamed else None
+        for key in MAP_LISTS:
+            for x in m.get(key) or []:
+                if key == "cross_unit_items":
+                    x = old.sub(lambda g: renamed[g[0]], str(x)) if old else str(x)
+                if x not in lists[key]:
+                    lists[key].append(x)
+    lists["conditions_secondary"] = [x for x in lists["conditions_secondary"] if x not in lists["conditions"]]
+    if len(lists["domains"]) > 1:
+        lists["domains"] = [x for x in lists["domains"] if x != "general"]
+    metadata: dict = dict(parts[0].get("metadata") or {})
+    for m in parts[1:]:
+        metadata |= {k: v for k, v in (m.get("metadata") or {}).items() if v and not metadata.get(k)}
+    interests = [(m.get("commercial_interests") or "").strip() for m in parts]
+    scalars = {k: next((m[k] for m in parts if m.get(k)), none) for k, none in MAP_SCALARS.items()}
+    return out | lists | scalars | {"metadata": metadata, "units": units, "commercial_interests": "; ".join(dict.fromkeys(x for x in interests if x)), "_map_parts": len(parts)}
+
+
+def merge_maps(parts: DataFrame) -> DataFrame:
+    """(book_id, map) of parts(book_id, part, map): the maps of a book's parts, as JSON texts, merged into one; see merged_map."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            maps = [json.dumps(merged_map([json.loads(x["map"]) for x in r]), ensure_ascii=False) for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.string())], names=["book_id", "map"])
+
+    rows = parts.where("map is not null").groupBy(F.col("book_id").cast("long").alias("book_id")).agg(F.array_sort(F.collect_list(F.struct("part", "map"))).alias("r"))
+    return rows.mapInArrow(run, "book_id long, map string")
+
+
 @query("""
 with s as (select book_id, sum(length(body)) as a, sum(case when starts_with(dest, 'L') then 0 else length(body) end) as b, sum(least(length(body), 100) + case when length(body) > 100 then 6 else 0 end) as c, sum(least(length(body), 40) + case when length(body) > 40 then 6 else 0 end) as d from entries group by book_id)
 select book_id, case when a <= 60000 then 'full' when b <= 60000 then 'core' when c <= 60000 then 'cut100' when d <= 60000 then 'cut40' else 'hard' end as plan, cast(least(case when a <= 60000 then a when b <= 60000 then b when c <= 60000 then c else d end, 60000) as bigint) as n_chars from s""")

@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 
 import pytest
@@ -121,6 +122,19 @@ def test_split_into_parts(spark):
     assert documents.cuts("a\nb", 4) == [2]
 
 
+def test_merged_maps(spark):
+    one = {"title": "T", "thesis": "", "metadata": {"a": "", "b": 1}, "domains": ["general", "x"], "conditions": ["p"], "conditions_secondary": ["q"], "commercial_interests": " c ", "units": [{"id": "U01", "t": 1}, {"id": "U02"}], "cross_unit_items": ["U01 and U02, not U012"]}
+    two = {"title": "S", "thesis": "th", "metadata": {"a": 2, "b": 3}, "domains": ["x", "y"], "conditions": ["q"], "conditions_secondary": ["p", "r"], "commercial_interests": "d", "units": [{"id": "U01"}, {"id": "U02"}, {"id": "U03"}], "cross_unit_items": ["U01, U03"]}
+    rows = [(1, 2, json.dumps(two)), (1, 1, json.dumps(one)), (1, 3, json.dumps({"commercial_interests": "c"})), (2, 1, json.dumps(two))]
+    got = {r.book_id: json.loads(r.map) for r in knowledge.merge_maps(spark.createDataFrame(rows, "book_id long, part long, map string")).collect()}
+    assert got[2] == two
+    m = got[1]
+    assert (m["title"], m["thesis"], m["metadata"], m["domains"]) == ("T", "th", {"a": 2, "b": 1}, ["x", "y"])
+    assert (m["conditions"], m["conditions_secondary"], m["commercial_interests"]) == (["p", "q"], ["r"], "c; d")
+    assert [u["id"] for u in m["units"]] == ["U01", "U02", "U03", "U04", "U05"] and m["units"][0]["t"] == 1
+    assert m["cross_unit_items"] == ["U01 and U02, not U012", "U03, U05"] and m["_map_parts"] == 3
+
+
 def test_vocabulary():
     text = "<!-- PROMPT: map -->\nx\n<!-- TASK: verify -->\ny\n# TOPIC VOCABULARY\n- `renal` — k\n- `sop` — o\n# Next\n- `no` — x"
     assert dims.vocabulary(text) == {"blocks": ["map", "verify"], "codes": ["renal", "sop"]}
