@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as X
@@ -82,6 +84,47 @@ def sha_key_dedup(spark: SparkSession, d: str) -> DataFrame:
     return u.select("doc_id", "key", X.token(F.col("key")).alias("token"), "uses", (F.col("uses") > 5).alias("dropped"))
 
 
+#: fixed values: an image's placeholder, captions of images, how near they stand, and how often decoration is used at most
+IMAGE_TOKEN = re.compile(r"ZZOCRZZ[0-9a-f]{16}ZZ")
+IMAGE_CAPTION = re.compile(r"(?i)\b(?:table|figure|fig\.?|box|chart|exhibit|diagram|tabla|figura|cuadro|gr[aá]fic[ao]|esquema|tableau|tabelle|abbildung)\s*\d+")
+CAPTION_WINDOW, MOST_USES = 500, 5
+
+
+def token_captions(text: str) -> list[tuple[str, bool]]:
+    """Each placeholder of a text, as often as it stands there, and whether a caption is near; other placeholders there count as blanks."""
+    out = []
+    for m in IMAGE_TOKEN.finditer(text):
+        near = text[max(0, m.start() - CAPTION_WINDOW) : m.end() + CAPTION_WINDOW]
+        out.append((m[0], IMAGE_CAPTION.search(IMAGE_TOKEN.sub(" ", near)) is not None))
+    return out
+
+
+def image_tokens(texts: DataFrame, decorative: DataFrame | None = None) -> DataFrame:
+    """(token, uses, captioned, dropped) of the placeholders in texts(text): those used more than MOST_USES times, or listed in
+    decorative(token), are dropped, unless any of their places has a caption near it."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [x for t in batch.column(0).to_pylist() for x in token_captions(t or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([c for _, c in found], pa.bool_())], names=["token", "captioned"])
+
+    found = texts.select(F.col("text").cast("string")).mapInArrow(run, "token string, captioned boolean")
+    u = found.groupBy("token").agg(F.count("*").alias("uses"), F.bool_or("captioned").alias("captioned")).withColumn("rule", F.lit(False))
+    if decorative is not None:
+        u = u.drop("rule").join(decorative.select("token").distinct().withColumn("rule", F.lit(True)), "token", "left")
+    drop = (F.col("uses") > MOST_USES) | F.coalesce("rule", F.lit(False))
+    return u.select("token", "uses", "captioned", (drop & ~F.col("captioned")).alias("dropped"))
+
+
+@query()
+def caption_window(spark: SparkSession, d: str) -> DataFrame:
+    """Images of the dirty documents, each set before the text that it is named after: uses, captions near, and whether it goes."""
+    t = X.token(X.content_key(F.col("text"), F.lit("image")))
+    return image_tokens(docs(spark, d, "documents_dirty").select(F.concat(t, F.lit(" "), "text").alias("text")))
+
+
 _STOP = "(" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
 _LW = "list_transform(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{2,}'), lambda x: lower(x))"
 

@@ -135,6 +135,18 @@ def test_merged_maps(spark):
     assert m["cross_unit_items"] == ["U01 and U02, not U012", "U03, U05"] and m["_map_parts"] == 3
 
 
+def test_captions_keep_images(spark):
+    a, b, c, e = ("ZZOCRZZ" + k * 16 + "ZZ" for k in "abce")
+    far = "x " * 250
+    texts = [f"{a} {far}Table 3", f"{c} Fig. 2"] + [f"{a} {b} {c}"] * 5 + [f"{b}Table {a} 9{far}", f"{e} Figure{b}1", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.token: (r.uses, r.captioned, r.dropped) for r in documents.image_tokens(df, spark.createDataFrame([(c,), (e,)], "token string")).collect()}
+    assert got == {a: (7, True, False), b: (7, True, False), c: (6, True, False), e: (1, True, False)}
+    bare = spark.createDataFrame([(f"{a} {far}Table 3",)] * 6 + [(e,)], "text string")
+    got = {r.token: (r.uses, r.captioned, r.dropped) for r in documents.image_tokens(bare, spark.createDataFrame([(e,)], "token string")).collect()}
+    assert got == {a: (6, False, True), e: (1, False, True)}
+
+
 def test_vocabulary():
     text = "<!-- PROMPT: map -->\nx\n<!-- TASK: verify -->\ny\n# TOPIC VOCABULARY\n- `renal` — k\n- `sop` — o\n# Next\n- `no` — x"
     assert dims.vocabulary(text) == {"blocks": ["map", "verify"], "codes": ["renal", "sop"]}
