@@ -74,12 +74,12 @@ def _sketch(s: np.ndarray) -> bytes | None:
 
 
 def _scan(words: int):
-    """Documents to rows (kind 0: id, class key, set size, sketch) and (kind 1: bucket, its documents in this task)."""
+    """Documents to rows (kind 0: id, class key, set size, sketch, hash of the text) and (kind 1: bucket, its documents in this task)."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["kind", "id", "c", "n", "sketch"]
+        names = ["kind", "id", "c", "n", "sketch", "h"]
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             keys, sizes, sketches = [], [], []
@@ -88,9 +88,9 @@ def _scan(words: int):
                 sizes.append(len(s))
                 sketches.append(_sketch(s) if len(s) else None)
                 np.add.at(counts, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), batch.column(0).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), batch.column(0).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), batch.column(2)], names=names)
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.array(some), pa.array(some), pa.array(counts[some]), pa.nulls(len(some), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.array(some), pa.array(some), pa.array(counts[some]), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.int64())], names=names)
 
     return run
 
@@ -400,10 +400,10 @@ def _joined(found: DataFrame, late: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of docs(id, text): rows (id, class, set size), classes (class, root, component_id, documents), and the sets of all classes that have links."""
+    """Of docs(id, text): rows (id, class, set size, hash of the text), classes (class, root, component_id, documents), and the sets of all classes that have links."""
     spark = docs.sparkSession
-    scan = materialise(docs.mapInArrow(_scan(words), "kind int, id long, c long, n long, sketch binary"), "scan")
-    rows = scan.where("kind = 0").select("id", "c", "n")
+    scan = materialise(docs.select("id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).mapInArrow(_scan(words), "kind int, id long, c long, n long, sketch binary, h long"), "scan")
+    rows = scan.where("kind = 0").select("id", "c", "n", "h")
     classes = scan.where("kind = 0 and n > 0").groupBy("c").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("w"))
     classes = materialise(classes, "classes")
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -453,16 +453,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.union(rows.where("n = 0").select("id", "n", "id", F.lit(0).cast("long")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the near copies: of each component the row with the smallest id stays, whole and unchanged.
 
-    Of rows that share that smallest id and lie in one component, equal rows count as copies of each other and one stays.
-    Rows with a null id link with nothing here and stay.
+    Components are told apart by row, not by id: of rows that share an id, those that lie in different components are judged
+    each for itself. Of rows that share the smallest id of one component one stays; rows without words that are equal in id
+    and text count as copies. Rows with a null id link with nothing here and stay.
     """
-    found = near_copies(docs.where(F.col(id_col).isNotNull()), id_col, **options)
-    keep = found.groupBy("doc_id").agg(F.min("component_id").alias("__least")).where("doc_id = __least").select(F.col("doc_id").alias("__keep"))
-    kept = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    options = {"words": 5, "percent": 80} | options
+    known = docs.where(F.col(id_col).isNotNull())
+    own, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows, classes, _ = _grouped(known.select(own.alias("id"), F.col(text_col).cast("string").alias("text")), **options)
+    least = rows.where("n > 0").join(classes.where("component_id is not null"), "c").where("id = component_id").groupBy("root").agg(F.min(F.struct("id", "h")).alias("r"))
+    keep = least.select("r.id", "r.h").union(rows.where("n = 0").select("id", "h")).distinct().select(F.col("id").alias("__id"), F.col("h").alias("__h"))
+    marked = known.withColumn("__own", own).withColumn("__text", F.xxhash64(text))
+    kept = marked.join(keep, (F.col("__own") == F.col("__id")) & (F.col("__text") == F.col("__h")), "left_semi").dropDuplicates(["__own", "__text"])
+    return kept.drop("__own", "__text").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,17 @@ def test_keep_one(docs, rows):
     assert {r.doc_id for r in kept.collect()} == {c for _, c in classes(text_of(rows)).values()}
 
 
+def test_keep_one_with_repeated_ids(spark):
+    """An id of several texts: each row is judged in its own component."""
+    rng = random.Random(9)
+    one, two, three, four = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, one), (5, one + " x"), (5, two), (5, two + " y"), (5, three), (5, three), (7, three), (5, four), (8, ""), (8, "  "), (8, ""), (None, one)]
+    kept = sorted(map(tuple, ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    again = [r for r in kept if r[1] in (two, two + " y")]
+    assert len(again) == 1
+    assert [r for r in kept if r not in again] == sorted([(1, one), (5, three), (5, four), (8, ""), (8, "  "), (None, one)], key=str)
+
+
 def test_components_on_paths_and_hubs(spark):
     rng, edges = random.Random(1), []
     edges += [(k, k + 1) for k in range(0, 60)] + [(1000, k) for k in range(1001, 1200)] + [(7, 7), (None, 3), (61, None)]
