@@ -1,9 +1,15 @@
 """Main text of web pages: parser events to lines, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
-The standard library's parser turns a page into lines, one for each block, with the number of tags met in it and the
-elements that it stands in. Lines in elements that can't be content have no ratio. The ratios are smoothed along the page
-and split into two clusters; the upper one is content. Its region is the innermost element that holds all of it, widened
-to headings beside it; every line of the region is taken that isn't in an excluded element, so that short lines between long ones aren't lost.
+The standard library's parser turns a page into lines, one for each block, with the number of tags met in it. Lines of
+elements that HTML itself sets apart (menus, footers, asides, forms) have no part in what follows. Of the others:
+
+1. A line's ratio is its characters for each of its tags, times a weight for what its elements tell: above 1 in `article`
+   and `main`, below 1 where class, id or role speak of something else (unless that element holds the whole page).
+2. The ratios' logarithms are smoothed along the page and split into two clusters; lines of the upper one are content. If
+   the clusters are hardly apart, all lines are but those with a low weight.
+3. Content lines at most GAP lines apart, or in one container, make a region; regions far smaller than the largest go.
+4. Short lines are kept by their neighbours: those in a container of a region, those between its lines, and headings
+   right before one. Lines with a low weight come in only by their own ratio.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,39 +29,59 @@ NEVER = {"head", "title", "script", "style", "noscript", "template", "svg", "mat
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"html", "body", "article", "main", "section", "div", "table", "ul", "ol", "dl", "td", "th", "nav", "aside", "header", "footer", "form", "blockquote"}
-#: fixed values: words in class, id and role attributes that tell of no content
+#: fixed values: words in class, id and role attributes that tell of no content, as evidence (BESIDE)
 ASIDE = set("ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs masthead header footer comment comments commentlist disqus reply replies respond share sharing social related recommended widget widgets pager pagination toolbar login search skip complementary contentinfo dialog form".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-SIGMA, DEPTH = 1.0, 400
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+CONTAINERS = {"html", "body", "div", "section", "center", "details"}  # with article and main, which hold all containers in them
+SIGMA = 1.0  # of the smoothing, in lines
+INSIDE, BESIDE = 20.0, 0.01  # weights of a line in article or main, and of one whose element's names tell of no content
+LEAST, APART = 0.1, 1.0  # added to a ratio before its logarithm; the least distance of clusters
+GAP, SHARE = 3, 0.1  # lines between two of one region; the least size of a region, as a part of the largest
+
+
+class _Element(NamedTuple):
+    name: str
+    out: bool  # set apart by HTML itself, here or further out
+    container: int
+    sealed: bool  # the container is an article or main
+    flag: int  # the innermost element that names tell of; 0: none
+
+
+class _Line(NamedTuple):
+    text: str
+    tags: int
+    out: bool
+    container: int
+    sealed: bool
+    flag: int
+    heading: bool
+    linked: bool  # all its text is that of links
 
 
 class _Lines(HTMLParser):
-    """Collects lines as [text parts, tags, path]; an element of a path is (number, name, excluded)."""
+    """Collects a page's lines. Each open element knows what it inherits, so a line costs the same at any depth."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[int, str, bool]] = [(0, "", False)]
-        self.lines: list[list] = []
-        self.count = 0
+        self.stack = [_Element("", False, 0, False, 0)]
+        self.lines: list[_Line] = []
+        self.containers, self.above = 0, [0]  # above: of each flagged element, the flagged one around it
         self.open: Counter[str] = Counter()
-        self._line()
-
-    def _line(self):
-        self.parts, self.tags = [], 0
+        self.parts, self.tags, self.plain = [], 0, False
 
     def _flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            # of a page of unclosed elements, what is deep inside takes an outer element's place, but not its exclusion
-            self.lines.append([text, self.tags, (*self.stack[: min(len(self.stack), DEPTH + 1) - 1], (*self.stack[min(len(self.stack), DEPTH + 1) - 1][:2], self.stack[-1][2]))])
-            self._line()
-        self.parts = []
+            e = self.stack[-1]
+            self.lines.append(_Line(text, self.tags, e.out, e.container, e.sealed, e.flag, any(self.open[h] for h in HEADINGS), not self.plain))
+            self.tags = 0
+        self.parts, self.plain = [], False
 
     def _pop(self, k: int):
-        if any(e[1] not in INLINE for e in self.stack[k:]):
+        if any(e.name not in INLINE for e in self.stack[k:]):
             self._flush()
-        self.open.subtract(e[1] for e in self.stack[k:])
+        self.open.subtract(e.name for e in self.stack[k:])
         del self.stack[k:]
 
     def handle_starttag(self, tag, attrs):
@@ -64,27 +91,35 @@ class _Lines(HTMLParser):
         closes = SELF_CLOSING.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
         if any(self.open[c] > 0 for c in closes):
             for k in range(len(self.stack) - 1, 0, -1):
-                if self.stack[k][1] in closes:
+                if self.stack[k].name in closes:
                     self._pop(k)
                     break
-                if self.stack[k][1] in SCOPES:
+                if self.stack[k].name in SCOPES:
                     break
         if tag in VOID:
             return
-        self.count += 1
-        self.stack.append((self.count, tag, self.stack[-1][2] or self._excluded(tag, attrs)))
+        e = self.stack[-1]
+        container, sealed, flag = e.container, e.sealed, e.flag
+        if not sealed and (tag in CONTAINERS or tag in ("article", "main")):
+            self.containers += 1
+            container, sealed = self.containers, tag in ("article", "main")
+        if not e.out and self._flagged(tag, attrs):
+            self.above.append(flag)
+            flag = len(self.above) - 1
+        self.stack.append(_Element(tag, e.out or self._out(tag, attrs), container, sealed, flag))
         self.open[tag] += 1
 
-    def _excluded(self, tag, attrs) -> bool:
+    def _out(self, tag, attrs) -> bool:
         if tag in NEVER or tag == "header" and not (self.open["article"] or self.open["main"]):
             return True
-        if tag in ("html", "body", "article", "main"):
+        told = dict(attrs)
+        return tag not in ("html", "body") and ("hidden" in told or told.get("aria-hidden") == "true")
+
+    def _flagged(self, tag, attrs) -> bool:
+        if not attrs or tag in ("html", "body", "article", "main"):
             return False
         told = dict(attrs)
-        if "hidden" in told or told.get("aria-hidden") == "true":
-            return True
-        words = {w.lower() for k in ("class", "id", "role") for w in WORD.findall(told.get(k) or "")}
-        return bool(words & ASIDE)
+        return any(w.lower() in ASIDE for k in ("class", "id", "role") for w in WORD.findall(told.get(k) or ""))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -98,32 +133,35 @@ class _Lines(HTMLParser):
                 self._flush()
             return
         for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][1] == tag:
+            if self.stack[k].name == tag:
                 self._pop(k)
                 return
-            if tag in INLINE and self.stack[k][1] not in INLINE:
+            if tag in INLINE and self.stack[k].name not in INLINE:
                 return
 
     def handle_data(self, data):
         self.parts.append(data)
+        self.plain = self.plain or not self.open["a"] and not data.isspace()
 
-    def done(self) -> list[list]:
+    def done(self) -> list[_Line]:
         self.close()
         self._flush()
         return self.lines
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Gaussian means along the page; at its ends, of the lines that there are."""
     reach = max(1, int(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    return np.convolve(np.pad(ratios, reach), kernel / kernel.sum(), "valid") if len(ratios) else ratios
+    sums = lambda x: np.convolve(np.pad(x, reach), kernel, "valid")
+    return sums(ratios) / sums(np.ones(len(ratios))) if len(ratios) else ratios
 
 
-def upper_cluster(values: np.ndarray) -> np.ndarray:
-    """Two-means in one dimension: which values lie above the middle of both clusters' means."""
+def upper_cluster(values: np.ndarray) -> np.ndarray | None:
+    """Two-means in one dimension: which values lie above the middle of both clusters' means; None if they are less than APART apart."""
     low, high = values.min(), values.max()
-    if low == high:
-        return np.ones(len(values), bool)
+    if high - low < APART:
+        return None
     cut = (low + high) / 2
     for _ in range(50):
         up = values > cut
@@ -134,41 +172,69 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
     return values > cut
 
 
+def besides(flags: list[int], above: list[int]) -> np.ndarray:
+    """Which lines lie in a flagged element that doesn't hold all lines; above: of each flag, the one around it (0: none)."""
+    held = np.bincount(flags, minlength=len(above))
+    for f in range(len(above) - 1, 0, -1):
+        held[above[f]] += held[f] if above[f] else 0
+    held[0] = len(flags)
+    return held[flags] < len(flags)
+
+
+def regions(content: np.ndarray, containers: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The content lines that belong to regions of size enough."""
+    if not content.any():
+        return content
+    at = np.flatnonzero(content)
+    run = np.cumsum(np.append(0, np.diff(at) > GAP + 1))
+    name = {}  # of a container: its first run
+    joined = list(range(int(run[-1]) + 1))
+
+    def find(k):
+        while joined[k] != k:
+            joined[k] = joined[joined[k]]
+            k = joined[k]
+        return k
+
+    for k, c in zip(run.tolist(), containers[at].tolist()):
+        a, b = sorted((find(name.setdefault(c, k)), find(k)))
+        joined[b] = a
+    run = np.array([find(k) for k in run.tolist()])
+    mass = np.bincount(run, size[at])
+    out = np.zeros(len(content), bool)
+    out[at[mass[run] >= SHARE * mass.max()]] = True
+    return out
+
+
+def selected(lines: list[_Line], above: list[int]) -> np.ndarray:
+    """Which of the lines, none of them out, are main text."""
+    size = np.array([len(x.text) for x in lines], float)
+    containers = np.array([x.container for x in lines])
+    beside = besides([x.flag for x in lines], above)
+    weight = np.where(beside, BESIDE, np.where([x.sealed for x in lines], INSIDE, 1.0))
+    ratio = weight * size / np.maximum([x.tags for x in lines], 1)
+    content = upper_cluster(smoothed(np.log(ratio + LEAST)))
+    keep = regions(~beside if content is None else content, containers, size)
+    homes = np.isin(containers, containers[keep & ~beside])
+    plain = np.array([x.sealed or not x.linked for x in lines])
+    keep |= homes & plain & ~beside
+    for k in range(len(lines) - 2, -1, -1):
+        if lines[k].heading and not beside[k] and keep[k + 1]:
+            keep[k] = True
+    at = np.flatnonzero(keep)
+    for a, b in zip(at[:-1], at[1:]):
+        if b - a <= GAP + 1:
+            keep[a:b] |= ~beside[a:b]
+    return keep
+
+
 def main_text(html: str, step: int = 1 << 16) -> str:
-    """The page's main text: its content lines in page order, joined by one space; empty if there is none."""
+    """The page's main text: its lines in page order, joined by one space; empty if there is none."""
     parser = _Lines()
     for k in range(0, len(html), step):
         parser.feed(html[k : k + step])
-    lines = parser.done()
-    out = np.array([path[-1][2] for _, _, path in lines], bool)
-    if not len(lines) or out.all():
-        return ""
-    size = np.array([len(text) for text, _, _ in lines], float)
-    ratio = np.where(out, 0.0, size / np.maximum([tags for _, tags, _ in lines], 1))
-    smooth = smoothed(np.log1p(ratio))
-    content = upper_cluster(smooth) & ~out
-    if not content.any():
-        content = ~out
-    # the innermost element that holds all content lines
-    paths = [lines[k][2] for k in np.flatnonzero(content)]
-    path, at = paths[0], 0
-    while all(len(p) > at + 1 and p[at + 1][0] == path[at + 1][0] for p in paths if len(path) > at + 1) and len(path) > at + 1:
-        at += 1
-    # a heading or paragraph isn't a region of its own: its outermost article or main, or its parent, is
-    wide = [i for i, e in enumerate(path[: at + 1]) if e[1] in ("article", "main")]
-    if wide:
-        at = wide[0]
-    else:
-        while at > 0 and (path[at][1] in INLINE or path[at][1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr", "pre", "blockquote", "ul", "ol")):
-            at -= 1
-        # headings beside the region, or beside an element around it, belong to it
-        for k in np.flatnonzero(~out):
-            p = lines[k][2]
-            if any(e[1] in HEADINGS for e in p):
-                same = next((i for i, (x, y) in enumerate(zip(p, path[: at + 1])) if x[0] != y[0]), min(len(p), at + 1))
-                at = min(at, same - 1)
-    region = path[at][0]
-    return " ".join(text for (text, _, p), no in zip(lines, out) if not no and len(p) > at and p[at][0] == region)
+    lines = [x for x in parser.done() if not x.out]
+    return " ".join(x.text for x, keep in zip(lines, selected(lines, parser.above)) if keep) if lines else ""
 
 
 def _extract(batches):
@@ -182,8 +248,9 @@ def _extract(batches):
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row; null and empty pages have an empty text.
 
-    Broken markup never fails: elements close where HTML implies it or at the page's end. Null ids and urls stay null,
-    repeated rows are rows of their own, an empty table gives no rows, other columns are ignored.
+    Broken markup never fails: elements close where HTML implies it or at the page's end. A page whose lines all lie in
+    elements set apart has no text. Very long pages are parsed in steps, and lines cost the same at any depth. Null ids and
+    urls stay null, repeated rows are rows of their own, an empty table gives no rows, other columns are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

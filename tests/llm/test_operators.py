@@ -231,15 +231,13 @@ def test_redaction(spark):
 def whole(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(common.tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(common.tokenizer_path(name))
 
 
 @pytest.mark.parametrize("name, drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_codec_equals_whole_encoding(name, drops):
     rng = random.Random(4)
-    parts = [" ", "\n", "  ", "\t", " ", "a", "The", "word,", "É", "é", "́", "ß", "ΑΣ", "漢", "😀", "'s", "don't", "O'S,", "12", "<|endoftext|>", "!!", "#x", "\r\n", "\x1c", " ", "İ", "ﬁ", ".", "$$$"]
+    parts = [" ", "\n", "  ", "\t", " ", "a", "The", "word,", "É", "é", "́", "ß", "ΑΣ", "漢", "😀", "'s", "don't", "O'S,", "12", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "!!", "#x", "\r\n", "\x1c", " ", "İ", "ﬁ", ".", "$$$"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 30))) for _ in range(3000)]
     expect = [e.ids for e in whole(name).encode_batch(texts, add_special_tokens=False)]
     for most in (1_000_000, 50):
@@ -453,6 +451,111 @@ def test_main_text_drops_nothing_but_excluded_elements():
     assert html_text.main_text(f"<body>{deep}") == f"{clean} {last}"
 
 
+def paragraphs(rng, n, words):
+    return [" ".join(f"w{rng.randrange(400)}" for _ in range(words)) for _ in range(n)]
+
+
+def test_ratios_select_the_text_of_neutral_pages():
+    """No article, no telling names: link lists, a short teaser and a foot line have low ratios."""
+    rng = random.Random(8)
+    for _ in range(20):
+        text = paragraphs(rng, rng.randrange(4, 9), rng.randrange(40, 90))
+        text[2] = "Short one."
+        links = "".join(f"<li><a href='/{k}'>go {k}</a></li>" for k in range(8))
+        page = f"<body><div class=x1><ul>{links}</ul></div><div class=x2><a href=/>Teaser words</a></div><div class=x3><h2>The title</h2>{''.join(f'<p>{t}</p>' for t in text)}</div><div class=x4><ul>{links}</ul></div><div class=x5>All rights</div></body>"
+        assert html_text.main_text(page) == " ".join(["The title", *text])
+
+
+def test_names_alone_do_not_decide(monkeypatch):
+    """A telling name around the whole page says nothing, and with other ratios another text comes out."""
+    rng = random.Random(8)
+    text = paragraphs(rng, 5, 60)
+    body = "".join(f"<p>{t}</p>" for t in text)
+    assert html_text.main_text(f"<body><div class='page sidebar-left'><nav>menu</nav><h1>T</h1>{body}</div></body>") == " ".join(["T", *text])
+    page = f"<body><div class=ad>buy this</div><article>{body}</article><div class=ad>and that</div></body>"
+    assert html_text.main_text(page) == " ".join(text)
+    monkeypatch.setattr(html_text, "upper_cluster", lambda values: np.ones(len(values), bool))
+    monkeypatch.setattr(html_text, "SHARE", 0.0)
+    assert html_text.main_text(page) == " ".join(["buy this", *text, "and that"])
+
+
+def test_menus_below_any_depth():
+    assert html_text.main_text("<body><article><p>some text of the page" + "<div>" * 5000 + "<nav>MENU</nav><script>var x=1</script><style>p{}</style><p>deep text") == "some text of the page deep text"
+    big = "<p>" + "x" * 10_000_000 + "</p>"
+    assert len(html_text.main_text(f"<article>{big}</article>")) == 10_000_000
+
+
+def test_main_text_against_a_slow_version():
+    """Pages made of blocks with known tags: the same lines are chosen by loops over the definition."""
+    import math
+
+    rng = random.Random(21)
+    for _ in range(300):
+        blocks, html = [], "<body>"  # (text, tags, container, sealed, beside, heading, linked)
+        first = 1  # the body's tag counts for the first line
+        for c in range(rng.randrange(1, 5)):
+            kind = rng.choice(["div", "div class=x", "div class=ad", "article", "section id=comments"])
+            html += f"<{kind}>"
+            lead = 1
+            for _ in range(rng.randrange(0, 6)):
+                words = " ".join("abcdefgh"[: rng.randrange(1, 8)] for _ in range(rng.choice([1, 2, 30, 90])))
+                tag = rng.choice(["p", "p", "h2", "pa"])
+                if tag == "pa":
+                    html += f"<p><a>{words}</a></p>"
+                    tags = first + lead + 3
+                else:
+                    html += f"<{tag}>{words}</{tag}>"
+                    tags = first + lead + 1
+                tags += 1
+                blocks.append((words, tags, c, kind == "article", kind in ("div class=ad", "section id=comments"), tag == "h2", tag == "pa"))
+                first = lead = 0
+            html += f"</{kind.split()[0]}>"
+            first += lead + 1
+        if not blocks:
+            continue
+        n = len(blocks)
+        beside = [b[4] and any(x[2] != b[2] for x in blocks) for b in blocks]
+        score = [math.log((0.01 if y else 20 if b[3] else 1) * len(b[0]) / b[1] + 0.1) for b, y in zip(blocks, beside)]
+        smooth = []
+        for i in range(n):
+            near = [(math.exp(-0.5 * d * d), score[i + d]) for d in range(-3, 4) if 0 <= i + d < n]
+            smooth.append(sum(w * s for w, s in near) / sum(w for w, _ in near))
+        cut = (min(smooth) + max(smooth)) / 2
+        if max(smooth) - min(smooth) < 1:
+            seeds = [i for i in range(n) if not beside[i]]
+        else:
+            for _ in range(50):
+                up, low = [v for v in smooth if v > cut], [v for v in smooth if v <= cut]
+                cut = (sum(up) / len(up) + sum(low) / len(low)) / 2
+            if any(abs(v - cut) < 1e-9 for v in smooth):
+                continue
+            seeds = [i for i in range(n) if smooth[i] > cut]
+        groups = [{i} for i in seeds]
+        merged = True
+        while merged:
+            merged = False
+            for x in range(len(groups)):
+                for y in range(x + 1, len(groups)):
+                    if any(abs(i - j) <= 4 or blocks[i][2] == blocks[j][2] for i in groups[x] for j in groups[y]):
+                        groups[x] |= groups.pop(y)
+                        merged = True
+                        break
+                if merged:
+                    break
+        mass = [sum(len(blocks[i][0]) for i in g) for g in groups]
+        keep = {i for g, m in zip(groups, mass) if m >= 0.1 * max(mass, default=0) for i in g}
+        homes = {blocks[i][2] for i in keep if not beside[i]}
+        keep |= {i for i, b in enumerate(blocks) if b[2] in homes and (b[3] or not b[6]) and not beside[i]}
+        for i in range(n - 2, -1, -1):
+            if blocks[i][5] and not beside[i] and i + 1 in keep:
+                keep.add(i)
+        kept = sorted(keep)
+        for i, j in zip(kept, kept[1:]):
+            if j - i <= 4:
+                keep |= {k for k in range(i, j) if not beside[k]}
+        assert html_text.main_text(html + "</body>") == " ".join(blocks[i][0] for i in sorted(keep)), html
+
+
 def test_pages_in_spark(spark):
     df = spark.createDataFrame([(1, "u", PAGE % ("<article>", "</article>"), "x"), (2, None, None, "x"), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in html_text.extract_main_text(df).collect()}
