@@ -3,7 +3,8 @@
 Neither tokenizer here ever makes a token across a boundary between a character that isn't white space and a following
 space or line feed, or between a word of letters and a following mark such as a comma. So a text's ids are those of its
 pieces between such boundaries, each of which the library encodes once per worker; the tests compare this with encoding
-whole texts.
+whole texts. The string of a special token in a text has that token's id, as the library's default is; no such string holds
+a boundary.
 """
 
 from __future__ import annotations
@@ -58,7 +59,6 @@ class Codec:
         from .common import tokenizer_path
 
         self.tokenizer = Tokenizer.from_file(name if "/" in name else tokenizer_path(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space, self.offsets, self.most = drops_space, offsets, most
         self.bytes = byte_characters()
         self._clear()
