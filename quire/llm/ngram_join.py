@@ -10,12 +10,15 @@ form a class; one document of each class takes part in the join:
    its leader if the length and positional filters allow. That is linear in the rows of a shingle, and the pairs that
    hold join up nearly all members of a group of near copies.
 4. What is left is exhaustive: of shingles whose rows now lie in several components, all pairs across components that
-   pass the length, positional and suffix filters are verified, so no link that joins two components is lost.
+   pass the length, positional and suffix filters are verified, so no link that joins two components is lost. The rows of
+   a frequent shingle are dealt into blocks, each two of which meet in a task of their own.
 5. All links lie within components, so they are counted there: a component's classes are dealt into blocks, each two
    blocks meet in a task of their own, and the overlaps of all their pairs come from one product of incidence matrices.
    Only sums for each class leave the task, so a group of k near copies makes no k*k rows.
 
 Verification intersects the whole sets, once per pair. A very frequent shingle is salted in step 3, from the same table.
+A class is told by 128 bits of hashes of its set. Tables that are joined by a key which a third of all rows may share are
+written before, so that both sides of the join are plain exchanges and the adaptive planner can split the key's rows.
 """
 
 from __future__ import annotations
@@ -27,10 +30,13 @@ from .common import Words, list_column, materialise, mix, partitions, text_chunk
 from .components import connected_components
 
 BUCKET_BITS = 18  # the frequency table: 2**18 counts, 1 MB whatever the input
-SALT_ROWS = 200_000  # a shingle bucket with more documents than this is dealt over several tasks
+SALT_ROWS = 200_000  # a shingle bucket with more documents than this, beyond the mean of all, is dealt over several tasks
+CROSS_ROWS = 4096  # rows of a shingle that are dealt together when pairs across components are sought
+SEEN = 1_000_000  # classes that a task remembers, so as not to give one out twice
+BITMAP_BITS = (16, 28)  # of the table of asked documents: 8 kB to 32 MB, by their number
 BLOCK = 128  # classes of a component that are dealt together when links are counted
 RANGES = 256  # suffix filter: parts of the hash space whose counts bound the overlap
-SEED = np.uint64(0x5EED5EED)
+SEED, SEED2 = np.uint64(0x5EED5EED), np.uint64(0xC1A55E5)
 
 
 def needed(n1, n2, percent: int):
@@ -62,9 +68,15 @@ def shingle_sets(column, words: int = 5):
                 yield np.empty(0, np.uint64)
 
 
-def class_key(s: np.ndarray) -> int:
-    """A signed 64-bit key of a set: equal sets share it; two of a billion different sets share one with a chance of 3 %."""
-    return int(mix(np.array([mix(s ^ SEED).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
+def class_keys(s: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit keys of a set. Equal sets share both; the first stands for the class unless `clashes` tells otherwise."""
+    keys = mix(np.array([mix(s ^ SEED).sum(dtype=np.uint64) + np.uint64(len(s)), mix(s + SEED2).sum(dtype=np.uint64) ^ np.uint64(len(s))]))
+    return tuple(int(k) for k in keys.astype(np.int64))
+
+
+def class_key(s: np.ndarray, clashes: frozenset[int]) -> int:
+    one, two = class_keys(s)
+    return two if one in clashes else one
 
 
 def _sketch(s: np.ndarray) -> bytes | None:
@@ -74,46 +86,51 @@ def _sketch(s: np.ndarray) -> bytes | None:
 
 
 def _scan(words: int):
-    """Documents to rows (kind 0: id, class key, set size, sketch, hash of the text) and (kind 1: bucket, its documents in this task)."""
+    """Documents to rows (kind 0: id, both class keys, set size, sketch, hash of the text) and (kind 1: bucket, its documents in this task)."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["kind", "id", "c", "n", "sketch", "h"]
+        names = ["kind", "id", "c", "c2", "n", "sketch", "h"]
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             keys, sizes, sketches = [], [], []
             for s in shingle_sets(batch.column(1), words):
-                keys.append(class_key(s) if len(s) else 0)
+                keys.append(class_keys(s) if len(s) else (0, 0))
                 sizes.append(len(s))
                 sketches.append(_sketch(s) if len(s) else None)
                 np.add.at(counts, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), batch.column(0).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), batch.column(2)], names=names)
+            one, two = np.array(keys, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), batch.column(0).cast(pa.int64()), pa.array(one), pa.array(two), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), batch.column(2)], names=names)
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.array(some), pa.array(some), pa.array(counts[some]), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.array(some), pa.array(some), pa.array(some), pa.array(counts[some]), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.int64())], names=names)
 
     return run
 
 
-def _prefixes(words: int, percent: int, table):
+def _prefixes(words: int, percent: int, table, clashes: frozenset[int]):
     """Documents to rows (shingle, salt, class, size, place in the set's order) of their prefixes, once per class and task. Salt 0: not dealt."""
 
     def run(batches):
         import pyarrow as pa
 
         counts = table.value
+        beyond = np.maximum(counts - int(counts.mean()), 0)
         seen: set[int] = set()
         for batch in batches:
             out, size = [], 0
             for s in shingle_sets(batch.column(0), words):
                 n = len(s)
-                if not n or (c := class_key(s)) in seen:
+                if not n or (c := class_key(s, clashes)) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()  # a class that comes again is the same rows again
                 seen.add(c)
-                often = counts[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                bucket = (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
                 p = prefix_length(n, percent)
-                first = np.lexsort((s, often))[:p]
-                salt = np.where(often[first] > SALT_ROWS, np.uint64(1) + np.uint64(c & 0xFFFFFFFF) % (often[first] // SALT_ROWS + 1).astype(np.uint64), np.uint64(0))
+                first = np.lexsort((s, counts[bucket]))[:p]
+                hot = beyond[bucket[first]]
+                salt = np.where(hot > SALT_ROWS, np.uint64(1) + np.uint64(c & 0xFFFFFFFF) % (hot // SALT_ROWS + 1).astype(np.uint64), np.uint64(0))
                 out.append((s[first].view(np.int64), salt.astype(np.int32), np.full(p, c, np.int64), np.full(p, n, np.int32), np.arange(p, dtype=np.int32)))
                 size += p
                 if size > 200_000:
@@ -173,27 +190,31 @@ def _lead(percent: int):
 
 
 def _bitmap(spark: SparkSession, asked: DataFrame):
-    """A bitmap of fixed size (1 MB) that holds the asked classes' own documents (c, least), and by chance some others."""
-    at = F.pmod(F.col("c").bitwiseXOR(F.coalesce("least", F.lit(-1))), F.lit(1 << 23)) + 1  # bitmap functions count from 1
+    """A bitmap that holds the asked classes' own documents (c, least), and by chance some others; BITMAP_BITS bound its size."""
+    least, most = BITMAP_BITS
+    size = 1 << min(max((16 * asked.count()).bit_length(), least), most)
+    at = F.pmod(F.col("c").bitwiseXOR(F.coalesce("least", F.lit(-1))), F.lit(size)) + 1  # bitmap functions count from 1
     rows = asked.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = bytearray(1 << 20)
+    out = bytearray(size // 8)
     for bucket, bits in rows:  # 32,768 bits each
         out[(bucket - 1) * 4096 : bucket * 4096] = bits
     return spark.sparkContext.broadcast(bytes(out))
 
 
-def _sets(words: int, wanted):
-    """Documents to (class, sorted set) of those that the bitmap may hold, once per class and task."""
+def _sets(words: int, wanted, clashes: frozenset[int]):
+    """Documents to (class, sorted set) of those that the bitmap may hold, mostly once per class and task."""
 
     def run(batches):
         import pyarrow as pa
 
-        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little")
+        bits = wanted.value
         seen: set[int] = set()
         for batch in batches:
             keys, sets = [], []
             for i, s in zip(batch.column(0).fill_null(-1).to_pylist(), shingle_sets(batch.column(1), words)):
-                if len(s) and (c := class_key(s)) not in seen and bits[(c ^ i) % len(bits)]:
+                if len(s) and (c := class_key(s, clashes)) not in seen and bits[(at := (c ^ i) % (8 * len(bits))) >> 3] >> (at & 7) & 1:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(c)
                     keys.append(c)
                     sets.append(s.view(np.int64))
@@ -244,57 +265,73 @@ def _verify(percent: int):
 
 
 def _across(percent: int):
-    """Rows of mixed shingles, sorted by shingle, to pairs of different components that pass the filters."""
+    """Rows of mixed shingles (t, x, y, right, root, class, size, place), sorted by the first three, to pairs of different components that pass the filters.
+
+    Of a cell with x = y, all pairs; of another, those of a right row and one that isn't.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         def passing(g, i, j):
-            c, n, pos = g[2], g[3].astype(np.int64), g[4].astype(np.int64)
+            cell, right, root, c, n, pos = g
             n1, n2 = n[i], n[j]
-            ok = (g[1][i] != g[1][j]) & (c[i] != c[j]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
-            return ok & (np.minimum(n1 - pos[i], n2 - pos[j]) >= needed(n1, n2, percent))
+            ok = (root[i] != root[j]) & (c[i] != c[j]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
+            return ok & ((right[i] != right[j]) | ~cell[i]) & (np.minimum(n1 - pos[i], n2 - pos[j]) >= needed(n1, n2, percent))
 
         def given(c, i, j):
             x, y = np.unique(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-        def pairs(g):
+        def pairs(key, g):
             """Of whole runs of rows. Short runs all at once, by the distance between two rows; long ones by blocks."""
-            heads = np.flatnonzero(np.append(True, g[0][1:] != g[0][:-1]))
-            sizes = np.diff(np.append(heads, len(g[0])))
+            heads = np.flatnonzero(np.append(True, np.any(key[:, 1:] != key[:, :-1], axis=0)))
+            sizes = np.diff(np.append(heads, key.shape[1]))
+            run = np.repeat(np.arange(len(heads)), sizes)
             short = np.repeat(sizes <= 64, sizes)
             for d in range(1, 64):
-                i = np.flatnonzero((g[0][d:] == g[0][:-d]) & short[d:])
+                i = np.flatnonzero((run[d:] == run[:-d]) & short[d:])
                 if not len(i):
                     break
                 i = i[passing(g, i, i + d)]
                 if len(i):
-                    yield given(g[2], i, i + d)
+                    yield given(g[3], i, i + d)
             for h, m in zip(heads[sizes > 64], sizes[sizes > 64]):
                 step = max(1, 2_000_000 // int(m))
                 for k in range(h, h + m, step):
                     i, j = np.arange(k, min(k + step, h + m))[:, None], np.arange(h, h + m)[None, :]
                     x, y = np.nonzero(passing(g, i, j) & (i < j))
                     if len(x):
-                        yield given(g[2], i[x, 0], j[0, y])
+                        yield given(g[3], i[x, 0], j[0, y])
 
         held = None
         for batch in batches:
-            now = [batch.column(i).to_numpy() for i in range(5)]
+            now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for i in range(8)]
             if not len(now[0]):
                 continue
             now = [np.concatenate(x) for x in zip(held, now)] if held else now
-            last = int(np.searchsorted(now[0], now[0][-1]))
+            key = np.stack(now[:3])
+            last = int(np.flatnonzero(np.append(True, np.any(key[:, 1:] != key[:, :-1], axis=0)))[-1])
             if last:
-                yield from pairs([x[:last] for x in now])
+                yield from pairs(key[:, :last], [(now[1] != now[2])[:last], *[x[:last] for x in now[3:]]])
             held = [x[last:] for x in now]
         if held:
-            yield from pairs(held)
+            yield from pairs(np.stack(held[:3]), [held[1] != held[2], *held[3:]])
 
     return run
 
 
+def _cells(rows: DataFrame, block: int, of: str) -> DataFrame:
+    """Rows with `m` rows of their key dealt into blocks by class: one row for each other block that they meet, (x, y, right, of...)."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("x"), F.greatest("b", o).alias("y")))
+    rows = rows.withColumn("cell", F.explode(cells))
+    right = (F.col("cell.x") != F.col("cell.y")) & (F.col("b") == F.col("cell.y"))
+    first, *rest = of.split()
+    return rows.select(first, "cell.x", "cell.y", right.alias("right"), *rest)
+
+
 def overlaps(values: np.ndarray, sizes: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many hashes two sets share, for the sets that aren't `right` (rows) by those that are (columns); by all sets if none is."""
     m = len(sizes)
@@ -367,23 +404,19 @@ def _degrees(percent: int):
 
 
 def _linked(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(class, documents of other classes within the threshold), of all pairs within components; classes(c, root, w), w: its documents."""
-    blocks = classes.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    own = classes.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("x"), F.greatest("b", o).alias("y")))
-    rows = sets.join(own, "c").select("root", F.explode(cells).alias("cell"), "b", "c", "w", "s")
-    rows = rows.select("root", "cell.x", "cell.y", ((F.col("cell.x") != F.col("cell.y")) & (F.col("b") == F.col("cell.y"))).alias("right"), "c", "w", "s")
+    """(class, documents of other classes within the threshold), of all pairs within components; classes(c, root, m, w), w: its documents, m: classes of its root."""
+    rows = _cells(sets.join(classes.where("m > 1"), "c"), BLOCK, "root c w s")
     rows = rows.repartition(partitions(classes), "root", "x", "y").sortWithinPartitions("root", "x", "y", "c")
     return rows.mapInArrow(_degrees(percent), "c long, k long").groupBy("c").agg(F.sum("k").alias("k"))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int, clashes: frozenset[int]) -> tuple[DataFrame, DataFrame]:
     """The pairs of classes within the threshold: suffix filter on the classes' sketches, then the whole sets. And the sets (c, s) that were asked for."""
     side = lambda x, i: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"))
     near = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "n1", "n2", "s1", "s2")
     near = materialise(near.mapInArrow(_within(percent), "a long, b long"), "pairs")
     asked = near.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "least"), "c")
-    sets = materialise(docs.select("id", "text").mapInArrow(_sets(words, _bitmap(docs.sparkSession, asked)), "c long, s array<long>"), "sets")
+    sets = materialise(docs.select("id", "text").mapInArrow(_sets(words, _bitmap(docs.sparkSession, asked), clashes), "c long, s array<long>"), "sets")
     rows = near.join(sets.select(F.col("c").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("s2")), "b")
     return materialise(rows.select("a", "b", "s1", "s2").mapInArrow(_verify(percent), "a long, b long").distinct(), "links"), sets
 
@@ -402,39 +435,57 @@ def _joined(found: DataFrame, late: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of docs(id, text): rows (id, class, set size, hash of the text), classes (class, root, component_id, documents), and the sets of all classes that have links."""
     spark = docs.sparkSession
-    scan = materialise(docs.select("id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).mapInArrow(_scan(words), "kind int, id long, c long, n long, sketch binary, h long"), "scan")
-    rows = scan.where("kind = 0").select("id", "c", "n", "h")
-    classes = scan.where("kind = 0 and n > 0").groupBy("c").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("w"))
-    classes = materialise(classes, "classes")
+    scan = materialise(docs.select("id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).mapInArrow(_scan(words), "kind int, id long, c long, c2 long, n long, sketch binary, h long"), "scan")
+    rows, classes, clashes = _classes(scan.where("kind = 0"))
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for bucket, n in scan.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).collect():  # 2**18 rows at most
         counts[bucket] = n
     table = spark.sparkContext.broadcast(counts)
 
-    prefixes = docs.select("text").mapInArrow(_prefixes(words, percent, table), "t long, salt int, c long, n int, pos int")
+    prefixes = docs.select("text").mapInArrow(_prefixes(words, percent, table, clashes), "t long, salt int, c long, n int, pos int")
     dealt = prefixes.repartition(partitions(docs), "t", "salt").sortWithinPartitions("t", "salt", "pos", "n", "c")
     led = materialise(dealt.mapInArrow(_lead(percent), "kind int, a long, b long, n int, pos int"), "led")
     pairs = materialise(led.where("kind = 0").select("a", "b").distinct(), "pairs")
-    links, sets = _verified(docs, classes, pairs, words, percent)
+    links, sets = _verified(docs, classes, pairs, words, percent, clashes)
     found = connected_components(links)
 
     # what is left: shingles whose rows lie in several components
     held = led.where("kind = 1").select(F.col("a").alias("t"), F.col("b").alias("c"), "n", "pos")
     held = held.join(found, held.c == found.node, "left").select("t", F.coalesce("root", "c").alias("root"), "c", "n", "pos")
     held = materialise(held, "held")
-    mixed = held.groupBy("t").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("t")
-    rest = held.join(mixed, "t", "left_semi").distinct().repartition(partitions(docs), "t").sortWithinPartitions("t")
-    more = rest.select("t", "root", "c", "n", "pos").mapInArrow(_across(percent), "a long, b long").distinct()
+    mixed = held.groupBy("t").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y").select("t", "m")
+    rest = _cells(held.join(materialise(mixed, "mixed"), "t").distinct(), CROSS_ROWS, "t root c n pos")
+    rest = rest.repartition(partitions(docs), "t", "x", "y").sortWithinPartitions("t", "x", "y")
+    more = rest.mapInArrow(_across(percent), "a long, b long").distinct()
     more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     groups = found
     if more.take(1):
-        late, others = _verified(docs, classes, more, words, percent)
+        late, others = _verified(docs, classes, more, words, percent, clashes)
         sets = sets.union(others)
-        groups = _joined(found, late)
+        groups = materialise(_joined(found, late), "groups")
 
     classes = classes.select("c", "least", "w").join(groups, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root"), "least", "w")
-    roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, materialise(classes.join(roots, "root").select("c", "root", "component_id", "w"), "grouped"), sets
+    classes = materialise(classes, "rooted")
+    roots = materialise(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "roots")
+    return rows, materialise(classes.join(roots, "root").select("c", "root", "component_id", "m", "w"), "grouped"), sets
+
+
+def _classes(scan: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """Rows (id, c, n, h), classes (c, least, n, sketch, w), and the first keys that different sets share.
+
+    Of n sets, n * n / 2**65 pairs share a first key by chance (about 3 of 10**10 sets); those classes go by their second key.
+    """
+
+    def grouped(rows):
+        of = rows.where("n > 0").groupBy("c").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("w"), F.min("c2").alias("low"), F.max("c2").alias("high"))
+        return materialise(of, "classes")
+
+    classes = grouped(scan)
+    clashes = frozenset(r["c"] for r in classes.where("low <> high").select("c").collect())
+    if clashes:
+        scan = scan.withColumn("c", F.when(F.col("c").isin(*clashes), F.col("c2")).otherwise(F.col("c")))
+        classes = grouped(scan)
+    return scan.select("id", "c", "n", "h"), classes.drop("low", "high"), clashes
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -449,6 +500,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows, classes, sets = _grouped(docs, words, percent)
     classes = classes.join(_linked(classes, sets, percent), "c", "left").select("c", "component_id", (F.coalesce("k", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    classes = materialise(classes, "linked")
     out = rows.where("n > 0").join(classes, "c").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links")
     return out.union(rows.where("n = 0").select("id", "n", "id", F.lit(0).cast("long")))
 
