@@ -36,16 +36,33 @@ def partitions(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def by_ranges(df: DataFrame, column: Column, parts: int, name: str = "range") -> DataFrame:
+def count_below(bounds: list[int], x: Column) -> Column:
+    """How many of the sorted whole numbers lie below x, by binary search over one array literal."""
+    n = len(bounds)
+    if not n:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to a literal by the optimizer
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.try_element_at(table, at + step) < x), at + step).otherwise(at))
+
+
+def by_ranges(df: DataFrame, column: Column, parts: int, name: str = "range", tie: Column | None = None) -> DataFrame:
     """df with the number of each row's range of a whole-number column, from 0; the ranges are cut at its quantiles. Nulls lie in the first.
 
-    One aggregate over the column alone finds the cuts, so wide rows aren't read twice.
+    One aggregate over the column alone finds the cuts, so wide rows aren't read twice. A value that fills whole ranges by
+    itself (null, say) is dealt over them by the hash of `tie`, if given, in the order of the ranges.
     """
     at = F.coalesce(column, F.lit(-(1 << 63)))
     shares = [i / parts for i in range(1, parts)]
     cuts = df.agg(F.percentile_approx(at, shares, max(10_000, 20 * parts)).alias("c")).first()["c"] if shares else None
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    return df.withColumn("__at", at).withColumn(name, F.size(F.filter(bounds, lambda c: c < F.col("__at")))).drop("__at")
+    cuts = sorted(map(int, cuts or ()))
+    df = df.withColumn("__at", at)
+    place = count_below(cuts, F.col("__at"))
+    often = {c: cuts.count(c) for c in set(cuts)} if len(set(cuts)) < len(cuts) else {}
+    if tie is not None and (often := {c: k for c, k in often.items() if k > 1}):  # parts of them at most
+        wide = F.map_from_arrays(F.array(*[F.lit(c).cast("long") for c in often]), F.array(*[F.lit(k) for k in often.values()]))
+        place = place + F.coalesce(F.pmod(F.xxhash64(tie), F.try_element_at(wide, F.col("__at"))).cast("int"), F.lit(0))
+    return df.withColumn(name, place).drop("__at")
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -76,13 +76,15 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFr
     lowest range gets the first row of all. One row for each range is known to the driver, and texts are dealt once.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    place = by_ranges(rows, F.col("id"), parts).withColumn("at", F.coalesce("id", F.lit(-(1 << 63))))
+    place = by_ranges(rows, F.col("id"), parts, tie=F.col("text")).withColumn("at", F.coalesce("id", F.lit(-(1 << 63))))
     place = place.withColumn("range", parts - 1 - F.col("range"))  # descending
     heads = sorted((r["range"], r["head"]) for r in place.groupBy("range").agg(F.max("at").alias("head")).collect())
     if not heads:
         return place.select("range", F.lit(0).alias("lent"), "id", "text")
-    lent = docs.sparkSession.createDataFrame([(heads[(k + 1) % len(heads)][1], r) for k, (r, _) in enumerate(heads)], "head long, to int")
-    lent = place.join(F.broadcast(lent), F.col("at") == F.col("head")).select(F.col("to").alias("range"), F.lit(1).alias("lent"), "id", "text", "at")
+    after = [(*heads[(k + 1) % len(heads)], r) for k, (r, _) in enumerate(heads)]
+    after = docs.sparkSession.createDataFrame(after, "range int, at long, to int")
+    first = place.join(F.broadcast(after), ["range", "at"]).groupBy("to").agg(F.min_by(F.struct("id", "text", "at"), F.coalesce("text", F.lit(""))).alias("r"))
+    lent = first.select(F.col("to").alias("range"), F.lit(1).alias("lent"), "r.id", "r.text", "r.at")
     both = place.select("range", F.lit(0).alias("lent"), "id", "text", "at").union(lent)
     return both.repartitionById(parts, F.col("range")).sortWithinPartitions("range", "lent", F.desc("at"), "text").select("range", "lent", "id", "text")
 

@@ -41,14 +41,15 @@ def _encode(tokenizer: str, end_id: int, table: int):
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", table: int = PIECES) -> None:
-    """Encode every whole text, append end_id, and write the files in ascending order of the ids (nulls first, ties by text).
+    """Encode every whole text, append end_id, and write the files in ascending order of the ids, nulls first.
 
-    Null and empty texts give end_id alone. Other columns are ignored. An empty table leaves a folder with the schema.
+    Rows of one id lie side by side, by text; where they fill whole parts, by a hash of the text before. Null and empty texts
+    give end_id alone, long ones are encoded whole. Other columns are ignored. An empty table leaves a folder with the schema.
     table: pieces of words that a worker keeps.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = partitions(docs)
-    dealt = by_ranges(rows, F.col("doc_id"), parts).repartitionById(parts, F.col("range")).drop("range")
+    dealt = by_ranges(rows, F.col("doc_id"), parts, tie=F.col("text")).repartitionById(parts, F.col("range")).drop("range")
     ordered = dealt.sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_encode(tokenizer, end_id, table), SCHEMA).write.options(**LAYOUT).parquet(path)
 
