@@ -1,15 +1,13 @@
 """Sharding along a Hilbert curve over several metadata dimensions, with DataFrame functions only.
 
-Each dimension is cut into 2**bits cells at its own quantiles (strings by the bytes that follow their common prefix), the
-cells give a Hilbert index, rows are sorted by it, and equal runs of that order are the shards. Rows that are near in all
+Each dimension is cut into 2**bits cells at its own quantiles (strings in the order of whole values), the cells give a
+Hilbert index, rows are sorted by it, and equal runs of that order are the shards. Rows that are near in all
 dimensions share a shard, so the minima and maxima of each shard's files prune scans by any of the dimensions.
 """
 
 from __future__ import annotations
 
-import os.path
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import hilbert_column, materialise, partitions
 
@@ -17,39 +15,38 @@ BITS = 5
 ROW_BITS = 33  # monotonically_increasing_id() holds the row's place in its partition in its low bits
 
 
-def _number(df: DataFrame, dims: list[str]) -> dict[str, Column]:
-    """Each dimension as a number in the order of its values. One pass finds the common prefixes of the string ones."""
-    texts = [d for d in dims if isinstance(df.schema[d].dataType, T.StringType)]
-    ends = df.agg(*[f(F.substring(F.encode(F.col(d), "UTF-8"), 1, 64)).alias(f"{f.__name__}{i}") for i, d in enumerate(texts) for f in (F.min, F.max)]).first() if texts else ()
-    out = {}
-    for d in dims:
-        if d in texts:
-            a, b = (bytes(x or b"") for x in ends[2 * texts.index(d) : 2 * texts.index(d) + 2])
-            skip = len(os.path.commonprefix([a, b]))
-            out[d] = F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(d), "UTF-8"), skip + 1, 6)), 12, "0"), 16, 10).cast("double")
-        else:
-            out[d] = F.col(d).cast("double")
-    return out
-
+def _text_bounds(df: DataFrame, dim: str, cells: int) -> list[str]:
+    """The least values of the second to the last of `cells` equal runs of the rows in the order of a string column.
 
-def _below(x: Column):
-    return lambda bound: bound < x
+    Values are compared whole. Distinct values are counted and range-sorted, and the sums of their counts give the runs,
+    so neither a value of a third of all rows nor any number of values meets in one task; `cells` values are collected.
+    """
+    counts = df.where(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("v")).agg(F.count("*").alias("n"))
+    order = materialise(counts.repartitionByRange(partitions(df), "v").sortWithinPartitions("v").withColumn("at", F.monotonically_increasing_id()), "values")
+    order = order.withColumn("part", F.shiftright("at", ROW_BITS))
+    sums = order.groupBy("part").agg(F.sum("n").alias("part_n")).selectExpr("part", "sum(part_n) over (order by part) - part_n as before", "sum(part_n) over () as total")
+    order = order.join(F.broadcast(sums), "part")  # as many rows as partitions
+    order = order.selectExpr("v", "before + sum(n) over (partition by part order by at) - n as before", "total")
+    runs = order.selectExpr("v", f"before * {cells} div total as cell").groupBy("cell").agg(F.min("v").alias("v"))
+    return sorted((r["v"] for r in runs.where("cell > 0").collect()), key=lambda v: v.encode())
 
 
 def hilbert_key(df: DataFrame, dims: list[str], bits: int = BITS, name: str = "hilbert") -> DataFrame:
     """df with the Hilbert index of its dims, as a long column `name`. Nulls lie in a dimension's first cell.
 
-    The quantiles come from one aggregate over all rows, with 2**bits - 1 numbers for each dimension.
+    The bounds are quantiles of all rows, 2**bits - 1 for each dimension: of numbers by one aggregate, of strings by the
+    order of their whole values.
     """
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    numbers = _number(df, dims)
-    bounds = df.agg(*[F.percentile_approx(numbers[d], cuts, 10_000).alias(f"q{i}") for i, d in enumerate(dims)]).first()
+    texts = [d for d in dims if isinstance(df.schema[d].dataType, T.StringType)]
+    numbers = [d for d in dims if d not in texts]
+    found = df.agg(*[F.percentile_approx(F.col(d).cast("double"), cuts, 10_000).alias(f"q{i}") for i, d in enumerate(numbers)]).first() if numbers else ()
+    bounds = {d: [F.lit(float(v)) for v in found[i] or ()] for i, d in enumerate(numbers)} | {d: [F.lit(v) for v in _text_bounds(df, d, 1 << bits)] for d in texts}
     cells = []
-    for i, d in enumerate(dims):
-        if values := bounds[i]:
-            cells.append(F.coalesce(F.size(F.filter(F.array(*[F.lit(float(v)) for v in values]), _below(numbers[d]))), F.lit(0)))
-        else:
-            cells.append(F.lit(0))
+    for d in dims:
+        value = F.col(d) if d in texts else F.col(d).cast("double")
+        reached = (lambda x: lambda bound: bound <= x)(value) if d in texts else (lambda x: lambda bound: bound < x)(value)
+        cells.append(F.coalesce(F.when(value.isNotNull(), F.size(F.filter(F.array(*bounds[d]), reached))), F.lit(0)) if bounds[d] else F.lit(0))
     return df.withColumn(name, hilbert_column(cells, bits))
 
 
@@ -88,6 +85,7 @@ def shard_rows(df: DataFrame, shards: int = 16, dims: tuple[str, ...] = ("lang",
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     own = [F.col(d) for d in dims if d not in ("size", id_col)]
     slim = df.select(F.col(id_col).alias("doc_id"), *own, (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    slim = materialise(slim, "shards")  # texts are read and summed up once
     keyed = hilbert_key(slim, list(dims), bits).select("doc_id", "size", "text_crc32", "hilbert")
     return cut_runs(ranked(keyed, ["hilbert", "text_crc32", "doc_id"]), shards).drop("rank", "rank_of")
 
@@ -95,7 +93,8 @@ def shard_rows(df: DataFrame, shards: int = 16, dims: tuple[str, ...] = ("lang",
 def write_shards(df: DataFrame, path: str, shards: int = 16, dims: tuple[str, ...] = ("lang", "source", "size"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write df's rows as Parquet under path/shard=K in the curve's order, and return each shard's counts and bounds of dims.
 
-    Ids must be unique and not null here, since the shards are joined to the rows by id.
+    Ids must be unique and not null here, since the shards are joined to the rows by id. Null texts stay null, long ones are
+    whole; columns named shard or slot in df are not allowed. An empty table writes an empty folder and returns no rows.
     """
     at = shard_rows(df, shards, dims, id_col, text_col).select(F.col("doc_id").alias("__id"), "shard", "slot", F.col("size").alias("__size"))
     rows = df.join(at, df[id_col] == at["__id"]).drop("__id")

@@ -135,12 +135,37 @@ def test_keep_one_with_repeated_ids(spark):
     assert [r for r in kept if r not in again] == sorted([(1, one), (5, three), (5, four), (8, ""), (8, "  "), (None, one)], key=str)
 
 
-def test_components_on_paths_and_hubs(spark):
+def test_near_copies_in_blocks_of_a_shingle(spark, docs, rows, monkeypatch):
+    """Pairs across components, with the rows of each shingle in cells of a few."""
+    monkeypatch.setattr(ngram_join, "CROSS_ROWS", 2)
+    monkeypatch.setattr(ngram_join, "SEEN", 3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_copies(docs).collect()} == classes(text_of(rows))
+    rng = random.Random(3)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(140)]
+    chain = [(k, " ".join(w[3 * k : 3 * k + 60])) for k in range(25)]
+    df = spark.createDataFrame(chain, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.near_copies(df).collect()} == {k: v for k, (_, v) in classes(dict(chain)).items()}
+
+
+def test_near_copies_with_clashing_keys(docs, rows, monkeypatch):
+    """Different sets whose first keys are equal are told apart by the second."""
+    whole = ngram_join.class_keys
+    monkeypatch.setattr(ngram_join, "class_keys", lambda s: (whole(s)[0] % 20, whole(s)[1]))
+    monkeypatch.setattr(ngram_join, "class_key", lambda s, clashes: whole(s)[1] if whole(s)[0] % 20 in clashes else whole(s)[0] % 20)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.near_copies(docs).collect()}
+    text = text_of(rows)
+    assert got == {k: (*v, n) for (k, v), n in zip(classes(text).items(), links(text.values()))}
+
+
+def test_components_on_paths_and_hubs(spark, monkeypatch):
     rng, edges = random.Random(1), []
     edges += [(k, k + 1) for k in range(0, 60)] + [(1000, k) for k in range(1001, 1200)] + [(7, 7), (None, 3), (61, None)]
     rng.shuffle(edges)
-    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {k: 0 for k in range(61)} | {k: 1000 for k in range(1000, 1200)}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for small in (components.SMALL, 0):
+        monkeypatch.setattr(components, "SMALL", small)
+        got = {r.node: r.root for r in components.connected_components(df).collect()}
+        assert got == {k: 0 for k in range(61)} | {k: 1000 for k in range(1000, 1200)}
 
 
 # ---------------------------------------------------------------- 1
@@ -175,6 +200,47 @@ def test_shards(docs, rows):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_shards_tell_whole_strings_apart(spark):
+    """Long values that differ at their ends only lie in cells of their own, in their order; a hot value fills one."""
+    head = "https://example.org/" + "p" * 300
+    values = [f"{head}/{k:03d}" for k in range(64)]
+    rows = [(k, "x", values[k % 64], "e") for k in range(640)] + [(1000 + k, "x", "zhot", "e") for k in range(300)] + [(2000, "x", None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    bounds = sharding._text_bounds(df, "source", 32)
+    assert bounds == sorted(bounds) and 20 <= len(bounds) <= 31 and set(bounds) <= {*values, "zhot"}
+    key = {r.source: r.hilbert for r in sharding.hilbert_key(df, ["source"], 5).collect()}
+    own = [key[v] for v in values]
+    assert own == sorted(own) and len(set(own)) >= 15 and key[None] == 0 and key["zhot"] > own[-1]
+
+
+def test_hilbert_of_the_finished_shards(docs, rows):
+    """The curve's index of each row, from cells found by plain counting."""
+    text = text_of(rows)
+    got = sharding.shard_rows(docs, dims=("source", "size")).collect()
+    size = sorted(len(t.encode()) + 1 for t in text.values())
+    source = sorted(f"s{k % 3}" for k in text)
+    n = len(size)
+    bounds = {x: [v[max(0, -(-i * n // 32) - 1)] for i in range(1, 32)] for x, v in (("size", size),)}
+    starts = sorted({min(v for v in set(source) if source.index(v) * 32 // n == c) for c in {source.index(v) * 32 // n for v in set(source)} if c > 0})
+    cells = [[sum(b <= f"s{r.doc_id % 3}" for b in starts), sum(b < r.size for b in bounds["size"])] for r in got]
+    assert [r.hilbert for r in got] == common.hilbert_numpy(np.array(cells), 5).tolist()
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.hilbert for r in order] == sorted(r.hilbert for r in got)
+
+
+def test_ranges_and_counts_below(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 2, 7, 64):
+        bounds = sorted(rng.randrange(-50, 50) for _ in range(n))
+        df = spark.range(-60, 60).select("id", common.count_below(bounds, F.col("id")).alias("k"))
+        assert all(r.k == sum(b < r.id for b in bounds) for r in df.collect())
+    rows = [(None, f"t{k}") for k in range(400)] + [(k, "x") for k in range(800)]
+    got = common.by_ranges(spark.createDataFrame(rows, "id long, text string"), F.col("id"), 12, tie=F.col("text")).collect()
+    sizes = collections.Counter(r.range for r in got)
+    assert len(sizes) == 12 and max(sizes.values()) < 200
+    assert max(r.range for r in got if r.id is None) <= min(r.range for r in got if r.id is not None)
+
+
 def test_written_shards_prune(docs, tmp_path):
     told = sharding.write_shards(docs, str(tmp_path / "s"), 4, ("source", "size")).orderBy("shard").collect()
     back = docs.sparkSession.read.parquet(str(tmp_path / "s"))
@@ -388,24 +454,71 @@ def test_pieces_round_trip_in_spark(docs, rows):
 
 # ---------------------------------------------------------------- 7
 
+def plain_phrases(text):
+    """LZ78 by longest known prefix: each phrase is the longest one known, and one more character."""
+    known, at = set(), 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at:end] in known:
+            end += 1
+        if text[at:end] in known:
+            break  # an unfinished phrase at the end of the text
+        known.add(text[at:end])
+        at = end
+    return known
+
+
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x + 0x9E3779B97F4A7C15) & M64
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def plain_fingerprint(text):
+    """The 128 smallest of the phrases' hashes: polynomials in an odd number, over mixed code points, mixed again."""
+    base = 0x9E3779B97F4A7C15 | 1
+    hashes = {plain_mix(sum(plain_mix((ord(c) + 0x11) & M64) * pow(base, i, 1 << 64) for i, c in enumerate(p)) & M64) >> 32 for p in plain_phrases(text)}
+    return sorted(hashes)[:128]
+
+
+def plain_likeness(a, b):
+    both = sorted(set(a) | set(b))[:128]
+    return sum(x in a and x in b for x in both) / len(both) if both else 1.0
+
+
 def test_fingerprints(spark):
     rng = random.Random(6)
-    texts = [words_text(rng, rng.randrange(0, 150), 4000) for _ in range(60)] + [None, "", "é😀"]
+    texts = [words_text(rng, rng.randrange(0, 150), 4000) for _ in range(60)] + [None, "", "é😀", "a", "aa", "a" * 500]
+    texts += [texts[3], texts[5][:400] + texts[4]]
     rows = [(k * 3, t) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r for r in lz_fingerprint.fingerprints_with_next(df).collect()}
     ids, text = sorted((k for k, _ in rows), reverse=True), {k: t or "" for k, t in rows}
-    fp = {k: lz_fingerprint.fingerprint(t) for k, t in text.items()}
+    fp = {k: plain_fingerprint(t) for k, t in text.items()}
     for at, k in enumerate(ids):
         x, nxt = text[k], ids[(at + 1) % len(ids)]
         half = len(x) // 2
         edited = x[: len(x) - half] + text[nxt][:half]
-        fe = lz_fingerprint.fingerprint(edited)
+        fe = plain_fingerprint(edited)
         r = got[k]
         assert (r.n_chars, r.edited_sha256) == (len(x), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (lz_fingerprint.shown(fp[k]), lz_fingerprint.shown(fe))
-        assert (r.near_edited, r.near_next) == (lz_fingerprint.likeness(fp[k], fe), lz_fingerprint.likeness(fp[k], fp[nxt]))
-    assert lz_fingerprint.read(lz_fingerprint.shown(fp[0])).tolist() == fp[0].tolist()
+        assert (r.fingerprint, r.edited_fingerprint) == ("".join(f"{v:08x}" for v in fp[k]), "".join(f"{v:08x}" for v in fe))
+        assert (r.near_edited, r.near_next) == (plain_likeness(fp[k], fe), plain_likeness(fp[k], fp[nxt]))
+
+
+def test_fingerprints_of_repeated_ids(spark):
+    """Rows of one id, and of none, each have one next: the texts' pairs make one ring over all rows."""
+    rng = random.Random(4)
+    rows = [(None, words_text(rng, 20, 4000)) for _ in range(40)] + [(7, words_text(rng, 20, 4000)) for _ in range(40)] + [(k, words_text(rng, 20, 4000)) for k in range(100, 120)] + [(7, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = lz_fingerprint.fingerprints_with_next(df).collect()
+    assert collections.Counter((r.doc_id, r.n_chars) for r in got) == collections.Counter((k, len(t or "")) for k, t in rows)
+    heads = collections.Counter(hashlib.sha256(((t or "")[: len(t or "") - len(t or "") // 2] + (u or "")[: len(t or "") // 2]).encode()).hexdigest() for _, t in rows for _, u in rows)
+    assert all(r.edited_sha256 in heads for r in got)
 
 
 def test_likeness_is_near_jaccard():
