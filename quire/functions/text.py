@@ -6,14 +6,23 @@ from pyspark.sql import Column, functions as F
 
 from ..dims import STOP_WORDS
 
+#: fixed values: number tokens and words
 NUMBER = r"(?U)(?<![\w.])\d+(?:[.,]\d+)?(?![\w])"
 WORD = "[A-Za-zÀ-ÿ]{2,}"
-CAPTION = r"(?iu)\b(?:figure|fig\.?|table|box|tabla|figura|cuadro|tableau|tabelle|abbildung)\s+\d+"
-LINE_CAPTION = r"(?imdu)^\s*(?:figure|fig\.?|table|box|tabla|figura|cuadro|tableau|tabelle|abbildung)\s+\d+"
-SYMBOL_LOSS = r"(?md)\$\d+%|#\d+%|\(,\d|(?<![\d.])\.\d+,\d{3}"
+#: fixed values: captions anywhere and at the start of a line, symbols that an encoding lost, damaged characters, citations, vowels
+CAPTION_WORDS = r"Table|Figure|Fig\.|Chart|Exhibit|Diagram|Tabla|Figura|Cuadro|Gr[aá]fic[ao]|Esquema"
+BOX_WORDS = "Table|Tabla|Cuadro|Box|Recuadro|Panel|Exhibit"
+CAPTION = rf"(?iU)\b({CAPTION_WORDS})\s*\d+(?:[.\-]\d+)?"
+LINE_CAPTION = rf"(?imdU)^\s*(?:#+\s*)?(?:{BOX_WORDS})\s*[A-Z]?\d+(?:[.\-]\d+)?\b"
+SYMBOL_LOSS = r"(?mdU)(?<![\w$#])[#$]\s?\d+(?:[.,]\d+)?\s?%|(?:(?<=[\s(\[])|^),\d|(?:(?<=[\s(\[])|^)\.\d{1,3},\d{3}\b|(?<!\S)##\s?\d"
 BAD_CHARS = "[\ue000-\uf8ff\ufffd]"
-CITATION = r"(?i)\bet al\b|\bdoi\b|\bpp?\.\s*\d"
-YEAR = r"\b(?:19|20)\d\d\b"
+CITATION = r"(?iU)\bet al\b|\bdoi\b|;\s*\d+\s*(?:\(\d+\))?\s*:\s*\d+"
+VOWELS = "[aeiouyáéíóúüAEIOUYÁÉÍÓÚÜ]"
+YEAR = r"(?U)\b(?:19|20)\d{2}\b"
+#: fixed values: words of a block that is judged, shares of frequent words (too few; enough once shifted) and of words without vowels, damaged characters of a page
+BLOCK_WORDS, STOP_SHARE, SHIFT_SHARE, MUTE_SHARE, BAD_COUNT = 8, 0.06, 0.15, 0.30, 3
+#: fixed values: why a page is read as an image
+DAMAGED, SYMBOLS, BOXED = "texto dañado", "símbolos perdidos", "tabla o recuadro"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 SHIFTS = (-1, 1, -2, 2, -3, 3)
 
@@ -55,6 +64,18 @@ def numbers(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0))
 
 
+def missing_numbers(body: Column, source_numbers: Column) -> Column:
+    """Numbers of a body, each once in string order, that its source hasn't, comma and dot alike; single digits stand everywhere.
+
+    Lines of tags, sources and evidence, and derived ones, don't count.
+    """
+    low = lambda x: F.lower(strip(x))
+    own = F.filter(F.split(body, "\n"), lambda x: ~(low(x).startswith("tags:") | low(x).startswith("src:") | low(x).startswith("evidence:") | F.contains(x, F.lit("[DERIVED]"))))
+    dots = F.transform(source_numbers, lambda y: F.replace(y, F.lit(","), F.lit(".")))
+    new = F.filter(numbers(F.array_join(own, "\n")), lambda x: ~F.array_contains(dots, F.replace(x, F.lit(","), F.lit("."))) & (F.length(F.regexp_replace(x, "[.,]", "")) > 1))
+    return F.array_sort(F.array_distinct(new))
+
+
 def est_tokens(c: Column) -> Column:
     return F.floor(F.length(c) / 4).cast("long")
 
@@ -79,31 +100,45 @@ def share_of(found: Column, of: Column) -> Column:
     return F.when(F.size(of) > 0, F.size(found) / F.size(of)).otherwise(F.lit(0.0))
 
 
+def one_of(values: list[str]):
+    return lambda w: w.isin(values)
+
+
 def stop_ratio(lower_words: Column) -> Column:
-    return share_of(F.filter(lower_words, lambda w: w.isin(STOP_WORDS)), lower_words)
+    return share_of(F.filter(lower_words, one_of(STOP_WORDS)), lower_words)
+
+
+def shifted_stops(k: int) -> list[str]:
+    """The words that become frequent ones when their ASCII letters are moved by k places."""
+    back = {c: chr((ord(c) - 97 - k) % 26 + 97) for c in LOWER}
+    return ["".join(back.get(c, c) for c in w) for w in STOP_WORDS]
 
 
 def garbled(text: Column) -> Column:
-    """Whether a block of eight words or more is shifted or vowel-less text; citations and lists of years aren't."""
-    w = F.transform(words(text), lambda x: F.lower(x))
-    joined = F.array_join(w, " ")
-    shifted = [stop_ratio(F.split(caesar(joined, k), " ")) >= 0.15 for k in SHIFTS]
-    any_shift = shifted[0]
-    for s in shifted[1:]:
-        any_shift = any_shift | s
-    long = F.filter(w, lambda x: F.length(x) >= 4)
-    mute = share_of(F.filter(long, lambda x: ~x.rlike("[aeiouyà-ÿ]")), long) >= 0.30
+    """Whether a block of eight words or more is shifted or vowel-less text; citations and lists of years aren't.
+
+    The words are taken once, and instead of the text the list of frequent words is shifted.
+    """
     plain = ~text.rlike(CITATION) & (F.regexp_count(text, F.lit(YEAR)) < 2)
-    return (F.size(w) >= 8) & (stop_ratio(w) < 0.06) & plain & (any_shift | mute)
 
+    def judged(w):
+        shift = F.lit(False)
+        for k in SHIFTS:
+            shift = shift | (share_of(F.filter(w, one_of(shifted_stops(k))), w) >= SHIFT_SHARE)
+        long = F.filter(w, lambda x: F.length(x) >= 4)
+        mute = share_of(F.filter(long, lambda x: ~x.rlike(VOWELS)), long) >= MUTE_SHARE
+        return F.when(F.size(w) < BLOCK_WORDS, F.lit(False)).when(stop_ratio(w) >= STOP_SHARE, F.lit(False)).otherwise(plain & (shift | mute))
+
+    return F.transform(F.array(F.transform(words(text), lambda x: F.lower(x))), judged)[0]
 
-def unreliable(text: Column) -> Column:
-    """The first reason that applies, or an empty string; the order is part of the rule."""
+
+def unreliable(plain: Column, native: Column, blocks: Column) -> Column:
+    """Why a page's own text can't be trusted: the first reason that applies, or an empty string. blocks: the blocks of its text."""
     return (
-        F.when(F.regexp_count(text, F.lit(BAD_CHARS)) >= 3, "damaged")
-        .when(garbled(text), "damaged")
-        .when(text.rlike(SYMBOL_LOSS), "symbols")
-        .when(text.rlike(LINE_CAPTION), "caption")
+        F.when(F.regexp_count(plain, F.lit(BAD_CHARS)) >= BAD_COUNT, DAMAGED)
+        .when(F.exists(blocks, garbled), DAMAGED)
+        .when(plain.rlike(SYMBOL_LOSS), SYMBOLS)
+        .when(plain.rlike(LINE_CAPTION) | native.rlike(LINE_CAPTION), BOXED)
         .otherwise("")
     )
 
@@ -118,17 +153,17 @@ def dehyphenate(c: Column) -> Column:
     return F.regexp_replace(c, r"-\n(?=\p{Ll})", "")
 
 
-#: fixed values: a message of a text that is too long, and what it is shown as
+#: fixed values: the message of a text that is too long, what it is shown as, and where other errors have theirs
 TOO_LONG = r"prompt is too long: (\d+) tokens > (\d+) maximum"
-TOO_LONG_SHOWN = ("el texto es demasiado largo para ", " (", " tokens; máximo ", ")")
+TOO_LONG_SHOWN = "el texto es demasiado largo para {model} ({tokens} tokens; máximo {most})"
+MESSAGE = "message='([^']+)'"
 
 
 def friendly_error(c: Column, model: str = "el modelo") -> Column:
     """A text that is too long is told with its numbers; of other errors the quoted message, or all, to 200 characters."""
     n = lambda k: F.format_number(F.nullif(F.regexp_extract(c, TOO_LONG, k), F.lit("")).cast("long"), 0)
-    a, b, m, z = TOO_LONG_SHOWN
-    found = F.coalesce(F.nullif(F.regexp_extract(c, "message['\"]?[:=]\\s*['\"]([^'\"]+)", 1), F.lit("")), c)
-    return F.when(c.rlike(TOO_LONG), F.concat(F.lit(a + model + b), n(1), F.lit(m), n(2), F.lit(z))).otherwise(F.substring(found, 1, 200))
+    found = F.coalesce(F.nullif(F.regexp_extract(c, MESSAGE, 1), F.lit("")), c)
+    return F.when(c.rlike(TOO_LONG), fill(TOO_LONG_SHOWN, {"model": F.lit(model), "tokens": n(1), "most": n(2)})).otherwise(F.substring(found, 1, 200))
 
 
 def json_text(c: Column) -> Column:
@@ -145,6 +180,11 @@ def year_of(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"\d{4}", 0), F.lit("")).cast("int")
 
 
+def pdf_year(c: Column) -> Column:
+    """The year of a date as PDF metadata have it; null without one."""
+    return F.nullif(F.regexp_extract(c, r"^D:(\d{4})", 1), F.lit(""))
+
+
 def fill(template: str, values: dict[str, Column]) -> Column:
     out = F.lit(template)
     for k, v in values.items():

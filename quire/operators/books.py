@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions import text as X
 from ..views import duck, table
 from .documents import ORACLES as _DOCUMENTS
-from .segment import TOC_HITS, TOC_NEIGHBOURS, book_lines, changed_spans, chapter_books, locate, locate_texts
+from .segment import TINY_CHARS, TOC_HITS, TOC_NEIGHBOURS, changed_spans, chapter_books, locate_texts, redone, tiny_units as tiny, unit_name
 
 QUERIES, ORACLES = {}, {}
 _UNITS = f"({_DOCUMENTS['locate_units'].strip()})"
@@ -38,7 +38,7 @@ def contents_hits(lines: DataFrame, units: DataFrame, reach: int = TOC_NEIGHBOUR
 
 
 @query(f"""
-with h as (select source, row_number() over (partition by source order by doc_id) as k, text from documents),
+with h as (select source, row_number() over (partition by source order by doc_id) as k, text from book_docs),
 x as (select source, 0 as p, k, ['# Chapter ' || k] as ls from h union all select source, 1, k, list_filter(string_split('# Chapter ' || k || chr(10) || text, chr(10)), lambda y: regexp_matches(y, '\\S')) from h),
 e as (select source, p, k, unnest(ls) as line, generate_subscripts(ls, 1) as j from x),
 n as (select source, trim(line) as line, row_number() over (partition by source order by p, k, j) - 1 as i from e),
@@ -51,7 +51,7 @@ def toc_hits(spark: SparkSession, d: str) -> DataFrame:
     """
     solid = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))
     heads = F.filter(F.transform("solid", lambda x, j: F.struct(j.alias("j"), F.trim(x).alias("line"))), lambda s: s["line"].startswith("# "))
-    df = table(spark, d, "documents").select("source", "doc_id", solid.alias("solid")).select("source", "doc_id", F.size("solid").alias("n"), heads.alias("heads"))
+    df = table(spark, d, "book_docs").select("source", "doc_id", solid.alias("solid")).select("source", "doc_id", F.size("solid").alias("n"), heads.alias("heads"))
     by = W.partitionBy("source").orderBy("doc_id")
     df = df.withColumn("k", F.row_number().over(by).cast("long")).withColumn("start", F.concat(F.lit("# Chapter "), "k"))
     before = F.coalesce(F.sum(F.col("n") + 1).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -63,7 +63,7 @@ def toc_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
-    return locate(*book_lines(table(spark, d, "documents")))
+    return locate_texts(*chapter_books(table(spark, d, "book_docs")))
 
 
 @query(f"select source, unit_id, a, b from {_UNITS} u where cast(substring(unit_id, 2) as int) % 5 = 0 and cast(substring(unit_id, 2) as int) % 7 <> 0")
@@ -81,20 +81,30 @@ def unit_stats(spark: SparkSession, d: str) -> DataFrame:
     return _units(spark, d).groupBy("source").agg(F.count("*").alias("units"), F.sum(n).alias("n_chars"), F.sum(F.floor(n / 4)).cast("long").alias("tokens"))
 
 
-@query()
-def locate_whole_books(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of the units found by searching all lines of the books: see segment.unit_spans."""
-    return locate_texts(*chapter_books(table(spark, d, "documents")))
-
-
-@query("select source, 'U' || lpad(cast(count(*) + 1 as string), cast(greatest(2, length(cast(count(*) + 1 as string))) as int), '0') as unit_id from documents group by source")
+@query("select source, 'U' || lpad(cast(count(*) + 1 as string), cast(greatest(2, length(cast(count(*) + 1 as string))) as int), '0') as unit_id from book_docs group by source")
 def lost_units(spark: SparkSession, d: str) -> DataFrame:
-    """Content units that weren't located: here one more unit of each book, whose start no line equals."""
-    lines, units = book_lines(table(spark, d, "documents"))
+    """Content units that weren't located: here one more unit of each book, whose start no line equals or holds."""
+    books, units = chapter_books(table(spark, d, "book_docs"))
     more = units.groupBy("source").agg((F.max("k") + 1).alias("k")).withColumn("start", F.lit("# Lost"))
     units = units.unionByName(more)
-    name = F.concat(F.lit("U"), F.lpad(F.col("k").cast("string"), F.greatest(F.lit(2), F.length(F.col("k").cast("string"))), F.lit("0")))
-    return units.select("source", name.alias("unit_id")).join(locate(lines, units), ["source", "unit_id"], "left_anti")
+    return units.select("source", unit_name(F.col("k")).alias("unit_id")).join(locate_texts(books, units), ["source", "unit_id"], "left_anti")
+
+
+@query(f"select source, unit_id, b - a as n_chars from {_UNITS} u where b - a < {TINY_CHARS}")
+def tiny_units(spark: SparkSession, d: str) -> DataFrame:
+    """Content units that are nearly empty, so that their map may be wrong."""
+    return tiny(_units(spark, d).withColumn("kind", F.lit("content"))).select("source", "unit_id", (F.col("b") - F.col("a")).alias("n_chars"))
+
+
+@query(f"""
+with c as (select source, unit_id from {_UNITS} u where cast(substring(unit_id, 2) as int) % 5 = 0 and cast(substring(unit_id, 2) as int) % 7 <> 0)
+select source, unit_id, unnest(['extract', 'verify', 'fatal']) as kind from c union all select distinct source, '-', 'synthesis' from c""")
+def redone_files(spark: SparkSession, d: str) -> DataFrame:
+    """Stored answers that changed spans make void: the units' own, and the book's synthesis."""
+    after = _units(spark, d).select("source", "unit_id")
+    files = after.withColumn("kind", F.explode(F.array(F.lit("extract"), F.lit("verify"), F.lit("fatal"))))
+    files = files.unionByName(after.select("source", F.lit("-").alias("unit_id"), F.lit("synthesis").alias("kind")).distinct())
+    return redone(span_invalidate(spark, d), files)
 
 
 def unit_texts(units: DataFrame, books: DataFrame) -> DataFrame:
@@ -146,11 +156,11 @@ def table_insert_order(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page", F.array_join(F.transform(with_tables(F.col("items"), F.col("tables")), lambda x: x["label"]), " ").alias("placed"))
 
 
-@query("select source, count(*) filter (doc_id % 3 = 0 or contains(text, chr(10) || '|')) as with_tables, count(*) as pages from documents group by source")
+@query("select source, count(*) filter (doc_id % 3 = 0 or contains(text, chr(10) || '|')) as with_tables, count(*) as pages from book_docs group by source")
 def table_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages on which a line begins with a pipe; here every third document has one at its end."""
     t = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n|a|b|"))).otherwise(F.col("text"))
-    return table(spark, d, "documents").groupBy("source").agg(F.count_if(F.contains(t, F.lit("\n|"))).alias("with_tables"), F.count("*").alias("pages"))
+    return table(spark, d, "book_docs").groupBy("source").agg(F.count_if(F.contains(t, F.lit("\n|"))).alias("with_tables"), F.count("*").alias("pages"))
 
 
 def header(title: Column, authors: Column, more: dict[str, Column], unprocessed: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as X
 from ..views import duck, table
+from . import jobs
 
 QUERIES, ORACLES = {}, {}
 L = "[\\p{L}\\p{M}\\p{N}_]"
@@ -40,20 +41,17 @@ with lines as (select doc_id, source, text, array_to_string(list_filter(string_s
 n as (select doc_id, source, {NUMBERS_DUCK.format(t='body')} as b, {NUMBERS_DUCK.format(t='text')} as s from lines),
 p as (select doc_id, b, coalesce(lag(s) over (partition by source order by doc_id), []) as s from n),
 m as (select doc_id, b, list_sort(list_distinct(list_filter(b, lambda x: not list_contains(list_transform(s, lambda y: replace(y, ',', '.')), replace(x, ',', '.')) and length(regexp_replace(x, '[.,]', '', 'g')) > 1))) as m from p)
-select doc_id, cast(len(b) as bigint) as n_numbers, cast(len(m) as bigint) as n_missing, array_to_string(m[1:12], '|') as missing from m""")
+select doc_id, cast(len(m) as bigint) as n_missing, array_to_string(m[1:12], '|') as missing from m""")
 def num_grounding(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of each document's body that its predecessor of the same source doesn't hold, comma and dot alike; 12 shown in string order.
 
     The predecessor's numbers, not its text, travel through the window.
     """
-    df = docs(spark, d, "documents_dirty")
-    low = lambda x: F.lower(F.trim(x))
-    body = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~(low(x).startswith("tags:") | low(x).startswith("src:") | low(x).startswith("evidence:") | F.contains(x, F.lit("[DERIVED]")))), "\n")
-    n = df.select("doc_id", "source", X.numbers(body).alias("b"), X.numbers(F.col("text")).alias("s"))
-    p = n.select("doc_id", "b", F.coalesce(F.lag("s").over(W.partitionBy("source").orderBy("doc_id")), F.array().cast("array<string>")).alias("s"))
-    dots = F.transform("s", lambda y: F.replace(y, F.lit(","), F.lit(".")))
-    m = F.array_sort(F.array_distinct(F.filter("b", lambda x: ~F.array_contains(dots, F.replace(x, F.lit(","), F.lit("."))) & (F.length(F.regexp_replace(x, "[.,]", "")) > 1))))
-    return p.select("doc_id", F.size("b").cast("long").alias("n_numbers"), F.size(m).cast("long").alias("n_missing"), F.array_join(F.slice(m, 1, 12), "|").alias("missing"))
+    df = docs(spark, d, "documents_dirty").select("doc_id", "source", "text", X.numbers(F.col("text")).alias("s"))
+    before = F.lag("s").over(W.partitionBy("source").orderBy("doc_id"))
+    earlier = df.select("doc_id", F.coalesce(before, F.array().cast("array<string>")).alias("before"))
+    m = df.select("doc_id", "text").join(earlier, "doc_id").select("doc_id", X.missing_numbers(F.col("text"), F.col("before")).alias("m"))
+    return m.select("doc_id", F.size("m").cast("long").alias("n_missing"), F.array_join(F.slice("m", 1, 12), "|").alias("missing"))
 
 
 @query("select doc_id, md5(t) as tidied_md5, cast(length(t) as bigint) as n_chars, t <> text || chr(10) as changed from (select doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+', ''), '\\s+$', '') || chr(10) as t from documents_dirty)")
@@ -84,10 +82,10 @@ def sha_key_dedup(spark: SparkSession, d: str) -> DataFrame:
     return u.select("doc_id", "key", X.token(F.col("key")).alias("token"), "uses", (F.col("uses") > 5).alias("dropped"))
 
 
-#: fixed values: an image's placeholder, captions of images, how near they stand, and how often decoration is used at most
+#: fixed values: an image's placeholder, how near captions stand, how often decoration is used at most, characters of a page that isn't a scan
 IMAGE_TOKEN = re.compile(r"ZZOCRZZ[0-9a-f]{16}ZZ")
-IMAGE_CAPTION = re.compile(r"(?i)\b(?:table|figure|fig\.?|box|chart|exhibit|diagram|tabla|figura|cuadro|gr[aá]fic[ao]|esquema|tableau|tabelle|abbildung)\s*\d+")
-CAPTION_WINDOW, MOST_USES = 500, 5
+IMAGE_CAPTION = re.compile(rf"(?i)\b({X.CAPTION_WORDS})\s*\d+(?:[.\-]\d+)?")
+CAPTION_WINDOW, MOST_USES, SCANNED_CHARS = 500, 5, 100
 
 
 def token_captions(text: str) -> list[tuple[str, bool]]:
@@ -118,7 +116,12 @@ def image_tokens(texts: DataFrame, decorative: DataFrame | None = None) -> DataF
     return u.select("token", "uses", "captioned", (drop & ~F.col("captioned")).alias("dropped"))
 
 
-@query()
+_CAP_TEXT = f"(?i)\\b(?:{X.CAPTION_WORDS})\\s*[0-9]+(?:[.\\-][0-9]+)?"
+
+
+@query("""
+with k as (select 'ZZOCRZZ' || substring(sha1(text || 'image'), 1, 16) || 'ZZ' as token, regexp_matches('                                 ' || substring(text, 1, 499), '"""+_CAP_TEXT+"""') as near from documents_dirty)
+select token, count(*) as uses, bool_or(near) as captioned, count(*) > 5 and not bool_or(near) as dropped from k group by token""")
 def caption_window(spark: SparkSession, d: str) -> DataFrame:
     """Images of the dirty documents, each set before the text that it is named after: uses, captions near, and whether it goes."""
     t = X.token(X.content_key(F.col("text"), F.lit("image")))
@@ -126,7 +129,6 @@ def caption_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
-_LW = "list_transform(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{2,}'), lambda x: lower(x))"
 
 
 def _ratio(words: str) -> str:
@@ -135,85 +137,106 @@ def _ratio(words: str) -> str:
 
 def _shifted(k: int) -> str:
     to = X.LOWER[k % 26 :] + X.LOWER[: k % 26]
-    return f"{_ratio(f"list_transform(w, lambda y: translate(y, '{X.LOWER}', '{to}'))")} >= 0.15"
+    return f"{_ratio(f"list_transform(w, lambda y: translate(y, '{X.LOWER}', '{to}'))")} >= {X.SHIFT_SHARE}"
 
 
-GARBLED_DUCK = f"(len(w) >= 8 and {_ratio('w')} < 0.06 and not regexp_matches(text, '(?i)\\bet al\\b|\\bdoi\\b|\\bpp?\\.\\s*[0-9]') and len(regexp_extract_all(text, '\\b(?:19|20)[0-9][0-9]\\b')) < 2 and ({' or '.join(_shifted(k) for k in X.SHIFTS)} or (case when len(list_filter(w, lambda x: length(x) >= 4)) > 0 then len(list_filter(w, lambda x: length(x) >= 4 and not regexp_matches(x, '[aeiouyà-ÿ]'))) / len(list_filter(w, lambda x: length(x) >= 4)) else 0.0 end) >= 0.30))"
+_LONG = "list_filter(w, lambda x: length(x) >= 4)"
+_MUTE = f"(case when len({_LONG}) > 0 then len(list_filter({_LONG}, lambda x: not regexp_matches(x, '{X.VOWELS}'))) / len({_LONG}) else 0.0 end) >= {X.MUTE_SHARE:.2f}"
+_CITED = "(?i)\\bet al\\b|\\bdoi\\b|;\\s*[0-9]+\\s*(?:\\([0-9]+\\))?\\s*:\\s*[0-9]+"
+_SUSPECT = f"len(w) >= {X.BLOCK_WORDS} and {_ratio('w')} < {X.STOP_SHARE} and not regexp_matches(t, '{_CITED}') and len(regexp_extract_all(t, '\\b(?:19|20)[0-9][0-9]\\b')) < 2"
+_LINES = f"(select doc_id, t, list_transform(regexp_extract_all(t, '{X.WORD}'), lambda x: lower(x)) as w from (select doc_id, unnest(string_split(text, chr(10))) as t from documents_dirty))"
+#: documents with the judgement of their blocks, which are their lines
+_JUDGED = f"(select d.doc_id, d.text, coalesce(g.garbled, false) as garbled from documents_dirty d left join (select doc_id, bool_or({' or '.join(_shifted(k) for k in X.SHIFTS)} or {_MUTE}) as garbled from (select * from {_LINES} where {_SUSPECT}) group by doc_id) g on g.doc_id = d.doc_id)"
 
 
-@query(f"select doc_id, {GARBLED_DUCK} as garbled from (select doc_id, text, {_LW} as w from documents_dirty)")
+@query(f"select doc_id, garbled from {_JUDGED}")
 def garbled_flag(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d, "documents_dirty").select("doc_id", X.garbled(F.col("text")).alias("garbled"))
+    """Whether any block of a document, here a line, is garbled."""
+    return docs(spark, d, "documents_dirty").select("doc_id", F.exists(F.split("text", "\n"), X.garbled).alias("garbled"))
 
 
-_CAP = "(?:figure|fig\\.?|table|box|tabla|figura|cuadro|tableau|tabelle|abbildung)\\s+[0-9]+"
-_SYM = "\\$[0-9]+%|#[0-9]+%|\\(,[0-9]|(?:^|[^0-9.])\\.[0-9]+,[0-9]{3}"
+_BOX = f"(?im)^\\s*(?:#+\\s*)?(?:{X.BOX_WORDS})\\s*[A-Z]?[0-9]+(?:[.\\-][0-9]+)?\\b"
+_SYM = f"(?m)(?:^|{L[:1]}^{L[1:-1]}$#])[#$]\\s?[0-9]+(?:[.,][0-9]+)?\\s?%|(?:^|[\\s(\\[]),[0-9]|(?:^|[\\s(\\[])\\.[0-9]{{1,3}},[0-9]{{3}}\\b|(?:^|\\s)##\\s?[0-9]"
 
 
-@query(f"select doc_id, cast(len(regexp_extract_all(text, '[{X.BAD_CHARS[1:-1]}]')) as bigint) as n_bad, regexp_matches(text, '{_SYM}') as symbols, regexp_matches(text, '(?i)\\b{_CAP}') as caption, regexp_matches(text, '(?im)^\\s*{_CAP}') as line_caption from documents_dirty")
+@query(f"select doc_id, cast(len(regexp_extract_all(text, '[{X.BAD_CHARS[1:-1]}]')) as bigint) as n_bad, regexp_matches(text, '{_SYM}') as symbols, regexp_matches(text, '{_CAP_TEXT}') as caption, regexp_matches(text, '{_BOX}') as line_caption from documents_dirty")
 def damage_signs(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return docs(spark, d, "documents_dirty").select("doc_id", F.regexp_count(t, F.lit(X.BAD_CHARS)).cast("long").alias("n_bad"), t.rlike(X.SYMBOL_LOSS).alias("symbols"), t.rlike(X.CAPTION).alias("caption"), t.rlike(X.LINE_CAPTION).alias("line_caption"))
 
 
-_REASON = f"case when len(regexp_extract_all(text, '[{X.BAD_CHARS[1:-1]}]')) >= 3 then 'damaged' when {GARBLED_DUCK} then 'damaged' when regexp_matches(text, '{_SYM}') then 'symbols' when regexp_matches(text, '(?im)^\\s*{_CAP}') then 'caption' else '' end"
+_REASON = f"case when len(regexp_extract_all(text, '[{X.BAD_CHARS[1:-1]}]')) >= {X.BAD_COUNT} then '{X.DAMAGED}' when garbled then '{X.DAMAGED}' when regexp_matches(text, '{_SYM}') then '{X.SYMBOLS}' when regexp_matches(text, '{_BOX}') then '{X.BOXED}' else '' end"
 
 
-@query(f"select doc_id, reason, length(trim(text, ' ' || chr(10) || chr(13) || chr(9))) < 100 as scanned, case when length(trim(text, ' ' || chr(10) || chr(13) || chr(9))) < 100 then 'scan' when reason <> '' then 'vision' else 'native' end as route from (select doc_id, text, {_REASON} as reason from (select doc_id, text, {_LW} as w from documents_dirty))")
+def judged(text: Column) -> Column:
+    """The reason of a document as a page: its own text is both texts of the page, its lines are the blocks."""
+    return X.unreliable(text, text, F.split(text, "\n"))
+
+
+@query(f"select doc_id, reason, length(trim(text, ' ' || chr(10) || chr(13) || chr(9))) < 100 as scanned, case when length(trim(text, ' ' || chr(10) || chr(13) || chr(9))) < 100 then 'scan' when reason <> '' then 'vision' else 'native' end as route from (select doc_id, text, {_REASON} as reason from {_JUDGED})")
 def page_route(spark: SparkSession, d: str) -> DataFrame:
-    """Scanned, then unreliable, then native: the first that holds."""
-    df = docs(spark, d, "documents_dirty").select("doc_id", X.unreliable(F.col("text")).alias("reason"), (F.length(X.strip(F.col("text"))) < 100).alias("scanned"))
+    """Scanned, then unreliable, then native: the first that holds. Pages with images: see images.page_scans."""
+    df = docs(spark, d, "documents_dirty").select("doc_id", judged(F.col("text")).alias("reason"), (F.length(X.strip(F.col("text"))) < SCANNED_CHARS).alias("scanned"))
     return df.withColumn("route", F.when(F.col("scanned"), "scan").when(F.col("reason") != "", "vision").otherwise("native"))
 
 
-@query(f"select reason, count(*) as pages from (select {_REASON} as reason from (select text, {_LW} as w from documents_dirty)) group by reason")
+@query(f"select r.reason, count(j.reason) as pages from (select unnest(['{X.DAMAGED}', '{X.SYMBOLS}', '{X.BOXED}']) as reason) r left join (select {_REASON} as reason from {_JUDGED}) j on j.reason = r.reason group by r.reason")
 def vision_counters(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d, "documents_dirty").groupBy(X.unreliable(F.col("text")).alias("reason")).agg(F.count("*").alias("pages"))
+    """Pages by the reason why they are read as images, zeros included."""
+    n = docs(spark, d, "documents_dirty").select(judged(F.col("text")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    every = spark.createDataFrame([(x,) for x in (X.DAMAGED, X.SYMBOLS, X.BOXED)], "reason string")
+    return every.join(n, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("pages"))
 
 
 @query("""
-with l as (select source, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents)
+with l as (select source, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from book_docs)
 select source, doc_id, cast(i as bigint) as i, cast(coalesce(sum(length(line) + 1) over (partition by source order by doc_id, i rows between unbounded preceding and 1 preceding), 0) as bigint) as line_offset, cast(length(line) as bigint) as n from l""")
 def book_lines_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Each line's offset in its book. Documents' lengths are added up first, so no window holds a whole book's lines."""
-    df = docs(spark, d)
+    """Each line's offset in its book: see line_offsets."""
+    return line_offsets(docs(spark, d, "book_docs"))
+
+
+def line_offsets(df: DataFrame) -> DataFrame:
+    """(source, doc_id, i, line_offset, n) of the lines of df(source, doc_id, text), whose texts make a book in the order of doc_id.
+
+    Only lengths are dealt: those of documents by book for where each begins, those of lines by document.
+    """
+    sizes = df.select("source", "doc_id", (F.length("text") + 1).alias("size"))
     w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
-    starts = df.select("source", "doc_id", F.split("text", "\n").alias("lines"), F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).alias("base"))
-    lines = starts.select("source", "doc_id", "base", F.posexplode("lines").alias("i", "line"))
-    own = W.partitionBy("source", "doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    off = F.col("base") + F.coalesce(F.sum(F.length("line") + 1).over(own), F.lit(0))
-    return lines.select("source", "doc_id", F.col("i").cast("long"), off.cast("long").alias("line_offset"), F.length("line").cast("long").alias("n"))
+    begin = sizes.select("source", "doc_id", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("base"))
+    lines = df.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.length(x))).alias("i", "n")).join(begin, "doc_id")
+    own = W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    off = F.col("base") + F.coalesce(F.sum(F.col("n") + 1).over(own), F.lit(0))
+    return lines.select("source", "doc_id", F.col("i").cast("long").alias("i"), off.cast("long").alias("line_offset"), F.col("n").cast("long").alias("n"))
 
 
-@query("""
-with h as (select source, doc_id, row_number() over (partition by source order by doc_id) as k, length(text) as n from documents),
-toc as (select source, sum(length('# Chapter ' || k) + 1) as t from h group by source),
-s as (select h.source, doc_id, k, n, t + coalesce(sum(length('# Chapter ' || k) + 2 + n) over (partition by h.source order by k rows between unbounded preceding and 1 preceding), 0) as p from h join toc on h.source = toc.source),
-e as (select source, k, n, p, lead(p) over (partition by source order by k) as nxt from s)
-select source, 'U' || lpad(cast(k as string), cast(greatest(2, length(cast(k as string))) as int), '0') as unit_id, cast(case when k = 1 then 0 else p end as bigint) as a, cast(coalesce(nxt, p + length('# Chapter ' || k) + 1 + n) as bigint) as b, k = 1 as toc_skipped from e""")
+_H = "'# Chapter ' || k"
+
+
+@query(f"""
+with h as (select source, doc_id, row_number() over (partition by source order by doc_id) as k, length(text) as n, count(*) over (partition by source) as m from book_docs),
+toc as (select source, sum(length({_H}) + 1) + {len("front a front b front c ")} as t from h group by source),
+s as (select h.source, k, n, m, case when m > 2 then t + coalesce(sum(length({_H}) + 2 + n + {len(" end a end b end c")}) over w, 0) else coalesce(sum(length({_H}) + 1) over w, 0) end as p, t + sum(length({_H}) + 2 + n + {len(" end a end b end c")}) over (partition by h.source) - 1 as whole from h join toc on h.source = toc.source window w as (partition by h.source order by k rows between unbounded preceding and 1 preceding))
+select source, 'U' || lpad(cast(k as string), cast(greatest(2, length(cast(k as string))) as int), '0') as unit_id, cast(case when k = 1 then 0 else p end as bigint) as a, cast(coalesce(lead(p) over (partition by source order by k), whole) as bigint) as b, k = 1 and m > 2 as toc_skipped,
+  {_H} as start_line, case when k = m then '(end of book)' else '# Chapter ' || (k + 1) end as "end" from s""")
 def locate_units(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of the units of books with a table of contents: see segment.locate; the books are made from the documents of a source."""
-    from .segment import book_lines, locate
+    """Spans of the units of books with a table of contents, found in all lines of their texts: see segment.unit_spans."""
+    from .segment import chapter_books, locate_texts
 
-    lines, units = book_lines(docs(spark, d))
-    return locate(lines, units)
+    return locate_texts(*chapter_books(docs(spark, d, "book_docs"))).drop("k")
 
 
 @query("""
-with b as (select source, string_agg(text, chr(10) order by doc_id) as t from documents group by source),
+with b as (select source, string_agg(text, chr(10) order by doc_id) as t from book_docs group by source),
 c as (select source, length(t) as n, unnest(regexp_extract_all(t, '[^\\n]*\\n')) as line, generate_subscripts(regexp_extract_all(t, '[^\\n]*\\n'), 1) as i from b),
 o as (select source, n, sum(length(line)) over (partition by source order by i) as p from c)
 select source, cast(any_value(n) as bigint) as n_chars, cast(arg_min(p, abs(p - n / 2) * 1e9 + p) as bigint) as cut from o where p < n group by source""")
 def split_book(spark: SparkSession, d: str) -> DataFrame:
     """The line start nearest to the middle of each book, the earliest of equals; only lengths are gathered for a book."""
-    df = docs(spark, d)
-    w = W.partitionBy("source").orderBy("doc_id")
-    base = df.select("source", "doc_id", F.split("text", "\n").alias("lines"), F.coalesce(F.sum(F.length("text") + 1).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    df = docs(spark, d, "book_docs")
     total = df.groupBy("source").agg((F.sum(F.length("text") + 1) - 1).alias("n"))
-    lines = base.select("source", "doc_id", "base", F.posexplode(F.transform("lines", lambda x: F.length(x) + 1)).alias("i", "size"))
-    own = F.sum("size").over(W.partitionBy("source", "doc_id").orderBy("i"))
-    p = lines.select("source", (F.col("base") + own).alias("p")).join(total, "source").where("p < n")
-    best = p.groupBy("source").agg(F.first("n").alias("n_chars"), F.min_by("p", F.abs(F.col("p") - F.col("n") / 2) * 1e9 + F.col("p")).alias("cut"))
+    p = line_offsets(df).select("source", F.col("line_offset").alias("p")).where("p > 0").join(total, "source").where("p < n")
+    best = p.groupBy("source").agg(F.first("n").alias("n_chars"), F.min_by("p", F.struct(F.abs(F.col("p") - F.col("n") / 2), F.col("p"))).alias("cut"))
     return best.select("source", F.col("n_chars").cast("long"), F.col("cut").cast("long"))
 
 
@@ -266,65 +289,74 @@ BIG_TOKENS, PART_TOKENS = 880_000, 600_000
 
 @query()
 def split_book_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of each book's parts, as many as its tokens ask for."""
-    rows = docs(spark, d).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("r"))
+    """Spans of each book's parts, as many as its tokens ask for; here tokens count a thousandfold, so that books are big."""
+    rows = docs(spark, d, "book_docs").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("r"))
     books = rows.select("source", F.array_join(F.transform("r", lambda x: x["text"]), "\n").alias("text"))
-    tokens = X.est_tokens(F.col("text"))
+    tokens = X.est_tokens(F.col("text")) * 1000
     return split_parts(books.withColumn("parts", F.when(tokens > BIG_TOKENS, F.ceil(tokens / PART_TOKENS)).otherwise(1)))
 
 
-@query("select doc_id, cast(len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '|'))) as bigint) as table_lines, regexp_replace(text, '-\\n([a-zß-öø-ÿ])', '\\1', 'g') <> text as hyphenated from documents")
+@query("select doc_id, cast(len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '|'))) as bigint) as table_lines, md5(regexp_replace(text, '-\\n([a-zß-öø-ÿ])', '\\1', 'g')) as joined_md5 from (select doc_id, replace(text, ' th', '-' || chr(10) || 'th') as text from documents)")
 def dehyphenate(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: x.startswith("|"))).cast("long").alias("table_lines"), (X.dehyphenate(F.col("text")) != F.col("text")).alias("hyphenated"))
+    """Words cut at line ends are joined again; here those that begin with th are cut first."""
+    t = F.replace("text", F.lit(" th"), F.lit("-\nth"))
+    return docs(spark, d).select("doc_id", F.size(F.filter(F.split(t, "\n"), lambda x: x.startswith("|"))).cast("long").alias("table_lines"), F.md5(X.dehyphenate(t)).alias("joined_md5"))
 
 
 @query("""
-with k as (select doc_id, sha1(text || 'page') as key, text from documents), c as (select key, any_value(upper(replace(substring(text, 1, 20), 'ß', 'ss'))) as cached from k where doc_id % 2 = 0 group by key),
-f as (select k.*, c.cached, row_number() over (partition by k.key order by doc_id) as rn from k left join c on k.key = c.key)
-select doc_id, key, case when cached is not null then 'cached' when length(text) < 100 then 'skipped' when rn = 1 then 'ok' else 'shared' end as status, coalesce(cached, upper(replace(substring(text, 1, 20), 'ß', 'ss'))) as out from f""")
+with k as (select doc_id, sha1(text || 'page') as key, 'read: ' || text as answer, length(text) as n from documents), c as (select key, any_value(answer) as cached from k where doc_id % 2 = 0 group by key),
+f as (select k.*, c.cached, min(doc_id) over (partition by k.key) as first_doc from k left join c on k.key = c.key)
+select doc_id, key, case when cached is not null then 'cached' when n < 100 then 'skipped' when doc_id = first_doc then 'ok' else 'shared' end as status, md5(answer) as out_md5 from f""")
 def job_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs against a cache: hits, pending work done once for each key, and its result shared with the key's other jobs."""
-    k = docs(spark, d).select("doc_id", X.content_key(F.col("text"), F.lit("page")).alias("key"), F.substring("text", 1, 20).alias("head"), F.length("text").alias("n"))
-    cache = k.where("doc_id % 2 = 0").groupBy("key").agg(F.first(F.upper("head")).alias("cached"))
-    first = k.groupBy("key").agg(F.min("doc_id").alias("first_doc"))
-    j = k.join(cache, "key", "left").join(first, "key")
+    """Jobs against a cache: hits, pending work done once for each key, and its result shared with the key's other jobs. Texts stay out of the joins."""
+    k = docs(spark, d).select("doc_id", X.content_key(F.col("text"), F.lit("page")).alias("key"), F.md5(F.concat(F.lit("read: "), "text")).alias("answer"), F.length("text").alias("n"))
+    cache = k.where("doc_id % 2 = 0").groupBy("key").agg(F.first("answer").alias("cached"))
+    first = k.groupBy("key").agg(F.min_by("answer", "doc_id").alias("answer"), F.min("doc_id").alias("first_doc"))
+    j = k.drop("answer").join(cache, "key", "left").join(first, "key")
     status = F.when(F.col("cached").isNotNull(), "cached").when(F.col("n") < 100, "skipped").when(F.col("doc_id") == F.col("first_doc"), "ok").otherwise("shared")
-    return j.select("doc_id", "key", status.alias("status"), F.coalesce("cached", F.upper("head")).alias("out"))
+    return j.select("doc_id", "key", status.alias("status"), F.coalesce("cached", "answer").alias("out_md5"))
 
 
-@query("""
-with j as (select doc_id, case cast(doc_id % 8 as int) when 0 then 'ok' when 1 then 'cached' when 2 then 'decorative' when 3 then 'truncated' when 4 then 'recitation' when 5 then 'blocked' when 6 then 'failed' else 'skipped' end as status, case when doc_id % 3 = 0 then 'page' else 'image' end as kind, doc_id % 5 = 0 as captioned, substring(text, 1, 12) as head from documents)
-select doc_id, status, case when status in ('ok', 'cached') and kind = 'page' then head when status in ('ok', 'cached') then '> [Image] ' || head when status = 'decorative' and captioned then '[IMAGE NOT PROCESSED: caption without content]' when status = 'decorative' then '' when status = 'truncated' then head || ' [TRUNCATED]' when kind = 'page' and status in ('recitation', 'blocked') then head || ' [NATIVE TEXT]' when kind = 'page' then '[PAGE NOT PROCESSED: ' || status || ']' else '[IMAGE NOT PROCESSED: ' || status || ']' end as rendered from j""")
+def _sql(template: str, **values: str) -> str:
+    """A template with fields as a DuckDB expression."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join("'" + p.replace("'", "''") + "'" if k % 2 == 0 else f"({values[p]})" for k, p in enumerate(parts))
+
+
+_JOBS = """(select doc_id, case cast(doc_id % 8 as int) when 0 then 'ok' when 1 then 'cached' when 2 then 'ok' when 3 then 'truncated' when 4 then 'recitation' when 5 then 'blocked' when 6 then 'failed' else 'skipped' end as status,
+  case when doc_id % 3 = 0 then 'page' else 'image' end as kind, 'p. ' || doc_id as label, case when doc_id % 8 = 2 then '[DECORATIVE]' when doc_id % 8 > 3 then '' else text end as text, 'why ' || doc_id % 8 as reason, doc_id % 5 = 0 as captioned,
+  case when doc_id % 7 = 0 then '' else text end as native, case when doc_id % 2 = 0 and doc_id % 8 > 3 then 'rows' else '' end as tables from documents)"""
+_T = "trim(text, ' ' || chr(10) || chr(13) || chr(9))"
+_VALUES = {"label": "label", "reason": "reason", "native": "trim(native, ' ' || chr(10) || chr(13) || chr(9))", "tables": "tables", "text": _T}
+_CUT = {**_VALUES, "text": f"{_T} || {_sql(jobs.TRUNCATED_MARK, label='label')}"}
+
+
+@query(f"""
+select doc_id, status, md5(case when status in ('ok', 'cached') and text = '[DECORATIVE]' then case when captioned then {_sql(jobs.CAPTIONED_TEXT, **_VALUES)} else '' end
+  when status in ('ok', 'cached') then case when kind = 'image' then {_sql(jobs.IMAGE_TEXT, **_VALUES)} else {_sql(jobs.PAGE_TEXT, **_VALUES)} end
+  when kind = 'page' and tables <> '' and native <> '' then {_sql(jobs.TABLES_TEXT, **_VALUES)}
+  when status = 'truncated' then case when kind = 'image' then {_sql(jobs.IMAGE_TEXT, **_CUT)} else {_sql(jobs.PAGE_TEXT, **_CUT)} end
+  when kind = 'page' then case when native <> '' then {_sql(jobs.NATIVE_TEXT, **_VALUES)} else {_sql(jobs.PAGE_LOST, **_VALUES)} end
+  else {_sql(jobs.IMAGE_LOST, **_VALUES)} end) as rendered_md5 from {_JOBS}""")
 def render_jobs(spark: SparkSession, d: str) -> DataFrame:
     """The text that stands for a job, by status and kind; failures stay visible."""
-    status = F.element_at(F.array(*[F.lit(s) for s in ("ok", "cached", "decorative", "truncated", "recitation", "blocked", "failed", "skipped")]), (F.col("doc_id") % 8 + 1).cast("int"))
-    j = docs(spark, d).select("doc_id", status.alias("status"), F.when(F.col("doc_id") % 3 == 0, "page").otherwise("image").alias("kind"), (F.col("doc_id") % 5 == 0).alias("captioned"), F.substring("text", 1, 12).alias("head"))
-    from .jobs import rendered
-
-    return j.select("doc_id", "status", rendered().alias("rendered"))
+    table(spark, d, "documents").createOrReplaceTempView("quire_documents")
+    j = spark.sql("select * from " + _JOBS.replace("from documents", "from quire_documents"))
+    return j.select("doc_id", "status", F.md5(jobs.rendered()).alias("rendered_md5"))
 
 
 @query("""
-with j as (select doc_id, 'ZZOCRZZ' || substring(sha1(text || 'image'), 1, 16) || 'ZZ' as token, substring(text, 1, 10) as head from documents)
-select source, string_agg('<' || j.head || '>', ' ' order by d.doc_id) as filled from documents d join j on d.doc_id = j.doc_id group by source""")
+with j as (select 'ZZOCRZZ' || substring(sha1(text || 'image'), 1, 16) || 'ZZ' as token, any_value(md5(text)) as put from documents group by 1),
+t as (select doc_id, source, 'ZZOCRZZ' || substring(sha1(text || 'image'), 1, 16) || 'ZZ' as token from book_docs)
+select source, string_agg('<' || case when doc_id % 10 = 0 then '' else j.put end || '>', ' ' order by doc_id) as filled from t join j on t.token = j.token group by source""")
 def substitute_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Placeholders in a book's text give way to their jobs' texts; unknown ones to nothing."""
-    from .jobs import substitute
-
-    df = docs(spark, d).withColumn("token", X.token(X.content_key(F.col("text"), F.lit("image"))))
-    jobs = df.groupBy("token").agg(F.min_by(F.substring("text", 1, 10), "doc_id").alias("text"))
-    books = df.groupBy("source").agg(F.listagg(F.concat(F.lit("<"), "token", F.lit(">")), F.lit(" ")).alias("unordered"), F.array_sort(F.collect_list(F.struct("doc_id", "token"))).alias("t"))
+    """Placeholders in a book's text give way to their jobs' texts, here hashes; unknown ones to nothing: every tenth is made unknown."""
+    df = docs(spark, d, "book_docs").select("doc_id", "source", X.token(X.content_key(F.col("text"), F.lit("image"))).alias("token"), F.md5("text").alias("text"))
+    done = df.groupBy("token").agg(F.first("text").alias("text"))
+    token = F.when(F.col("doc_id") % 10 == 0, F.lit("ZZOCRZZ" + "0" * 16 + "ZZ")).otherwise(F.col("token"))
+    books = df.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", token.alias("token")))).alias("t"))
     books = books.select("source", F.array_join(F.transform("t", lambda s: F.concat(F.lit("<"), s["token"], F.lit(">"))), " ").alias("text"))
-    return substitute(books, jobs, "source").withColumnRenamed("text", "filled")
-
-
-@query("select page_id, regexp_extract(html, '<title>([^<]*)', 1) as title, regexp_matches(lower(url), 'logo|icon|banner|spacer|bullet|rule|ornament|divider|border|blank|deco') as decorative, coalesce(nullif(lower(regexp_extract(url, '(\\.[A-Za-z0-9]+)(?:[?#].*)?$', 1)), ''), '') as suffix from pages")
-def decorative_rule(spark: SparkSession, d: str) -> DataFrame:
-    from .jobs import NAME_PATTERNS
-
-    name = F.lower("url")
-    deco = F.exists(F.array(*[F.lit(p) for p in NAME_PATTERNS]), lambda p: F.contains(name, p))
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), deco.alias("decorative"), F.lower(F.regexp_extract("url", r"(\.[A-Za-z0-9]+)(?:[?#].*)?$", 1)).alias("suffix"))
+    return jobs.substitute(books, done, "source").withColumnRenamed("text", "filled")
 
 
 @query("select page_id, regexp_extract(html, '<title>([^<]*)', 1) as title, cast(len(regexp_extract_all(html, '<a href=\"[^\"]*\">')) as bigint) as n_links from pages")

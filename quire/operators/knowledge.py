@@ -7,12 +7,15 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..dims import FALLBACK, SECTIONS, TOPIC_SECTIONS, TOPICS, sections, sql_list
+from ..dims import FALLBACK, LIBRARY, SECTIONS, TOPIC_SECTIONS, TOPICS, sql_list
 from ..functions import text as X
 from ..views import duck, table
 
 QUERIES, ORACLES = {}, {}
+#: fixed values: the grammar of entries: head and body, attributes of a head, a destination without its name
 ENTRY = r"(?s)<<<ENTRY[ \t]+([^\n]*?)[ \t]*>{1,3}[ \t]*\n(.*?)<<<END>{1,3}"
+ATTRIBUTE = r'(?U)(\w+)\s*=\s*"([^"]*)"'
+BARE_DEST = r'(?U)^\s*([A-Za-z][A-Za-z0-9_]*)\b"?'
 _SECTIONS_DUCK = f"(select unnest({SECTIONS}) as code, generate_subscripts({SECTIONS}, 1) - 1 as ord)"
 
 
@@ -44,19 +47,22 @@ def entry_texts(entries: DataFrame) -> DataFrame:
 
 
 def attribute(head: Column, name: str) -> Column:
-    return F.try_element_at(F.regexp_extract_all(head, F.lit(rf'{name}\s*=\s*"([^"]*)"'), F.lit(1)), F.lit(-1))
+    """The last value of an attribute of this very name; null if there is none."""
+    both = F.arrays_zip(F.regexp_extract_all(head, F.lit(ATTRIBUTE), F.lit(1)).alias("k"), F.regexp_extract_all(head, F.lit(ATTRIBUTE), F.lit(2)).alias("v"))
+    return F.try_element_at(F.filter(both, lambda s: s["k"] == name), F.lit(-1))["v"]
 
 
-def parse_entries_of(units: DataFrame) -> DataFrame:
+def parse_entries_of(units: DataFrame, keep_junk: bool = False) -> DataFrame:
     """(unit_id, pos, dest, title, replace, body) of the entries in raw texts; placeholders and empty bodies are junk and go."""
     found = F.arrays_zip(F.regexp_extract_all("raw", F.lit(ENTRY), F.lit(1)).alias("head"), F.regexp_extract_all("raw", F.lit(ENTRY), F.lit(2)).alias("body"))
     e = units.select("unit_id", F.posexplode(found).alias("pos", "e")).select("unit_id", F.col("pos").cast("long"), "e.head", "e.body")
-    dest = F.coalesce(attribute(F.col("head"), "dest"), F.regexp_extract("head", r"^(\w+)", 1))
-    e = e.select("unit_id", "pos", F.upper(F.trim(dest)).alias("dest"), F.coalesce(attribute(F.col("head"), "title"), F.lit("")).alias("title"), F.upper(F.trim(F.coalesce(attribute(F.col("head"), "replace"), F.lit("")))).alias("replace"), X.clean_body(F.col("body")).alias("body"))
-    return e.where("body <> '' and not contains(dest, 'PLACEHOLDER') and lower(title) <> 'placeholder'")
+    dest = F.coalesce(attribute(F.col("head"), "dest"), F.regexp_extract("head", BARE_DEST, 1))
+    of = lambda name: X.strip(F.coalesce(attribute(F.col("head"), name), F.lit("")))
+    e = e.select("unit_id", "pos", F.upper(X.strip(dest)).alias("dest"), of("title").alias("title"), F.upper(of("replace")).alias("replace"), X.clean_body(F.col("body")).alias("body"))
+    return e if keep_junk else e.where("body <> '' and not contains(dest, 'PLACEHOLDER') and lower(title) <> 'placeholder'")
 
 
-@query("select unit_id, cast(pos as bigint) as pos, dest, title, '' as \"replace\", md5(trim(body, ' ' || chr(10))) as body_md5 from (select *, row_number() over (partition by unit_id order by pos) - 1 as k from entries) where trim(body) <> ''")
+@query("select unit_id, cast(pos as bigint) as pos, dest, trim(title) as title, '' as \"replace\", md5(trim(body, ' ' || chr(10))) as body_md5 from (select *, row_number() over (partition by unit_id order by pos) - 1 as k from entries) where trim(body) <> ''")
 def parse_entries(spark: SparkSession, d: str) -> DataFrame:
     e = parse_entries_of(entry_texts(table(spark, d, "entries")))
     return e.select("unit_id", "pos", "dest", "title", "replace", F.md5("body").alias("body_md5"))
@@ -69,87 +75,160 @@ def entry_malformed(spark: SparkSession, d: str) -> DataFrame:
     return u.select("unit_id", n.alias("openings"), (n - F.size(F.regexp_extract_all("raw", F.lit(ENTRY), F.lit(1)))).cast("long").alias("malformed"))
 
 
+def verify_texts(ops: DataFrame) -> DataFrame:
+    """Raw texts (unit_id, raw) of change-sets in the grammar of entries, from the verify_ops view."""
+    n = F.format_string("E%02d", "ordinal")
+    head = (
+        F.when(F.col("op") == "replace", F.concat(F.lit('dest="'), "dest", F.lit('" title="'), "title", F.lit('" replace="'), n, F.lit('"')))
+        .when(F.col("op") == "delete", F.concat(F.lit('dest="DELETE" title="drop '), n, F.lit('"')))
+        .when(F.col("op") == "log", F.lit('dest="LOG" title="note"'))
+        .otherwise(F.concat(F.lit('dest="'), "dest", F.lit('" title="'), "title", F.lit('"')))
+    )
+    one = F.concat(F.lit("<<<ENTRY "), head, F.lit(">>>\n"), "body", F.lit("\n<<<END>>>"))
+    return ops.groupBy("unit_id").agg(ordered("raw", one, "\n", "pos"))
+
+
+#: fixed values: how a change-set names an entry
+NUMBERED = r"E(\d+)"
+
+
 def apply_changes(entries: DataFrame, ops: DataFrame) -> DataFrame:
-    """Entries (unit_id, pos, dest, title, body) after a change-set (unit_id, ordinal, op, body); ordinals count from 1.
+    """(unit_id, place, dest, title, body, state) of entries(unit_id, pos, dest, title, body) after the parsed entries of change-sets.
 
-    Deletion beats replacement; replacements out of range are dropped; additions follow in the order of their ordinals.
+    Entries are numbered from 1 in their units. Deletion beats replacement, the last replacement of an entry wins with its
+    own section and title, numbers out of range change nothing, additions follow in their order, and log entries do nothing.
     """
+    number = lambda c: F.nullif(F.regexp_extract(c, NUMBERED, 1), F.lit("")).try_cast("long")
     e = entries.withColumn("ordinal", F.row_number().over(W.partitionBy("unit_id").orderBy("pos")).cast("long"))
-    gone = ops.where("op = 'delete'").select("unit_id", "ordinal")
-    new = ops.where("op = 'replace'").groupBy("unit_id", "ordinal").agg(F.max("body").alias("new_body"))
+    change = ops.where("dest not in ('LOG', 'DELETE')")
+    gone = ops.where("dest = 'DELETE'").select("unit_id", number("title").alias("ordinal")).where("ordinal is not null").distinct()
+    new = change.where("replace <> ''").select("unit_id", number("replace").alias("ordinal"), "pos", "dest", "title", "body")
+    new = new.groupBy("unit_id", "ordinal").agg(F.max_by(F.struct("dest", "title", "body"), "pos").alias("new"))
     kept = e.join(gone, ["unit_id", "ordinal"], "left_anti").join(new, ["unit_id", "ordinal"], "left")
-    kept = kept.select("unit_id", "ordinal", "dest", F.coalesce("new_body", "body").alias("body"), F.when(F.col("new_body").isNotNull(), "corrected").otherwise("kept").alias("state"))
-    added = ops.where("op = 'add'").select("unit_id", (F.col("ordinal") + 10_000).alias("ordinal"), F.lit("C10").alias("dest"), "body", F.lit("added").alias("state"))
-    return kept.unionByName(added)
+    pick = [F.coalesce(F.col(f"new.{c}"), F.col(c)).alias(c) for c in ("dest", "title", "body")]
+    kept = kept.select("unit_id", F.lit(0).alias("a"), "ordinal", *pick, F.when(F.col("new").isNotNull(), "corrected").otherwise("kept").alias("state"))
+    added = change.where("replace = ''").select("unit_id", F.lit(1).alias("a"), F.col("pos").cast("long").alias("ordinal"), "dest", "title", "body", F.lit("added").alias("state"))
+    place = F.row_number().over(W.partitionBy("unit_id").orderBy("a", "ordinal")).cast("long")
+    return kept.unionByName(added).select("unit_id", place.alias("place"), "dest", "title", "body", "state")
 
 
-@query("""
-with e as (select unit_id, row_number() over (partition by unit_id order by pos) as ordinal, dest, body from entries),
-o as (select * from verify_ops), r as (select unit_id, ordinal, max(body) as nb from o where op = 'replace' group by all)
-select e.unit_id, cast(e.ordinal as bigint) as ordinal, dest, md5(coalesce(nb, e.body)) as body_md5, case when nb is not null then 'corrected' else 'kept' end as state from e left join r on e.unit_id = r.unit_id and e.ordinal = r.ordinal where not exists (select 1 from o where op = 'delete' and o.unit_id = e.unit_id and o.ordinal = e.ordinal)
-union all select unit_id, ordinal + 10000, 'C10', md5(body), 'added' from o where op = 'add'""")
+#: the entries of each unit after its change-set, in SQL over the views
+_CHANGED = """(with e as (select book_id, unit_id, row_number() over (partition by unit_id order by pos) as ordinal, dest, trim(title) as title, body from entries),
+o as (select * from verify_ops), r as (select unit_id, ordinal, arg_max(dest, pos) as dest, arg_max(title, pos) as title, arg_max(body, pos) as body from o where op = 'replace' group by all),
+k as (select e.book_id, e.unit_id, 0 as a, e.ordinal, coalesce(r.dest, e.dest) as dest, coalesce(r.title, e.title) as title, coalesce(r.body, e.body) as body, case when r.body is not null then 'corrected' else 'kept' end as state from e left join r on e.unit_id = r.unit_id and e.ordinal = r.ordinal where not exists (select 1 from o where op = 'delete' and o.unit_id = e.unit_id and o.ordinal = e.ordinal)),
+b as (select distinct unit_id, book_id from entries)
+select book_id, unit_id, row_number() over (partition by unit_id order by a, ordinal) as place, dest, title, body, state from (select * from k union all select b.book_id, o.unit_id, 1, pos, dest, title, body, 'added' from o join b on b.unit_id = o.unit_id where op = 'add'))"""
+
+
+def changed_entries(spark: SparkSession, d: str) -> DataFrame:
+    """(book_id, unit_id, place, dest, title, body, state): entries of raw texts after the change-sets of raw texts."""
+    raw = table(spark, d, "entries")
+    e = parse_entries_of(entry_texts(raw)).where("dest not in ('SUMMARY', 'LOG')")
+    out = apply_changes(e, parse_entries_of(verify_texts(table(spark, d, "verify_ops"))))
+    return out.join(raw.select("unit_id", "book_id").distinct(), "unit_id")
+
+
+@query(f"select unit_id, place, dest, title, md5(trim(body, ' ' || chr(10))) as body_md5, state from {_CHANGED}")
 def apply_verify(spark: SparkSession, d: str) -> DataFrame:
-    out = apply_changes(table(spark, d, "entries").select("unit_id", "pos", "dest", "body"), table(spark, d, "verify_ops"))
-    return out.select("unit_id", "ordinal", "dest", F.md5("body").alias("body_md5"), "state")
+    """Entries of raw texts after raw change-sets: parsed, numbered, deleted, replaced, added."""
+    return changed_entries(spark, d).select("unit_id", "place", "dest", "title", F.md5("body").alias("body_md5"), "state")
+
+
+def op_counts(ops: DataFrame) -> DataFrame:
+    """(unit_id, replaced, deleted, added) of parsed change-sets."""
+    other = ~F.col("dest").isin("DELETE", "LOG")
+    return ops.groupBy("unit_id").agg(F.count_if(F.col("replace") != "").alias("replaced"), F.count_if(F.col("dest") == "DELETE").alias("deleted"), F.count_if(other & (F.col("replace") == "")).alias("added"))
 
 
 @query("select unit_id, count(*) filter (op = 'replace') as replaced, count(*) filter (op = 'delete') as deleted, count(*) filter (op = 'add') as added from verify_ops group by unit_id")
 def verify_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "verify_ops").groupBy("unit_id").agg(F.count_if(F.col("op") == "replace").alias("replaced"), F.count_if(F.col("op") == "delete").alias("deleted"), F.count_if(F.col("op") == "add").alias("added"))
+    return op_counts(parse_entries_of(verify_texts(table(spark, d, "verify_ops"))))
 
 
-def fix_tags(body: Column, topics=tuple(TOPICS)) -> tuple[Column, Column]:
-    """(body with the condition codes of its tags lines cleaned, the codes removed)."""
+def fix_tags(body: Column, topics=tuple(TOPICS)) -> tuple[Column, Column, Column]:
+    """(body with the condition codes of its tags lines cleaned, the unknown codes removed, whether a condition is left).
+
+    A tags line may be indented and in any case; its words come out one space apart. Codes are lower case, each once a
+    word; without a vocabulary every code is known.
+    """
     lines = F.split(body, "\n")
-    is_tags = lambda line: F.lower(line).startswith("tags:")
-    codes = lambda w: F.array_distinct(F.transform(F.split(F.substring(w, 11, 1_000_000), ","), lambda c: F.lower(F.trim(c))))
-    good = lambda w: F.filter(codes(w), lambda c: c.isin(list(topics)))
+    is_tags = lambda line: F.lower(X.strip(line)).startswith("tags:")
+    pieces = lambda line: F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")
+    is_codes = lambda w: F.lower(w).startswith("condition:")
+    codes = lambda w: F.filter(F.transform(F.split(F.substring(w, 11, 1_000_000_000), ","), lambda c: F.lower(X.strip(c))), lambda c: c != "")
+    known = (lambda c: c.isin(list(topics))) if topics else (lambda c: F.lit(True))
+    good = lambda w: F.array_distinct(F.filter(codes(w), known))
 
     def fixed(line):
-        ws = F.filter(F.split(F.trim(line), r"\s+"), lambda w: w != "")
-        done = F.transform(ws, lambda w: F.when(w.startswith("condition:"), F.when(F.size(good(w)) > 0, F.concat(F.lit("condition:"), F.array_join(good(w), ",")))).otherwise(w))
+        done = F.transform(pieces(line), lambda w: F.when(~is_codes(w), w).when(F.size(good(w)) > 0, F.concat(F.lit("condition:"), F.array_join(good(w), ","))))
         return F.array_join(F.filter(done, lambda w: w.isNotNull()), " ")
 
+    tags = F.flatten(F.transform(F.filter(lines, is_tags), lambda x: F.filter(pieces(x), is_codes)))
     out = F.array_join(F.transform(lines, lambda x: F.when(is_tags(x), fixed(x)).otherwise(x)), "\n")
-    bad = F.flatten(F.transform(F.filter(lines, is_tags), lambda x: F.flatten(F.transform(F.filter(F.split(x, r"\s+"), lambda w: w.startswith("condition:")), lambda w: F.filter(codes(w), lambda c: ~c.isin(list(topics)) & (c != ""))))))
-    return out, F.array_distinct(bad)
+    bad = F.flatten(F.transform(tags, lambda w: F.filter(codes(w), lambda c: ~known(c))))
+    return out, bad, F.exists(tags, lambda w: F.size(good(w)) > 0)
 
 
 _A = "trim(substring('renal   diabetessop     general ', cast(1 + 8 * (unit_id % 4) as int), 8))"
 _B = "trim(substring('renal   diabetessop     general ', cast(1 + 8 * (pos % 4) as int), 8))"
 
 
-@query(f"select unit_id, pos, 'tags: type:principle condition:' || {_A} || case when {_A} <> {_B} then ',' || {_B} else '' end as tags, 'bogus' as removed from entries")
+@query(f"select unit_id, pos, 'tags: type:principle condition:' || {_A} || case when {_A} <> {_B} then ',' || {_B} else '' end as tags, 'bogus' as removed, true as has_condition from entries")
 def fix_condition_tags(spark: SparkSession, d: str) -> DataFrame:
-    fixed, removed = fix_tags(F.col("body"))
-    e = table(spark, d, "entries").select("unit_id", "pos", fixed.alias("f"), removed.alias("r"))
-    return e.select("unit_id", "pos", F.regexp_extract("f", "(?md)^(tags:.*)$", 1).alias("tags"), F.array_join("r", ",").alias("removed"))
+    """Tags lines cleaned; here they are indented and shouted first."""
+    body = F.regexp_replace("body", "(?md)^tags: type:principle  condition:", "  tags:   type:principle \tCondition:")
+    fixed, removed, has = fix_tags(body)
+    e = table(spark, d, "entries").select("unit_id", "pos", fixed.alias("f"), removed.alias("r"), has.alias("has_condition"))
+    return e.select("unit_id", "pos", F.regexp_extract("f", "(?md)^(tags:.*)$", 1).alias("tags"), F.array_join("r", ",").alias("removed"), "has_condition")
 
 
-@query(f"""
-with c as (select book_id, unit_id, pos, unnest([{_A}, {_B}]) as code, unnest([0, 1]) as k from entries where dest not in ('SUMMARY', 'LOG')), u as (select distinct book_id, unit_id, pos, code from c)
-select book_id, code, count(*) as n, min(unit_id * 1000 + pos) as first_pos from (select * from c union all select book_id, unit_id, pos, 'bogus', 2 from entries) group by book_id, code""")
+_AT = "(select book_id, unit_id, pos, unnest([{a}, {b}, 'bogus']) as code, unnest([0, 1, 2]) as k, dest from entries)".format(a=_A, b=_B)
+
+
+@query(f"select book_id, code, count(*) as n, arg_min(unit_id, row(unit_id, pos)) as first_unit, arg_min(pos, row(unit_id, pos)) as first_pos from {_AT} where dest in {sql_list(TOPIC_SECTIONS)} group by book_id, code")
 def topic_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Every condition code of a body counts, as often as it stands there; ties go by first place."""
+    """Every condition code of a body in a section that should carry topics counts, as often as it stands there; with the first place of each."""
     found = F.flatten(F.transform(F.regexp_extract_all("body", F.lit("condition:([a-z0-9_,]+)"), F.lit(1)), lambda s: F.split(s, ",")))
-    e = table(spark, d, "entries").where("dest not in ('SUMMARY', 'LOG')").select("book_id", (F.col("unit_id") * 1000 + F.col("pos")).alias("at"), F.explode(found).alias("code"))
-    return e.groupBy("book_id", "code").agg(F.count("*").alias("n"), F.min("at").alias("first_pos"))
+    e = table(spark, d, "entries").where(F.col("dest").isin(TOPIC_SECTIONS)).select("book_id", "unit_id", "pos", F.explode(found).alias("code"))
+    first = F.min(F.struct("unit_id", "pos"))
+    return e.groupBy("book_id", "code").agg(F.count("*").alias("n"), first.alias("f")).select("book_id", "code", "n", F.col("f.unit_id").alias("first_unit"), F.col("f.pos").alias("first_pos"))
+
 
+#: fixed value: the part of the entries in topic sections that should carry a topic
+TOPIC_SHARE = 0.5
 
-@query(f"select book_id, count(*) as useful, count(*) filter (contains(body, 'condition:renal')) as tagged, count(*) filter (contains(body, 'condition:renal')) < 0.5 * count(*) as alarm from entries where dest in {sql_list(TOPIC_SECTIONS)} group by book_id")
+
+def coverage(entries: DataFrame) -> DataFrame:
+    """(book_id, useful, tagged, alarm) of entries(book_id, code, has_condition) in the sections that should carry topics."""
+    e = entries.where(F.col("code").isin(TOPIC_SECTIONS))
+    tagged = F.count_if("has_condition")
+    return e.groupBy("book_id").agg(F.count("*").alias("useful"), tagged.alias("tagged"), (tagged < TOPIC_SHARE * F.count("*")).alias("alarm"))
+
+
+@query(f"select book_id, count(*) as useful, count(*) filter (pos % 3 > 0) as tagged, count(*) filter (pos % 3 > 0) < 0.5 * count(*) as alarm from entries where dest in {sql_list(TOPIC_SECTIONS)} group by book_id")
 def topic_coverage(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "entries").where(F.col("dest").isin(TOPIC_SECTIONS))
-    tagged = F.count_if(F.contains("body", F.lit("condition:renal")))
-    return e.groupBy("book_id").agg(F.count("*").alias("useful"), tagged.alias("tagged"), (tagged < 0.5 * F.count("*")).alias("alarm"))
+    """How many entries of topic sections carry a known topic; here every third has unknown ones only."""
+    body = F.when(F.col("pos") % 3 == 0, F.regexp_replace("body", "condition:[a-z,]+", "condition:bogus")).otherwise(F.col("body"))
+    return coverage(table(spark, d, "entries").select("book_id", F.col("dest").alias("code"), fix_tags(body)[2].alias("has_condition")))
+
+
+def one_of_each_term(entries: DataFrame, glossary: str = "C05") -> DataFrame:
+    """entries(book_id, code, place columns `at`, title, body) where of the glossary's with one title the longest stays, the first of equals."""
+    term = F.lower(X.strip(F.col("title")))
+    g = entries.where(F.col("code") == glossary).withColumn("__term", term)
+    cols = [c for c in entries.columns if c != "book_id"]
+    best = g.groupBy("book_id", "__term").agg(F.max_by(F.struct(*cols), F.struct(F.length("body"), -F.col("at"))).alias("r"))
+    return entries.where(F.col("code") != glossary).unionByName(best.select("book_id", "r.*").select(*entries.columns))
 
 
 @query("""
-select book_id, lower(trim(title)) as term, arg_max(unit_id * 1000 + pos, length(body) * 1000000000 - (unit_id * 1000 + pos)) as kept, cast(max(length(body)) as bigint) as n_chars, count(*) as copies from entries group by book_id, lower(trim(title))""")
+with g as (select *, lower(trim(title)) as term, row_number() over (partition by book_id, lower(trim(title)) order by length(body) desc, unit_id, pos) as rn, count(*) over (partition by book_id, lower(trim(title))) as copies from (select book_id, unit_id, pos, substring(trim(title), 1, 3) as title, body from entries))
+select book_id, term, unit_id, pos, cast(length(body) as bigint) as n_chars, copies from g where rn = 1""")
 def glossary_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Of entries with one title the longest body stays, the first of equals; partial aggregates, no window over a hot title."""
-    at = F.col("unit_id") * 1000 + F.col("pos")
-    e = table(spark, d, "entries").withColumn("term", F.lower(F.trim("title")))
-    return e.groupBy("book_id", "term").agg(F.max_by(at, F.length("body").cast("long") * 1_000_000_000 - at).alias("kept"), F.max(F.length("body")).cast("long").alias("n_chars"), F.count("*").alias("copies"))
+    """Of entries with one title the longest body stays, the first of equals; partial aggregates, no window over a hot title. Here all are terms, of three letters."""
+    e = table(spark, d, "entries").withColumn("title", F.substring(X.strip(F.col("title")), 1, 3)).withColumn("term", F.lower(X.strip(F.col("title"))))
+    best = F.max_by(F.struct("unit_id", "pos", F.length("body").cast("long").alias("n_chars")), F.struct(F.length("body"), -F.col("unit_id"), -F.col("pos")))
+    return e.groupBy("book_id", "term").agg(best.alias("r"), F.count("*").alias("copies")).select("book_id", "term", "r.unit_id", "r.pos", "r.n_chars", "copies")
 
 
 def identified(entries: DataFrame, abbr: str = "BK") -> DataFrame:
@@ -163,13 +242,6 @@ def entry_ids(spark: SparkSession, d: str) -> DataFrame:
     return identified(table(spark, d, "entries").drop("body")).select("book_id", "unit_id", "pos", "id")
 
 
-@query(f"select s.code, cast(s.ord as int) as ord, count(e.dest) as n from {_SECTIONS_DUCK} s left join (select dest from entries where book_id = 1) e on e.dest = s.code group by s.code, s.ord")
-def section_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of every section of book 1, zeros included, as its SQL asks; `book_section_counts` has all books."""
-    e = table(spark, d, "entries").where("book_id = 1").groupBy(F.col("dest").alias("code")).agg(F.count("*").alias("n"))
-    return F.broadcast(sections(spark)).join(e, "code", "left").select("code", "ord", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-
-
 def by_section(entries: DataFrame) -> DataFrame:
     """(book_id, code, ord, n): entries of every section of every book, zeros included; unknown sections count as the fallback."""
     code = F.when(F.col("dest").isin(SECTIONS), F.col("dest")).otherwise(F.lit(FALLBACK))
@@ -180,7 +252,7 @@ def by_section(entries: DataFrame) -> DataFrame:
 @query(f"""
 with b as (select distinct book_id from entries)
 select b.book_id, s.code, cast(s.ord as int) as ord, count(e.dest) as n from b cross join {_SECTIONS_DUCK} s left join entries e on e.book_id = b.book_id and e.dest = s.code group by b.book_id, s.code, s.ord""")
-def book_section_counts(spark: SparkSession, d: str) -> DataFrame:
+def section_counts(spark: SparkSession, d: str) -> DataFrame:
     return by_section(table(spark, d, "entries"))
 
 
@@ -203,16 +275,28 @@ def render_section(spark: SparkSession, d: str) -> DataFrame:
     return every.join(g, ["book_id", "code"], "left").select("book_id", "code", F.md5(text).alias("rendered_md5"))
 
 
-@query("""
-with p as (select book_id, unit_id, dest as domain, title from entries where pos = 0),
-d1 as (select book_id, domain, min(unit_id) as k from p group by all)
-select p.book_id, arg_min(title, unit_id) as title, (select string_agg(domain, '|' order by k) from d1 where d1.book_id = p.book_id) as domains, count(*) as parts from p group by p.book_id""")
+_CODE = "case when dest in ('C01', 'C02') then 'general' else lower(dest) end"
+
+
+@query(f"""
+with p as (select book_id, unit_id, row_number() over (partition by book_id order by unit_id) as part, trim(title) as title, {_CODE} as domain, {_A} as c, {_B} as s, 1 + unit_id % 3 as units from (select * from entries where pos = 0)),
+d as (select book_id, domain, min(part) as k from p group by all), c as (select book_id, c, min(part) as k from p group by all), s as (select book_id, s, min(part) as k from p where not exists (select 1 from c where c.book_id = p.book_id and c.c = p.s) group by all),
+i as (select book_id, 'i' || unit_id % 4 as x, min(part) as k from p group by all), u as (select book_id, part, units, cast(sum(units) over (partition by book_id order by part) - units as bigint) as before from p), n as (select book_id, count(*) as n, arg_min(title, part) filter (title <> '') as thesis from p group by book_id),
+r as (select book_id, before, part, 'see U' || lpad(cast(before + 1 as string), cast(greatest(2, length(cast(before + 1 as string))) as int), '0') || ' and U09' as x from u)
+select n.book_id, n.n as parts, coalesce(n.thesis, '') as thesis, (select string_agg(domain, '|' order by k) from d where d.book_id = n.book_id and (domain <> 'general' or not exists (select 1 from d e where e.book_id = n.book_id and e.domain <> 'general'))) as domains,
+  (select string_agg(c, '|' order by k) from c where c.book_id = n.book_id) as conditions, coalesce((select string_agg(s, '|' order by k) from s where s.book_id = n.book_id), '') as secondary, (select string_agg(x, '; ' order by k) from i where i.book_id = n.book_id) as interests,
+  (select cast(sum(units) as bigint) from u where u.book_id = n.book_id) as units, (select string_agg(x, '|' order by k) from (select x, min(part) as k from r where r.book_id = n.book_id group by x)) as items
+from n where n.n > 1""")
 def map_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of a book's map: the first part's title wins, domains are united in order of first mention."""
-    p = table(spark, d, "entries").where("pos = 0").select("book_id", "unit_id", "dest", "title")
-    first = p.groupBy("book_id", "dest").agg(F.min("unit_id").alias("k"))
-    domains = first.groupBy("book_id").agg(ordered("domains", "dest", "|", "k"))
-    return p.groupBy("book_id").agg(F.min_by("title", "unit_id").alias("title"), F.count("*").alias("parts")).join(domains, "book_id")
+    """The maps of a book's parts merged by all rules; here each conversation is a part with one to three units."""
+    p = table(spark, d, "entries").where("pos = 0")
+    units = F.transform(F.sequence(F.lit(1).cast("long"), 1 + F.col("unit_id") % 3), lambda k: F.struct(F.format_string("U%02d", k).alias("id")))
+    one = F.struct(X.strip(F.col("title")).alias("thesis"), F.array(F.expr(_CODE)).alias("domains"), F.array(F.expr(_A)).alias("conditions"), F.array(F.expr(_B)).alias("conditions_secondary"), F.concat(F.lit(" i"), (F.col("unit_id") % 4).cast("string")).alias("commercial_interests"), units.alias("units"), F.array(F.lit("see U01 and U09")).alias("cross_unit_items"))
+    m = merge_maps(p.select("book_id", F.col("unit_id").alias("part"), F.to_json(one).alias("map")))
+    kind = "thesis string, domains array<string>, conditions array<string>, conditions_secondary array<string>, commercial_interests string, cross_unit_items array<string>, units array<struct<id:string>>, _map_parts long"
+    m = m.select("book_id", F.from_json("map", kind).alias("m")).where("m._map_parts > 1")
+    of = lambda c: F.array_join(f"m.{c}", "|")
+    return m.select("book_id", F.col("m._map_parts").alias("parts"), "m.thesis", of("domains").alias("domains"), of("conditions").alias("conditions"), of("conditions_secondary").alias("secondary"), F.col("m.commercial_interests").alias("interests"), F.size("m.units").cast("long").alias("units"), of("cross_unit_items").alias("items"))
 
 
 #: fixed values: keys of a map by how its parts are merged
@@ -268,35 +352,78 @@ def merge_maps(parts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "book_id long, map string")
 
 
-@query("""
-with s as (select book_id, sum(length(body)) as a, sum(case when starts_with(dest, 'L') then 0 else length(body) end) as b, sum(least(length(body), 100) + case when length(body) > 100 then 6 else 0 end) as c, sum(least(length(body), 40) + case when length(body) > 40 then 6 else 0 end) as d from entries group by book_id)
-select book_id, case when a <= 60000 then 'full' when b <= 60000 then 'core' when c <= 60000 then 'cut100' when d <= 60000 then 'cut40' else 'hard' end as plan, cast(least(case when a <= 60000 then a when b <= 60000 then b when c <= 60000 then c else d end, 60000) as bigint) as n_chars from s""")
+#: fixed values: how entries are cut until a synthesis has room for them, with what is told of it; the mark of a cut
+CUTS = [
+    (True, 0, "completas"),
+    (False, 0, "sin los catálogos L1-L5 (no cabían)"),
+    (False, 2500, "sin catálogos y acortadas a 2,500 caracteres (no cabían)"),
+    (False, 1000, "sin catálogos y acortadas a 1,000 caracteres (no cabían)"),
+]
+HARD_CUT, CUT_MARK = "recortadas al máximo (no cabían)", " [...]"
+
+
+def material(entries: DataFrame, most: Column | int, per_char: int = 1) -> DataFrame:
+    """(book_id, note, n_chars, text) of entries(book_id, unit_id, unit_title, place, dest, title, body): the first of ever shorter renderings with room in `most` characters.
+
+    Sizes are added up before any text is gathered, and only the chosen rendering is made; if none fits, the shortest is
+    cut. Each unit has its heading, entries of no section don't count. per_char: what a character counts.
+    """
+    most = F.lit(most) if isinstance(most, int) else most
+    e = entries.where(F.col("dest").isin(SECTIONS)).withColumn("library", F.col("dest").startswith("L"))
+    n = F.length("body")
+    head = F.length("dest") + F.length("title") + 4
+    size = lambda cut: head + (F.when(n > cut, cut + len(CUT_MARK)).otherwise(n) if cut else n) + 2
+    sums = [F.sum(F.when(F.col("library") & (not keep), 0).otherwise(size(cut))).alias(f"s{i}") for i, (keep, cut, _) in enumerate(CUTS)]
+    units = entries.groupBy("book_id", "unit_id").agg(F.first("unit_title").alias("unit_title"))
+    heads = units.groupBy("book_id").agg(F.sum(F.length(F.concat(F.lit("## "), "unit_id", F.lit(" — "), "unit_title")) + 4).alias("heads"))
+    s = heads.join(e.groupBy("book_id").agg(*sums), "book_id", "left")
+    total = [((F.col("heads") + F.coalesce(f"s{i}", F.lit(0)) - 2) * per_char).cast("long") for i in range(len(CUTS))]
+    level = F.lit(len(CUTS))
+    for i in range(len(CUTS) - 1, -1, -1):
+        level = F.when(total[i] <= most, i).otherwise(level)
+    s = s.select("book_id", level.alias("level"), most.alias("most"))
+    e = e.join(s, "book_id").where(~F.col("library") | (F.col("level") == 0))
+    cut = F.when(F.col("level") == 2, CUTS[2][1]).when(F.col("level") >= 3, CUTS[3][1])
+    body = F.when(n > cut, F.concat(F.substring("body", F.lit(1), cut), F.lit(CUT_MARK))).otherwise(F.col("body"))
+    rows = e.select("book_id", "unit_id", F.lit(1).alias("a"), F.col("place").cast("long").alias("place"), F.concat(F.lit("["), "dest", F.lit("] "), "title", F.lit("\n"), body).alias("t"))
+    around = units.select("book_id", "unit_id", F.explode(F.array(F.struct(F.lit(0).alias("a"), F.lit(0).cast("long").alias("place"), F.concat(F.lit("## "), "unit_id", F.lit(" — "), "unit_title").alias("t")), F.struct(F.lit(2).alias("a"), F.lit(0).cast("long").alias("place"), F.lit("").alias("t")))).alias("r")).select("book_id", "unit_id", "r.*")
+    text = rows.unionByName(around).groupBy("book_id").agg(ordered("text", "t", "\n\n", "unit_id", "a", "place")).join(s, "book_id")
+    note = F.element_at(F.array(*[F.lit(x) for *_, x in CUTS], F.lit(HARD_CUT)), F.col("level") + 1)
+    text = text.withColumn("text", F.when(F.col("level") == len(CUTS), F.substring("text", F.lit(1), F.floor(F.col("most") / per_char).cast("int"))).otherwise(F.col("text")))
+    return text.select("book_id", note.alias("note"), F.length("text").cast("long").alias("n_chars"), "text")
+
+
+_LIMIT = "cast((15000 + 9000 * (book_id % 4)) as bigint)"
+
+
+def _rendering(keep: bool, cut: int) -> str:
+    body = f"case when length(body) > {cut} then substring(body, 1, {cut}) || ' [...]' else body end" if cut else "body"
+    return f"select book_id, string_agg(t, chr(10) || chr(10) order by unit_id, a, pos) as t from (select book_id, unit_id, 1 as a, pos, '[' || dest || '] ' || title || chr(10) || {body} as t from x where {'true' if keep else 'dest not in ' + str(tuple(LIBRARY))} union all select distinct book_id, unit_id, 0, 0, '## ' || unit_id || ' — T' || unit_id from x union all select distinct book_id, unit_id, 2, 0, '' from x) group by book_id"
+
+
+@query(f"""
+with x as (select book_id, unit_id, pos, dest, trim(title) as title, repeat(body, 4) as body from entries), a as ({_rendering(True, 0)}), b as ({_rendering(False, 0)}), c as ({_rendering(False, 2500)}), e as ({_rendering(False, 1000)}),
+j as (select a.book_id, {_LIMIT.replace("book_id", "a.book_id")} as most, a.t as a, b.t as b, c.t as c, e.t as e from a join b on a.book_id = b.book_id join c on a.book_id = c.book_id join e on a.book_id = e.book_id),
+p as (select book_id, case when length(a) <= most then '{CUTS[0][2]}' when length(b) <= most then '{CUTS[1][2]}' when length(c) <= most then '{CUTS[2][2]}' when length(e) <= most then '{CUTS[3][2]}' else '{HARD_CUT}' end as note, case when length(a) <= most then a when length(b) <= most then b when length(c) <= most then c when length(e) <= most then e else substring(e, 1, most) end as t from j)
+select book_id, note, cast(length(t) as bigint) as n_chars, md5(t) as text_md5 from p""")
 def budget_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """The first of ever shorter renderings that fits a budget, from their sizes alone."""
-    n, most = F.length("body"), 60_000
-    cut = lambda k: F.sum(F.least(n, F.lit(k)) + F.when(n > k, 6).otherwise(0))
-    s = table(spark, d, "entries").groupBy("book_id").agg(F.sum(n).alias("a"), F.sum(F.when(F.col("dest").startswith("L"), 0).otherwise(n)).alias("b"), cut(100).alias("c"), cut(40).alias("d"))
-    fits = lambda x: F.col(x) <= most
-    plan = F.when(fits("a"), "full").when(fits("b"), "core").when(fits("c"), "cut100").when(fits("d"), "cut40").otherwise("hard")
-    size = F.when(fits("a"), F.col("a")).when(fits("b"), F.col("b")).when(fits("c"), F.col("c")).otherwise(F.col("d"))
-    return s.select("book_id", plan.alias("plan"), F.least(size, F.lit(most)).cast("long").alias("n_chars"))
+    """The first of ever shorter renderings of a book's entries that fits its budget; here bodies stand four times, and books have budgets of their own."""
+    e = table(spark, d, "entries").select("book_id", "unit_id", F.concat(F.lit("T"), "unit_id").alias("unit_title"), F.col("pos").alias("place"), "dest", X.strip(F.col("title")).alias("title"), F.expr("repeat(body, 4)").alias("body"))
+    out = material(e, F.expr(_LIMIT))
+    return out.select("book_id", "note", "n_chars", F.md5("text").alias("text_md5"))
 
 
-@query("""
-with o as (select unit_id, count(distinct ordinal) filter (op = 'delete') as deleted, count(*) filter (op = 'add') as added from verify_ops group by unit_id)
-select e.book_id, count(*) as entries, cast(coalesce(sum(o.deleted) filter (e.pos = 0), 0) as bigint) as deleted, cast(coalesce(sum(o.added) filter (e.pos = 0), 0) as bigint) as added from entries e left join o on o.unit_id = e.unit_id group by e.book_id""")
-def assembly_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Deletions count by distinct ordinal, even out of range."""
-    o = table(spark, d, "verify_ops").groupBy("unit_id").agg(F.count_distinct(F.when(F.col("op") == "delete", F.col("ordinal"))).alias("deleted"), F.count_if(F.col("op") == "add").alias("added"))
-    e = table(spark, d, "entries").groupBy("book_id", "unit_id").agg(F.count("*").alias("n"))
-    e = e.join(o, "unit_id", "left")
-    return e.groupBy("book_id").agg(F.sum("n").alias("entries"), F.coalesce(F.sum("deleted"), F.lit(0)).cast("long").alias("deleted"), F.coalesce(F.sum("added"), F.lit(0)).cast("long").alias("added"))
+def numbered(entries: DataFrame) -> DataFrame:
+    """(unit_id, text): the entries of a unit as a change-set's request shows them, numbered from 1; entries(unit_id, pos, dest, title, body)."""
+    n = F.row_number().over(W.partitionBy("unit_id").orderBy("pos"))
+    one = F.concat(F.format_string("[E%02d] <<<ENTRY dest=\"", "n"), "dest", F.lit('" title="'), "title", F.lit('">>>\n'), "body", F.lit("\n<<<END>>>"))
+    return entries.withColumn("n", n).groupBy("unit_id").agg(ordered("text", one, "\n\n", "n"))
 
 
-@query("select unit_id, format('[E{:02d}] <<<ENTRY', row_number() over (partition by unit_id order by pos)) || ' dest=\"' || dest || '\">>>' as numbered, pos from entries")
+@query("select unit_id, md5(string_agg(format('[E{:02d}] <<<ENTRY', n) || ' dest=\"' || dest || '\" title=\"' || title || '\">>>' || chr(10) || body || chr(10) || '<<<END>>>', chr(10) || chr(10) order by n)) as text_md5, count(*) as n from (select *, row_number() over (partition by unit_id order by pos) as n from entries) group by unit_id")
 def numbered_entries(spark: SparkSession, d: str) -> DataFrame:
-    n = F.row_number().over(W.partitionBy("unit_id").orderBy("pos"))
-    return table(spark, d, "entries").select("unit_id", F.concat(F.format_string("[E%02d] <<<ENTRY", n), F.lit(' dest="'), "dest", F.lit('">>>')).alias("numbered"), "pos")
+    e = table(spark, d, "entries")
+    return numbered(e).join(e.groupBy("unit_id").agg(F.count("*").alias("n")), "unit_id").select("unit_id", F.md5("text").alias("text_md5"), "n")
 
 
 @query("""
@@ -319,10 +446,3 @@ def pending_units(spark: SparkSession, d: str) -> DataFrame:
 def low_yield(spark: SparkSession, d: str) -> DataFrame:
     chars = F.sum(F.length("body"))
     return table(spark, d, "entries").groupBy("unit_id").agg(F.count("*").alias("n"), chars.alias("chars"), (F.count("*") < F.greatest(F.lit(2), F.floor(F.floor(chars / 4) / 3000))).alias("low_yield"))
-
-
-@query("select book_id, '{\"archivo\":\"b' || book_id || '.md\",\"nivel\":null,\"temas\":[' || string_agg('\"' || dest || '\"', ',' order by dest) || ']}' as record from (select distinct book_id, dest from entries where starts_with(dest, 'L')) group by book_id")
-def index_json(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "entries").where(F.col("dest").startswith("L")).groupBy("book_id").agg(F.array_sort(F.collect_set("dest")).alias("temas"))
-    record = F.to_json(F.struct(F.format_string("b%d.md", "book_id").alias("archivo"), F.lit(None).cast("string").alias("nivel"), "temas"), {"ignoreNullFields": "false"})
-    return e.select("book_id", record.alias("record"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..dims import SECTIONS, TOPICS, sql_list
+from ..dims import TOPICS, sql_list
 from ..functions import text as X
 from ..views import duck, table
-from .jobs import FATAL, RETRYABLE, pending
-from .knowledge import _A, _B, ordered
+from .jobs import FATAL, RETRYABLE, finished, override, pending
+from .knowledge import _A, _B
 
 QUERIES, ORACLES = {}, {}
 #: fixed values: states that a job doesn't leave by itself; the state of one that a stopped program left
@@ -181,14 +181,6 @@ def fan_out_results(spark: SparkSession, d: str) -> DataFrame:
     return fan_out(jobs.select("doc_id", "key"), done)
 
 
-def override(jobs: DataFrame, again: DataFrame, columns=("status", "text")) -> DataFrame:
-    """Results of a second try take the place of the first ones, for the keys that have one."""
-    new = again.select("key", F.lit(True).alias("__again"), *[F.col(c).alias(f"__{c}") for c in columns])
-    both = jobs.join(new, "key", "left")
-    keep = [c for c in jobs.columns if c not in columns]
-    return both.select(*keep, *[F.when(F.col("__again"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in columns])
-
-
 @query("""
 with k as (select doc_id, sha1(text || doc_id) as key, case when doc_id % 4 = 0 then '[DECORATIVE]' else source end as text, doc_id % 3 = 0 as captioned from documents)
 select doc_id, case when text = '[DECORATIVE]' and captioned then case when doc_id % 5 = 0 then 'failed' else 'ok' end else 'ok' end as status, case when text = '[DECORATIVE]' and captioned then case when doc_id % 5 = 0 then null else 'forced' end else text end as text from k""")
@@ -222,27 +214,3 @@ def resume_plan(spark: SparkSession, d: str) -> DataFrame:
     wanted = F.explode(F.transform(F.array(*[F.lit(x) for x in ("u0", "U3 ", "u7", "u99999")]), lambda u: F.upper(F.trim(u))))
     plan = e.select("book_id").distinct().select("book_id", wanted.alias("unit")).join(units, ["book_id", "unit"], "left")
     return plan.select("book_id", "unit", F.when(F.col("done").isNull(), "unknown").when(F.col("done") == 1, "done").otherwise("to do").alias("state"))
-
-
-_SECTIONS = f"(select unnest({SECTIONS}) as code, generate_subscripts({SECTIONS}, 1) as ord)"
-
-
-@query(f"""
-with b as (select book_id, count(*) as n, count(*) filter (title = '') as bad from entries group by book_id), c as (select book_id, dest, count(*) as n from entries group by 1, 2),
-r as (select book_id, 0 as a, 0 as o, 'REPORTE DE EXTRACCIÓN' as line from b union all select book_id, 1, 0, 'Entradas   : ' || n from b union all select book_id, 2, 0, 'Por sección:' from b
-  union all select b.book_id, 3, s.ord, '   ' || s.code || ' ' || coalesce(c.n, 0) from b cross join {_SECTIONS} s left join c on c.book_id = b.book_id and c.dest = s.code
-  union all select book_id, 4, 0, 'AVISOS (' || bad || ')' from b union all select book_id, 5, 0, 'BITÁCORA (LOG)' from b union all select book_id, 6, unit_id * 1000 + pos, '[' || unit_id || '] ' || title from entries where pos = 0)
-select book_id, count(*) as lines, md5(string_agg(line, chr(10) order by a, o)) as report_md5 from r group by book_id""")
-def report_text(spark: SparkSession, d: str) -> DataFrame:
-    """The report of a book: counts, sections (empty ones too), warnings, log. Entries are counted before any line is made."""
-    e = table(spark, d, "entries").select("book_id", "unit_id", "pos", "dest", "title")
-    c = e.groupBy("book_id", "dest").agg(F.count("*").alias("n"), F.count_if(F.col("title") == "").alias("bad"))
-    b = c.groupBy("book_id").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.map_from_entries(F.collect_list(F.struct("dest", "n"))).alias("by"))
-    row = lambda a, o, line: F.struct(F.lit(a).alias("a"), F.lit(o).cast("long").alias("o"), line.alias("line"))
-    size = lambda code: F.coalesce(F.try_element_at("by", F.lit(code)), F.lit(0)).cast("string")
-    fixed = [row(0, 0, F.lit("REPORTE DE EXTRACCIÓN")), row(1, 0, F.concat(F.lit("Entradas   : "), F.col("n").cast("string"))), row(2, 0, F.lit("Por sección:"))]
-    fixed += [row(3, k, F.concat(F.lit(f"   {code} "), size(code))) for k, code in enumerate(SECTIONS, 1)]
-    fixed += [row(4, 0, F.concat(F.lit("AVISOS ("), F.col("bad").cast("string"), F.lit(")"))), row(5, 0, F.lit("BITÁCORA (LOG)"))]
-    log = e.where("pos = 0").select("book_id", F.lit(6).alias("a"), (F.col("unit_id") * 1000 + F.col("pos")).alias("o"), F.concat(F.lit("["), F.col("unit_id").cast("string"), F.lit("] "), "title").alias("line"))
-    lines = b.select("book_id", F.explode(F.array(*fixed)).alias("r")).select("book_id", "r.*").unionByName(log)
-    return lines.groupBy("book_id").agg(F.count("*").alias("lines"), F.md5(ordered("t", "line", "\n", "a", "o")).alias("report_md5"))

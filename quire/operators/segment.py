@@ -5,68 +5,30 @@ from __future__ import annotations
 from bisect import bisect_left
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window as W, functions as F
-
-
-def book_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Books of a table of contents and chapters from documents: lines (source, i, at, line) that may start a unit, and units (source, k, start).
-
-    Only heading lines take part in locating, and which of them are contents is given; text is reduced to its length first.
-    `locate_texts` searches all lines of whole texts.
-    """
-    by = W.partitionBy("source").orderBy("doc_id")
-    h = docs.select("source", "doc_id", F.length("text").alias("n"), F.row_number().over(by).alias("k"))
-    h = h.withColumn("start", F.concat(F.lit("# Chapter "), "k"))
-    upto = W.partitionBy("source").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy("source")
-    size = F.length("start") + 1
-    contents = F.struct(F.coalesce(F.sum(size).over(upto), F.lit(0)).alias("at"), F.lit(True).alias("toc"), F.lit(0).cast("long").alias("n"))
-    chapter = F.struct((F.sum(size).over(whole) + F.coalesce(F.sum(size + 1 + F.col("n")).over(upto), F.lit(0))).alias("at"), F.lit(False).alias("toc"), F.col("n").cast("long").alias("n"))
-    both = h.select("source", F.col("start").alias("line"), contents.alias("c"), chapter.alias("h"))
-    lines = both.select("source", "line", F.explode(F.array("c", "h")).alias("x")).select("source", "line", "x.at", "x.toc", (F.col("x.at") + F.length("line") + 1 + F.col("x.n")).alias("stop"))
-    return lines, h.select("source", "k", "start")
-
-
-def locate(lines: DataFrame, units: DataFrame) -> DataFrame:
-    """Each unit's half-open span: the first line after the previous hit that equals its start and isn't beside other starts.
-
-    The search goes on from hit to hit, so the candidates of a book (heading lines only) are folded in order; the first
-    unit found begins at 0, the last ends with the book.
-    """
-    both = units.join(lines.withColumnRenamed("line", "start"), ["source", "start"]).select("source", "k", "at", "toc", "stop")
-    got = both.groupBy("source", "k").agg(F.array_sort(F.collect_list(F.struct("at", "toc", "stop"))).alias("hits"))
-    book = got.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "hits"))).alias("u"))
-    none = F.expr("cast(null as struct<at:bigint,toc:boolean,stop:bigint>)")
-
-    def step(acc, u):
-        later = F.filter(u["hits"], lambda h: h["at"] > acc["at"])
-        hit = F.coalesce(F.try_element_at(F.filter(later, lambda h: ~h["toc"]), F.lit(1)), F.try_element_at(later, F.lit(1)), none)
-        skipped = F.coalesce(F.try_element_at(later, F.lit(1))["toc"], F.lit(False)) & ~F.coalesce(hit["toc"], F.lit(True))
-        row = F.struct(u["k"].alias("k"), hit["at"].alias("at"), hit["stop"].alias("stop"), skipped.alias("toc_skipped"))
-        return F.struct(F.coalesce(hit["at"], acc["at"]).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    start = F.struct(F.lit(-1).cast("long").alias("at"), F.expr("cast(array() as array<struct<k:int,at:bigint,stop:bigint,toc_skipped:boolean>>)").alias("out"))
-    rows = book.select("source", F.explode(F.aggregate("u", start, step, lambda acc: acc["out"])).alias("r")).select("source", "r.*").where("at is not null")
-    w = W.partitionBy("source").orderBy("at")
-    name = F.concat(F.lit("U"), F.lpad(F.col("k").cast("string"), F.greatest(F.lit(2), F.length(F.col("k").cast("string"))), F.lit("0")))
-    return rows.select("source", name.alias("unit_id"), F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.col("at")).cast("long").alias("a"), F.coalesce(F.lead("at").over(w), "stop").cast("long").alias("b"), "toc_skipped")
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 #: fixed values: neighbours on each side of a line that are looked at, and how many other starts among them tell a table of contents
 TOC_NEIGHBOURS, TOC_HITS = 3, 2
 
 
+#: fixed values: what ends the last unit; characters of a content unit that is nearly empty
+END_OF_BOOK, TINY_CHARS = "(end of book)", 400
+#: lines between the contents and the chapters of the derived books, and after each chapter's text
+FRONT, TAIL = "front a\nfront b\nfront c", "end a\nend b\nend c"
+
+
 def chapter_books(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Books (source, text) of a table of contents and the documents of a source as chapters, and their units (source, k, start)."""
     h = docs.select("source", "text", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("k")).withColumn("start", F.concat(F.lit("# Chapter "), "k"))
     rows = h.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "start", F.coalesce("text", F.lit("")).alias("text")))).alias("r"))
     contents = F.array_join(F.transform("r", lambda x: x["start"]), "\n")
-    chapters = F.array_join(F.transform("r", lambda x: F.concat(x["start"], F.lit("\n"), x["text"])), "\n")
-    return rows.select("source", F.concat(contents, F.lit("\n"), chapters).alias("text")), h.select("source", "k", "start")
+    chapters = F.array_join(F.transform("r", lambda x: F.concat(x["start"], F.lit("\n"), x["text"], F.lit("\n" + TAIL))), "\n")
+    return rows.select("source", F.concat_ws("\n", contents, F.lit(FRONT), chapters).alias("text")), h.select("source", "k", "start")
 
 
-def unit_spans(text: str, starts: list[str]) -> list[tuple[int, int, int, bool]]:
-    """(place in starts, a, b, contents skipped) of the units found in a book, in order.
+def unit_spans(text: str, starts: list[str], skip_contents: bool = True) -> list[tuple[int, int, int, bool, str, str]]:
+    """(place in starts, a, b, contents skipped, first line, line after it) of the units found in a book, in order.
 
     Every line from behind the previous hit is searched: those that equal the start, stripped, else those that contain it.
     Of these the first that isn't beside two other starts counts, or the first of all if each is; a unit that isn't found
@@ -97,7 +59,7 @@ def unit_spans(text: str, starts: list[str]) -> list[tuple[int, int, int, bool]]
             first = next(hits, None)
             if first is None:
                 continue
-            if not contents(first, start):
+            if not skip_contents or not contents(first, start):
                 return first, False
             later = next((i for i in hits if not contents(i, start)), None)
             return (first, False) if later is None else (later, True)
@@ -111,29 +73,51 @@ def unit_spans(text: str, starts: list[str]) -> list[tuple[int, int, int, bool]]
             got.append((k, i, skipped))
             at = i + 1
     offsets = [0, *accumulate(len(x) + 1 for x in lines)]
-    begins = [0 if n == 0 else offsets[i] for n, (_, i, _) in enumerate(got)] + [len(text)]
-    return [(k, begins[n], begins[n + 1], skipped) for n, (k, _, skipped) in enumerate(got)]
-
+    heads = [0 if n == 0 else i for n, (_, i, _) in enumerate(got)]
+    begins = [offsets[i] for i in heads] + [len(text)]
+    after = [bare[i] for i in heads[1:]] + [END_OF_BOOK]
+    return [(k, begins[n], begins[n + 1], skipped, bare[heads[n]], after[n]) for n, (k, _, skipped) in enumerate(got)]
 
-def _spans(batches):
-    import pyarrow as pa
 
-    for batch in batches:
-        rows = [(r["source"], r["u"][k]["k"], a, b, t) for r in batch.to_pylist() for k, a, b, t in unit_spans(r["text"] or "", [u["start"] for u in r["u"]])]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["source", "k", "a", "b", "toc_skipped"])
+SPANS = "source string, k long, a long, b long, toc_skipped boolean, start_line string, end string"
 
 
-def locate_texts(books: DataFrame, units: DataFrame) -> DataFrame:
+def locate_texts(books: DataFrame, units: DataFrame, skip_contents: bool = True) -> DataFrame:
     """Each unit's half-open span in the whole text of its book: see unit_spans; books(source, text), units(source, k, start).
 
     The search goes on from hit to hit, so a book and its starts are one row; the first unit found begins at 0, the last
-    ends with the book.
+    ends with the book. A book is one file, whose size its upload bounds.
     """
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string())
+        for batch in batches:
+            rows = [(r["source"], r["u"][k]["k"], *x) for r in batch.to_pylist() for k, *x in unit_spans(r["text"] or "", [u["start"] for u in r["u"]], skip_contents)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=[c.split()[0] for c in SPANS.split(", ")])
+
     u = units.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "start"))).alias("u"))
-    rows = books.join(u, "source").select(F.col("source").cast("string"), "text", "u").mapInArrow(_spans, "source string, k long, a long, b long, toc_skipped boolean")
-    name = F.concat(F.lit("U"), F.lpad(F.col("k").cast("string"), F.greatest(F.lit(2), F.length(F.col("k").cast("string"))), F.lit("0")))
-    return rows.select("source", name.alias("unit_id"), "a", "b", "toc_skipped")
+    rows = books.join(u, "source").select(F.col("source").cast("string"), "text", "u").mapInArrow(run, SPANS)
+    return rows.select("source", "k", unit_name(F.col("k")).alias("unit_id"), "a", "b", "toc_skipped", "start_line", "end")
+
+
+def unit_name(k: Column) -> Column:
+    """U01, U02, ... U100."""
+    return F.concat(F.lit("U"), F.lpad(k.cast("string"), F.greatest(F.lit(2), F.length(k.cast("string"))), F.lit("0")))
+
+
+def tiny_units(spans: DataFrame) -> DataFrame:
+    """Content units that are nearly empty; spans(unit_id, kind, a, b, ...)."""
+    return spans.where((F.col("kind") == "content") & (F.col("b") - F.col("a") < TINY_CHARS))
+
+
+def redone(changed: DataFrame, files: DataFrame) -> DataFrame:
+    """files(source, unit_id, kind) that go when spans change: the units' answers, and every synthesis of a book with such a unit."""
+    own = files.join(changed.select("source", "unit_id"), ["source", "unit_id"], "left_semi").where("kind <> 'synthesis'")
+    whole = files.where("kind = 'synthesis'").join(changed.select("source").distinct(), "source", "left_semi")
+    return own.unionByName(whole)
 
 
 def changed_spans(before: DataFrame, after: DataFrame) -> DataFrame:

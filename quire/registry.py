@@ -1,7 +1,7 @@
 """All queries of the library and their SQL."""
 
-from .operators import books, documents, knowledge, rules, usage
+from .operators import assembly, books, documents, images, inference, knowledge, rules, usage
 
-MODULES = (documents, knowledge, usage, books, rules)
+MODULES = (documents, knowledge, usage, books, rules, images, assembly, inference)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

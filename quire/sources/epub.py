@@ -10,14 +10,21 @@ from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, functions as F
 
-SKIP = {"nav.xhtml", "toc.xhtml", "cover.xhtml", "titlepage.xhtml", "copyright.xhtml"}
-SCHEMA = "path string, pos int, id string, href string, type string, skipped boolean, content string, title string, authors array<string>"
+#: fixed values: names of sections without content
+SKIP = {
+    "cover.html", "cover.xhtml", "halftitle.html", "halftitle.xhtml",
+    "contents.html", "contents.xhtml", "toc.html", "toc.xhtml",
+    "nav.html", "nav.xhtml", "reader.html", "reader.xhtml",
+}
+#: fixed values: metadata of a book by their names in the package document; of authors all count
+METADATA = {"title": "title", "creator": "authors", "date": "date", "publisher": "publisher", "language": "language", "identifier": "identifier"}
+SCHEMA = "path string, pos int, id string, href string, entry string, type string, role string, content string, image binary, title string, authors array<string>, date string, publisher string, language string, identifier string"
 
 
 def resolve(base: str, href: str, names: dict[str, str]) -> str | None:
-    """An archive member by a reference: unquoted, without fragment or query, relative to base, whatever its case."""
-    bare = unquote(href).split("#")[0].split("?")[0].replace("\\", "/")
-    return names.get(posixpath.normpath(posixpath.join(base, bare)).lower())
+    """An archive member by a reference: without fragment or query, unquoted, relative to base, whatever its case."""
+    bare = unquote(href.split("#")[0].split("?")[0]).replace("\\", "/")
+    return names.get(posixpath.normpath(posixpath.join(base, bare)).lower()) if bare else None
 
 
 def _local(e) -> str:
@@ -25,7 +32,11 @@ def _local(e) -> str:
 
 
 def read(data: bytes) -> list[tuple]:
-    """Rows of the spine: (pos, id, href, type, skipped, content, title, authors). Raises ValueError without a package document."""
+    """Rows of the spine: (pos, id, href, entry, type, role, content, image, *metadata). Raises ValueError without a package document.
+
+    role: section, page (an image that is a whole page) or skipped; items that aren't in the manifest or the archive, and
+    those of other types, give no row.
+    """
     z = zipfile.ZipFile(io.BytesIO(data))
     names = {n.lower(): n for n in z.namelist()}
     opf = None
@@ -37,36 +48,48 @@ def read(data: bytes) -> list[tuple]:
     root, base = ElementTree.fromstring(z.read(opf)), posixpath.dirname(opf)
     items = {e.get("id"): e for e in root.iter() if _local(e) == "item"}
     text = lambda name: [e.text.strip() for e in root.iter() if _local(e) == name and e.text and e.text.strip()]
-    title, authors, rows = (text("title") or [None])[0], text("creator"), []
+    told = [text(name) if key == "authors" else (text(name) or [None])[0] for name, key in METADATA.items()]
+    rows = []
     for pos, ref in enumerate(e for e in root.iter() if _local(e) == "itemref"):
         if (item := items.get(ref.get("idref"))) is None:
             continue
         href, kind = item.get("href", ""), item.get("media-type", "")
-        member = resolve(base, href, names)
-        skip = "nav" in (item.get("properties") or "").split() or posixpath.basename(href).lower() in SKIP
-        content = z.read(member).decode("utf-8", "replace") if member and "html" in kind and not skip else None
-        rows.append((pos, item.get("id"), href, kind, skip, content, title, authors))
+        if (member := resolve(base, href, names)) is None:
+            continue
+        head = (pos, item.get("id"), href, member, kind)
+        if kind.startswith("image/"):
+            rows.append((*head, "page", None, z.read(member), *told))
+        elif "html" in kind:
+            skip = "nav" in (item.get("properties") or "").split() or posixpath.basename(member).lower() in SKIP
+            rows.append((*head, "skipped" if skip else "section", None if skip else z.read(member).decode("utf-8", "replace"), None, *told))
     return rows
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """Spines of binaryFile rows (path, content); a file that can't be read gives one row with a null position."""
+    """Spines of binaryFile rows (path, content); a file that can't be read gives one row of role `error`."""
 
     def run(batches):
         import pandas as pd
 
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for pdf in batches:
             rows = []
             for path, data in zip(pdf["path"], pdf["content"]):
                 try:
                     rows += [(path, *r) for r in read(data)]
                 except (ValueError, zipfile.BadZipFile, ElementTree.ParseError):
-                    rows.append((path, None, None, None, "error", None, None, None, None))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"pos": "Int32"})
+                    rows.append((path, None, None, None, None, None, "error", *[None] * (len(names) - 7)))
+            yield pd.DataFrame(rows, columns=names).astype({"pos": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def counts(spine: DataFrame) -> DataFrame:
+    """(path, sections, skipped): sections with content, and skipped ones; blank sections are neither. spine: of scan, with `markdown`."""
+    full = (F.col("role") == "page") | (F.col("role") == "section") & (F.trim(F.coalesce("markdown", F.lit(""))) != "")
+    return spine.groupBy("path").agg(F.count_if(full).alias("sections"), F.count_if(F.col("role") == "skipped").alias("skipped"))
+
+
 def routes(files: DataFrame) -> DataFrame:
     """binaryFile rows with their suffix and the branch that reads them."""
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))

@@ -7,18 +7,79 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 
 MARK = "@@BPP "
-EVENT = "evento string, programa string, costo double, lineas array<string>"
-#: fixed values: states in which a job ends
+EVENT = "evento string, programa string, costo double, lineas array<string>, minutos double"
+#: fixed values: states in which a job ends, is at work, and waits
 FINAL = ("terminado", "error", "cancelado", "interrumpido")
-#: the state after each event; a final state is left only by `signup` (a new start)
-AFTER = {"signup": "en_fila", "view": "convirtiendo", "click": "extrayendo", "cart": "esperando_confirmacion", "purchase": "terminado"}
+WORKING = ("convirtiendo", "extrayendo", "esperando_confirmacion", "esperando_lote")
+QUEUED, INTERRUPTED = "en_fila", "interrumpido"
+WAITING = ("esperando_confirmacion", "esperando_lote")
+#: the state that a stage has while it works; BACK leads there
+STAGES = {"convirtiendo": "conversion", "extrayendo": "extraccion"}
+BACK = "@"
+#: event, the states in which it counts (none: before a job exists, or after it was removed), the state that follows
+TRANSITIONS = [
+    ("crear", ("",), QUEUED),
+    ("iniciar", (QUEUED,), "convirtiendo"),
+    ("convertido", ("convirtiendo",), "extrayendo"),
+    ("preguntar", ("convirtiendo", "extrayendo", "esperando_lote"), "esperando_confirmacion"),
+    ("aprobar", ("esperando_confirmacion",), BACK),
+    ("rechazar", ("esperando_confirmacion",), "cancelado"),
+    ("lote", ("convirtiendo", "extrayendo"), "esperando_lote"),
+    ("listo", ("extrayendo", "esperando_lote"), "terminado"),
+    ("fallar", WORKING, "error"),
+    ("cancelar", (QUEUED, *WORKING), "cancelado"),
+    ("cerrar", (QUEUED, *WORKING), INTERRUPTED),
+    ("reanudar", FINAL, QUEUED),
+    ("eliminar", FINAL, ""),
+]
+#: an event without a transition: a line of the log; characters of lines that only decorate; the length of a message
+LINE, RULES, MESSAGE = "linea", "-=─═ ", 200
+EVENTS = [e for e, _, _ in TRANSITIONS] + [LINE]
+_NEXT = {(state, event): after for event, states, after in TRANSITIONS for state in states}
 
 
-def state_of(event: str) -> Column:
-    out = F.when(F.lit(False), "")
-    for k, v in AFTER.items():
-        out = out.when(F.col(event) == k, v)
-    return out.otherwise("error")
+def advance(state: str, stage: str, message: str, event: str, line: str | None) -> tuple[str, str, str]:
+    """(state, stage, message) after an event; one that doesn't count in this state changes nothing."""
+    if event == LINE:
+        text = (line or "").strip()
+        told = text and not set(text) <= set(RULES) and state not in WAITING
+        return state, stage, text[:MESSAGE] if told else message
+    after = _NEXT.get((state, event), state)
+    if after == BACK:
+        after = next(s for s, name in STAGES.items() if name == stage)
+    return after, STAGES.get(after, stage), message
+
+
+def history(events: DataFrame) -> DataFrame:
+    """(job, state, stage, message, events, last_event) of events(job, event_id, event, line): each job's events, which are few, folded in their order."""
+    start = F.struct(F.lit("").alias("state"), F.lit("").alias("stage"), F.lit("").alias("message"))
+
+    def step(acc, e):
+        state, stage = acc["state"], acc["stage"]
+        after = F.when(F.lit(False), "")
+        for event, states, to in TRANSITIONS:
+            to = F.when(stage == "conversion", "convirtiendo").otherwise("extrayendo") if to == BACK else F.lit(to)
+            after = after.when((e["event"] == event) & state.isin(list(states)), to)
+        after = after.otherwise(state)
+        text = F.regexp_replace(F.coalesce(e["line"], F.lit("")), r"(?U)^\s+|\s+$", "")
+        told = (e["event"] == LINE) & (F.regexp_replace(text, f"[{RULES[1:]}-]", "") != "") & ~state.isin(list(WAITING))
+        message = F.when(told, F.substring(text, 1, MESSAGE)).otherwise(acc["message"])
+        now = F.when(after == "convirtiendo", STAGES["convirtiendo"]).when(after == "extrayendo", STAGES["extrayendo"]).otherwise(stage)
+        return F.struct(after.alias("state"), now.alias("stage"), message.alias("message"))
+
+    rows = events.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("event_id", "event", "line"))).alias("e"))
+    done = rows.select("job", F.aggregate("e", start, step).alias("s"), F.size("e").cast("long").alias("events"), F.element_at("e", -1)["event_id"].alias("last_event"))
+    return done.select("job", "s.state", "s.stage", "s.message", "events", "last_event")
+
+
+def flags(state: Column, problems: Column) -> dict[str, Column]:
+    """What can be done with a job: cancelled, resumed (not once it ended without problems), removed."""
+    final = state.isin(list(FINAL))
+    return {
+        "can_cancel": state.isin(list(WORKING)) | (state == QUEUED),
+        "can_resume": final & ~((state == "terminado") & (F.coalesce(problems, F.lit(0)) == 0)),
+        "can_remove": final,
+    }
 
 
 def demux(lines: DataFrame, col: str = "line") -> DataFrame:
@@ -31,22 +92,40 @@ def demux(lines: DataFrame, col: str = "line") -> DataFrame:
 
 def interrupted(jobs: DataFrame) -> DataFrame:
     """Jobs found in a state that isn't final when the queue starts are interrupted."""
-    return jobs.withColumn("estado", F.when(F.col("estado").isin(*FINAL), F.col("estado")).otherwise("interrumpido"))
+    return jobs.withColumn("estado", F.when(F.col("estado").isin(*FINAL), F.col("estado")).otherwise(INTERRUPTED))
 
 
 def _advance(key, batches: Iterator, state) -> Iterator:
     import pandas as pd
 
-    current, n = state.get if state.exists else ("", 0)
-    for pdf in batches:
-        for event in pdf.sort_values("event_id")["event_type"]:
-            if current not in FINAL or event == "signup":
-                current = AFTER.get(event, "error")
-            n += 1
-    state.update((current, n))
-    yield pd.DataFrame([(key[0], current, n)], columns=["job", "state", "n_events"])
+    now, last, n, late = (state.get[:3], *state.get[3:]) if state.exists else (("", "", ""), None, 0, 0)
+    new = sorted((r for pdf in batches for r in zip(pdf["event_id"], pdf["event"], pdf["line"])), key=lambda r: r[0])
+    for event_id, event, line in new:
+        n += 1
+        if last is not None and event_id <= last:
+            late += 1
+            continue
+        now, last = advance(*now, event, line if isinstance(line, str) else None), int(event_id)
+    state.update((*now, last, n, late))
+    yield pd.DataFrame([(key[0], *now, n, late)], columns=["job", "state", "stage", "message", "n_events", "n_late"])
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """A stream of (job, state, n_events), one row for each job of each batch; final states hold until a new start."""
-    return events.withColumnRenamed("user_id", "job").groupBy("job").applyInPandasWithState(_advance, "job long, state string, n_events long", "state string, n long", "update", "NoTimeout")
+    """A stream of (job, state, stage, message, n_events, n_late), one row for each job of each batch, of events(job, event_id, event, line).
+
+    All events of a batch are put in order before they count; one older than the last of an earlier batch is late and only counted.
+    """
+    out = "job long, state string, stage string, message string, n_events long, n_late long"
+    held = "state string, stage string, message string, last long, n long, late long"
+    return events.groupBy("job").applyInPandasWithState(_advance, out, held, "update", "NoTimeout")
+
+
+def poll(step, seconds: float = 180, sleep=None, most: int | None = None) -> int:
+    """Call step() until it doesn't return "pending", with a rest between two calls; the number of calls. most: of calls, if any."""
+    import time
+
+    calls = 1
+    while step() == "pending" and (most is None or calls < most):
+        (sleep or time.sleep)(seconds)
+        calls += 1
+    return calls

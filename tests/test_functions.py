@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -7,8 +8,8 @@ from pyspark.sql import functions as F
 
 from quire import dims
 from quire.functions import text as X
-from quire.operators import documents, jobs, knowledge, segment
-from quire.sources import epub, html
+from quire.operators import assembly, documents, images, inference, jobs, knowledge, segment, usage
+from quire.sources import epub, files, html
 from quire.streaming import jobs as stream
 
 
@@ -42,28 +43,77 @@ def test_caesar_and_garbled(spark):
 def test_bodies_and_errors(spark):
     assert one(spark, ">\nx\n>>>\ny\n", X.clean_body) == "x\ny"
     assert one(spark, "well-\nknown Well-\nKnown", X.dehyphenate) == "wellknown Well-\nKnown"
-    assert one(spark, "{'message': 'no credit'}", X.friendly_error) == "no credit"
+    assert one(spark, "Error(message='no credit')", X.friendly_error) == "no credit"
+    assert one(spark, "{'message': 'no credit'}", X.friendly_error) == "{'message': 'no credit'}"
+    assert one(spark, "prompt is too long: 1234567 tokens > 1000000 maximum", X.friendly_error) == "el texto es demasiado largo para el modelo (1,234,567 tokens; máximo 1,000,000)"
+    assert one(spark, "D:19990102", X.pdf_year) == "1999" and one(spark, "1999", X.pdf_year) is None
     assert one(spark, "c. 1998", X.year_of) == 1998 and one(spark, "?", X.year_of) is None
     assert one(spark, "v", lambda c: X.fill("a {k} {k}", {"k": c})) == "a v v"
 
 
+@pytest.mark.parametrize("text, symbols, caption, box", [("take ##30 mg", True, False, False), ("value ,63 g", True, False, False), ("# 45 %", True, False, False), ("a$7%", False, False, False), ("(.3,500 kcal", True, False, False), ("1.3,500", False, False, False), ("see Chart 5", False, True, False), ("Gráfica 2", False, True, False), ("GRAFICO 2.1", False, True, False), ("## Panel B3", False, False, True), ("x\n\n  Recuadro 4", False, False, True), ("ver Tabla 2", False, True, False), ("Fig. 3", False, True, False), ("Fig 3", False, False, False), ("tableau 3", False, False, False)])
+def test_signs_of_damage(spark, text, symbols, caption, box):
+    row = spark.createDataFrame([(text,)], "t string").select(F.col("t").rlike(X.SYMBOL_LOSS).alias("s"), F.col("t").rlike(X.CAPTION).alias("c"), F.col("t").rlike(X.LINE_CAPTION).alias("b")).first()
+    assert tuple(row) == (symbols, caption, box)
+
+
+def test_garbled_blocks(spark):
+    plain = "the cat and the dog of the house is in the garden with that bird"
+    moved = one(spark, plain, lambda c: X.caesar(c, 2))
+    assert one(spark, moved + " J Med 12(3): 45; 12(3): 45", X.garbled) is False
+    assert one(spark, moved + " 1999 and 2003", X.garbled) is False
+    assert one(spark, "xx zz ww vvvv bcdf ghjk lmnp qrst", X.garbled) is True
+    assert one(spark, "xx zz ww vvvv", X.garbled) is False
+    blocks = lambda c: X.unreliable(c, c, F.split(c, "\n"))
+    assert one(spark, plain + "\n" + moved, blocks) == X.DAMAGED
+    assert one(spark, plain + " ##30", blocks) == X.SYMBOLS and one(spark, plain + "\nBox 2", blocks) == X.BOXED and one(spark, plain, blocks) == ""
+
+
 def test_tags(spark):
-    fixed, removed = knowledge.fix_tags(F.col("t"))
-    r = spark.createDataFrame([("x\nTags: condition:Renal,bogus,renal  k:v\ncondition:bogus",)], "t string").select(fixed.alias("f"), removed.alias("r")).first()
-    assert (r.f, r.r) == ("x\nTags: condition:renal k:v\ncondition:bogus", ["bogus"])
+    fixed, removed, has = knowledge.fix_tags(F.col("t"))
+    texts = ["x\nTags: condition:Renal,bogus,renal,bogus  k:v\ncondition:bogus", "  tags: CONDITION:Renal,bogus", "tags: condition:bogus", "tags:\tk:v   a", "no tags"]
+    got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(fixed, removed, has).collect()]
+    assert got == [("x\nTags: condition:renal k:v\ncondition:bogus", ["bogus", "bogus"], True), ("tags: condition:renal", ["bogus"], True), ("tags:", ["bogus"], False), ("tags: k:v a", [], False), ("no tags", [], False)]
+    free = knowledge.fix_tags(F.lit("tags: condition:A,b"), ())
+    assert tuple(spark.range(1).select(*free).first()) == ("tags: condition:a,b", [], True)
 
 
 def test_entry_grammar(spark):
-    raw = '<<<ENTRY dest="c01" title="A" replace="e02">>\nbody\n<<<END>\n<<<ENTRY C07" title="B">\n>\nx\n<<<END>>>\n<<<ENTRY dest="C02" title="E">>>\n\n<<<END>>>'
-    out = knowledge.parse_entries_of(spark.createDataFrame([(1, raw)], "unit_id long, raw string")).collect()
-    assert [(r.dest, r.title, r.replace, r.body) for r in out] == [("C01", "A", "E02", "body"), ("C07", "B", "", "x")]
+    raw = '<<<ENTRY dest="c01" title=" A " replace="e02">>\nbody\n<<<END>\n<<<ENTRY C07" title="B" subtitle="no">\n>\nx\n<<<END>>>\n<<<ENTRY dest="C02" title="E">>>\n\n<<<END>>>\n<<<ENTRY   summary title="U04" title="U05">>>\ny\n<<<END>>>'
+    units = spark.createDataFrame([(1, raw)], "unit_id long, raw string")
+    out = knowledge.parse_entries_of(units).collect()
+    assert [(r.dest, r.title, r.replace, r.body) for r in out] == [("C01", "A", "E02", "body"), ("C07", "B", "", "x"), ("SUMMARY", "U05", "", "y")]
+    assert knowledge.parse_entries_of(units, keep_junk=True).count() == 4
 
 
 def test_changes(spark):
-    e = spark.createDataFrame([(1, k, "C01", f"b{k}") for k in range(3)], "unit_id long, pos long, dest string, body string")
-    o = spark.createDataFrame([(1, 1, "replace", "n"), (1, 2, "delete", ""), (1, 2, "replace", "z"), (1, 9, "replace", "q"), (1, 4, "add", "a")], "unit_id long, ordinal long, op string, body string")
-    out = {(r.ordinal, r.body, r.state) for r in knowledge.apply_changes(e, o).collect()}
-    assert out == {(1, "n", "corrected"), (3, "b2", "kept"), (10004, "a", "added")}
+    e = spark.createDataFrame([(1, k, "C01", f"t{k}", f"b{k}") for k in range(3)], "unit_id long, pos long, dest string, title string, body string")
+    ops = [(0, "C02", "n", "E01", "old"), (1, "C03", "m", "e1: E1", "new"), (2, "DELETE", "drop E02 now", "", "-"), (3, "C04", "z", "E02", "z"), (4, "C04", "q", "E09", "q"), (5, "C09", "add", "", "a"), (6, "LOG", "note", "", "l"), (7, "DELETE", "E2 again", "", "-"), (8, "DELETE", "none", "", "-"), (9, "C04", "lost", "nothing", "-"), (10, "XX", "later", "", "c")]
+    o = spark.createDataFrame([(1, *r) for r in ops], "unit_id long, pos long, dest string, title string, replace string, body string")
+    out = [tuple(r)[1:] for r in knowledge.apply_changes(e, o).orderBy("place").collect()]
+    assert out == [(1, "C03", "m", "new", "corrected"), (2, "C01", "t2", "b2", "kept"), (3, "C09", "add", "a", "added"), (4, "XX", "later", "c", "added")]
+    many = spark.createDataFrame([(1, k, "C01", "t", "b") for k in range(10_050)], e.schema)
+    places = [r.place for r in knowledge.apply_changes(many, o.where("pos = 5")).collect()]
+    assert sorted(places) == list(range(1, 10_052))
+
+
+def test_terms(spark):
+    rows = [(1, "C05", 1, " Term ", "ab"), (1, "C05", 2, "term", "abcd"), (1, "C05", 3, "TERM", "wxyz"), (1, "C05", 10**7, "other", "z"), (1, "C06", 4, "term", "z"), (2, "C05", 5, "term", "q")]
+    e = spark.createDataFrame(rows, "book_id long, code string, at long, title string, body string")
+    got = sorted((r.book_id, r.code, r.at) for r in knowledge.one_of_each_term(e).collect())
+    assert got == [(1, "C05", 2), (1, "C05", 10**7), (1, "C06", 4), (2, "C05", 5)]
+
+
+def test_material(spark):
+    """Each rendering has its turn as the room shrinks; headings count, and the library goes before anything is cut."""
+    rows = [(1, 1, "T", 1, "C01", "a", "x" * 3000), (1, 1, "T", 2, "L1", "b", "y" * 4000), (1, 2, "T", 1, "ZZ", "c", "z" * 9000)]
+    e = spark.createDataFrame(rows, "book_id long, unit_id long, unit_title string, place long, dest string, title string, body string")
+    full = "## 1 — T\n\n[C01] a\n{}\n\n[L1] b\n{}\n\n\n\n## 2 — T\n\n".format("x" * 3000, "y" * 4000)
+    less = "## 1 — T\n\n[C01] a\n{}\n\n\n\n## 2 — T\n\n"
+    want = [(len(full), full), (len(full) - 1, less.format("x" * 3000)), (2600, less.format("x" * 2500 + " [...]")), (1100, less.format("x" * 1000 + " [...]")), (50, less.format("x" * 1000 + " [...]")[:50])]
+    for k, (most, text) in enumerate(want):
+        r = knowledge.material(e, most).first()
+        assert (r.text, r.n_chars) == (text, len(text)) and r.note == [*[c[2] for c in knowledge.CUTS], knowledge.HARD_CUT][k]
 
 
 def test_sections_of_all_books(spark):
@@ -85,12 +135,113 @@ def test_substitution_and_pending(spark):
 
 def test_transcriber(spark):
     def call(kind, data):
-        if not data:
+        if data == b"e":
             raise ValueError("empty")
-        return "ok", kind + bytes(data).decode()
+        return {b"r": ("FinishReason.RECITATION", ""), b"s": ("SPII", "x"), b"t": ("MAX_TOKENS", " cut "), b"n": ("STOP", " ")}.get(data, ("STOP", f" {kind}{data.decode()} "))
+
+    df = spark.createDataFrame([(k, "page", k.encode()) for k in "xersnt"], "key string, kind string, data binary")
+    got = {r.key: (r.status, r.text, r.reason) for r in jobs.transcribe(df, call, waits=(0, 0, 0)).collect()}
+    assert got == {"x": ("ok", "pagex", ""), "e": ("failed", "", "empty"), "r": ("recitation", "", "FinishReason.RECITATION"), "s": ("blocked", "x", "SPII"), "t": ("truncated", "cut", "MAX_TOKENS"), "n": ("failed", "", "respuesta vacía (STOP)")}
 
-    df = spark.createDataFrame([("a", "page", b"x"), ("b", "page", b"")], "key string, kind string, data binary")
-    assert {tuple(r) for r in jobs.transcribe(df, call).collect()} == {("a", "ok", "pagex"), ("b", "failed", "empty")}
+
+def test_attempts():
+    told, slept = [RuntimeError("a"), ("STOP", ""), ("STOP", "good")], []
+
+    def call(kind, data):
+        x = told.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert jobs.attempt(call, "page", b"", sleep=slept.append) == ("ok", "good", "") and slept == [3, 10]
+
+
+def test_runner(spark):
+    """Keys are asked once, the cache answers first, only good answers are cached, and without a model work is skipped."""
+    rows = [("a", "page", b"1", 1), ("a", "page", b"1", 2), ("b", "image", b"2", 3), ("c", "image_forced", b"3", 4), ("d", "page", b"4", 5)]
+    j = spark.createDataFrame(rows, "key string, kind string, data binary, pos long")
+    cache = spark.createDataFrame([("b", "known")], "key string, text string")
+    call = lambda kind, data: ("MAX_TOKENS", "cut") if data == b"4" else ("STOP", jobs.DECORATIVE if kind == "image_forced" else "new")
+    out, fresh = jobs.run_jobs(j, cache, call)
+    assert sorted((r.key, r.pos, r.status, r.text) for r in out.collect()) == [("a", 1, "ok", "new"), ("a", 2, "ok", "new"), ("b", 3, "cached", "known"), ("c", 4, "ok", "[DECORATIVE]"), ("d", 5, "truncated", "cut")]
+    assert [tuple(r) for r in fresh.collect()] == [("a", "new")]
+    out, fresh = jobs.run_jobs(j, cache, None)
+    assert {r.status for r in out.collect()} == {"cached", "skipped"} and fresh.count() == 0
+
+
+def test_second_tries(spark):
+    schema = "key string, kind string, data binary, pos long, status string, text string, reason string, captioned boolean, native string, label string"
+    rows = [("a", "image", b"1", 1, "ok", " [DECORATIVE] ", "", True, "", "i1"), ("b", "image", b"2", 2, "ok", "[DECORATIVE]", "", False, "", "i2"), ("c", "page", b"3", 3, "recitation", "", "why", False, "own", "p3"), ("d", "page", b"4", 4, "recitation", "", "why", False, " ", "p4"), ("e", "page", b"5", 5, "recitation", "", "why", False, "own", "p5")]
+    j = spark.createDataFrame(rows, schema)
+    assert [(r.first_key, r.kind, bytes(r.data)) for r in jobs.captioned_again(j).collect()] == [("a", "image_forced", b"1")]
+    assert sorted(r.first_key for r in jobs.blocked_again(j).collect()) == ["c", "e"]
+    again = spark.createDataFrame([("c", "ok", " | t | "), ("e", "ok", "[NO TABLES]")], "first_key string, status string, text string")
+    out = {r.key: r.tables for r in jobs.rescued(j, again).collect()}
+    assert out == {"a": "", "b": "", "c": "| t |", "d": "", "e": ""}
+    shown = {r.key: r.t for r in jobs.rescued(j, again).select("key", jobs.rendered().alias("t")).collect()}
+    assert shown["a"] == "\n\n[IMAGE MARKED DECORATIVE DESPITE CAPTION: i1]\n\n" and shown["b"] == ""
+    assert "<!-- TABLES FROM IMAGE: p3 -->\n| t |\n<!-- /TABLES -->" in shown["c"] and shown["d"] == "\n\n[PAGE NOT PROCESSED: p4 — why]\n\n" and shown["e"].endswith("-->\n\nown\n\n")
+
+
+def test_immediate_calls(spark):
+    slept, told = [], [inference.CallError("busy", 529), TimeoutError("t"), ("x", "end")]
+
+    def call(request):
+        x = told.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert inference.persistent(call, "r", sleep=slept.append) == ("x", "end") and slept == [30, 60]
+    with pytest.raises(inference.CallError):
+        inference.persistent(lambda r: (_ for _ in ()).throw(inference.CallError("bad", 400)), "r")
+
+    def answer(request):
+        if "bad" in request[1]:
+            raise ValueError("no")
+        return request[1].upper(), "max_tokens" if "long" in request[1] else "end_turn"
+
+    df = spark.createDataFrame([("1", ["a", "x"]), ("2", ["a", "long"]), ("3", ["a", "bad"])], "id string, request array<string>")
+    assert {tuple(r) for r in inference.ask(df, answer).collect()} == {("1", "X", False, None), ("2", "LONG", True, None), ("3", None, False, "no")}
+
+
+def test_change_sets_of_units(spark):
+    units = spark.createDataFrame([(k, "T", "# a", "# b", f"text {k}") for k in (1, 2, 3)], "unit_id long, title string, start_line string, end string, source_text string")
+    e = spark.createDataFrame([(1, 0, "C01", "t", "b"), (1, 1, "LOG", "n", "l"), (2, 0, "C01", "t", "b")], "unit_id long, pos long, dest string, title string, body string")
+    done = spark.createDataFrame([(2,)], "unit_id long")
+    got = inference.verify_units(units, e, done, "{unit_id} {unit_start} {unit_end}: {entries}", lambda r: (r[0] + "|" + r[1], "end")).collect()
+    assert [(r.id, r.text) for r in got] == [("1", "<unit>\ntext 1\n</unit>|" + inference.UNIT_NOTE + '1 # a # b: [E01] <<<ENTRY dest="C01" title="t">>>\nb\n<<<END>>>')]
+
+
+def test_batches(spark):
+    class Client:
+        ended = False
+
+        def send(self, sent):
+            self.sent = [j["id"] for j in sent]
+            return "b1"
+
+        def poll(self, batch):
+            return self.ended
+
+        def results(self, batch):
+            return iter([("y", None, None, "invalid_request_error: x"), ("x", "t", "max_tokens", None), ("?", "t", "end", None), ("z", None, None, "overloaded")])
+
+    client, sent = Client(), [{"id": k, "label": k.upper(), "request": 1} for k in "xyzw"]
+    assert inference.batch_step(None, [], client) == ("done", None, [])
+    status, state, _ = inference.batch_step(None, sent, client)
+    assert status == "submitted" and client.sent == list("xyzw") and json.loads(json.dumps(state)) == state
+    assert inference.batch_step(state, [], client)[0] == "waiting"
+    client.ended = True
+    status, state, answers = inference.batch_step(state, [], client)
+    assert (status, state) == ("done", None) and answers == [("y", None, False, "invalid_request_error: x", True), ("x", "t", True, None, False), ("z", None, False, "overloaded", False)]
+    j, a = spark.createDataFrame([(k,) for k in "xyzw"], "id string"), spark.createDataFrame(answers, "id string, text string, truncated boolean, error string, fatal boolean")
+    assert {r.id: r.state for r in inference.collected(j, a).collect()} == {"x": "succeeded", "y": "fatal", "z": "errored", "w": "missing"}
+
+
+def test_polling():
+    told, slept = ["pending", "pending", "done"], []
+    assert stream.poll(lambda: told.pop(0), sleep=slept.append) == 3 and slept == [180, 180]
 
 
 def test_changed_spans(spark):
@@ -107,7 +258,12 @@ def test_units_in_whole_texts(spark):
     units = spark.createDataFrame([("s", 1, "# One"), ("s", 2, "\n# Nowhere"), ("s", 3, "## Two\n\n# Sub"), ("s", 4, "# Three"), ("s", 5, "# Four"), ("t", 1, "A")], "source string, k long, start string")
     got = [tuple(r) for r in segment.locate_texts(books, units).orderBy("source", "a").collect()]
     two, three, four = text.index("see ## Two"), text.rindex("# Three"), text.rindex("# Four")
-    assert got == [("s", "U01", 0, two, True), ("s", "U03", two, three, False), ("s", "U04", three, four, False), ("s", "U05", four, len(text), False), ("t", "U01", 0, 6, False)]
+    got = [(r[0], r[2], *r[3:]) for r in got]
+    assert got == [("s", "U01", 0, two, True, "# One", "see ## Two here"), ("s", "U03", two, three, False, "see ## Two here", "# Three"), ("s", "U04", three, four, False, "# Three", "# Four"), ("s", "U05", four, len(text), False, "# Four", "(end of book)"), ("t", "U01", 0, 6, False, "## A", "(end of book)")]
+    plain = [tuple(r)[3:5] for r in segment.locate_texts(books.where("source = 's'"), units, skip_contents=False).orderBy("a").collect()]
+    assert plain[0][1] == two and plain[1][0] == two
+    kinds = spark.createDataFrame([("s", "U01", "content", 0, 399), ("s", "U02", "content", 0, 400), ("s", "U03", "front", 0, 5)], "source string, unit_id string, kind string, a long, b long")
+    assert [r.unit_id for r in segment.tiny_units(kinds).collect()] == ["U01"]
 
 
 def test_split_into_parts(spark):
@@ -147,29 +303,94 @@ def test_captions_keep_images(spark):
     assert got == {a: (6, False, True), e: (1, False, True)}
 
 
-def test_vocabulary():
-    text = "<!-- PROMPT: map -->\nx\n<!-- TASK: verify -->\ny\n# TOPIC VOCABULARY\n- `renal` — k\n- `sop` — o\n# Next\n- `no` — x"
-    assert dims.vocabulary(text) == {"blocks": ["map", "verify"], "codes": ["renal", "sop"]}
-
-
-def test_markdown():
-    page = '<head><title>t</title></head><h2>A</h2><p>x <a href="http://a">l</a> <a href="#n">m</a></p><ul><li>i</li></ul><span role="doc-pagebreak" title="12"></span><img src="s">'
-    out = html.markdown(page)
-    assert "## A" in out and "[l](http://a) m" in out and "- i" in out and "ZZPAGEZZ12ZZ" in out and "ZZOCRZZ" in out and "t\n" not in out[:3]
+def test_markdown(spark):
+    page = '<head><title>t</title></head><h2>A</h2><p>x <a href="http://a">l</a> <a href="#n">m</a> <a href="HTTP://b">n</a></p><ul><li>i</li></ul><span role="doc-pagebreak" title="12">p.</span><span epub:type="pagebreak">1 3</span><hr role="pagebreak" id="pg-14"/><span role="pagebreak"></span><img src="s.PNG" alt="Logo"><img src="x.svg">'
+    out, found = html.parsed(page)
+    assert "## A" in out and "[l](http://a) m n" in out and "- i" in out and "t\n" not in out[:3] and "p." not in out
+    assert [x for x in out.split() if "PAGE" in x] == ["ZZPAGEZZ12ZZ", "ZZPAGEZZ13ZZ", "ZZPAGEZZ14ZZ"] and out.count("ZZOCRZZ") == 1
+    assert [(a, b) for a, b, _ in found] == [("s.PNG", "Logo")]
+    assert "ZZOCRZZ" + "a" * 16 + "ZZ" in html.parsed('<img src="q">', {"q": "a" * 40})[0]
+    assert one(spark, "a ZZPAGEZZ12ZZ b", html.with_pages) == "a <!-- PAGE 12 --> b"
+    s = spark.createDataFrame([("b", 2, "two.html", " y "), ("b", 1, "one.html", "x"), ("b", 3, "no.html", " \n")], "book string, pos int, entry string, text string")
+    assert html.sections(s).first().text == "<!-- SECTION: one.html -->\n\nx\n\n<!-- SECTION: two.html -->\n\ny"
 
 
 def test_epub(spark):
     buf = io.BytesIO()
+    items = {"a": ("C%201.xhtml#x", "application/xhtml+xml", ""), "n": ("nav.xhtml", "application/xhtml+xml", ""), "t": ("titlepage.xhtml", "application/xhtml+xml", ""), "m": ("toc9.xhtml", "application/xhtml+xml", "nav"), "i": ("p%23.png", "image/png", ""), "c": ("x.css", "text/css", ""), "g": ("gone.xhtml", "application/xhtml+xml", "")}
+    manifest = "".join(f'<item id="{k}" href="{h}" media-type="{m}" properties="{p}"/>' for k, (h, m, p) in items.items())
     with zipfile.ZipFile(buf, "w") as z:
         z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></container>')
-        z.writestr("O/p.opf", '<package xmlns:dc="d"><metadata><dc:title>T</dc:title><dc:creator>A</dc:creator></metadata><manifest><item id="a" href="C%201.xhtml#x" media-type="application/xhtml+xml"/><item id="n" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/></manifest><spine><itemref idref="a"/><itemref idref="n"/><itemref idref="?"/></spine></package>')
-        z.writestr("O/c 1.XHTML", "<p>hi</p>")
+        z.writestr("O/p.opf", f'<package xmlns:dc="d"><metadata><dc:title> </dc:title><dc:title>T</dc:title><dc:creator>A</dc:creator><dc:creator>B</dc:creator><dc:date>1999</dc:date><dc:publisher>P</dc:publisher><dc:language>en</dc:language><dc:identifier>id</dc:identifier></metadata><manifest>{manifest}</manifest><spine>{"".join(f"<itemref idref={chr(34)}{k}{chr(34)}/>" for k in [*items, "?"])}</spine></package>')
+        for name, text in {"O/c 1.XHTML": "<p>hi</p>", "O/nav.xhtml": "n", "O/titlepage.xhtml": " ", "O/toc9.xhtml": "n", "O/p#.png": "PNG", "O/x.css": "c"}.items():
+            z.writestr(name, text)
     df = spark.createDataFrame([("b.epub", buf.getvalue()), ("c.pdf", b"x")], "path string, content binary")
     out = epub.scan(df).orderBy("path", "pos").collect()
-    assert [(r.id, r.skipped, r.content, r.title) for r in out[:2]] == [("a", False, "<p>hi</p>", "T"), ("n", True, None, "T")] and out[2].type == "error"
+    assert [(r.id, r.role, r.content) for r in out[:-1]] == [("a", "section", "<p>hi</p>"), ("n", "skipped", None), ("t", "section", " "), ("m", "skipped", None), ("i", "page", None)]
+    assert bytes(out[4].image) == b"PNG" and out[-1].role == "error" and out[-1].path == "c.pdf"
+    assert (out[0].title, out[0].authors, out[0].date, out[0].publisher, out[0].language, out[0].identifier) == ("T", ["A", "B"], "1999", "P", "en", "id")
+    n = epub.counts(epub.scan(df.where("path = 'b.epub'")).withColumn("markdown", F.col("content"))).first()
+    assert (n.sections, n.skipped) == (2, 2)
     assert {r.branch for r in epub.routes(df).collect()} == {"epub", "pdf"}
 
 
+def test_usage_files(spark, tmp_path):
+    path = str(tmp_path / "usage")
+    rows = spark.createDataFrame([("MAP", "m0", False, 5)], "label string, model string, batch boolean, input long")
+    files.append_usage(rows, path)
+    files.append_usage(rows, path)
+    (tmp_path / "usage" / "own.json").write_text('{"label":"VERIFY U01","input":7}\n\n')
+    assert sorted((r.label, r.input, r.cost) for r in files.read_usage(spark, path).collect()) == [("MAP", 5, None), ("MAP", 5, None), ("VERIFY U01", 7, None)]
+
+
+def test_uploads(spark):
+    rows = [("a/B.EPUB", 3, b"abc"), ("x.txt", 1, b"a"), ("x", 1, b"a"), ("b.pdf", 0, b""), ("c.pdf", 301 << 20, b"x"), ("d.pdf", 4, b"abc")]
+    got = [r.rejected for r in files.uploads(spark.createDataFrame(rows, "path string, length long, content binary")).collect()]
+    assert got == [None, "format", "format", "empty", "size", "broken"]
+
+
+def test_settings_snapshots_rejects(spark, tmp_path):
+    env = {"KEY": "general", "APP_KEY": " own ", "OTHER": "x", "APP_OTHER": " "}
+    assert [files.setting(env, k, "APP_") for k in ("KEY", "OTHER", "NONE")] == ["own", "x", None]
+    for value in ({"a": "é"}, {"a": 2}):
+        files.snapshot(spark, value, str(tmp_path / "s.json"))
+        assert json.loads((tmp_path / "s.json").read_text()) == value
+    df = spark.createDataFrame([(1, None), (2, "invalido"), (3, "sin_temas"), (4, "unidad_perdida")], "id long, quarantine string")
+    assert [r.id for r in files.quarantine(df, str(tmp_path / "q")).collect()] == [1]
+    assert {(r.id, r.quarantine) for r in spark.read.parquet(str(tmp_path / "q")).collect()} == {(2, "invalido"), (3, "sin_temas"), (4, "unidad_perdida")}
+
+
+def test_archives_and_generic_documents(spark):
+    df = spark.createDataFrame([(1, "b.md", "two"), (1, "a.md", "one"), (2, "c.md", None)], "book_id long, name string, text string")
+    got = {r.book_id: zipfile.ZipFile(io.BytesIO(bytes(r.content))) for r in files.archives(df).collect()}
+    assert got[1].namelist() == ["a.md", "b.md"] and got[1].read("b.md") == b"two" and got[2].read("c.md") == b""
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="w"><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>a </w:t></w:r><w:r><w:t>b</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p></w:tc><w:tc/></w:tr></w:tbl></w:body></w:document>')
+    rows = [("a.html", b"<h1>T</h1>"), ("b.docx", buf.getvalue()), ("c.csv", b"a,b\n1,\"x|y\"\n"), ("d.txt", "é".encode()), ("e.docx", b"no"), ("f.json", b'{"a":1}')]
+    out = {r.path: (r.text, r.error is None) for r in files.documents(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert out["a.html"] == ("# T\n", True) and out["b.docx"] == ("## Head\n\na b\n\n| x |  |\n| --- | --- |", True) and out["c.csv"] == ("| a | b |\n| --- | --- |\n| 1 | x\\|y |", True)
+    assert out["d.txt"] == ("é", True) and out["e.docx"] == (None, False) and '"a": 1' in out["f.json"][0]
+
+
+def test_decoration(spark):
+    rows = [("img/COVER.jpg", "", 9000, 500, 500, 1, False), ("a.jpg", "Our Logo", 9000, 500, 500, 1, True), ("a.jpg", None, 2999, 0, 0, 1, False), ("a.jpg", None, 3000, 99, 500, 6, False), ("a.jpg", None, 12345, 99, 0, 1, False), ("a.jpg", None, 12345, 99, 100, 1, False)]
+    df = spark.createDataFrame(rows, "name string, alt string, n long, w int, h int, uses long, captioned boolean")
+    rule = images.rule_reason(*[F.col(c) for c in ("name", "alt", "n", "w", "h")])
+    got = [tuple(r) for r in df.withColumn("rule", rule).select("rule", images.drop_reason(F.col("uses"), F.col("rule"), F.col("captioned"))).collect()]
+    assert got == [(images.BY_NAME, images.BY_NAME), (images.BY_NAME, ""), ("reglas: muy pequeña (0x0px, 2,999 bytes)",) * 2, ("reglas: muy pequeña (99x500px, 3,000 bytes)", "reglas: repetida 6 veces (viñeta/separador)"), ("", ""), ("reglas: muy pequeña (99x100px, 12,345 bytes)",) * 2]
+
+
+def test_scans_and_page_images(spark):
+    pages = spark.createDataFrame([(k, 500, 100.0) for k in range(1, 7)] + [(9, 99, 100.0)], "page long, n_chars long, area double")
+    shots = spark.createDataFrame([(1, 5, 85.0), (2, 6, 84.0)] + [(k, 7, 99.0) for k in (3, 4, 5, 6)], "page long, xref long, area double")
+    assert {r.page for r in images.page_scans(pages, shots).where("scanned").collect()} == {1, 9}
+    some = [(1, 1, 71.0, 200.0, False), (1, 2, 36.0, 36.0, True), (1, 3, 72.0, 100.0, False), (2, 4, 200.0, 200.0, False)] + [(k, 8, 300.0, 300.0, False) for k in (3, 4, 5, 6)]
+    got = {(r.page, r.xref): (r.reason, r.listed) for r in images.page_images(spark.createDataFrame(some, "page long, xref long, w double, h double, captioned boolean"), 612.0 * 792).collect()}
+    assert got[1, 1] == (images.TOO_SMALL, True) and got[1, 2] == ("", False) and got[1, 3] == (images.SMALL_AREA, True) and got[2, 4] == ("", False)
+    assert got[3, 8] == ("reglas: repetida en 4 páginas (logo/fondo)", True) and not got[4, 8][1]
+
+
 def test_demux_and_interrupted(spark):
     lines = spark.createDataFrame([('@@BPP {"evento":"terminado","costo":0.5}',), ("@@BPP {bad",), ("log",), (None,)], "line string")
     assert [(r.kind, r.evento) for r in stream.demux(lines).collect()] == [("event", "terminado"), ("log", None), ("log", None), ("log", None)]
@@ -177,16 +398,91 @@ def test_demux_and_interrupted(spark):
     assert [r.estado for r in stream.interrupted(j).collect()] == ["error", "interrumpido"]
 
 
+def test_job_history(spark):
+    """States come back from a question to their stage; events that don't count change nothing; messages hold while a job waits."""
+    told = ["listo", "crear", "crear", "iniciar", "linea one ", "preguntar", "linea hidden", "aprobar", "convertido", "linea ====", "lote", "linea hidden", "preguntar", "aprobar", "listo", "cancelar", "reanudar", "iniciar", "cerrar", "reanudar", "cancelar", "eliminar"]
+    want = ["", "en_fila", "en_fila", "convirtiendo", "convirtiendo", "esperando_confirmacion", "esperando_confirmacion", "convirtiendo", "extrayendo", "extrayendo", "esperando_lote", "esperando_lote", "esperando_confirmacion", "extrayendo", "terminado", "terminado", "en_fila", "convirtiendo", "interrumpido", "en_fila", "cancelado", ""]
+    rows = [(n, k, x.split(" ")[0], x.partition(" ")[2]) for n in range(1, len(told) + 1) for k, x in enumerate(told[:n])]
+    random.Random(2).shuffle(rows)
+    got = stream.history(spark.createDataFrame(rows, "job long, event_id long, event string, line string")).orderBy("job").collect()
+    assert [r.state for r in got] == want and got[-1].message == "one" and got[6].stage == "conversion" and got[-1].events == len(told)
+    now = ("", "", "")
+    for k, x in enumerate(told):
+        now = stream.advance(*now, x.split(" ")[0], x.partition(" ")[2])
+        assert now == (got[k].state, got[k].stage, got[k].message)
+
+
+def test_job_flags(spark):
+    rows = [("en_fila", 0), ("esperando_lote", 0), ("terminado", 0), ("terminado", 2), ("error", 0)]
+    df = spark.createDataFrame(rows, "s string, p int")
+    assert [tuple(r) for r in df.select(*stream.flags(F.col("s"), F.col("p")).values()).collect()] == [(True, False, False), (True, False, False), (False, False, True), (False, True, True), (False, True, True)]
+
+
 def test_stream_of_job_states(spark, data, tmp_path):
-    schema = spark.read.parquet(f"{data}/events.parquet").schema
-    (tmp_path / "in").mkdir()
-    spark.read.parquet(f"{data}/events.parquet").write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).select("user_id", "event_id", "event_type")
-    q = stream.job_states(source).writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    got = {r.job: r.n_events for r in spark.table("states").collect()}
-    want = {r.user_id: r["count"] for r in spark.read.parquet(f"{data}/events.parquet").groupBy("user_id").count().collect()}
-    assert got == want
+    """The same states as over all events at once, though files hold them out of order; late events are only counted."""
+    events = usage.job_events(spark, data)
+    folder = tmp_path / "in"
+    events.where("event_id % 2 = 0 and event_id < 600").coalesce(1).write.mode("append").parquet(str(folder))
+    events.where("event_id % 2 = 1 and event_id < 600").coalesce(1).write.mode("append").parquet(str(folder))
+
+    seen = {}
+
+    def run():
+        source = spark.readStream.schema(events.schema).parquet(str(folder))
+        q = stream.job_states(source).writeStream.foreachBatch(lambda df, _: seen.update({r.job: tuple(r)[1:] for r in df.collect()}))
+        q = q.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return dict(seen)
+
+    first = run()
+    want = {r.job: (r.state, r.stage, r.message, r.events, 0) for r in stream.history(events.where("event_id < 600")).collect()}
+    assert first == want
+    late = events.where("event_id = 10").collect()[0]
+    spark.createDataFrame([late], events.schema).write.mode("append").parquet(str(folder))
+    events.where("event_id >= 600").write.mode("append").parquet(str(folder))
+    second = run()
+    for r in stream.history(events).collect():
+        assert second[r.job] == (r.state, r.stage, r.message, r.events + (r.job == late.job), int(r.job == late.job))
+
+
+def test_assembled_book(spark):
+    """One small book from raw answers to its files, index and report."""
+    raw = '<<<ENTRY dest="C05" title="Beta">>>\nshort\n<<<END>>>\n<<<ENTRY dest="C05" title="alpha">>>\ntags: condition:Renal,zz\nmore 12 and 99\n<<<END>>>\n<<<ENTRY dest="C05" title="beta ">>>\nlonger text\n<<<END>>>\n<<<ENTRY dest="QQ" title="lost">>>\nx\n<<<END>>>\n<<<ENTRY dest="L2" title="Plan">>>\ny\n<<<END>>>\n<<<ENTRY dest="C18" title="old">>>\nz\n<<<END>>>'
+    e = knowledge.parse_entries_of(spark.createDataFrame([(3, raw)], "unit_id long, raw string"))
+    ops = knowledge.parse_entries_of(spark.createDataFrame([(3, '<<<ENTRY dest="C01" title="New">>>\nfirst\n<<<END>>>\n<<<ENTRY dest="DELETE" title="E99">>>\n-\n<<<END>>>')], "unit_id long, raw string"))
+    e = knowledge.apply_changes(e, ops).withColumn("book_id", F.lit(7).cast("long"))
+    c = assembly.checked(e, spark.createDataFrame([(3, ["12"])], "unit_id long, numbers array<string>"), ("renal",))
+    synth = spark.createDataFrame([(7, 0, "C01", "One", "s1"), (7, 1, "C01", "Two", "s2"), (7, 2, "C10", "End", "s3"), (7, 3, "XX", "no", "s4")], "book_id long, pos long, dest string, title string, body string")
+    one_map = dict(book_id=7, slug="b", abbreviation="a-b c1", title="T", subtitle=None, authors=["A", "B"], edition="", year="c. 1999", publisher="", language="es", domains=["x"], conditions=["renal"], conditions_secondary=[], authority_level="B", authority_rationale="r", author_credentials=[], commercial_interests="", source_file="b.md", kb_version="1", extracted="2024-01-01", model="m")
+    schema = ", ".join(f"{k} {'long' if k == 'book_id' else 'array<string>' if isinstance(v, list) else 'string'}" for k, v in one_map.items())
+    wanted = spark.createDataFrame([(7, 3), (7, 4)], "book_id long, unit_id long")
+    maps = assembly.described(spark.createDataFrame([one_map], schema), wanted, wanted.where("unit_id = 3"))
+    placed = assembly.in_sections(c, synth)
+    done = assembly.with_ids(placed, maps.select("book_id", "abbr"))
+    text = {r.kind: (r.name, r.text) for r in assembly.files(done, maps).collect()}
+    name, core = text["CORE"]
+    assert name == "b_core.md" and core.startswith('---\ntitle: "T"\nsubtitle: ""\nauthors: ["A", "B"]\n') and 'coverage: "partial: U03"\n---\n\n# KB CORE — A, B — T (c. 1999)\n\nCompanion file: `b_biblioteca.md`' in core
+    assert "> PARTIAL KB — only these units were extracted: U03.\n\n## C01 Overview & Scope\n\n### [ABC1-C01-001] Two\n\ns2\n\n### [ABC1-C01-002] One\n\ns1\n\n### [ABC1-C01-003] New\n\nfirst\n\n## C02" in core
+    assert "### [ABC1-C05-001] alpha\n\ntags: condition:renal\nmore 12 and 99\n\n### [ABC1-C05-002] beta\n\nlonger text\n\n## C06" in core
+    assert "### [ABC1-C10-001] lost\n\nx\n\n### [ABC1-C10-002] End" in core
+    assert core.endswith("## C18 Library Index\n\n### [ABC1-C18-001] Contents of the library file\n\n**L2 Workouts & Protocols**\n- ABC1-L2-001 — Plan\n")
+    assert text["LIBRARY"][1].endswith("## L5 Worksheets, Questionnaires & Templates\n\nNo content in this section.\n")
+    record = json.loads(assembly.index_records(maps).first().record)
+    assert record["ano"] == 1999 and record["autor"] == "A, B" and list(record) == ["archivo", "biblioteca", "titulo", "autor", "ano", "nivel", "dominios", "temas", "temas_secundarios", "nota"]
+    units = spark.createDataFrame([(7, 3, False, True)], "book_id long, unit_id long, verified boolean, truncated boolean")
+    told = assembly.warnings(c, units, knowledge.coverage(placed), maps.select("book_id"))
+    lines = [r.line for r in told.orderBy("a", "b", "c").collect()]
+    assert lines[0].startswith("TEMAS: solo 0 de 2 entradas útiles") and lines[1:] == ["U03: sin VERIFY", "U03: la extracción se cortó por longitud (revisar; dividir la unidad)", "U03 · alpha: etiqueta condition: desconocida (zz); se quitó", "U03 · alpha: números que no aparecen en el capítulo: 99", "U03: entrada con sección desconocida 'QQ' → C10: lost"]
+    s = assembly.stats(c, spark.createDataFrame([(7, 1)], "book_id long, n long")).first()
+    assert (s.entries, s.corrected, s.added, s.deleted, s.bad_dest) == (7, 0, 1, 1, 1)
+
+
+def test_estimates(spark):
+    rows = [("s", 100_000, 1000, 2, 50_000, False), ("t", 100_000, 1000, 2, 50_000, True), ("big", 1_300_000, 1000, 3, 600_000, False)]
+    b = spark.createDataFrame(rows, "book string, tokens long, map_tokens long, units long, unit_tokens long, alive boolean")
+    now = {r.book: r for r in usage.estimates(b, False).collect()}
+    assert (now["s"].map_cost, now["s"].cache_cost, now["t"].cache_cost, now["big"].cache_cost) == (0.49, 0.4, 0.0, 0.0) and now["big"].parts == 3
+    assert now["s"].extract_cost == pytest.approx((2 * 100_000 * 0.2 + (0.6 * 50_000 + 6000) * 10) / 1e6)
+    assert now["big"].extract_cost == pytest.approx(((600_000 + 3 * 4500) * 2 + (360_000 + 9000) * 10) / 1e6) and now["big"].synthesis_cost == pytest.approx(((700_000 + 21_000) * 2 + 200_000) / 1e6)
+    lot = {r.book: r for r in usage.estimates(b, True).collect()}
+    assert lot["s"].map_cost == pytest.approx(0.145) and lot["s"].synthesis_cost == pytest.approx(0.2) and lot["s"].cache_cost == 0
