@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,22 +14,39 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own in local mode where it is unset."""
+    """The application's own folder in the one named by spark.checkpoint.dir; in local mode, where that is unset, a temporary one, which goes at exit."""
+    run = spark.sparkContext.applicationId
     if told := spark.conf.get("spark.checkpoint.dir", None):
-        return told
+        return f"{told}/quire-{run}"
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quire-"))
+    if run not in _own:
+        _own[run] = tempfile.mkdtemp(prefix="quire-")
+        atexit.register(shutil.rmtree, _own[run], ignore_errors=True)
+    return _own[run]
+
+
+def clear(spark: SparkSession, path: str | None = None) -> None:
+    """Delete a folder of the application's intermediate tables, by default all of them: once the results that read them are written."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path or shared_dir(spark))
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, over: list[str] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    over: a list of folders that df was the last to read; they are deleted, and df's takes their place.
+    """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    for old in over or ():
+        clear(df.sparkSession, old)
+    if over is not None:
+        over[:] = [path]
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -98,20 +117,36 @@ IS_WORD = VALUES != 0
 _powers: list[np.ndarray] = []
 
 
+STEP = 1 << 18  # positions that are hashed at once
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """p**i and p**-i modulo 2**64 for i < n."""
+    """p**i and p**-i modulo 2**64 for i < n, which is STEP at most in what follows."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 19)
+        size = max(n, STEP)
         _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, p, np.uint64)]), dtype=np.uint64) for p in (_PRIME, _INVERSE)]
     return _powers[0][:n], _powers[1][:n]
 
 
-def segment_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of values[starts[k]:starts[k + 1]] for each k; zeros count for nothing."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    up, down = powers(len(values))
-    return mix(np.add.reduceat(values * up, starts) * down[starts])
+def segment_hashes(n: int, values, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of each segment of n positions; values(a, b): those of positions a to b; zeros count for nothing.
+
+    Segments begin at `starts` and end where the next begins. STEP positions are held at a time, however long a segment is.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    up, down = powers(min(n, STEP))
+    for a in range(0, n, STEP):
+        b = min(n, a + STEP)
+        k = max(int(np.searchsorted(starts, a, side="right")) - 1, 0)
+        own = starts[k : int(np.searchsorted(starts, b))]
+        if not len(own):
+            continue
+        at = np.maximum(own - a, 0)
+        sums = np.add.reduceat(values(a, b) * up[: b - a], at) * down[at]
+        if own[0] < a:
+            sums[:1] *= np.uint64(pow(int(_PRIME), a - int(own[0]), 1 << 64))
+        out[k : k + len(own)] += sums
+    return mix(out)
 
 
 class Words:
@@ -120,13 +155,15 @@ class Words:
     def __init__(self, data: np.ndarray, ends: np.ndarray, fold: bool):
         """data: the texts' bytes, one after the other; ends: where each text ends."""
         word = IS_WORD[data]
-        before = np.empty_like(word)
-        before[:1], before[1:] = False, word[:-1]
+        begin = word.copy()
+        begin[1:] &= ~word[:-1]
         begins = np.concatenate([[0], ends[:-1]])
-        before[begins[begins < len(data)]] = False
-        self.starts = np.flatnonzero(word & ~before)
+        begins = begins[begins < len(data)]
+        begin[begins] = word[begins]
+        self.starts = np.flatnonzero(begin)
         self.is_word = word
-        self.hashes = segment_hashes((VALUES_FOLDED if fold else VALUES)[data], self.starts)
+        table = VALUES_FOLDED if fold else VALUES
+        self.hashes = segment_hashes(len(data), lambda a, b: table[data[a:b]], self.starts)
         self.first = np.concatenate([[0], np.searchsorted(self.starts, ends, side="left")])
 
 

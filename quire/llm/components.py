@@ -27,9 +27,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    known = _digest(e)
+    known, last = _digest(e), []
     for _ in range(most_rounds):
-        held = (lambda df, name: materialise(df, name)) if known[0] > SMALL else (lambda df, name: df)
+        held = materialise if known[0] > SMALL else (lambda df, name: df)
         # large star: each neighbour above u moves to the least of u's neighbourhood
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = held(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         # small star: each node and its lower neighbours move to the least of them
         low = held(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = materialise(small.where("u <> v").distinct(), "edges")
+        e = materialise(small.where("u <> v").distinct(), "edges", last)
         known, before = _digest(e), known
         if known == before:
             break
