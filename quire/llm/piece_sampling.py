@@ -1,8 +1,9 @@
 """Sampled SentencePiece segmentations: forward filtering and backward sampling over the piece lattice.
 
 A text falls into units before each space that follows another character, and around line feeds; no piece of the model
-crosses these places, so the lattice of a text is the chain of its units' lattices and each unit is filtered once per
-worker. Backward sampling goes through all occurrences of a batch at once: one step draws, for each, the edge that ends at
+crosses these places (which is checked), so the lattice of a text is the chain of its units' lattices and each unit is
+filtered once per worker. Of a unit of any length without a space only the forward sums are kept, and the edges into a
+place are found again when the backward way comes there. Backward sampling goes through all occurrences of a batch at once: one step draws, for each, the edge that ends at
 its place. The draws come from a counter-based generator keyed by the row's key, the unit's place in the text and the
 step, so a row's segmentation depends on nothing else.
 
@@ -13,6 +14,7 @@ alpha. Characters without a piece (and the space mark itself) are spelled in byt
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -25,7 +27,8 @@ from .token_files import ids_crc32
 MODEL, ALPHA, SEED = "piece_bpe_32k.model", 0.25, 1
 UNITS = re.compile(r"\n| *[^ \n]+| +")
 MARK = "▁"
-LONG = 64  # units of more characters are filtered one by one, with rescaling
+LONG = 64  # units of more characters are sampled one by one, with rescaling, and not kept
+BLOCK = 1 << 16  # characters of such a unit whose pieces are looked up at once
 TINY, HUGE = 1e-150, 1e150
 
 _samplers: dict[tuple, "Sampler"] = {}
@@ -44,6 +47,9 @@ def load(model: str):
     from .common import tokenizer_path
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model if "/" in model else tokenizer_path(model))
+    crossing = [p for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and len(UNITS.findall(p := sp.id_to_piece(i).replace(MARK, " "))) != 1]
+    if crossing:
+        raise ValueError(f"pieces that cross units: {crossing[:5]}")
     pieces, spelled, raw = {}, {}, []
     for i in range(sp.get_piece_size()):
         piece = sp.id_to_piece(i)
@@ -84,28 +90,59 @@ class Sampler:
         self.upto, self.before, self.emit_at, self.emit_n = np.empty(0), *(np.empty(0, np.int64) for _ in range(3))
         self.first_edge = np.zeros(1, np.int64)  # by state, and one more
 
-    def filter(self, unit: str):
-        """For each state 1..len(unit): edges (state before, ids, probability that the path into this state takes it)."""
-        forward, out = [1.0], []
-        weights, reach = self.weights, self.reach
-        for j in range(1, len(unit) + 1):
-            edges, total = [], 0.0
-            for i in range(max(0, j - reach), j):
-                if (hit := weights.get(unit[i:j])) is not None:
-                    total += (p := forward[i] * hit[1])
-                    edges.append((i, (hit[0],), p))
-            if unit[j - 1] not in weights:
-                spelled = tuple(self.spelled[b] for b in unit[j - 1].encode())
-                total += (p := forward[j - 1] * self.rare ** len(spelled))
-                edges.append((j - 1, spelled, p))
-            if total < TINY:  # the same factor for all that later states can reach
-                a = max(0, j - reach)
-                forward[a:] = [x * HUGE for x in forward[a:]]
-                total, edges = total * HUGE, [(i, ids, p * HUGE) for i, ids, p in edges]
-            forward.append(total)
-            out.append([(i, ids, p / total) for i, ids, p in edges])
+    def _into(self, unit: str, j: int):
+        """Edges into state j, by their start: (start, ids, weight)."""
+        weights, out = self.weights, []
+        for i in range(max(0, j - self.reach), j):
+            if (hit := weights.get(unit[i:j])) is not None:
+                out.append((i, (hit[0],), hit[1]))
+        if unit[j - 1] not in weights:
+            spelled = tuple(self.spelled[b] for b in unit[j - 1].encode())
+            out.append((j - 1, spelled, self.rare ** len(spelled)))
         return out
 
+    def forward(self, unit: str):
+        """(sums, scales) of states 0..len(unit): all paths' weight into a state is its sum over HUGE ** its scale."""
+        sums, scales = array("d", bytes(8 * (len(unit) + 1))), array("i", bytes(4 * (len(unit) + 1)))
+        sums[0], scale = 1.0, 0
+        for a in range(0, len(unit), BLOCK):
+            head = max(0, a - self.reach)
+            part = unit[head : a + BLOCK]
+            size = len(part)
+            _, to, start, weight, _, _ = self._edges([part])
+            order = np.argsort(to, kind="stable")
+            to, start, weight = to[order], start[order], weight[order]
+            cuts = np.searchsorted(to, np.arange(size + 2)).tolist()
+            start, weight = start.tolist(), weight.tolist()
+            for j in range(a - head + 1, size + 1):
+                total = 0.0
+                for e in range(cuts[j], cuts[j + 1]):
+                    i = head + start[e]
+                    total += sums[i] * weight[e] if scales[i] == scale else sums[i] * weight[e] * HUGE ** (scale - scales[i])
+                if total < TINY:
+                    scale, total = scale + 1, total * HUGE
+                sums[head + j], scales[head + j] = total, scale
+        return sums, scales
+
+    def sample(self, unit: str, stream: int) -> list[int]:
+        """The ids of one sampled way through a unit of any length; stream: the key of its draws."""
+        sums, scales = self.forward(unit)
+        steps, j = [], len(unit)
+        draws, k = [], 0
+        while j:
+            if k == len(draws):
+                more = np.arange(k, k + 4096, dtype=np.uint64)
+                draws += ((mix(np.uint64(stream) + more) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+            edges = self._into(unit, j)
+            shares = [sums[i] * w * HUGE ** (scales[j] - scales[i]) for i, _, w in edges]
+            left, e = draws[k] * sum(shares), 0
+            while e < len(edges) - 1 and left >= shares[e]:
+                left -= shares[e]
+                e += 1
+            steps.append(edges[e][1])
+            j, k = edges[e][0], k + 1
+        return list(chain.from_iterable(reversed(steps)))
+
     def _spelling(self, char: str) -> int:
         """Where the byte pieces of a character without a piece are in `emitted`."""
         if char not in self.spellings:
@@ -114,8 +151,8 @@ class Sampler:
             self.emitted = np.concatenate([self.emitted, np.array(ids, np.int32)])
         return self.spellings[char]
 
-    def _lattices(self, units: list[str]):
-        """Edges of many short units at once: (states of each unit, end state, start state, share, emit_at, emit_n), by end state."""
+    def _edges(self, units: list[str]):
+        """Edges of many units at once: (states of each unit, end state, start state, weight, where the ids are, how many)."""
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.uint64)
         size = np.fromiter(map(len, units), np.int64, len(units))
         stop = np.cumsum(size)
@@ -133,24 +170,31 @@ class Sampler:
             k = k[found := self.keys[k] == key[hit]]
             hit[hit] = found
             own = self.key_ids[k]
-            parts.append((base[i[hit]] + n, base[i[hit]], self.key_weights[k], own, np.ones(len(own), np.int64), place[i[hit]] + n))
+            parts.append((base[i[hit]] + n, base[i[hit]], self.key_weights[k], own, np.ones(len(own), np.int64)))
             if n == 1 and not hit.all():
                 lone = i[~hit]
                 chars = [chr(c) for c in points[lone].tolist()]
                 at = np.array([self._spelling(c) for c in chars], np.int64)
                 many = np.array([len(c.encode()) for c in chars], np.int64)
-                parts.append((base[lone] + 1, base[lone], self.rare**many, at, many, place[lone] + 1))
-        to, start, weight, at, many, level = (np.concatenate(x) for x in zip(*parts))
-        forward = np.zeros(len(points) + len(units))
-        forward[stop - size + np.arange(len(units))] = 1.0
+                parts.append((base[lone] + 1, base[lone], self.rare**many, at, many))
+        to, start, weight, at, many = (np.concatenate(x) for x in zip(*parts))
+        return size + 1, to, start, weight, at, many
+
+    def _lattices(self, units: list[str]):
+        """Edges of many short units with their shares of the draws: (states of each unit, end state, start state, share, emit_at, emit_n), by end state."""
+        states, to, start, weight, at, many = self._edges(units)
+        begin = np.cumsum(states) - states
+        level = to - np.repeat(begin, states)[to]
+        forward = np.zeros(int(states.sum()))
+        forward[begin] = 1.0
         order = np.argsort(level, kind="stable")
-        cuts = np.searchsorted(level[order], np.arange(1, int(size.max()) + 2))
+        cuts = np.searchsorted(level[order], np.arange(1, int(states.max()) + 1))
         for a, b in zip(cuts[:-1], cuts[1:]):
             e = order[a:b]
             np.add.at(forward, to[e], forward[start[e]] * weight[e])
         order = np.lexsort((start, to))
         to, start, at, many, share = to[order], start[order], at[order], many[order], (forward[start] * weight / forward[to])[order]
-        return size + 1, to, start, share, at, many
+        return states, to, start, share, at, many
 
     def _append(self, states, to, start, share, at, many):
         """Edges by end state, with states counted from 0, become the last ones of the table."""
@@ -169,19 +213,33 @@ class Sampler:
         self.begin, self.end = np.concatenate([self.begin, ends - states]), np.concatenate([self.end, ends - 1])
 
     def _learn(self, units: list[str]):
-        short, long = [u for u in units if len(u) <= LONG], [u for u in units if len(u) > LONG]
-        self.at.update(zip(short + long, range(len(self.at), len(self.at) + len(units))))
-        for k in range(0, len(short), 50_000):
-            self._append(*self._lattices(short[k : k + 50_000]))
-        for unit in long:
-            rows = [(j, i, p, ids[0] if len(ids) == 1 and unit[i:j] in self.weights else self._spelling(unit[j - 1]), len(ids)) for j, edges in enumerate(self.filter(unit), 1) for i, ids, p in edges]
-            to, start, share, at, many = zip(*rows)
-            self._append(np.array([len(unit) + 1]), *(np.array(x) for x in (to, start, share, at, many)))
+        self.at.update(zip(units, range(len(self.at), len(self.at) + len(units))))
+        for k in range(0, len(units), 50_000):
+            self._append(*self._lattices(units[k : k + 50_000]))
 
     def encode(self, texts: list[str], keys: np.ndarray, seed: int = SEED):
         """(ids of all texts, ids of each text); keys: the rows' keys as unsigned 64-bit integers."""
         split = [UNITS.findall(t) for t in texts]
         units = list(chain.from_iterable(split))
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        place = np.arange(len(units)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        stream = mix(np.repeat(mix(keys ^ np.uint64(seed)), sizes) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        long = np.fromiter((len(u) > LONG for u in units), bool, len(units))
+        if not long.any():
+            ids, own = self._walk(units, stream)
+        else:
+            short, most = self._walk([u for u in units if len(u) <= LONG], stream[~long])
+            ways = [np.array(self.sample(units[k], int(stream[k])), np.int32) for k in np.flatnonzero(long).tolist()]
+            own = np.empty(len(units), np.int64)
+            own[~long], own[long] = most, [len(w) for w in ways]
+            ids = np.empty(int(own.sum()), np.int32)
+            at = np.repeat(long, own)
+            ids[~at], ids[at] = short, np.concatenate(ways)
+        ends = np.concatenate([[0], np.cumsum(own)])
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
+
+    def _walk(self, units: list[str], stream: np.ndarray):
+        """(ids of all units, ids of each) of sampled ways through the lattices of short units, all at once."""
         fresh = [u for u in dict.fromkeys(units) if u not in self.at]
         if fresh and len(self.upto) > self.most:
             self._clear()
@@ -190,9 +248,6 @@ class Sampler:
             self._learn(fresh)
         n = len(units)
         which = np.fromiter(map(self.at.__getitem__, units), np.int64, n)
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        stream = mix(np.repeat(mix(keys ^ np.uint64(seed)), sizes) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         begin, state = self.begin[which], self.end[which]
         upto, before, emit_at, emit_n = self.upto, self.before, self.emit_at, self.emit_n
         steps, active, counts = [], np.arange(n), np.zeros(n, np.int64)
@@ -216,9 +271,7 @@ class Sampler:
         many = emit_n[path]
         stops = np.cumsum(many)
         ids = self.emitted[np.repeat(emit_at[path] - (stops - many), many) + np.arange(int(stops[-1]) if len(stops) else 0)]
-        path_ends = np.concatenate([[0], ends])[np.cumsum(sizes)] if len(sizes) else np.empty(0, np.int64)
-        id_ends = np.concatenate([[0], stops])[path_ends]
-        return ids, np.diff(np.concatenate([[0], id_ends]))
+        return ids, np.diff(np.concatenate([[0], stops])[np.concatenate([[0], ends])])
 
     def decode(self, ids) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode()
@@ -250,7 +303,8 @@ def sample_pieces(docs: DataFrame, alpha: float = ALPHA, seed: int = SEED, model
     """(doc_id, ids) for every row; with digest, (doc_id, n_chars, n_pieces, ids_crc32, lossless: whether decoding gave the text back).
 
     Null texts are empty and have no pieces. A null id has a key of its own; rows that repeat an id draw alike. An empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored. A very long text without a space takes memory of about 12 bytes a
+    character besides itself and its ids.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_sample(model, alpha, seed, digest), "doc_id long, n_chars long, n_pieces long, ids_crc32 long, lossless boolean" if digest else "doc_id long, ids array<int>")
