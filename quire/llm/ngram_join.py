@@ -528,4 +528,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_ngram_join": op2_ngram_join}
-ORACLES: dict[str, str] = {}
+#: all pairs that share a shingle are counted, and links followed to their ends; for small tables
+ORACLES = {
+    "op2_ngram_join": """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) >= 5 then list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+e as (select doc_id, len(s) as n, unnest(s) as g from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c, any_value(a.n) + any_value(b.n) as n from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p where 100 * c >= 80 * (n - c)), both_ as (select a, b from l union all select b, a from l),
+r(id, root) as (select doc_id, doc_id from documents union select both_.b, r.root from r join both_ on r.id = both_.a)
+select s.doc_id, cast(len(s) as bigint) as n_shingles, (select min(root) from r where r.id = s.doc_id) as component_id, (select count(*) from both_ where both_.a = s.doc_id) as n_links from s"""
+}

@@ -109,5 +109,43 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def _oracle(shards: int = 16, bits: int = BITS) -> str:
+    """The same in SQL, with exact quantiles (as Spark's are below 10,000 rows), the curve unrolled step by step, and CRC by a table."""
+    cells, table = 1 << bits, []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    crc = f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: cast('0x' || x as bigint))), lambda c, b: xor(c >> 8, tab[cast(xor(c & 255, b) as int) + 1])), 4294967295)"
+
+    def text_cell(dim: str) -> str:
+        below = f"(select v, sum(n) over (order by v) - n as before from (select {dim} as v, count(*) as n from d where {dim} is not null group by {dim}))"
+        starts = f"(select min(v) as v from (select v, before * {cells} // (select count(*) from d where {dim} is not null) as c from {below}) where c > 0 group by c)"
+        return f"(select count(*) from {starts} where v <= d.{dim})"
+
+    number_cell = f"len(list_filter((select list_transform(range(1, {cells}), lambda i: s[greatest(cast(ceil(i / {cells}.0 * len(s)) as int), 1)]) from (select list(size order by size) as s from d)), lambda x: x < size))"
+    out = f"select *, {text_cell('lang')} as x0, {text_cell('source')} as x1, {number_cell} as x2 from d"
+    for q in range(bits - 1, 0, -1):
+        for k in range(3):
+            p = (1 << q) - 1
+            swap = f"(xor(x0, x{k}) & {p})"
+            first = f"case when x{k} & {1 << q} <> 0 then xor(x0, {p}) else xor(x0, {swap}) end as x0"
+            new = [first] + [f"case when x{k} & {1 << q} <> 0 then x{j} else xor(x{j}, {swap}) end as x{j}" if j == k else f"x{j}" for j in (1, 2)]
+            out = f"select doc_id, size, text_crc32, {', '.join(new)} from ({out})"
+    out = f"select doc_id, size, text_crc32, x0, xor(x0, x1) as x1, xor(xor(x0, x1), x2) as x2 from ({out})"
+    flip = "cast(0 as bigint)"
+    for q in range(bits - 1, 0, -1):
+        flip = f"xor({flip}, case when x2 & {1 << q} <> 0 then {(1 << q) - 1} else 0 end)"
+    out = f"select doc_id, size, text_crc32, xor(x0, {flip}) as x0, xor(x1, {flip}) as x1, xor(x2, {flip}) as x2 from ({out})"
+    places = [(q, k) for q in range(bits - 1, -1, -1) for k in range(3)]
+    key = " + ".join(f"((x{k} >> {q}) & 1) * {1 << (len(places) - 1 - n)}" for n, (q, k) in enumerate(places))
+    run = f"select *, n // {shards} as base, n % {shards} as extra, row_number() over (order by hilbert, text_crc32, doc_id) - 1 as r from (select doc_id, size, text_crc32, cast({key} as bigint) as hilbert, count(*) over () as n from ({out}))"
+    return f"""
+with b as (select doc_id, lang, source, coalesce(text, '') as t, {table} as tab from documents),
+d as materialized (select doc_id, lang, source, cast(strlen(t) + 1 as bigint) as size, cast({crc} as bigint) as text_crc32 from b)
+select doc_id, size, text_crc32, 'rows' as law, cast(case when r < extra * (base + 1) then r // (base + 1) else extra + (r - extra * (base + 1)) // greatest(base, 1) end as int) as shard,
+  cast(case when r < extra * (base + 1) then r % (base + 1) else (r - extra * (base + 1)) % greatest(base, 1) end as bigint) as slot, cast(null as double) as grown_shard, hilbert from ({run})"""
+
+
 QUERIES = {"op1_hilbert_shards": op1_hilbert_shards}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_hilbert_shards": _oracle()}

@@ -1,5 +1,8 @@
 """The corpus pipeline and the registered queries, over the whole tables of the smallest scale."""
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from quire.llm import registry
 from quire.llm.ngram_join import near_copies
@@ -28,3 +31,33 @@ def test_queries_return_all_rows(spark, data):
     for name, query in registry.QUERIES.items():
         n = query(spark, data).count()
         assert n == (50 if name.startswith("op8") else docs) or name.startswith("op9") and n >= docs, name
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_matches_sql(name, spark, data):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{data}/documents.parquet'")
+    ours, theirs = registry.QUERIES[name](spark, data).toPandas(), con.sql(registry.ORACLES[name]).df()
+    rows = lambda f: sorted(map(tuple, f[sorted(f)].astype(str).values.tolist()))
+    assert sorted(ours) == sorted(theirs) and rows(ours) == rows(theirs)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeats, empty and very long texts, an empty table: every stage runs on what the one before kept."""
+    good = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, None), (None, good), (1, None), (1, good), (1, good), (2, good + " x"), (3, ""), (4, "x" * 200_000), (5, good[:200] + " mail a@b.co " + good[::-1])]
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for table, want in ((rows, [(0, len(good)), (1, len(good)), (5, None)]), ([], [])):
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in table], ODD)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)), name)
+            assert [f.name for f in docs.schema] == ["doc_id", "text", "lang", "source", "n_chars"]
+        kept = sorted((r.doc_id or 0, r.text) for r in docs.collect())
+        assert [k for k, _ in kept] == [k for k, _ in want]
+        assert all("[EMAIL]" in t for k, t in kept if k == 5)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert sorted((p.doc_id or 0) for p in pieces if p.start == 0) == [k for k, _ in want]
