@@ -107,6 +107,18 @@ def redone_files(spark: SparkSession, d: str) -> DataFrame:
     return redone(span_invalidate(spark, d), files)
 
 
+def map_line(unit: Column, kind: Column, chars: Column, title: Column) -> Column:
+    """A unit's line in the overview of a map: name, kind, estimated tokens, the beginning of its title."""
+    return F.format_string("   %-5s %-8s ~%,7d tok   %s", unit, kind, F.floor(chars / 4).cast("long"), F.substring(title, 1, 60))
+
+
+@query(f"select source, unit_id, '   ' || rpad(unit_id, cast(greatest(5, length(unit_id)) as int), ' ') || ' content  ~' || lpad(format('{{:,}}', (b - a) // 4), cast(greatest(7, length(format('{{:,}}', (b - a) // 4))) as int), ' ') || ' tok   ' || substring(repeat(start_line || ' ', 9), 1, 60) as line from {_UNITS} u")
+def map_lines(spark: SparkSession, d: str) -> DataFrame:
+    u = _units(spark, d)
+    title = F.expr("repeat(start_line || ' ', 9)")
+    return u.select("source", "unit_id", map_line(F.col("unit_id"), F.lit("content"), F.col("b") - F.col("a"), title).alias("line"))
+
+
 def unit_texts(units: DataFrame, books: DataFrame) -> DataFrame:
     """(unit_id, source_text): each unit's slice [a, b) of its book; books(book, text), units(unit_id, book, a, b)."""
     return units.join(books, "book").select("unit_id", F.substr("text", F.col("a") + 1, F.col("b") - F.col("a")).alias("source_text"))

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..dims import FALLBACK, LIBRARY, SECTIONS, TOPIC_SECTIONS, TOPICS, sql_list
+from ..dims import FALLBACK, LIBRARY, PSEUDO, SECTIONS, TOPIC_SECTIONS, TOPICS, VALID, sql_list
 from ..functions import text as X
 from ..views import duck, table
 
@@ -256,9 +256,36 @@ def section_counts(spark: SparkSession, d: str) -> DataFrame:
     return by_section(table(spark, d, "entries"))
 
 
-@query("select book_id, dest, string_agg(title, ' · ' order by unit_id, pos) as titles from entries group by book_id, dest")
+def titles(entries: DataFrame) -> DataFrame:
+    """(book_id, dest, titles): the titles of each section's entries in order; entries of no section don't count."""
+    return entries.where(F.col("dest").isin(VALID) & ~F.col("dest").isin(PSEUDO)).groupBy("book_id", "dest").agg(ordered("titles", "title", " · ", "unit_id", "pos"))
+
+
+def synthesis_tasks(entries: DataFrame, template: str) -> DataFrame:
+    """(book_id, task): the template with a book's summaries and the index of its titles; entries(book_id, unit_id, unit_title, pos, dest, title, body)."""
+    one = F.concat(F.lit("### "), F.format_string("U%02d", "unit_id"), F.lit(" — "), "unit_title", F.lit("\n"), "body")
+    told = entries.where("dest = 'SUMMARY'").groupBy("book_id").agg(ordered("summaries", one, "\n\n", "unit_id", "pos"))
+    index = titles(entries).groupBy("book_id").agg(ordered("entry_index", F.concat("dest", F.lit(": "), "titles"), "\n", "dest"))
+    b = entries.select("book_id").distinct().join(told, "book_id", "left").join(index, "book_id", "left")
+    return b.select("book_id", X.fill(template, {k: F.coalesce(k, F.lit("")) for k in ("summaries", "entry_index")}).alias("task"))
+
+
+@query(f"select book_id, dest, string_agg(title, ' · ' order by unit_id, pos) as titles from (select *, case when pos = 2 then 'LOG' when pos = 3 then 'X1' else dest end as d from entries) where d in {sql_list(SECTIONS)} group by book_id, dest")
 def title_index(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "entries").groupBy("book_id", "dest").agg(ordered("titles", "title", " · ", "unit_id", "pos"))
+    """The titles of each section; here some entries are log entries or of no section."""
+    dest = F.when(F.col("pos") == 2, "LOG").when(F.col("pos") == 3, "X1").otherwise(F.col("dest"))
+    return titles(table(spark, d, "entries").withColumn("dest", dest))
+
+
+@query(f"""
+with e as (select *, case when pos = 0 then 'SUMMARY' else dest end as d from entries), b as (select distinct book_id from e),
+s as (select book_id, string_agg('### U' || lpad(cast(unit_id as string), cast(greatest(2, length(cast(unit_id as string))) as int), '0') || ' — T' || unit_id || chr(10) || body, chr(10) || chr(10) order by unit_id) as t from e where d = 'SUMMARY' group by book_id),
+i as (select book_id, string_agg(d || ': ' || t, chr(10) order by d) as t from (select book_id, d, string_agg(title, ' · ' order by unit_id, pos) as t from e where d in {sql_list(SECTIONS)} group by book_id, d) group by book_id)
+select b.book_id, md5('A ' || coalesce(s.t, '') || ' B ' || coalesce(i.t, '')) as task_md5 from b left join s on s.book_id = b.book_id left join i on i.book_id = b.book_id""")
+def synthesis_task(spark: SparkSession, d: str) -> DataFrame:
+    """A synthesis's request: summaries of the units, and which entries there are; here each unit's first entry is its summary."""
+    e = table(spark, d, "entries").withColumn("dest", F.when(F.col("pos") == 0, "SUMMARY").otherwise(F.col("dest"))).withColumn("unit_title", F.concat(F.lit("T"), "unit_id"))
+    return synthesis_tasks(e, "A {summaries} B {entry_index}").select("book_id", F.md5("task").alias("task_md5"))
 
 
 @query(f"""

@@ -50,13 +50,20 @@ def without_topics(scope: Column, domains: Column, conditions: Column) -> Column
     return (F.coalesce(scope, F.lit(False)) | F.array_contains(domains, "nutrition")) & (F.coalesce(F.size(conditions), F.lit(0)) <= 0)
 
 
-@query("select unit_id, pos, case when (unit_id % 2 = 0 or dest = 'C09') and pos % 3 = 0 then 'sin_temas' when title = '' then 'invalido' end as quarantine from entries")
+def quarantined(sound: Column, topicless: Column, lost: Column) -> Column:
+    """Why a map is set aside, or null: it isn't sound JSON, it names no topic, or a content unit of it isn't in the book."""
+    return F.when(~sound, "invalido").when(topicless, "sin_temas").when(lost, "unidad_perdida")
+
+
+@query("select unit_id, pos, case when unit_id % 9 = 4 then 'invalido' when (unit_id % 2 = 0 or dest = 'C09') and pos % 3 = 0 then 'sin_temas' when pos % 5 = 1 then 'unidad_perdida' end as quarantine from entries")
 def clinical_gate(spark: SparkSession, d: str) -> DataFrame:
     """Maps that don't pass go to quarantine under their reason."""
     domains = F.array(F.when(F.col("dest") == "C09", "nutrition").otherwise("other"))
     conditions = F.when(F.col("pos") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("renal")))
+    answer = F.when(F.col("unit_id") % 9 == 4, F.lit('{"cut')).otherwise(F.lit('{"title": "T"}'))
+    sound = F.from_json(X.json_object(answer), "title string")["title"].isNotNull()
     bad = without_topics(F.col("unit_id") % 2 == 0, domains, conditions)
-    return table(spark, d, "entries").select("unit_id", "pos", F.when(bad, "sin_temas").when(F.col("title") == "", "invalido").alias("quarantine"))
+    return table(spark, d, "entries").select("unit_id", "pos", quarantined(F.coalesce(sound, F.lit(False)), bad, F.col("pos") % 5 == 1).alias("quarantine"))
 
 
 def _message() -> Column:

@@ -360,6 +360,15 @@ def test_settings_snapshots_rejects(spark, tmp_path):
     assert {(r.id, r.quarantine) for r in spark.read.parquet(str(tmp_path / "q")).collect()} == {(2, "invalido"), (3, "sin_temas"), (4, "unidad_perdida")}
 
 
+def test_as_of(spark):
+    from quire.operators.extensions import as_of
+
+    t = lambda day, h: f"2024-01-{day:02d} {h:02d}:00:00"
+    left = spark.createDataFrame([(k, "a", t(*x)) for k, x in enumerate([(1, 0), (1, 5), (2, 1), (5, 5), (5, 4)])] + [(9, "b", t(1, 1))], "id long, k string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    right = spark.createDataFrame([("a", t(1, 5), 1), ("a", t(1, 5), 2), ("a", t(1, 9), 3), ("a", t(5, 5), 4), ("c", t(1, 0), 5)], "k string, ts string, v int").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert {r.id: r.as_of_v for r in as_of(left, right, "k", "ts", "v").collect()} == {0: None, 1: 2, 2: 3, 3: 4, 4: 3, 9: None}
+
+
 def test_archives_and_generic_documents(spark):
     df = spark.createDataFrame([(1, "b.md", "two"), (1, "a.md", "one"), (2, "c.md", None)], "book_id long, name string, text string")
     got = {r.book_id: zipfile.ZipFile(io.BytesIO(bytes(r.content))) for r in files.archives(df).collect()}
