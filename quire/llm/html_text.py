@@ -9,7 +9,7 @@ elements that HTML itself sets apart (menus, footers, asides, forms) have no par
    the clusters are hardly apart, all lines are but those with a low weight.
 3. Content lines at most GAP lines apart, or in one container, make a region; regions far smaller than the largest go.
 4. Short lines are kept by their neighbours: those in a container of a region, those between its lines, and headings
-   right before one. Lines with a low weight come in only by their own ratio.
+   right before one, in the same container or around it. Lines with a low weight come in only by their own ratio.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import released
+
 #: fixed values: elements by what they mean in HTML
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
@@ -67,6 +69,7 @@ class _Lines(HTMLParser):
         self.stack = [_Element("", False, 0, False, 0)]
         self.lines: list[_Line] = []
         self.containers, self.above = 0, [0]  # above: of each flagged element, the flagged one around it
+        self.ends: dict[int, int] = {}  # of each container that has closed, the last one in it; they are numbered as they open
         self.open: Counter[str] = Counter()
         self.parts, self.tags, self.plain = [], 0, False
 
@@ -82,6 +85,9 @@ class _Lines(HTMLParser):
         if any(e.name not in INLINE for e in self.stack[k:]):
             self._flush()
         self.open.subtract(e.name for e in self.stack[k:])
+        for i in range(k, len(self.stack)):
+            if self.stack[i].container != self.stack[i - 1].container:
+                self.ends[self.stack[i].container] = self.containers
         del self.stack[k:]
 
     def handle_starttag(self, tag, attrs):
@@ -118,8 +124,9 @@ class _Lines(HTMLParser):
     def _flagged(self, tag, attrs) -> bool:
         if not attrs or tag in ("html", "body", "article", "main"):
             return False
-        told = dict(attrs)
-        return any(w.lower() in ASIDE for k in ("class", "id", "role") for w in WORD.findall(told.get(k) or ""))
+        told, own = dict(attrs), self.open["article"] or self.open["main"]  # a header in an article is its own
+        words = {w.lower() for k in ("class", "id", "role") for w in WORD.findall(told.get(k) or "")}
+        return bool((words - {"header"} if own else words) & ASIDE)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -206,8 +213,8 @@ def regions(content: np.ndarray, containers: np.ndarray, size: np.ndarray) -> np
     return out
 
 
-def selected(lines: list[_Line], above: list[int]) -> np.ndarray:
-    """Which of the lines, none of them out, are main text."""
+def selected(lines: list[_Line], above: list[int], ends: dict[int, int]) -> np.ndarray:
+    """Which of the lines, none of them out, are main text; above and ends: see _Lines."""
     size = np.array([len(x.text) for x in lines], float)
     containers = np.array([x.container for x in lines])
     beside = besides([x.flag for x in lines], above)
@@ -219,7 +226,7 @@ def selected(lines: list[_Line], above: list[int]) -> np.ndarray:
     plain = np.array([x.sealed or not x.linked for x in lines])
     keep |= homes & plain & ~beside
     for k in range(len(lines) - 2, -1, -1):
-        if lines[k].heading and not beside[k] and keep[k + 1]:
+        if lines[k].heading and not beside[k] and keep[k + 1] and containers[k] <= containers[k + 1] <= ends.get(int(containers[k]), containers[k + 1]):
             keep[k] = True
     at = np.flatnonzero(keep)
     for a, b in zip(at[:-1], at[1:]):
@@ -234,7 +241,7 @@ def main_text(html: str, step: int = 1 << 16) -> str:
     for k in range(0, len(html), step):
         parser.feed(html[k : k + step])
     lines = [x for x in parser.done() if not x.out]
-    return " ".join(x.text for x, keep in zip(lines, selected(lines, parser.above)) if keep) if lines else ""
+    return " ".join(x.text for x, keep in zip(lines, selected(lines, parser.above, parser.ends)) if keep) if lines else ""
 
 
 def _extract(batches):
@@ -253,7 +260,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     urls stay null, repeated rows are rows of their own, an empty table gives no rows, other columns are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(released(_extract), "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

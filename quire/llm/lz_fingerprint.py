@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import by_ranges, mix, partitions, segment_hashes
+from .common import by_ranges, mix, partitions, released, segment_hashes
 
 SIZE = 128  # hashes kept, of 32 bits each
 
@@ -153,7 +153,7 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
     columns are ignored. Of a very long text the phrases of one and a half parses are held, about 12 bytes a character each.
     """
     rows = with_next(docs, id_col, text_col, partitions(docs))
-    return rows.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(released(_compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

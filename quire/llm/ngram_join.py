@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Words, list_column, materialise, mix, partitions, text_chunks
+from .common import Words, list_column, materialise, mix, partitions, released, text_chunks
 from .components import connected_components
 
 BUCKET_BITS = 18  # the frequency table: 2**18 counts, 1 MB whatever the input
@@ -407,18 +407,18 @@ def _linked(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(class, documents of other classes within the threshold), of all pairs within components; classes(c, root, m, w), w: its documents, m: classes of its root."""
     rows = _cells(sets.join(classes.where("m > 1"), "c"), BLOCK, "root c w s")
     rows = rows.repartition(partitions(classes), "root", "x", "y").sortWithinPartitions("root", "x", "y", "c")
-    return rows.mapInArrow(_degrees(percent), "c long, k long").groupBy("c").agg(F.sum("k").alias("k"))
+    return rows.mapInArrow(released(_degrees(percent)), "c long, k long").groupBy("c").agg(F.sum("k").alias("k"))
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int, clashes: frozenset[int]) -> tuple[DataFrame, DataFrame]:
     """The pairs of classes within the threshold: suffix filter on the classes' sketches, then the whole sets. And the sets (c, s) that were asked for."""
     side = lambda x, i: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"))
     near = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "n1", "n2", "s1", "s2")
-    near = materialise(near.mapInArrow(_within(percent), "a long, b long"), "pairs")
+    near = materialise(near.mapInArrow(released(_within(percent)), "a long, b long"), "pairs")
     asked = near.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "least"), "c")
-    sets = materialise(docs.select("id", "text").mapInArrow(_sets(words, _bitmap(docs.sparkSession, asked), clashes), "c long, s array<long>"), "sets")
+    sets = materialise(docs.select("id", "text").mapInArrow(released(_sets(words, _bitmap(docs.sparkSession, asked), clashes)), "c long, s array<long>"), "sets")
     rows = near.join(sets.select(F.col("c").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("s2")), "b")
-    return materialise(rows.select("a", "b", "s1", "s2").mapInArrow(_verify(percent), "a long, b long").distinct(), "links"), sets
+    return materialise(rows.select("a", "b", "s1", "s2").mapInArrow(released(_verify(percent)), "a long, b long").distinct(), "links"), sets
 
 
 def _joined(found: DataFrame, late: DataFrame) -> DataFrame:
@@ -435,16 +435,16 @@ def _joined(found: DataFrame, late: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of docs(id, text): rows (id, class, set size, hash of the text), classes (class, root, component_id, documents), and the sets of all classes that have links."""
     spark = docs.sparkSession
-    scan = materialise(docs.select("id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).mapInArrow(_scan(words), "kind int, id long, c long, c2 long, n long, sketch binary, h long"), "scan")
+    scan = materialise(docs.select("id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).mapInArrow(released(_scan(words)), "kind int, id long, c long, c2 long, n long, sketch binary, h long"), "scan")
     rows, classes, clashes = _classes(scan.where("kind = 0"))
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for bucket, n in scan.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).collect():  # 2**18 rows at most
         counts[bucket] = n
     table = spark.sparkContext.broadcast(counts)
 
-    prefixes = docs.select("text").mapInArrow(_prefixes(words, percent, table, clashes), "t long, salt int, c long, n int, pos int")
+    prefixes = docs.select("text").mapInArrow(released(_prefixes(words, percent, table, clashes)), "t long, salt int, c long, n int, pos int")
     dealt = prefixes.repartition(partitions(docs), "t", "salt").sortWithinPartitions("t", "salt", "pos", "n", "c")
-    led = materialise(dealt.mapInArrow(_lead(percent), "kind int, a long, b long, n int, pos int"), "led")
+    led = materialise(dealt.mapInArrow(released(_lead(percent)), "kind int, a long, b long, n int, pos int"), "led")
     pairs = materialise(led.where("kind = 0").select("a", "b").distinct(), "pairs")
     links, sets = _verified(docs, classes, pairs, words, percent, clashes)
     found = connected_components(links)
@@ -456,7 +456,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     mixed = held.groupBy("t").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y").select("t", "m")
     rest = _cells(held.join(materialise(mixed, "mixed"), "t").distinct(), CROSS_ROWS, "t root c n pos")
     rest = rest.repartition(partitions(docs), "t", "x", "y").sortWithinPartitions("t", "x", "y")
-    more = rest.mapInArrow(_across(percent), "a long, b long").distinct()
+    more = rest.mapInArrow(released(_across(percent)), "a long, b long").distinct()
     more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     groups = found
     if more.take(1):

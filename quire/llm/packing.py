@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .codec import PIECES as TABLE, codec, texts_of
-from .common import hilbert_numpy, materialise, mix, partitions
+from .common import hilbert_numpy, materialise, mix, partitions, released
 from .token_files import ids_crc32
 
 TOKENIZER, END_ID, LENGTH = "word_bpe_49k.json", 1, 2048
@@ -93,7 +93,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, end_
     rows; other columns are ignored. table: pieces of words that a worker keeps.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    coded = rows.mapInArrow(_encode(tokenizer, end_id, table), "doc_id long, curve_key long, n long, ids binary")
+    coded = rows.mapInArrow(released(_encode(tokenizer, end_id, table)), "doc_id long, curve_key long, n long, ids binary")
     coded = materialise(coded.withColumn("row", F.monotonically_increasing_id()), "packing")
     keys = ["curve_key", "doc_id", "row"]
     order = coded.select(*keys, "n").repartitionByRange(partitions(docs), *keys).sortWithinPartitions(*keys)
@@ -101,7 +101,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, end_
     sums = order.groupBy("part").agg(F.sum("n").alias("part_n")).selectExpr("part", "sum(part_n) over (order by part) - part_n as before")
     placed = order.join(F.broadcast(sums), "part")  # as many rows as partitions
     placed = placed.selectExpr("row", "before + sum(n) over (partition by part order by at) - n as at")
-    return coded.join(placed, "row").select("doc_id", "n", "ids", "at").mapInArrow(_cut(length), PIECES)
+    return coded.join(placed, "row").select("doc_id", "n", "ids", "at").mapInArrow(released(_cut(length)), PIECES)
 
 
 def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

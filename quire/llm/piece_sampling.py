@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .codec import texts_of
-from .common import list_column, mix, powers
+from .common import list_column, mix, powers, released
 from .token_files import ids_crc32
 
 MODEL, ALPHA, SEED = "piece_bpe_32k.model", 0.25, 1
@@ -224,7 +224,7 @@ class Sampler:
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         place = np.arange(len(units)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         stream = mix(np.repeat(mix(keys ^ np.uint64(seed)), sizes) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        long = np.fromiter((len(u) > LONG for u in units), bool, len(units))
+        long = np.fromiter(map(len, units), np.int64, len(units)) > LONG
         if not long.any():
             ids, own = self._walk(units, stream)
         else:
@@ -307,7 +307,7 @@ def sample_pieces(docs: DataFrame, alpha: float = ALPHA, seed: int = SEED, model
     character besides itself and its ids.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_sample(model, alpha, seed, digest), "doc_id long, n_chars long, n_pieces long, ids_crc32 long, lossless boolean" if digest else "doc_id long, ids array<int>")
+    return rows.mapInArrow(released(_sample(model, alpha, seed, digest)), "doc_id long, n_chars long, n_pieces long, ids_crc32 long, lossless boolean" if digest else "doc_id long, ids array<int>")
 
 
 def decode_pieces(coded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

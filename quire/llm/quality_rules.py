@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import IS_WORD, Words, mix, text_chunks
+from .common import IS_WORD, Words, mix, released, text_chunks
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_bangs", "n_distinct_words")
 STATS = "quality_stats"
@@ -85,7 +85,7 @@ def with_stats(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], stats], names=[*names[1:], STATS])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{fields}{', ' if fields else ''}{STATS} struct<{', '.join(f'{c}:bigint' for c in COUNTS)}>")
+    return rows.mapInArrow(released(run), f"{fields}{', ' if fields else ''}{STATS} struct<{', '.join(f'{c}:bigint' for c in COUNTS)}>")
 
 
 def measures(stats: str = STATS) -> dict[str, Column]:

@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import released
+
 from .codec import codec, texts_of
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -95,7 +97,7 @@ def token_counts(docs: DataFrame, sections_col: str | None = None, rule: str = "
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
     if sections_col:
         cols.append(F.transform(F.col(sections_col), lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))).alias("sections"))
-    return docs.select(*cols).mapInArrow(_count(tokenizer, rule, bool(sections_col)), "doc_id long, n_tokens long, n_sections long, n_crossing long, n_outside long, section_tokens array<double>")
+    return docs.select(*cols).mapInArrow(released(_count(tokenizer, rule, bool(sections_col))), "doc_id long, n_tokens long, n_sections long, n_crossing long, n_outside long, section_tokens array<double>")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .codec import PIECES, codec, texts_of
-from .common import by_ranges, list_column, partitions, shared_path
+from .common import by_ranges, list_column, partitions, released, shared_path
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 #: version 2 pages without dictionaries: integers are stored as deltas in 128-value blocks of their own bit width
@@ -51,7 +51,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     parts = partitions(docs)
     dealt = by_ranges(rows, F.col("doc_id"), parts, tie=F.col("text")).repartitionById(parts, F.col("range")).drop("range")
     ordered = dealt.sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_encode(tokenizer, end_id, table), SCHEMA).write.options(**LAYOUT).parquet(path)
+    ordered.mapInArrow(released(_encode(tokenizer, end_id, table)), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +79,7 @@ def _digest(batches):
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, table=800_000)
-    return read_tokens(spark, path).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(spark, path).mapInArrow(released(_digest), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 QUERIES = {"op4_token_files": op4_token_files}

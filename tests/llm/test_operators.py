@@ -740,6 +740,15 @@ def test_names_alone_do_not_decide(monkeypatch):
     assert html_text.main_text(page) == " ".join(["buy this", *text, "and that"])
 
 
+def test_headings_and_headers():
+    body = "".join(f"<p>{t}</p>" for t in paragraphs(random.Random(8), 4, 60))
+    text = " ".join(paragraphs(random.Random(8), 4, 60))
+    assert html_text.main_text(f"<body><div class=x><h1>Site</h1></div><article><div class='article-header'><h1>Title</h1></div>{body}</article></body>") == "Title " + text
+    assert html_text.main_text(f"<body><div id=header><h1>Site</h1></div><div><h2>Title</h2><div>{body}</div></div></body>") == "Title " + text
+    comment = "<section class=comments><p>" + "long words of a reader " * 30 + "</p></section>"
+    assert html_text.main_text(f"<main><h1>Title</h1>{body}{comment}<p>End.</p></main>") == f"Title {text} End."
+
+
 def test_menus_below_any_depth():
     assert html_text.main_text("<body><article><p>some text of the page" + "<div>" * 5000 + "<nav>MENU</nav><script>var x=1</script><style>p{}</style><p>deep text") == "some text of the page deep text"
     big = "<p>" + "x" * 10_000_000 + "</p>"
@@ -808,7 +817,7 @@ def test_main_text_against_a_slow_version():
         homes = {blocks[i][2] for i in keep if not beside[i]}
         keep |= {i for i, b in enumerate(blocks) if b[2] in homes and (b[3] or not b[6]) and not beside[i]}
         for i in range(n - 2, -1, -1):
-            if blocks[i][5] and not beside[i] and i + 1 in keep:
+            if blocks[i][5] and not beside[i] and i + 1 in keep and blocks[i][2] == blocks[i + 1][2]:
                 keep.add(i)
         kept = sorted(keep)
         for i, j in zip(kept, kept[1:]):
