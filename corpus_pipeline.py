@@ -15,6 +15,9 @@ from quire.llm.pii import redact
 from quire.llm.quality_rules import fit, keep_good
 
 
+TABLE = 100_000  # pieces of words that a worker keeps: less than on its own, since it holds memory of the stages before
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base limits or a learned rule reject go."""
     return keep_good(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -32,7 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2,048 tokens in the order of a space-filling curve."""
-    return pack(docs)
+    return pack(docs, table=TABLE)
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("personal_data", personal_data), ("packing", packing)]
