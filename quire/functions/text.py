@@ -27,9 +27,13 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 SHIFTS = (-1, 1, -2, 2, -3, 3)
 
 
+#: white space of any kind, as Unicode has it, and the separators of information
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """White space of any kind goes at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def tidy(c: Column) -> Column:
@@ -64,16 +68,16 @@ def numbers(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0))
 
 
-def missing_numbers(body: Column, source_numbers: Column) -> Column:
-    """Numbers of a body, each once in string order, that its source hasn't, comma and dot alike; single digits stand everywhere.
+def body_numbers(body: Column) -> Column:
+    """Numbers of a body, each once in string order. Single digits, which stand everywhere, and those of lines of tags, sources, evidence and derived ones don't count."""
+    own = F.filter(F.split(body, "\n"), lambda x: ~(x.rlike(r"(?iU)^\s*(?:tags|src|evidence):") | F.contains(x, F.lit("[DERIVED]"))))
+    return F.array_sort(F.array_distinct(F.filter(numbers(F.array_join(own, "\n")), lambda x: F.length(F.regexp_replace(x, "[.,]", "")) > 1)))
 
-    Lines of tags, sources and evidence, and derived ones, don't count.
-    """
-    low = lambda x: F.lower(strip(x))
-    own = F.filter(F.split(body, "\n"), lambda x: ~(low(x).startswith("tags:") | low(x).startswith("src:") | low(x).startswith("evidence:") | F.contains(x, F.lit("[DERIVED]"))))
-    dots = F.transform(source_numbers, lambda y: F.replace(y, F.lit(","), F.lit(".")))
-    new = F.filter(numbers(F.array_join(own, "\n")), lambda x: ~F.array_contains(dots, F.replace(x, F.lit(","), F.lit("."))) & (F.length(F.regexp_replace(x, "[.,]", "")) > 1))
-    return F.array_sort(F.array_distinct(new))
+
+def missing_numbers(found: Column, source_numbers: Column) -> Column:
+    """Those of a body's numbers that its source hasn't, comma and dot alike."""
+    dots = lambda a: F.transform(a, lambda y: F.replace(y, F.lit(","), F.lit(".")))
+    return F.transform(F.array(dots(source_numbers)), lambda s: F.filter(found, lambda x: ~F.array_contains(s, F.replace(x, F.lit(","), F.lit(".")))))[0]
 
 
 def est_tokens(c: Column) -> Column:
@@ -132,12 +136,18 @@ def garbled(text: Column) -> Column:
     return F.transform(F.array(F.transform(words(text), lambda x: F.lower(x))), judged)[0]
 
 
+def lost_symbols(text: Column) -> Column:
+    """Whether an encoding lost signs before numbers; texts without a mark that could stand for one are passed over quickly."""
+    may = F.contains(text, F.lit("$")) | F.contains(text, F.lit("#")) | text.rlike("(?<![0-9A-Za-z])[,.]")
+    return may & text.rlike(SYMBOL_LOSS)
+
+
 def unreliable(plain: Column, native: Column, blocks: Column) -> Column:
     """Why a page's own text can't be trusted: the first reason that applies, or an empty string. blocks: the blocks of its text."""
     return (
         F.when(F.regexp_count(plain, F.lit(BAD_CHARS)) >= BAD_COUNT, DAMAGED)
         .when(F.exists(blocks, garbled), DAMAGED)
-        .when(plain.rlike(SYMBOL_LOSS), SYMBOLS)
+        .when(lost_symbols(plain), SYMBOLS)
         .when(plain.rlike(LINE_CAPTION) | native.rlike(LINE_CAPTION), BOXED)
         .otherwise("")
     )

@@ -54,7 +54,7 @@ def checked(entries: DataFrame, sources: DataFrame, topics=tuple(TOPICS)) -> Dat
     e = e.join(sources, "unit_id", "left")
     none = F.coalesce("numbers", F.array().cast("array<string>"))
     known = F.col("dest").isin(SECTIONS)
-    return e.withColumn("missing", X.missing_numbers(F.col("body"), none)).withColumn("code", F.when(known, F.col("dest")).otherwise(FALLBACK)).withColumn("bad_dest", ~known).drop("numbers")
+    return e.withColumn("missing", X.missing_numbers(X.body_numbers(F.col("body")), none)).withColumn("code", F.when(known, F.col("dest")).otherwise(FALLBACK)).withColumn("bad_dest", ~known).drop("numbers")
 
 
 def stats(entries: DataFrame, deleted: DataFrame) -> DataFrame:

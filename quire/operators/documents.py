@@ -47,10 +47,10 @@ def num_grounding(spark: SparkSession, d: str) -> DataFrame:
 
     The predecessor's numbers, not its text, travel through the window.
     """
-    df = docs(spark, d, "documents_dirty").select("doc_id", "source", "text", X.numbers(F.col("text")).alias("s"))
+    n = docs(spark, d, "documents_dirty").select("doc_id", "source", X.body_numbers(F.col("text")).alias("b"), X.numbers(F.col("text")).alias("s"))
     before = F.lag("s").over(W.partitionBy("source").orderBy("doc_id"))
-    earlier = df.select("doc_id", F.coalesce(before, F.array().cast("array<string>")).alias("before"))
-    m = df.select("doc_id", "text").join(earlier, "doc_id").select("doc_id", X.missing_numbers(F.col("text"), F.col("before")).alias("m"))
+    p = n.select("doc_id", "b", F.coalesce(before, F.array().cast("array<string>")).alias("before"))
+    m = p.select("doc_id", X.missing_numbers(F.col("b"), F.col("before")).alias("m"))
     return m.select("doc_id", F.size("m").cast("long").alias("n_missing"), F.array_join(F.slice("m", 1, 12), "|").alias("missing"))
 
 
@@ -162,7 +162,7 @@ _SYM = f"(?m)(?:^|{L[:1]}^{L[1:-1]}$#])[#$]\\s?[0-9]+(?:[.,][0-9]+)?\\s?%|(?:^|[
 @query(f"select doc_id, cast(len(regexp_extract_all(text, '[{X.BAD_CHARS[1:-1]}]')) as bigint) as n_bad, regexp_matches(text, '{_SYM}') as symbols, regexp_matches(text, '{_CAP_TEXT}') as caption, regexp_matches(text, '{_BOX}') as line_caption from documents_dirty")
 def damage_signs(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return docs(spark, d, "documents_dirty").select("doc_id", F.regexp_count(t, F.lit(X.BAD_CHARS)).cast("long").alias("n_bad"), t.rlike(X.SYMBOL_LOSS).alias("symbols"), t.rlike(X.CAPTION).alias("caption"), t.rlike(X.LINE_CAPTION).alias("line_caption"))
+    return docs(spark, d, "documents_dirty").select("doc_id", F.regexp_count(t, F.lit(X.BAD_CHARS)).cast("long").alias("n_bad"), X.lost_symbols(t).alias("symbols"), t.rlike(X.CAPTION).alias("caption"), t.rlike(X.LINE_CAPTION).alias("line_caption"))
 
 
 _REASON = f"case when len(regexp_extract_all(text, '[{X.BAD_CHARS[1:-1]}]')) >= {X.BAD_COUNT} then '{X.DAMAGED}' when garbled then '{X.DAMAGED}' when regexp_matches(text, '{_SYM}') then '{X.SYMBOLS}' when regexp_matches(text, '{_BOX}') then '{X.BOXED}' else '' end"
