@@ -65,6 +65,24 @@ def count_below(bounds: list[int], x: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.try_element_at(table, at + step) < x), at + step).otherwise(at))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with the columns of groups, which has one row a key (a null key meets a null one); rows whose key has none get nulls.
+
+    groups.count is the number of rows of a key. A key with more than an even share of them is dealt over several tasks: it is
+    marked by a broadcast of such keys, fewer than four a partition, and its group is repeated for each share. groups is
+    read three times, so it should be a written table; of its columns all but key and count are added.
+    """
+    parts = 4 * partitions(rows)
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    shares = F.ceil(F.col(count) / max(total // parts, 1)).cast("int")
+    often = groups.select(F.col(key).alias("__often"), shares.alias("__of")).where("__of > 1")
+    dealt = rows.join(F.broadcast(often), F.col(key).eqNullSafe(F.col("__often")), "left").drop("__often")
+    dealt = dealt.withColumn("__share", F.pmod(F.monotonically_increasing_id(), F.coalesce("__of", F.lit(1)).cast("long"))).drop("__of")
+    each = groups.withColumn("__share_of", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(shares.cast("long"), F.lit(1)) - 1))).withColumnRenamed(key, "__key")
+    met = dealt.join(each, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__share") == F.col("__share_of")), "left")
+    return met.drop("__share", "__share_of", "__key", count)
+
+
 def by_ranges(df: DataFrame, column: Column, parts: int, name: str = "range", tie: Column | None = None) -> DataFrame:
     """df with the number of each row's range of a whole-number column, from 0; the ranges are cut at its quantiles. Nulls lie in the first.
 
