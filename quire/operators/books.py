@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions import text as X
 from ..views import duck, table
 from .documents import ORACLES as _DOCUMENTS
-from .segment import TINY_CHARS, TOC_HITS, TOC_NEIGHBOURS, changed_spans, chapter_books, locate_texts, redone, tiny_units as tiny, unit_name
+from .segment import TINY_CHARS, TOC_HITS, TOC_NEIGHBOURS, changed_spans, chapter_pieces, locate_pieces, redone, tiny_units as tiny, unit_name
 
 QUERIES, ORACLES = {}, {}
 _UNITS = f"({_DOCUMENTS['locate_units'].strip()})"
@@ -63,7 +63,7 @@ def toc_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
-    return locate_texts(*chapter_books(table(spark, d, "book_docs")))
+    return locate_pieces(*chapter_pieces(table(spark, d, "book_docs")))
 
 
 @query(f"select source, unit_id, a, b from {_UNITS} u where cast(substring(unit_id, 2) as int) % 5 = 0 and cast(substring(unit_id, 2) as int) % 7 <> 0")
@@ -84,10 +84,10 @@ def unit_stats(spark: SparkSession, d: str) -> DataFrame:
 @query("select source, 'U' || lpad(cast(count(*) + 1 as string), cast(greatest(2, length(cast(count(*) + 1 as string))) as int), '0') as unit_id from book_docs group by source")
 def lost_units(spark: SparkSession, d: str) -> DataFrame:
     """Content units that weren't located: here one more unit of each book, whose start no line equals or holds."""
-    books, units = chapter_books(table(spark, d, "book_docs"))
+    books, units = chapter_pieces(table(spark, d, "book_docs"))
     more = units.groupBy("source").agg((F.max("k") + 1).alias("k")).withColumn("start", F.lit("# Lost"))
     units = units.unionByName(more)
-    return units.select("source", unit_name(F.col("k")).alias("unit_id")).join(locate_texts(books, units), ["source", "unit_id"], "left_anti")
+    return units.select("source", unit_name(F.col("k")).alias("unit_id")).join(locate_pieces(books, units), ["source", "unit_id"], "left_anti")
 
 
 @query(f"select source, unit_id, b - a as n_chars from {_UNITS} u where b - a < {TINY_CHARS}")

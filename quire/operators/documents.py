@@ -220,10 +220,10 @@ s as (select h.source, k, n, m, case when m > 2 then t + coalesce(sum(length({_H
 select source, 'U' || lpad(cast(k as string), cast(greatest(2, length(cast(k as string))) as int), '0') as unit_id, cast(case when k = 1 then 0 else p end as bigint) as a, cast(coalesce(lead(p) over (partition by source order by k), whole) as bigint) as b, k = 1 and m > 2 as toc_skipped,
   {_H} as start_line, case when k = m then '(end of book)' else '# Chapter ' || (k + 1) end as "end" from s""")
 def locate_units(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of the units of books with a table of contents, found in all lines of their texts: see segment.unit_spans."""
-    from .segment import chapter_books, locate_texts
+    """Spans of the units of books with a table of contents, found in all lines of their texts: see segment.locate_pieces."""
+    from .segment import chapter_pieces, locate_pieces
 
-    return locate_texts(*chapter_books(docs(spark, d, "book_docs"))).drop("k")
+    return locate_pieces(*chapter_pieces(docs(spark, d, "book_docs"))).drop("k")
 
 
 @query("""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_right
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..staging import materialise
+
 
 #: fixed values: neighbours on each side of a line that are looked at, and how many other starts among them tell a table of contents
 TOC_NEIGHBOURS, TOC_HITS = 3, 2
@@ -18,89 +20,164 @@ END_OF_BOOK, TINY_CHARS = "(end of book)", 400
 FRONT, TAIL = "front a\nfront b\nfront c", "end a\nend b\nend c"
 
 
-def chapter_books(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Books (source, text) of a table of contents and the documents of a source as chapters, and their units (source, k, start)."""
-    h = docs.select("source", "text", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("k")).withColumn("start", F.concat(F.lit("# Chapter "), "k"))
-    rows = h.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "start", F.coalesce("text", F.lit("")).alias("text")))).alias("r"))
-    contents = F.array_join(F.transform("r", lambda x: x["start"]), "\n")
-    chapters = F.array_join(F.transform("r", lambda x: F.concat(x["start"], F.lit("\n"), x["text"], F.lit("\n" + TAIL))), "\n")
-    return rows.select("source", F.concat_ws("\n", contents, F.lit(FRONT), chapters).alias("text")), h.select("source", "k", "start")
+def chapter_pieces(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Books as pieces (source, pos, text): a table of contents, then the documents of a source as chapters; and their units (source, k, start)."""
+    h = docs.select("source", "text", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("long").alias("pos"))
+    start = F.concat(F.lit("# Chapter "), F.col("pos").cast("string"))
+    units = h.select("source", F.col("pos").alias("k"), start.alias("start"))
+    contents = units.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "start"))).alias("r"))
+    contents = contents.select("source", F.lit(0).cast("long").alias("pos"), F.concat_ws("\n", F.array_join(F.transform("r", lambda x: x["start"]), "\n"), F.lit(FRONT)).alias("text"))
+    chapters = h.select("source", "pos", F.concat(start, F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n" + TAIL)).alias("text"))
+    return contents.unionByName(chapters), units
+
 
+CHUNK = 256  # pieces of a book that are searched together
+_FOUND = "kind int, source string, pos long, line long, r long, off long, k long, equal boolean, text string"
+PIECE, HIT, KNOWN, LINE = range(4)
 
-def unit_spans(text: str, starts: list[str], skip_contents: bool = True) -> list[tuple[int, int, int, bool, str, str]]:
-    """(place in starts, a, b, contents skipped, first line, line after it) of the units found in a book, in order.
 
-    Every line from behind the previous hit is searched: those that equal the start, stripped, else those that contain it.
-    Of these the first that isn't beside two other starts counts, or the first of all if each is; a unit that isn't found
-    leaves the search where it was. Of a start with several lines the first that isn't blank counts.
+def _search(batches):
+    """Rows (source, chunk, kind, pos, text, starts), the starts of a chunk before its pieces, to what its lines tell: see _FOUND.
+
+    PIECE: a piece's first line, with r of its lines not blank and off characters. HIT: a line that equals or contains the start
+    of unit k. KNOWN: a line that equals any start. LINE: a line that was hit. r counts the lines that aren't blank, off characters.
     """
-    lines = text.split("\n")
-    bare = [x.strip() for x in lines]
-    solid = [i for i, x in enumerate(bare) if x]
-    rank = {i: r for r, i in enumerate(solid)}
-    known = {x.strip() for x in starts if x and x.strip()}
-    equal: dict[str, list[int]] = {}
-    for i in solid:
-        equal.setdefault(bare[i], []).append(i)
-
-    def contents(i, own):
-        r = rank[i]
-        near = solid[max(0, r - TOC_NEIGHBOURS) : r] + solid[r + 1 : r + 1 + TOC_NEIGHBOURS]
-        return sum(bare[j] in known and bare[j] != own for j in near) >= TOC_HITS
-
-    def containing(start, at):
-        for i in range(at, len(lines)):
-            if start in lines[i]:
-                yield i
-
-    def found(start, at):
-        same = equal.get(start, [])
-        for hits in (iter(same[bisect_left(same, at) :]), containing(start, at)):
-            first = next(hits, None)
-            if first is None:
+    import ahocorasick
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+    told, units, known, automaton = None, {}, set(), None
+    for batch in batches:
+        out = []
+        for source, _, kind, pos, text, starts in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == 0:
+                if told == (source, starts):
+                    continue
+                told, units = (source, starts), {}
+                for u in starts:
+                    first = next((x.strip() for x in (u["start"] or "").splitlines() if x.strip()), "")
+                    if first:
+                        units.setdefault(first, []).append(u["k"])
+                known = {x["start"].strip() for x in starts if x["start"] and x["start"].strip()}
+                automaton = ahocorasick.Automaton()
+                for first in units:
+                    automaton.add_word(first, first)
+                automaton.make_automaton()
                 continue
-            if not skip_contents or not contents(first, start):
-                return first, False
-            later = next((i for i in hits if not contents(i, start)), None)
-            return (first, False) if later is None else (later, True)
-        return None, False
-
-    got, at = [], 0
-    for k, start in enumerate(starts):
-        start = next((x.strip() for x in (start or "").splitlines() if x.strip()), "")
-        i, skipped = found(start, at) if start else (None, False)
-        if i is not None:
-            got.append((k, i, skipped))
-            at = i + 1
-    offsets = [0, *accumulate(len(x) + 1 for x in lines)]
-    heads = [0 if n == 0 else i for n, (_, i, _) in enumerate(got)]
-    begins = [offsets[i] for i in heads] + [len(text)]
-    after = [bare[i] for i in heads[1:]] + [END_OF_BOOK]
-    return [(k, begins[n], begins[n + 1], skipped, bare[heads[n]], after[n]) for n, (k, _, skipped) in enumerate(got)]
+            text = text or ""
+            lines = text.split("\n")
+            offsets = list(accumulate((len(x) + 1 for x in lines), initial=0))
+            bare = [x.strip() for x in lines]
+            rank = list(accumulate(map(bool, bare), initial=0))
+            out.append((PIECE, source, pos, 0, rank[-1], offsets[-1], None, None, bare[0]))
+            hits = {(bisect_right(offsets, end) - 1, first) for end, first in automaton.iter(text)} if units and told[0] == source else ()
+            for i, first in hits:
+                out += [(HIT, source, pos, i, rank[i], offsets[i], k, bare[i] == first, first) for k in units[first]]
+            out += [(LINE, source, pos, i, rank[i], offsets[i], None, None, bare[i]) for i in {i for i, _ in hits}]
+            out += [(KNOWN, source, pos, i, rank[i], offsets[i], None, None, x) for i, x in enumerate(bare) if x in known]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names=names)
+
+
+def _chosen(skip_contents: bool):
+    """Hits (source, k, equal, pos, line, contents), sorted, equal lines first, to the hit of each unit: (source, k, pos, line, skipped).
+
+    A chain over hits: of a book, the place behind the last hit is known, of a unit the first hit among contents.
+    """
 
+    def run(batches):
+        import pyarrow as pa
 
-SPANS = "source string, k long, a long, b long, toc_skipped boolean, start_line string, end string"
+        names, kinds = ["source", "k", "pos", "line", "skipped"], (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        book, unit, part, at, first, won = None, None, None, None, None, None
+        out = []
 
+        def close():
+            """The unit's or the part's end: a first hit among contents counts if no other did."""
+            nonlocal won, first
+            if won is None and first is not None:
+                won = (*first, False)
+            first = None
 
-def locate_texts(books: DataFrame, units: DataFrame, skip_contents: bool = True) -> DataFrame:
-    """Each unit's half-open span in the whole text of its book: see unit_spans; books(source, text), units(source, k, start).
+        def leave():
+            nonlocal at, won
+            if won is not None:
+                out.append((book, unit, *won))
+                at = won[:2]
+            won = None
 
-    The search goes on from hit to hit, so a book and its starts are one row; the first unit found begins at 0, the last
-    ends with the book. A book is one file, whose size its upload bounds.
+        for batch in batches:
+            for source, k, equal, pos, line, contents in zip(*(c.to_pylist() for c in batch.columns)):
+                if (source, k) != (book, unit):
+                    close(), leave()
+                    if source != book:
+                        at = None
+                    book, unit, part = source, k, equal
+                elif equal != part:
+                    close()
+                    part = equal
+                if won is not None or at is not None and (pos, line) <= at:
+                    continue
+                if not skip_contents or not contents:
+                    won = (pos, line, first is not None)
+                elif first is None:
+                    first = (pos, line)
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names=names)
+                out.clear()
+        close(), leave()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names=names)
+
+    return run
+
+
+def locate_pieces(pieces: DataFrame, units: DataFrame, skip_contents: bool = True) -> DataFrame:
+    """Each unit's half-open span in its book; pieces(source, pos, text), joined by line feeds in the order of pos, units(source, k, start).
+
+    Every line from behind the previous unit's hit is searched: those that equal the start, stripped, else those that contain
+    it. Of these the first that isn't beside two other starts counts, or the first of all if each is; a unit that isn't found
+    leaves the search where it was. Of a start with several lines the first that isn't blank counts. The first unit found
+    begins at 0, the last ends with the book. (source, k, unit_id, a, b, toc_skipped, start_line, end)
+
+    All starts of a book are sought at once by one automaton, in chunks of pieces that tasks share. Only hits, counts and
+    lines that were hit leave the chunks; hits are chosen in their order, one after the other, of a book in one task.
     """
+    pieces = pieces.select(F.col("source").cast("string").alias("source"), F.col("pos").cast("long").alias("pos"), "text")
+    units = units.select(F.col("source").cast("string").alias("source"), F.col("k").cast("long").alias("k"), "start")
+    chunk = F.floor(F.col("pos") / CHUNK).alias("chunk")
+    starts = units.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "start"))).alias("starts"))
+    none = F.lit(None).cast(starts.schema["starts"].dataType)
+    heads = pieces.select("source", chunk).distinct().join(starts, "source").select("source", "chunk", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("text"), "starts")
+    bodies = pieces.join(starts.select("source"), "source", "left_semi").select("source", chunk, F.lit(1).alias("kind"), "pos", "text", none.alias("starts"))
+    rows = heads.unionByName(bodies).repartition("source", "chunk").sortWithinPartitions("source", "chunk", "kind", "pos")
+    found = materialise(rows.mapInArrow(_search, _FOUND), "lines")
+
+    order = W.partitionBy("source").orderBy("pos")
+    own = found.where(F.col("kind") == PIECE).withColumn("r0", F.sum("r").over(order) - F.col("r")).withColumn("off0", F.sum("off").over(order) - F.col("off"))
+    base = own.select("source", "pos", "r0", "off0")  # numbers of the pieces, a row each
+    book = found.where(F.col("kind") == PIECE).groupBy("source").agg((F.sum("off") - 1).alias("chars"), F.min_by("text", "pos").alias("first"))
+    near = found.where(F.col("kind") == KNOWN).join(base, ["source", "pos"]).select("source", (F.col("r0") + F.col("r")).alias("at"), "text")
+    near = near.select("source", F.explode(F.array(*[F.col("at") + i for i in range(-TOC_NEIGHBOURS, TOC_NEIGHBOURS + 1) if i])).alias("at"), "text")
+    near = near.groupBy("source", "at").agg(F.collect_list("text").alias("beside"))  # six lines at most
+    hits = found.where(F.col("kind") == HIT).join(base, ["source", "pos"]).withColumn("at", F.col("r0") + F.col("r")).join(near, ["source", "at"], "left")
+    others = F.filter("beside", lambda x: x != F.col("text"))
+    hits = hits.select("source", "k", "equal", "pos", "line", (F.coalesce(F.size(others), F.lit(0)) >= TOC_HITS).alias("contents"))
+    hits = hits.repartition("source").sortWithinPartitions("source", "k", F.desc("equal"), "pos", "line")
+    won = hits.mapInArrow(_chosen(skip_contents), "source string, k long, pos long, line long, skipped boolean")
+    lines = found.where(F.col("kind") == LINE).select("source", "pos", "line", "off", F.col("text").alias("head"))
+    won = won.join(lines, ["source", "pos", "line"]).join(base, ["source", "pos"]).join(book, "source").withColumn("a", F.col("off0") + F.col("off"))
+    after, first = W.partitionBy("source").orderBy("k"), F.row_number().over(W.partitionBy("source").orderBy("k")) == 1
+    return won.select(
+        "source", "k", unit_name(F.col("k")).alias("unit_id"), F.when(first, 0).otherwise(F.col("a")).cast("long").alias("a"), F.coalesce(F.lead("a").over(after), "chars").alias("b"),
+        F.col("skipped").alias("toc_skipped"), F.when(first, F.col("first")).otherwise(F.col("head")).alias("start_line"), F.coalesce(F.lead("head").over(after), F.lit(END_OF_BOOK)).alias("end"),
+    )
 
-    def run(batches):
-        import pyarrow as pa
 
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string())
-        for batch in batches:
-            rows = [(r["source"], r["u"][k]["k"], *x) for r in batch.to_pylist() for k, *x in unit_spans(r["text"] or "", [u["start"] for u in r["u"]], skip_contents)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=[c.split()[0] for c in SPANS.split(", ")])
-
-    u = units.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "start"))).alias("u"))
-    rows = books.join(u, "source").select(F.col("source").cast("string"), "text", "u").mapInArrow(run, SPANS)
-    return rows.select("source", "k", unit_name(F.col("k")).alias("unit_id"), "a", "b", "toc_skipped", "start_line", "end")
+def locate_texts(books: DataFrame, units: DataFrame, skip_contents: bool = True) -> DataFrame:
+    """locate_pieces of books(source, text), each one piece."""
+    return locate_pieces(books.select("source", F.lit(0).cast("long").alias("pos"), "text"), units, skip_contents)
 
 
 def unit_name(k: Column) -> Column:

@@ -74,9 +74,9 @@ with g as (select user_id, ts, case when lag(ts) over w is null or date_diff('mi
 s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
 select user_id, min(ts) as session_start, count(*) as n from s group by user_id, k""")
 def session_ttl(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions that end 55 minutes after the last event."""
+    """Sessions that end 55 minutes after the last event; one at the very end begins a new session, while windows that touch are merged."""
     e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    s = e.groupBy("user_id", F.session_window("ts", "55 minutes").alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("s"))
+    s = e.groupBy("user_id", F.session_window("ts", "3299999999 microseconds").alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("s"))
     return s.select("user_id", F.col("s").cast("timestamp_ntz").alias("session_start"), "n")
 
 

@@ -1,7 +1,11 @@
+import datetime
 import io
 import json
 import random
+import time
 import zipfile
+from bisect import bisect_left
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,6 +270,85 @@ def test_units_in_whole_texts(spark):
     assert [r.unit_id for r in segment.tiny_units(kinds).collect()] == ["U01"]
 
 
+def _unit_spans(text: str, starts: list[str], skip_contents: bool = True) -> list[tuple[int, int, int, bool, str, str]]:
+    """(place in starts, a, b, contents skipped, first line, line after it) of the units found in a book, in order.
+
+    Every line from behind the previous hit is searched: those that equal the start, stripped, else those that contain it.
+    Of these the first that isn't beside two other starts counts, or the first of all if each is; a unit that isn't found
+    leaves the search where it was. Of a start with several lines the first that isn't blank counts.
+    """
+    lines = text.split("\n")
+    bare = [x.strip() for x in lines]
+    solid = [i for i, x in enumerate(bare) if x]
+    rank = {i: r for r, i in enumerate(solid)}
+    known = {x.strip() for x in starts if x and x.strip()}
+    equal: dict[str, list[int]] = {}
+    for i in solid:
+        equal.setdefault(bare[i], []).append(i)
+
+    def contents(i, own):
+        r = rank[i]
+        near = solid[max(0, r - segment.TOC_NEIGHBOURS) : r] + solid[r + 1 : r + 1 + segment.TOC_NEIGHBOURS]
+        return sum(bare[j] in known and bare[j] != own for j in near) >= segment.TOC_HITS
+
+    def containing(start, at):
+        for i in range(at, len(lines)):
+            if start in lines[i]:
+                yield i
+
+    def found(start, at):
+        same = equal.get(start, [])
+        for hits in (iter(same[bisect_left(same, at) :]), containing(start, at)):
+            first = next(hits, None)
+            if first is None:
+                continue
+            if not skip_contents or not contents(first, start):
+                return first, False
+            later = next((i for i in hits if not contents(i, start)), None)
+            return (first, False) if later is None else (later, True)
+        return None, False
+
+    got, at = [], 0
+    for k, start in enumerate(starts):
+        start = next((x.strip() for x in (start or "").splitlines() if x.strip()), "")
+        i, skipped = found(start, at) if start else (None, False)
+        if i is not None:
+            got.append((k, i, skipped))
+            at = i + 1
+    offsets = [0, *accumulate(len(x) + 1 for x in lines)]
+    heads = [0 if n == 0 else i for n, (_, i, _) in enumerate(got)]
+    begins = [offsets[i] for i in heads] + [len(text)]
+    after = [bare[i] for i in heads[1:]] + [segment.END_OF_BOOK]
+    return [(k, begins[n], begins[n + 1], skipped, bare[heads[n]], after[n]) for n, (k, _, skipped) in enumerate(got)]
+
+
+def test_units_are_brute_force(spark):
+    """Books in pieces against a search of the whole text: contents pages, starts within lines, repeated and odd starts, 1,000 starts."""
+    rng, pieces, units, want = random.Random(9), [], [], []
+    for b in range(12):
+        n = 1000 if b == 0 else rng.randrange(0, 9)
+        starts = [rng.choice([f"# Ch {k}", f"# Ch {rng.randrange(5)}", f"\n  # Ch {k} \nsub", "ch", "é x", "", None]) if b else f"# Chapter {k}" for k in range(n)]
+        lines = ["# Book", *[(x or "").strip() for x in starts], "", "a", "b"] if rng.random() < 0.7 else []
+        for k, x in enumerate(starts):
+            if rng.random() < 0.9:
+                lines.append(rng.choice(["{}", "  {} ", "see {} now", "{}\t"]).format((x or "").strip().split("\n")[0]))
+            lines += [rng.choice(["", " ", "text", "# Ch", "ch ch", "\x1c", "é x!"]) for _ in range(rng.randrange(0, 6))]
+        cuts = sorted({0, *(rng.randrange(len(lines) + 1) for _ in range(rng.randrange(1, 6 if b else 700)))} - {len(lines)}) or [0]
+        parts = ["\n".join(lines[a:c]) for a, c in zip(cuts, [*cuts[1:], len(lines)])]
+        pieces += [(f"b{b}", p, x) for p, x in enumerate(parts)]
+        units += [(f"b{b}", k, x) for k, x in enumerate(starts)]
+        want += [(f"b{b}", *x) for x in _unit_spans("\n".join(parts), starts)]
+    pieces += [("alone", 0, "# x"), ("empty", 0, None)]
+    units += [("empty", 0, "# x"), ("nowhere", 0, "# x")]
+    p = spark.createDataFrame(pieces, "source string, pos long, text string").repartition(7)
+    u = spark.createDataFrame(units, "source string, k long, start string").repartition(3)
+    got = segment.locate_pieces(p, u).drop("unit_id").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    whole = p.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n").alias("text"))
+    assert sorted(map(tuple, segment.locate_texts(whole, u).drop("unit_id").collect())) == sorted(want)
+    assert segment.locate_pieces(p.limit(0), u).count() == 0 and segment.locate_pieces(p, u.limit(0)).count() == 0
+
+
 def test_split_into_parts(spark):
     """Three parts: a chapter within the window wins over nearer lines and sections; where there is no heading, the nearest line."""
     line = "x" * 9 + "\n"
@@ -454,6 +537,107 @@ def test_stream_of_job_states(spark, data, tmp_path):
         assert second[r.job] == (r.state, r.stage, r.message, r.events + (r.job == late.job), int(r.job == late.job))
 
 
+def test_long_histories(spark):
+    """Jobs of any length against one event after the other; one job's events lie in several partitions."""
+    rng, rows = random.Random(6), []
+    for i in range(30_000):
+        job = 0 if rng.random() < 0.6 else rng.randrange(1, 400)
+        line = rng.choice([None, "", " --- ", "x " + str(i), "\u3000wide " + "w" * 300, "== a"])
+        rows.append((job if job != 7 else None, rng.choice([i, i // 3]), rng.choice([*stream.EVENTS, "linea", "other", None]), line))
+    df = spark.createDataFrame(rows, "job long, event_id long, event string, line string").repartition(6)
+    want = {}
+    key = lambda r: [(x is not None, x if x is not None else 0) for x in r[1:]]
+    for job, event_id, event, line in sorted(rows, key=key):
+        now, n, _ = want.get(job, (("", "", ""), 0, None))
+        want[job] = stream.advance(*now, event, line), n + 1, event_id
+    got = {r.job: ((r.state, r.stage, r.message), r.events, r.last_event) for r in stream.history(df).collect()}
+    assert got == want
+    parts = df.repartitionByRange(4, "job", "event_id").where("job = 0").groupBy(F.spark_partition_id()).count().count()
+    assert parts > 1  # the hot job is dealt
+    assert stream.history(df.limit(0)).count() == 0
+
+
+@pytest.fixture
+def with_timers(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    stream.timers(spark)
+    yield
+    spark.conf.set(key, before)
+
+
+def _streamed(spark, df, make, tmp_path, files, flush=None):
+    """All rows that make(stream of df's rows, in shuffled chunks) gives, in batches of one file."""
+    folder, rows = tmp_path / "in", df.collect()
+    for k in range(files):
+        spark.createDataFrame(rows[k::files], df.schema).coalesce(1).write.mode("append").parquet(str(folder))
+    if flush is not None:
+        spark.createDataFrame([flush], df.schema).coalesce(1).write.mode("append").parquet(str(folder))
+    got = []
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    q = make(source).writeStream.foreachBatch(lambda out, _: got.extend(out.collect())).outputMode("update" if flush is None or len(flush) > 2 else "append")
+    q = q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    return got
+
+
+def test_ordered_stream(spark, tmp_path, with_timers):
+    """Events in any order within the delay end in the states of all events at once."""
+    rng, start, rows = random.Random(3), datetime.datetime(2024, 1, 1), []
+    for i in range(400):
+        rows.append((rng.randrange(6), i, rng.choice([*stream.EVENTS, "linea"]), f"line {i}", start + datetime.timedelta(seconds=i)))
+    rng.shuffle(rows)
+    schema = "job long, event_id long, event string, line string, time timestamp"
+    df = spark.createDataFrame(rows, schema)
+    got = _streamed(spark, df, lambda s: stream.ordered_states(s, "1 hour"), tmp_path, 3, (99, 10**6, "linea", "flush", start + datetime.timedelta(days=2)))
+    last = {}
+    for r in got:
+        last[r.job] = tuple(r)[1:] if r.n_events >= last.get(r.job, (0, 0, 0, 0))[3] else last[r.job]
+    want = {r.job: (r.state, r.stage, r.message, r.events) for r in stream.history(df).collect()}
+    assert {j: v for j, v in last.items() if j != 99} == want
+
+
+def test_sessions_end_by_timers(spark, tmp_path, with_timers):
+    rng, start, rows = random.Random(5), datetime.datetime(2024, 1, 1), []
+    for k in range(5):
+        t = start
+        for _ in range(40):
+            t += datetime.timedelta(minutes=rng.choice([1, 20, 54, 55, 56, 300]))
+            rows.append((k, t))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "key long, time timestamp")
+    got = _streamed(spark, df, lambda s: stream.ended_sessions(s, 3300, "60 days"), tmp_path, 3, (99, start + datetime.timedelta(days=90)))
+    want = []
+    for key, t in sorted(rows):
+        if want and want[-1][0] == key and t - want[-1][2] < datetime.timedelta(minutes=55):
+            want[-1] = (key, want[-1][1], t, want[-1][3] + 1)
+        else:
+            want.append((key, t, t, 1))
+    assert sorted(tuple(r) for r in got if r.key != 99) == want
+
+
+def test_polled_by_timers(spark, tmp_path, with_timers):
+    """A thing that stays pending twice is asked three times; one that is done at once, once."""
+    folder, marks = tmp_path / "in", tmp_path / "asked"
+    marks.mkdir()
+    spark.createDataFrame([("slow",), ("quick",)], "key string").write.parquet(str(folder))
+
+    def ask(key):
+        n = len(list(marks.glob(f"{key}-*")))
+        (marks / f"{key}-{n}").touch()
+        return "pending" if key == "slow" and n < 2 else "ended"
+
+    got = []
+    q = stream.polled(spark.readStream.schema("key string").parquet(str(folder)), ask, seconds=0.2)
+    q = q.writeStream.foreachBatch(lambda out, _: got.extend(out.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="300 milliseconds").start()
+    for _ in range(200):
+        if sum(r.status == "ended" for r in got) == 2:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert sorted((r.key, r.status, r.calls) for r in got) == [("quick", "ended", 1), ("slow", "ended", 3), ("slow", "pending", 1), ("slow", "pending", 2)]
+
+
 def test_assembled_book(spark):
     """One small book from raw answers to its files, index and report."""
     raw = '<<<ENTRY dest="C05" title="Beta">>>\nshort\n<<<END>>>\n<<<ENTRY dest="C05" title="alpha">>>\ntags: condition:Renal,zz\nmore 12 and 99\n<<<END>>>\n<<<ENTRY dest="C05" title="beta ">>>\nlonger text\n<<<END>>>\n<<<ENTRY dest="QQ" title="lost">>>\nx\n<<<END>>>\n<<<ENTRY dest="L2" title="Plan">>>\ny\n<<<END>>>\n<<<ENTRY dest="C18" title="old">>>\nz\n<<<END>>>'
