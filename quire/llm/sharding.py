@@ -51,7 +51,7 @@ def hilbert_key(df: DataFrame, dims: list[str], bits: int = BITS, name: str = "h
 
 
 def ranked(df: DataFrame, keys: list[str], name: str = "rank") -> DataFrame:
-    """df with each row's place, from 0, in the order of keys, and the number of rows as `<name>_of`; df should be narrow.
+    """df with each row's place, from 0, in the order of keys, and the number of rows as `<name>_of`; df is written once.
 
     Range partitions are sorted and written; the counts of the partitions, one row for each, give their offsets.
     """
@@ -93,15 +93,22 @@ def shard_rows(df: DataFrame, shards: int = 16, dims: tuple[str, ...] = ("lang",
 def write_shards(df: DataFrame, path: str, shards: int = 16, dims: tuple[str, ...] = ("lang", "source", "size"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write df's rows as Parquet under path/shard=K in the curve's order, and return each shard's counts and bounds of dims.
 
-    Ids must be unique and not null here, since the shards are joined to the rows by id. Null texts stay null, long ones are
-    whole; columns named shard or slot in df are not allowed. An empty table writes an empty folder and returns no rows.
+    Rows travel with their keys, whole and once, so ids may be null or repeated; repeated rows are written as often as they
+    come. Null texts stay null, long ones are whole. A column named shard is refused, since the folders bear that name; all
+    others are written as they are. An empty table writes no rows and returns none.
     """
-    at = shard_rows(df, shards, dims, id_col, text_col).select(F.col("doc_id").alias("__id"), "shard", "slot", F.col("size").alias("__size"))
-    rows = df.join(at, df[id_col] == at["__id"]).drop("__id")
-    dealt = rows.repartitionByRange(partitions(df), "shard", "slot").sortWithinPartitions("shard", "slot")
-    dealt.drop("slot", "__size").write.partitionBy("shard").parquet(path)
-    bounds = [f(F.col("__size") if d == "size" else F.col(d)).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]
-    return rows.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("__size").alias("n_bytes"), *bounds)
+    if any(c.lower() == "shard" for c in df.columns):
+        raise ValueError("df has a column named shard")
+    raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
+    size = (F.octet_length(raw) + 1).cast("long")
+    own = [(size if d == "size" else F.col(d)).alias(f"__{i}") for i, d in enumerate(dims)]
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), *own, size.alias("__size"), F.crc32(raw).alias("__crc"), F.col(id_col).alias("__own"))
+    keyed = hilbert_key(rows, [f"__{i}" for i in range(len(dims))], name="__hilbert")
+    dealt = cut_runs(ranked(keyed, ["__hilbert", "__crc", "__own"]), shards)
+    out = dealt.select("__row", "shard", "slot").sortWithinPartitions("shard", "slot").select("__row.*", "shard")
+    out.write.partitionBy("shard").parquet(path)
+    bounds = [f(f"__{i}").alias(f"{f.__name__}_{d}") for i, d in enumerate(dims) for f in (F.min, F.max)]
+    return dealt.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("__size").alias("n_bytes"), *bounds)
 
 
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,6 +264,27 @@ def test_written_shards_prune(docs, tmp_path):
     assert any(r.min_source == r.max_source or r.max_size < max(x.max_size for x in told) for r in told)
 
 
+def test_shards_hold_every_row(spark, tmp_path):
+    """Null and repeated ids, ties, clashing names: rows out are rows in; bounds of the files prune."""
+    import pyarrow.parquet as pq
+
+    rows = [(1, "a", "en", "s", 5, "r"), (1, "bb", "en", "s", 5, "r"), (None, "ccc", None, None, None, None), (2, "d", "en", "t", 1, "x"), (2, "d", "en", "t", 1, "x"), (3, None, "fr", "u", 0, "")]
+    rows += [(k, "x" * (k % 50), ("de", "en", "fr", "es")[k % 4], f"s{k % 9}", k, "y") for k in range(10, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot long, `rank` string").repartition(5)
+    told = sharding.write_shards(df, str(tmp_path / "a"), 8).collect()
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert collections.Counter(tuple(r) for r in back.drop("shard").select(*df.columns).collect()) == collections.Counter(rows)
+    assert sorted(r.n_rows for r in told) == [49] * 4 + [50] * 4 and sum(r.n_bytes for r in told) == sum(len(r[1] or "") + 1 for r in rows)
+    in_shard = {r.shard: (r.a, r.b) for r in back.groupBy("shard").agg(F.min("lang").alias("a"), F.max("lang").alias("b")).collect()}
+    assert in_shard == {r.shard: (r.min_lang, r.max_lang) for r in told}
+    files = list((tmp_path / "a").rglob("*.parquet"))
+    stats = [pq.ParquetFile(f).metadata.row_group(0).column(2).statistics for f in files]
+    assert sum(s.min <= "fr" <= s.max for s in stats) < len(files)  # a scan for one language skips files
+    with pytest.raises(ValueError):
+        sharding.write_shards(df.withColumn("Shard", F.lit(1)), str(tmp_path / "b"))
+    assert sharding.write_shards(df.limit(0), str(tmp_path / "c")).count() == 0
+
+
 # ---------------------------------------------------------------- 3
 
 def luhn(s):
