@@ -4,7 +4,9 @@ The standard library's parser turns a page into lines, one for each block, with
 elements that HTML itself sets apart (menus, footers, asides, forms) have no part in what follows. Of the others:
 
 1. A line's ratio is its characters for each of its tags, times a weight for what its elements tell: above 1 in `article`
-   and `main`, below 1 where class, id or role speak of something else (unless that element holds the whole page).
+   and `main`, below 1 where class, id or role names speak of something else (unless that element holds the whole page).
+   Names count whole, with all their words, so that `related-work` tells nothing. Those that many articles bear, such as
+   `search` or `notice`, count only beside an article or main, or where the element holds little prose.
 2. The ratios' logarithms are smoothed along the page and split into two clusters; lines of the upper one are content. If
    the clusters are hardly apart, all lines are but those with a low weight.
 3. Content lines at most GAP lines apart, or in one container, make a region; regions far smaller than the largest go.
@@ -31,14 +33,17 @@ NEVER = {"head", "title", "script", "style", "noscript", "template", "svg", "mat
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"html", "body", "article", "main", "section", "div", "table", "ul", "ol", "dl", "td", "th", "nav", "aside", "header", "footer", "form", "blockquote"}
-#: fixed values: words in class, id and role attributes that tell of no content, as evidence (BESIDE)
-ASIDE = set("ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs masthead header footer comment comments commentlist disqus reply replies respond share sharing social related recommended widget widgets pager pagination toolbar login search skip complementary contentinfo dialog form".split())
+#: fixed values: words of class, id and role names that tell of no content, surely or perhaps, and those that may stand beside them
+SURELY = set("ad ads adbox adslot advert adverts advertisement advertising sponsored gdpr sidebar sidebars nav navbar navigation breadcrumb breadcrumbs masthead comment comments commentlist disqus replies pager pagination complementary contentinfo".split())
+PERHAPS = set("banner sponsor promo promotion cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup menu menus header footer reply respond share sharing social related recommended widget widgets toolbar login search skip dialog form".split())
+NEUTRAL = set("area article articles bar block body bottom box button buttons container content desktop global icon icons inner item items left link links list main mobile outer page panel post posts primary reader right secondary section site slot text top unit us user wrap wrapper".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CONTAINERS = {"html", "body", "div", "section", "center", "details"}  # with article and main, which hold all containers in them
 SIGMA = 1.0  # of the smoothing, in lines
 INSIDE, BESIDE = 20.0, 0.01  # weights of a line in article or main, and of one whose element's names tell of no content
 LEAST, APART = 0.1, 1.0  # added to a ratio before its logarithm; the least distance of clusters
+PROSE = 80  # characters of a line that is prose if it isn't all links
 GAP, SHARE = 3, 0.1  # lines between two of one region; the least size of a region, as a part of the largest
 
 
@@ -69,6 +74,8 @@ class _Lines(HTMLParser):
         self.stack = [_Element("", False, 0, False, 0)]
         self.lines: list[_Line] = []
         self.containers, self.above = 0, [0]  # above: of each flagged element, the flagged one around it
+        self.doubts = [False]  # of each flagged element: whether its names tell of no content perhaps only
+        self.inside = [False]  # and whether it lies in an article or main
         self.ends: dict[int, int] = {}  # of each container that has closed, the last one in it; they are numbered as they open
         self.open: Counter[str] = Counter()
         self.parts, self.tags, self.plain = [], 0, False
@@ -109,8 +116,10 @@ class _Lines(HTMLParser):
         if not sealed and (tag in CONTAINERS or tag in ("article", "main")):
             self.containers += 1
             container, sealed = self.containers, tag in ("article", "main")
-        if not e.out and self._flagged(tag, attrs):
+        if not e.out and (told := self._flagged(tag, attrs)):
             self.above.append(flag)
+            self.doubts.append(told == "perhaps")
+            self.inside.append(bool(self.open["article"] or self.open["main"]))
             flag = len(self.above) - 1
         self.stack.append(_Element(tag, e.out or self._out(tag, attrs), container, sealed, flag))
         self.open[tag] += 1
@@ -121,12 +130,18 @@ class _Lines(HTMLParser):
         told = dict(attrs)
         return tag not in ("html", "body") and ("hidden" in told or told.get("aria-hidden") == "true")
 
-    def _flagged(self, tag, attrs) -> bool:
+    def _flagged(self, tag, attrs) -> str | None:
+        """Whether an element's names tell of no content, surely or perhaps: those of which every word is of a known kind."""
         if not attrs or tag in ("html", "body", "article", "main"):
-            return False
+            return None
         told, own = dict(attrs), self.open["article"] or self.open["main"]  # a header in an article is its own
-        words = {w.lower() for k in ("class", "id", "role") for w in WORD.findall(told.get(k) or "")}
-        return bool((words - {"header"} if own else words) & ASIDE)
+        out = None
+        for name in " ".join(told.get(k) or "" for k in ("class", "id", "role")).split():
+            words = {w.lower() for w in WORD.findall(name) if not w.isdigit()}
+            surely, perhaps = words & SURELY, words & PERHAPS - ({"header"} if own else set())
+            if (surely or perhaps) and not words - SURELY - PERHAPS - NEUTRAL:
+                out = "surely" if surely else out or "perhaps"
+        return out
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -179,6 +194,27 @@ def upper_cluster(values: np.ndarray) -> np.ndarray | None:
     return values > cut
 
 
+def believed(lines: list[_Line], above: list[int], doubts: list[bool], inside: list[bool]) -> list[int]:
+    """Each line's flag, or the nearest around it, that counts: where names tell of no content perhaps only, the text must agree.
+
+    Such an element counts if it stands beside an article or main, or if less than half of its text is prose, that is, in
+    lines of PROSE characters that aren't all links.
+    """
+    size, prose = np.zeros(len(above)), np.zeros(len(above))
+    for x in lines:
+        size[x.flag] += len(x.text)
+        prose[x.flag] += len(x.text) if len(x.text) >= PROSE and not x.linked else 0
+    for f in range(len(above) - 1, 0, -1):
+        size[above[f]] += size[f]
+        prose[above[f]] += prose[f]
+    apart = any(x.sealed for x in lines)
+    counts = [0] * len(above)
+    for f in range(1, len(above)):
+        kept = not doubts[f] or apart and not inside[f] or 2 * prose[f] < size[f]
+        counts[f] = f if kept else counts[above[f]]
+    return [counts[x.flag] for x in lines]
+
+
 def besides(flags: list[int], above: list[int]) -> np.ndarray:
     """Which lines lie in a flagged element that doesn't hold all lines; above: of each flag, the one around it (0: none)."""
     held = np.bincount(flags, minlength=len(above))
@@ -213,11 +249,11 @@ def regions(content: np.ndarray, containers: np.ndarray, size: np.ndarray) -> np
     return out
 
 
-def selected(lines: list[_Line], above: list[int], ends: dict[int, int]) -> np.ndarray:
-    """Which of the lines, none of them out, are main text; above and ends: see _Lines."""
+def selected(lines: list[_Line], above: list[int], ends: dict[int, int], doubts: list[bool], inside: list[bool]) -> np.ndarray:
+    """Which of the lines, none of them out, are main text; the others: see _Lines."""
     size = np.array([len(x.text) for x in lines], float)
     containers = np.array([x.container for x in lines])
-    beside = besides([x.flag for x in lines], above)
+    beside = besides(believed(lines, above, doubts, inside), above)
     weight = np.where(beside, BESIDE, np.where([x.sealed for x in lines], INSIDE, 1.0))
     ratio = weight * size / np.maximum([x.tags for x in lines], 1)
     content = upper_cluster(smoothed(np.log(ratio + LEAST)))
@@ -241,7 +277,7 @@ def main_text(html: str, step: int = 1 << 16) -> str:
     for k in range(0, len(html), step):
         parser.feed(html[k : k + step])
     lines = [x for x in parser.done() if not x.out]
-    return " ".join(x.text for x, keep in zip(lines, selected(lines, parser.above, parser.ends)) if keep) if lines else ""
+    return " ".join(x.text for x, keep in zip(lines, selected(lines, parser.above, parser.ends, parser.doubts, parser.inside)) if keep) if lines else ""
 
 
 def _extract(batches):

@@ -809,6 +809,52 @@ def test_headings_and_headers():
     assert html_text.main_text(f"<main><h1>Title</h1>{body}{comment}<p>End.</p></main>") == f"Title {text} End."
 
 
+NAMED = [  # names of an article's own sections, and of what goes even within an article
+    (True, ["related-work", "social-policy", "search-history", "login-security", "form-and-function", "notice-of-terms", "search", "cookies", "notice", "menu", "commentary", "share-of-market", "ad-hoc", "header2 text", "user-guide"]),
+    (False, ["comments", "comment-list", "sidebar", "ads", "ad-box top", "site-nav", "sponsored links", "breadcrumbs"]),
+]
+
+
+@pytest.mark.parametrize("stays, name", [(stays, n) for stays, names in NAMED for n in names])
+@pytest.mark.parametrize("of", ["id", "class"])
+def test_named_sections(stays, name, of):
+    text = paragraphs(random.Random(4), 6, 60)
+    p = [f"<p>{t}</p>" for t in text]
+    page = f"<body><nav>menu</nav><article><h1>Title</h1>{p[0]}{p[1]}<section {of}='{name}'>{p[2]}{p[3]}</section>{p[4]}{p[5]}</article><footer>foot</footer></body>"
+    assert html_text.main_text(page) == " ".join(["Title", *(text if stays else text[:2] + text[4:])])
+
+
+def test_reader_comments_go_whatever_is_around_them():
+    """A long comment section after an article whose last short lines are flagged themselves, and comments with names and dates."""
+    text = paragraphs(random.Random(5), 5, 60)
+    body = "".join(f"<p>{t}</p>" for t in text)
+    short = "<div class=notice>Note this.</div><div class=sidebar>See there.</div><blockquote class=comment>He said so.</blockquote>"
+    said = " ".join(paragraphs(random.Random(6), 1, 90))
+    for end in (f"<section id=comments><p>{said}</p></section>", f"<section id=comments><div><b>Ann</b> <time>1 May</time><p>{said}</p></div><div><b>Bob</b> <time>2 May</time><p>{said}</p></div></section>"):
+        got = html_text.main_text(f"<body><article><h1>T</h1>{body}{short}</article>{end}</body>")
+        assert got == " ".join(["T", *text])
+        got = html_text.main_text(f"<body><div><h1>T</h1>{body}{short}</div>{end}</body>")
+        assert got == " ".join(["T", *text])
+
+
+def test_clusters_choose_the_text(monkeypatch):
+    """Without the clusters, pages of neutral blocks give their link lists and teasers too."""
+    text = paragraphs(random.Random(7), 6, 70)
+    links = "".join(f"<div><a href='/{k}'>go {k}</a> more</div>" for k in range(12))
+    page = f"<body><div class=x1>{links}</div><div class=x2>{''.join(f'<p>{t}</p>' for t in text)}</div><div class=x4>{links}</div></body>"
+    assert html_text.main_text(page) == " ".join(text)
+    monkeypatch.setattr(html_text, "upper_cluster", lambda values: None)
+    assert html_text.main_text(page) != " ".join(text)
+
+
+def test_pages_of_odd_tables(spark):
+    rows = [(1, "u", "<article><p>one two</p></article>")] * 3 + [(None, None, None), (2, "v", ""), (3, "w", "<p>" + "long words " * 900_000)]
+    df = spark.createDataFrame([(*r, "clash", 5) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = collections.Counter((r.page_id, r.url, r.text[:20], r.n_chars) for r in html_text.extract_main_text(df).collect())
+    assert got == {(1, "u", "one two", 7): 3, (None, None, "", 0): 1, (2, "v", "", 0): 1, (3, "w", "long words long word", 9_899_999): 1}
+    assert html_text.extract_main_text(df.limit(0)).count() == 0
+
+
 def test_menus_below_any_depth():
     assert html_text.main_text("<body><article><p>some text of the page" + "<div>" * 5000 + "<nav>MENU</nav><script>var x=1</script><style>p{}</style><p>deep text") == "some text of the page deep text"
     big = "<p>" + "x" * 10_000_000 + "</p>"
