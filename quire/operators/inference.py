@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
+from ..sources import ledger
+from ..staging import materialise
 from ..views import duck, table
 from .jobs import FATAL, FINISH, RETRYABLE, finished
 from .knowledge import numbered
@@ -128,6 +132,16 @@ def ask(requests: DataFrame, call: Callable[[list[str]], tuple[str, str]], tries
     return requests.select("id", "request").mapInPandas(run, "id string, text string, truncated boolean, error string")
 
 
+def ask_after_first(requests: DataFrame, call: Callable, **options) -> DataFrame:
+    """As `ask`, of requests(id, book, request): one request of each book is answered before the others are sent.
+
+    It writes the cache of the prefix that a book's requests share, from which the others then read.
+    """
+    least = requests.groupBy("book").agg(F.min("id").alias("id"))
+    first = materialise(ask(requests.join(least, ["book", "id"], "left_semi"), call, **options), "first")  # done before the rest starts
+    return first.unionByName(ask(requests.join(least, ["book", "id"], "left_anti"), call, **options))
+
+
 def verify_units(units: DataFrame, extracts: DataFrame, verified: DataFrame, template: str, call: Callable, **options) -> DataFrame:
     """Change-sets (id, text, truncated, error) of the units that have entries but no change-set yet.
 
@@ -166,6 +180,83 @@ def batch_step(state: dict | None, jobs: list[dict], client) -> tuple[str, dict
     return "submitted", json.loads(json.dumps(state)), []
 
 
+REQUESTS = "id string, label string, request array<string>"
+SUBMISSIONS = "file string, batch_id string, n_requests long"
+ANSWERS = "batch_id string, id string, text string, stop string, error string"
+
+
+def write_requests(requests: DataFrame, root: str, per_file: int = 10_000) -> None:
+    """More requests(id, label, request) to root/requests, as JSON lines; a file, of per_file requests at most, is one batch."""
+    requests.select("id", "label", "request").write.option("maxRecordsPerFile", per_file).mode("append").json(f"{root}/requests")
+
+
+def submit_batches(spark: SparkSession, root: str, client) -> None:
+    """Send each file of requests once, by a stream that takes what is new and ends; submissions(file, batch_id, n_requests) grow by a transaction.
+
+    client.send(key, requests) gives a batch id, and the same one if it is asked again with a key: a file's name. Thus a
+    stream that was stopped between sending and writing sends nothing twice. Tasks send; no request passes through the driver.
+    """
+
+    def send(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                requests = [json.loads(x) for x in bytes(content).decode().splitlines() if x.strip()]
+                name = path.rpartition("/")[2]
+                if requests:
+                    rows.append((name, client.send(name, requests), len(requests)))
+            yield pd.DataFrame(rows, columns=["file", "batch_id", "n_requests"])
+
+    def step(df, n):
+        ledger.commit(df.select("path", "content").mapInPandas(send, SUBMISSIONS), f"{root}/submissions", f"submit-{n}")
+
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.json").load(f"{root}/requests")
+    query = files.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/_submit").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def collect_batches(spark: SparkSession, root: str, client) -> int:
+    """Ask for all batches that are still open, take the answers of those that ended, and count those that wait on.
+
+    client.poll(batch id) tells whether it ended, client.results(batch id) yields (custom id, text, stop, error) in any order.
+    The answers of a round and the marks of their batches are one transaction: a round that fails adds neither.
+    """
+
+    def poll(batches):
+        for pdf in batches:
+            yield pdf.assign(ended=[bool(client.poll(x)) for x in pdf["batch_id"]])
+
+    def fetch(batches):
+        import itertools
+
+        import pandas as pd
+
+        for pdf in batches:
+            for batch_id in pdf["batch_id"]:
+                rows = iter(client.results(batch_id))
+                while some := list(itertools.islice(rows, 1000)):
+                    yield pd.DataFrame([(batch_id, key, text, stop, None if error is None else str(error)) for key, text, stop, error in some], columns=["batch_id", "id", "text", "stop", "error"])
+                yield pd.DataFrame([(batch_id, None, None, None, None)], columns=["batch_id", "id", "text", "stop", "error"])  # its mark
+
+    sent = ledger.read(spark, f"{root}/submissions", SUBMISSIONS).select("batch_id").distinct()
+    done = ledger.read(spark, f"{root}/answers", ANSWERS).where("id is null").select("batch_id")
+    asked = materialise(sent.join(done, "batch_id", "left_anti").mapInPandas(poll, "batch_id string, ended boolean"), "polled")
+    ended = asked.where("ended").select("batch_id")
+    if ended.take(1):
+        ledger.commit(ended.mapInPandas(fetch, ANSWERS), f"{root}/answers", f"answers-{uuid.uuid4().hex}")
+    return asked.where("not ended").count()
+
+
+def batch_answers(spark: SparkSession, root: str) -> DataFrame:
+    """(id, text, truncated, error, fatal) of all answers taken, those to requests that were never written left out."""
+    known = spark.read.schema(REQUESTS).json(f"{root}/requests").select("id").distinct()
+    told = ledger.read(spark, f"{root}/answers", ANSWERS).where("id is not null").join(known, "id", "left_semi")
+    fatal = F.coalesce(F.col("error").rlike("|".join(re.escape(x) for x in FATAL)), F.lit(False))
+    return told.select("id", "text", (F.coalesce(F.col("stop"), F.lit("")) == CUT_STOP).alias("truncated"), "error", fatal.alias("fatal"))
+
+
 def collected(jobs: DataFrame, answers: DataFrame) -> DataFrame:
     """jobs(id, ...) with text, truncated and state: succeeded, fatal (not asked again), errored or missing (both asked again)."""
     state = F.when(F.col("fatal"), "fatal").when(F.col("error").isNotNull(), "errored").when(F.col("text").isNotNull(), "succeeded").otherwise("missing")

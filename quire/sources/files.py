@@ -27,7 +27,7 @@ def read_usage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_usage(rows: DataFrame, path: str) -> None:
-    """More lines to a folder of usage files; each write adds files of its own, so writers don't wait for each other."""
+    """More lines to a folder of usage files; each write adds files of its own, so writers don't wait for each other. See ledger.once for streams."""
     rows.write.mode("append").json(path)
 
 
@@ -56,20 +56,21 @@ def setting(environ: Mapping[str, str], name: str, prefix: str) -> str | None:
 
 
 def snapshot(spark: SparkSession, value, path: str) -> None:
-    """Write a value as JSON to a file that readers see whole, old or new: to a name of its own beside it, then renamed."""
-    jvm = spark._jvm
+    """Write a value as JSON to a file that readers see whole, old or new: to a name of its own beside it, then renamed over it."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     target = jvm.org.apache.hadoop.fs.Path(path)
     aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs = target.getFileSystem(conf)
     out = fs.create(aside, True)
     try:
         out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2).encode()))
     finally:
         out.close()
-    if not fs.rename(aside, target):  # file systems that don't replace
-        fs.delete(target, False)
-        if not fs.rename(aside, target):
-            raise OSError(f"cannot write {path}")
+    if not fs.rename(aside, target):  # file systems whose plain rename doesn't replace have one that does
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(aside, target, options)
 
 
 def quarantine(rows: DataFrame, path: str, reason: str = "quarantine") -> DataFrame:

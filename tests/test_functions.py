@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire import dims
 from quire.functions import text as X
 from quire.operators import assembly, documents, images, inference, jobs, knowledge, segment, usage
-from quire.sources import epub, files, html
+from quire.sources import epub, files, html, ledger
 from quire.streaming import jobs as stream
 
 
@@ -243,6 +243,142 @@ def test_batches(spark):
     assert {r.id: r.state for r in inference.collected(j, a).collect()} == {"x": "succeeded", "y": "fatal", "z": "errored", "w": "missing"}
 
 
+def folder_client(folder):
+    class FolderClient:
+        """A provider whose state is a folder, so that all workers share it; a batch ends when it is polled the second time."""
+
+        def __init__(self, folder):
+            self.folder = str(folder)
+
+        def _files(self, sign):
+            import pathlib
+
+            return sorted(pathlib.Path(self.folder).glob(sign))
+
+        def send(self, key, requests):
+            import pathlib
+
+            (pathlib.Path(self.folder) / f"call-{time.time_ns()}-{random.random()}").write_text(key)
+            path = pathlib.Path(self.folder) / f"sent-{key}"
+            if not path.exists():
+                path.write_text(json.dumps(requests))
+            return f"b-{key}"
+
+        def poll(self, batch_id):
+            import pathlib
+
+            path = pathlib.Path(self.folder) / f"polled-{batch_id}"
+            if path.exists():
+                return True
+            path.touch()
+            return False
+
+        def results(self, batch_id):
+            import pathlib
+
+            for r in json.loads((pathlib.Path(self.folder) / f"sent-{batch_id[2:]}").read_text()):
+                if (pathlib.Path(self.folder) / "broken").exists() and r["id"].endswith("7"):
+                    raise OSError("the line broke")
+                yield r["id"], " ".join(r["request"]), "max_tokens" if r["id"] == "r5" else "end_turn", "invalid_request_error: x" if r["id"] == "r6" else None
+            yield "unknown", "x", None, None
+
+    return FolderClient(folder)
+
+
+def test_batches_in_tables(spark, tmp_path):
+    """Requests go out by files and come back by transactions; what breaks off is done again, and nothing is sent or kept twice."""
+    box, root = tmp_path / "provider", str(tmp_path / "stage")
+    box.mkdir()
+    client = folder_client(box)
+    requests = spark.range(60).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), F.lit("L").alias("label"), F.array(F.lit("text"), F.col("id").cast("string")).alias("request"))
+    inference.write_requests(requests.repartition(3), root, per_file=8)
+    commit = inference.ledger.commit
+    try:
+        inference.ledger.commit = lambda df, *a: df.collect() and 1 / 0  # killed between sending and writing
+        with pytest.raises(Exception):
+            inference.submit_batches(spark, root, client)
+    finally:
+        inference.ledger.commit = commit
+    inference.submit_batches(spark, root, client)
+    inference.submit_batches(spark, root, client)
+    n = len(client._files("sent-*"))
+    assert n >= 9 and len(client._files("call-*")) == 2 * n  # asked again after the kill, sent once
+    assert inference.batch_answers(spark, root).count() == 0
+    assert inference.collect_batches(spark, root, client) == n
+    (box / "broken").touch()
+    with pytest.raises(Exception):
+        inference.collect_batches(spark, root, client)
+    assert inference.batch_answers(spark, root).count() == 0
+    (box / "broken").unlink()
+    assert inference.collect_batches(spark, root, client) == 0 and inference.collect_batches(spark, root, client) == 0
+    got = {r.id: (r.text, r.truncated, r.fatal) for r in inference.batch_answers(spark, root).collect()}
+    assert got == {f"r{k}": (f"text {k}", k == 5, k == 6) for k in range(60)} and inference.batch_answers(spark, root).count() == 60
+    inference.write_requests(requests.limit(2).withColumn("id", F.concat(F.lit("new"), "id")), root)
+    inference.submit_batches(spark, root, client)
+    assert inference.collect_batches(spark, root, client) == len(client._files("sent-*")) - n
+
+
+def test_ledger(spark, tmp_path):
+    """A replayed batch adds nothing, a reader sees whole books, old or new, and two writers don't lose each other's."""
+    import threading
+
+    root, schema = str(tmp_path / "usage"), "label string, n long"
+    assert ledger.read(spark, root, schema).count() == 0
+    one = spark.createDataFrame([("a", 1), ("b", 2)], schema)
+    add = ledger.once(root, "usage")
+    add(one, 0), add(one, 1), add(one, 1), add(one, 0)
+    assert ledger.read(spark, root, schema).count() == 4 and ledger.manifest(spark, root)[0] == 2
+
+    books, form = str(tmp_path / "books"), "book long, name string, text string"
+
+    def book(k, version):
+        return spark.createDataFrame([(k, f"f{i}", f"v{version}") for i in range(20)], form)
+
+    ledger.commit(book(1, 0).union(book(2, 0)), books, "first")
+    seen, stop, failed = set(), threading.Event(), []
+
+    def watch():
+        try:
+            while not stop.is_set():
+                rows = ledger.latest(ledger.read(spark, books, form), ["book"]).groupBy("book").agg(F.count("*").alias("n"), F.count_distinct("text").alias("v"), F.max("text").alias("t")).collect()
+                assert sorted((r.book, r.n, r.v) for r in rows) == [(1, 20, 1), (2, 20, 1)]
+                seen.add(next(r.t for r in rows if r.book == 1))
+        except Exception as e:
+            failed.append(e)
+
+    reader = threading.Thread(target=watch)
+    reader.start()
+    for v in range(1, 6):
+        ledger.commit(book(1, v), books, f"again-{v}")
+    stop.set()
+    reader.join()
+    assert not failed and len(seen) > 1
+
+    writers = [threading.Thread(target=lambda k=k: ledger.commit(book(k, 9), books, f"w{k}")) for k in range(10, 14)]
+    [w.start() for w in writers], [w.join() for w in writers]
+    held = ledger.latest(ledger.read(spark, books, form), ["book"]).groupBy("book").count().collect()
+    assert sorted(map(tuple, held)) == [(k, 20) for k in (1, 2, 10, 11, 12, 13)]
+    ledger.compact(spark, books, form, ["book"])
+    assert ledger.read(spark, books, form).count() == 120 and ledger.commit(book(1, 7), books, "w10") == ledger.manifest(spark, books)[0]
+    assert len(ledger.vacuum(spark, books, 1)) == 10 and ledger.latest(ledger.read(spark, books, form), ["book"]).count() == 120
+
+
+def test_first_call_before_the_others(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def call(request):
+        import pathlib
+
+        (pathlib.Path(folder) / f"{time.time_ns()}-{request[0]}").touch()
+        return request[0], "end_turn"
+
+    df = spark.createDataFrame([(f"{b}{k}", b, [f"{b}{k}"]) for b in "xy" for k in range(5)], "id string, book string, request array<string>").repartition(4)
+    got = inference.ask_after_first(df, call)
+    assert sorted(r.text for r in got.collect()) == sorted(f"{b}{k}" for b in "xy" for k in range(5))
+    order = [p.name.split("-")[1] for p in sorted(tmp_path.iterdir())]
+    assert set(order[:2]) == {"x0", "y0"} and len(order) == 10
+
+
 def test_polling():
     told, slept = ["pending", "pending", "done"], []
     assert stream.poll(lambda: told.pop(0), sleep=slept.append) == 3 and slept == [180, 180]
