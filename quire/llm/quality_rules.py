@@ -70,21 +70,22 @@ def counts_of(column):
 def with_stats(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all by default) and a struct column `quality_stats` with COUNTS of the whole text (null: empty).
 
-    A column of that name is replaced.
+    A column of that name is replaced. Repeated rows have equal counts, an empty table gives no rows; very long texts are read whole.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != STATS]
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
-    names = rows.columns
+    own = text_col in keep and docs.schema[text_col].dataType.simpleString() == "string"  # a text that is kept goes through the worker once
+    rows = docs.select(*keep) if own else docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    at = keep.index(text_col) if own else len(keep)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            counts = counts_of(batch.column(0))
+            counts = counts_of(batch.column(at))
             stats = pa.StructArray.from_arrays([pa.array(counts[:, i]) for i in range(len(COUNTS))], names=list(COUNTS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], stats], names=[*names[1:], STATS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], stats], names=[*keep, STATS])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
     return rows.mapInArrow(released(run), f"{fields}{', ' if fields else ''}{STATS} struct<{', '.join(f'{c}:bigint' for c in COUNTS)}>")
 
 
