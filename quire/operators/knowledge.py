@@ -120,11 +120,11 @@ b as (select distinct unit_id, book_id from entries)
 select book_id, unit_id, row_number() over (partition by unit_id order by a, ordinal) as place, dest, title, body, state from (select * from k union all select b.book_id, o.unit_id, 1, pos, dest, title, body, 'added' from o join b on b.unit_id = o.unit_id where op = 'add'))"""
 
 
-def changed_entries(spark: SparkSession, d: str) -> DataFrame:
+def changed_entries(spark: SparkSession, d: str, ops: DataFrame | None = None) -> DataFrame:
     """(book_id, unit_id, place, dest, title, body, state): entries of raw texts after the change-sets of raw texts."""
     raw = table(spark, d, "entries")
     e = parse_entries_of(entry_texts(raw)).where("dest not in ('SUMMARY', 'LOG')")
-    out = apply_changes(e, parse_entries_of(verify_texts(table(spark, d, "verify_ops"))))
+    out = apply_changes(e, parse_entries_of(verify_texts(table(spark, d, "verify_ops"))) if ops is None else ops)
     return out.join(raw.select("unit_id", "book_id").distinct(), "unit_id")
 
 

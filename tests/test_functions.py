@@ -806,6 +806,27 @@ def test_assembled_book(spark):
     assert (s.entries, s.corrected, s.added, s.deleted, s.bad_dest) == (7, 0, 1, 1, 1)
 
 
+def test_warnings_and_logs_of_a_book(spark):
+    """A clinical map without topics, the map's own lines, numbers that a book lacks, deletions out of range, logs of all stages."""
+    lists = "domains array<string>, conditions array<string>, conditions_secondary array<string>, clinical_scope boolean, topic_warnings array<string>, unit_warnings array<string>"
+    maps = spark.createDataFrame([(1, ["nutrition"], [], [], False, ["t"], ["MAP: u", "MAP: v"]), (2, ["nutrition"], [], ["sop"], None, None, None), (3, None, None, None, True, None, []), (4, ["sport"], [], [], False, [], [])], "book_id long, " + lists)
+    told = [(r.book_id, r.line) for r in assembly.map_warnings(maps).orderBy("book_id", "a", "b", "c").collect()]
+    lost = "TEMAS: El MAP no declaró ningún tema principal para un libro clínico (dominio: %s). Sin temas, el sistema de nutrición nunca usaría este libro."
+    assert told == [(1, lost % "nutrition"), (1, "t"), (1, "MAP: u"), (1, "MAP: v"), (3, lost % "?")]
+    synth = spark.createDataFrame([(1, 0, "C09", "A", "1,5 and 12 and 99 and 7\ntags: 55"), (1, 1, "ZZ", "B", "88"), (1, 2, "LOG", "L", "77"), (2, 0, "C01", "C", "12")], "book_id long, pos long, dest string, title string, body string")
+    numbers = spark.createDataFrame([(1, ["1.5"]), (1, ["12", "3"]), (2, [])], "book_id long, numbers array<string>")
+    got = sorted((r.book_id, r.line) for r in assembly.synthesis_warnings(synth, numbers).collect())
+    assert got == [(1, "SYNTHESIS · A: números que no aparecen en el libro: 99"), (2, "SYNTHESIS · C: números que no aparecen en el libro: 12")]
+    ops = spark.createDataFrame([(3, 0, "DELETE", "E99", ""), (3, 1, "DELETE", "drop E99 and E1", ""), (3, 2, "DELETE", "none", ""), (3, 3, "LOG", "n", "late"), (4, 0, "DELETE", "x", "")], "unit_id long, pos long, dest string, title string, body string")
+    assert [tuple(r) for r in assembly.deletions(ops).collect()] == [(3, 1)]
+    first = spark.createDataFrame([(3, 9, "LOG", "m", "early"), (3, 1, "C01", "e", "x")], ops.schema)
+    logs = assembly.logged(first).unionByName(assembly.logged(ops, 1)).drop("unit_id").unionByName(assembly.synthesis_log(synth).drop("book_id"))
+    assert [(r.unit, r.title, r.body) for r in logs.orderBy("b", "c").collect()] == [("U03", "m", "early"), ("U03", "n", "late"), ("SYNTHESIS", "L", "77")]
+    some = spark.createDataFrame([(1, None, "x y", "T t", ["A B"]), (2, "", "x", None, []), (3, "Own Slug", "x", "T", ["A"])], "book_id long, slug string, abbreviation string, title string, authors array<string>")
+    unit = spark.createDataFrame([(1, 3)], "book_id long, unit_id long")
+    assert sorted((r.book_id, r.slug) for r in assembly.described(some, unit, unit).collect()) == [(1, "a-b-t-t"), (2, "autor"), (3, "own-slug")]
+
+
 def test_estimates(spark):
     rows = [("s", 100_000, 1000, 2, 50_000, False), ("t", 100_000, 1000, 2, 50_000, True), ("big", 1_300_000, 1000, 3, 600_000, False)]
     b = spark.createDataFrame(rows, "book string, tokens long, map_tokens long, units long, unit_tokens long, alive boolean")
