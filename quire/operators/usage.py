@@ -187,7 +187,7 @@ def status_counters(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_COUNTED}, l as (select unnest({list(COUNTERS)}) as key, unnest({list(COUNTERS.values())}) as label)
 select c.book, string_agg(rpad(l.label, cast(greatest({COUNTER_WIDTH}, length(l.label)) as int), ' ') || ': ' || c.n, chr(10) order by c.ord) as lines from c join l on l.key = c.key group by c.book""")
 def conversion_report(spark: SparkSession, d: str) -> DataFrame:
-    """The counters of each book's conversion report, as its lines. See counter_lines for a whole report."""
+    """The counters of each book's conversion report, as its lines. See conversion.reports for a whole report."""
     return counter_lines(_counted(spark, d))
 
 

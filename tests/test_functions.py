@@ -836,3 +836,20 @@ def test_estimates(spark):
     assert now["big"].extract_cost == pytest.approx(((600_000 + 3 * 4500) * 2 + (360_000 + 9000) * 10) / 1e6) and now["big"].synthesis_cost == pytest.approx(((700_000 + 21_000) * 2 + 200_000) / 1e6)
     lot = {r.book: r for r in usage.estimates(b, True).collect()}
     assert lot["s"].map_cost == pytest.approx(0.145) and lot["s"].synthesis_cost == pytest.approx(0.2) and lot["s"].cache_cost == 0
+
+
+def test_conversion_reports(spark):
+    """One book with problems and discarded images, one without either."""
+    from quire.operators import conversion
+
+    books = spark.createDataFrame([("a", "a.epub", "out/a.md", "EPUB", "gemini-3.8-flash", "2024-01-01 10:00", 12.4, 1234567, 1_000_000, 2000), ("b", "b.pdf", "b.md", "PDF", "x", "d", 0.0, 5, 0, 0)], "book string, source string, out string, kind string, model string, date string, seconds double, chars long, tokens_in long, tokens_out long")
+    counted = spark.createDataFrame([(b, k, i, i * (b == "a")) for b in "ab" for i, k in enumerate(usage.COUNTERS)], "book string, key string, ord int, n long")
+    lines = spark.createDataFrame([("a", 1, "two"), ("a", 0, "one")], "book string, pos long, line string")
+    bad = spark.createDataFrame([("a", 1, "p. 2", "failed"), ("a", 0, "p. 1", "blocked")], "book string, pos long, place string, reason string")
+    gone = spark.createDataFrame([("a", 0, "img", "IA: decorativa")], bad.schema)
+    got = {r.book: (r.name, r.text) for r in conversion.reports(books, counted, lines, bad, gone).collect()}
+    name, text = got["a"]
+    assert name == "out/a.conversion_report.txt" and got["b"][0] == "b.conversion_report.txt"
+    assert text.startswith("REPORTE DE CONVERSIÓN\n" + "=" * 60 + "\nFuente          : a.epub\nSalida          : out/a.md\nTipo            : EPUB\nModelo imágenes : gemini-3.8-flash\nFecha           : 2024-01-01 10:00\nDuración        : 12 s\nCaracteres      : 1,234,567\n\none\ntwo\n\nTRANSCRIPCIONES CON GEMINI\n" + "-" * 60 + "\nImágenes/páginas enviadas                   : 0\n")
+    assert text.endswith("Imágenes decorativas descartadas (reglas)   : 11\nTokens (entrada / salida)                   : 1,000,000 / 2,000\nCosto real aproximado                       : $0.758 USD\n\nPROBLEMAS (2) — revisar\n" + "-" * 60 + "\n  - p. 1: blocked\n  - p. 2: failed\n\nPara reintentar solo lo que falló, vuelve a correr la misma\nconversión: lo que ya salió bien se toma de la caché.\n\nIMÁGENES DESCARTADAS COMO DECORATIVAS (1) — para auditoría\n" + "-" * 60 + "\n  - img: IA: decorativa\n")
+    assert got["b"][1].endswith("$0.000 USD\n\nSin problemas: todo el contenido quedó transcrito.\n") and "\n\n\nTRANSCRIPCIONES" in got["b"][1]
