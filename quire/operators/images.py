@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
+from ..sources.pictures import with_headers
 from ..views import duck, table
 from .books import with_tables
 from .documents import MOST_USES, SCANNED_CHARS
@@ -71,6 +72,40 @@ def decorative_rule(spark: SparkSession, d: str) -> DataFrame:
     return r.select("page_id", "rule", drop_reason(F.col("uses"), F.col("rule"), F.col("captioned")).alias("dropped"))
 
 
+#: derived image files: headers of four kinds, a broken one, and zeros behind them
+_W, _H, _TAIL = "(1 + page_id * 37 % 700)", "(1 + page_id * 53 % 900)", "(page_id * 97 % 9000)"
+
+
+def _image_files(pages: DataFrame) -> DataFrame:
+    """(page_id, content): image files whose bytes follow from the pages' ids."""
+    w, h = F.expr(_W), F.expr(_H)
+    big = lambda c, n: F.lpad(F.hex(c.cast("long")), 2 * n, "0")
+    little = lambda c, n: F.concat(*[F.substring(big(c, n), 2 * n - 2 * i - 1, 2) for i in range(n)])
+    kinds = [
+        F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4), F.lit("0802000000")),
+        F.concat(F.lit("474946383961"), little(w, 2), little(h, 2), F.lit("000000")),
+        F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFFEFFC0"), F.repeat(F.lit("41"), 0xFFC0 - 2), F.lit("FFFFDB000411AAFFC2001108"), big(h, 2), big(w, 2), F.lit("03")),
+        F.concat(F.lit("52494646000000005745425056503858"), F.lit("0A00000010000000"), little(w - 1, 3), little(h - 1, 3)),
+        F.lit("FFD8FFDA0000"),
+    ]
+    pick = F.element_at(F.array(*kinds), (F.col("page_id") % 5 + 1).cast("int"))
+    return pages.select("page_id", F.unhex(F.concat(pick, F.repeat(F.lit("00"), F.expr(_TAIL).cast("int")))).alias("content"))
+
+
+_HEADS = "[29, 13, 65511, 30, 6]"
+
+
+@query(f"""
+with s as (select page_id, cast(page_id % 5 as int) as k, {_W} as w, {_H} as h, {_HEADS}[1 + cast(page_id % 5 as int)] + {_TAIL} as n from pages),
+i as (select page_id, case when k = 4 then 0 else w end as width, case when k = 4 then 0 else h end as height, ['PNG', 'GIF', 'JPEG', 'WEBP', null][k + 1] as type, n as n_bytes from s)
+select page_id, cast(width as int) as width, cast(height as int) as height, type, cast(n_bytes as bigint) as n_bytes, case when n_bytes < {LEAST_BYTES} or (width > 0 and (width < {LEAST_PX} or height < {LEAST_PX})) then 'reglas: muy pequeña (' || width || 'x' || height || 'px, ' || format('{{:,}}', n_bytes) || ' bytes)' else '' end as rule from i""")
+def image_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Sides, kinds and the rule of small images from the bytes of image files."""
+    found = with_headers(_image_files(table(spark, d, "pages").select("page_id")))
+    rule = rule_reason(F.lit(""), F.lit(""), F.col("n_bytes"), F.col("width"), F.col("height"))
+    return found.withColumn("rule", rule)
+
+
 def image_pages(images: DataFrame) -> DataFrame:
     """(xref, pages, first_page): on how many different pages an image stands."""
     return images.where("xref > 0").groupBy("xref").agg(F.count_distinct("page").alias("pages"), F.min("page").alias("first_page"))

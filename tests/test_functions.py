@@ -853,3 +853,87 @@ def test_conversion_reports(spark):
     assert text.startswith("REPORTE DE CONVERSIÓN\n" + "=" * 60 + "\nFuente          : a.epub\nSalida          : out/a.md\nTipo            : EPUB\nModelo imágenes : gemini-3.8-flash\nFecha           : 2024-01-01 10:00\nDuración        : 12 s\nCaracteres      : 1,234,567\n\none\ntwo\n\nTRANSCRIPCIONES CON GEMINI\n" + "-" * 60 + "\nImágenes/páginas enviadas                   : 0\n")
     assert text.endswith("Imágenes decorativas descartadas (reglas)   : 11\nTokens (entrada / salida)                   : 1,000,000 / 2,000\nCosto real aproximado                       : $0.758 USD\n\nPROBLEMAS (2) — revisar\n" + "-" * 60 + "\n  - p. 1: blocked\n  - p. 2: failed\n\nPara reintentar solo lo que falló, vuelve a correr la misma\nconversión: lo que ya salió bien se toma de la caché.\n\nIMÁGENES DESCARTADAS COMO DECORATIVAS (1) — para auditoría\n" + "-" * 60 + "\n  - img: IA: decorativa\n")
     assert got["b"][1].endswith("$0.000 USD\n\nSin problemas: todo el contenido quedó transcrito.\n") and "\n\n\nTRANSCRIPCIONES" in got["b"][1]
+
+
+def test_image_headers(spark):
+    """Each kind's header, a JPEG with long and odd segments before its frame, cut and broken files."""
+    from quire.sources import pictures
+
+    le, be = (lambda x, n: x.to_bytes(n, "little")), (lambda x, n: x.to_bytes(n, "big"))
+    png = b"\x89PNG\r\n\x1a\n" + be(13, 4) + b"IHDR" + be(300, 4) + be(70_000, 4)
+    gif = b"GIF89a" + le(640, 2) + le(480, 2)
+    seg = lambda m, body: b"\xff" + bytes([m]) + be(len(body) + 2, 2) + body
+    frame = lambda m: seg(m, b"\x08" + be(480, 2) + be(641, 2) + b"\x03" * 10)
+    thumb = b"\xff\xd8" + frame(0xC0)
+    jpegs = [b"\xff\xd8" + x for x in (frame(0xC0), seg(0xE1, thumb) + b"\xff\xff" + frame(0xC2), seg(0xC4, b"xx") + b"\xff\x01" + seg(0xDB, b"\xff" * 300) + b"zz" + frame(0xC1))]
+    vp8 = b"RIFF" + le(30, 4) + b"WEBPVP8 " + le(10, 4) + b"abc\x9d\x01\x2a" + le(0x4000 | 99, 2) + le(77, 2)
+    vp8l = b"RIFF" + le(30, 4) + b"WEBPVP8L" + le(10, 4) + b"\x2f" + le(98 | 76 << 14 | 1 << 28, 4) + b"12345"
+    vp8x = b"RIFF" + le(30, 4) + b"WEBPVP8X" + le(10, 4) + bytes(4) + le(98, 3) + le(76, 3)
+    want = [(png, (300, 70_000, "PNG")), (gif, (640, 480, "GIF")), *[(j, (641, 480, "JPEG")) for j in jpegs], *[(w, (99, 77, "WEBP")) for w in (vp8, vp8l, vp8x)]]
+    none = (0, 0, None)
+    want += [(None, none), (b"", none), (b"text", none), (png[:20], none), (gif[:9], none), (jpegs[1][:37], none), (b"\xff\xd8" + seg(0xDA, b"x") + frame(0xC0), none), (vp8[:20], none), (b"\xff\xd8\xff", none)]
+    df = spark.createDataFrame([(k, None if d is None else bytearray(d), "t") for k, (d, _) in enumerate(want)], "k long, content binary, type string")
+    got = {r.k: (r.width, r.height, r.type, r.n_bytes) for r in pictures.with_headers(df).collect()}
+    assert got == {k: (*f, len(d or b"")) for k, (d, f) in enumerate(want)}
+    assert pictures.with_headers(df.limit(0)).count() == 0
+
+
+def test_epub_source(spark, tmp_path, monkeypatch):
+    """The rows of a scan over whole files; runs of the spine; pruned columns and filtered paths read less."""
+    import builtins
+
+    for b, n in (("a", 40), ("b", 3)):
+        with zipfile.ZipFile(tmp_path / f"{b}.epub", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("META-INF/container.xml", "<c><rootfile full-path='o/p.opf'/></c>")
+            items = "".join(f"<item id='i{k}' href='s{k}.xhtml' media-type='application/xhtml+xml'/>" for k in range(n)) + "<item id='p' href='p.png' media-type='image/png'/><item id='n' href='nav.xhtml' media-type='application/xhtml+xml' properties='nav'/>"
+            z.writestr("o/p.opf", f"<package><metadata><title>T{b}</title><creator>A</creator></metadata><manifest>{items}</manifest><spine>{''.join(f'<itemref idref={chr(39)}i{k}{chr(39)}/>' for k in range(n))}<itemref idref='p'/><itemref idref='n'/></spine></package>")
+            for k in range(n):
+                z.writestr(f"o/s{k}.xhtml", f"<p>{k}</p>" + random.Random(k).randbytes(3000).hex())
+            z.writestr("o/p.png", random.Random(1).randbytes(50_000))
+            z.writestr("o/nav.xhtml", "<p>nav</p>")
+    (tmp_path / "c.epub").write_bytes(b"no archive")
+    epub.register(spark)
+    files_ = spark.read.format("binaryFile").load(str(tmp_path / "*.epub"))
+    bare = lambda df: sorted(tuple("" if v is None else str(v).replace("file:", "") for v in r) for r in df.collect())
+    whole = spark.read.format("epub").option("runBytes", 20_000).load(str(tmp_path))
+    assert whole.rdd.getNumPartitions() > 3
+    assert bare(whole) == bare(epub.scan(files_)) and whole.count() == 42 + 5 + 1
+    few = spark.read.format("epub").schema("entry string, pos int").load(str(tmp_path / "a.epub"))
+    assert few.count() == 42 and few.columns == ["entry", "pos"]
+
+    read = [0]
+    plain = builtins.open
+
+    class Counted(io.FileIO):
+        def read(self, n=-1):
+            data = super().read(n)
+            read[0] += len(data)
+            return data
+
+    monkeypatch.setattr(builtins, "open", lambda path, mode="r", *a, **k: Counted(path) if str(path).endswith(".epub") else plain(path, mode, *a, **k))
+
+    def cost(columns, part=None):
+        from pyspark.sql.types import StringType, StructField, StructType
+
+        reader = epub.EpubReader(StructType([StructField(c, StringType()) for c in columns]), {"path": str(tmp_path / "a.epub"), "runbytes": "40000"})
+        read[0], n = 0, 0
+        for p in reader.partitions() if part is None else reader.partitions()[part : part + 1]:
+            n += len(list(reader.read(p)))
+        return n, read[0] / len(reader.partitions() if part is None else [1])
+
+    names, texts, images, first = cost(["path", "pos"]), cost(["path", "content"]), cost(["image"]), cost(["content"], 0)
+    size = (tmp_path / "a.epub").stat().st_size
+    assert names[0] == texts[0] == images[0] == 42 and first[0] < 42
+    assert names[1] < 0.1 * size < texts[1] and names[1] < images[1] and first[1] < size / 2
+    with pytest.raises(Exception):
+        spark.read.format("epub").schema("nothing string").load(str(tmp_path)).collect()
+
+    reader = epub.EpubReader(whole.schema, {"path": str(tmp_path)})
+    rest = list(reader.pushFilters([epub.EqualTo(("path",), str(tmp_path / "b.epub")), epub.EqualTo(("pos",), 1)]))
+    assert reader.paths == [str(tmp_path / "b.epub")] and len(rest) == 1
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert spark.read.format("epub").load(str(tmp_path)).where(F.col("path") == str(tmp_path / "b.epub")).count() == 5
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
