@@ -937,3 +937,94 @@ def test_epub_source(spark, tmp_path, monkeypatch):
         assert spark.read.format("epub").load(str(tmp_path)).where(F.col("path") == str(tmp_path / "b.epub")).count() == 5
     finally:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+
+
+def test_cache_behind_its_filter(spark):
+    """No key of the cache is missed, few others pass, merged filters hold both, null keys are nowhere, and only what may be there is shuffled."""
+    from quire.operators import bloom
+
+    keys = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), "id")
+    cache = keys.where("id < 1000").withColumn("answer", F.col("id") * 2).drop("id")
+    assert bloom.bits_for(0) == 1 << 16 and bloom.bits_for(10**6) == 1 << 24 and bloom.bits_for(10**12) == bloom.MOST_BITS
+    bits = bloom.bits_for(1000)
+    one, two = bloom.words(cache.where("answer < 900"), bits), bloom.words(cache.where("answer >= 900"), bits)
+    whole = bloom.merged(one, two)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, bloom.words(cache, bits).collect()))
+    jobs = keys.unionByName(keys.limit(3)).unionByName(spark.createDataFrame([(None, 1)], "key string, id long")).withColumn("maybe", F.lit("own"))
+    seen = bloom.marked(jobs, whole, bits, name="__m")
+    assert seen.where("id < 1000 and key is not null and not __m").count() == 0 and seen.where("key is null and __m").count() == 0
+    assert seen.where("id >= 1000 and __m").count() < 100 and seen.columns == [*jobs.columns, "__m"]
+    got = bloom.looked_up(jobs, cache, whole, bits)
+    assert sorted((r.id, r.answer) for r in got.where("key is not null").collect()) == sorted([(i, 2 * i if i < 1000 else None) for i in range(3000)] + [(i, 2 * i) for i in range(3)])
+    assert got.count() == 3004 and bloom.looked_up(jobs, cache.limit(0), bloom.words(cache.limit(0), bits), bits).where("answer is null").count() == 3004
+
+
+def test_rebuild_of_what_changed(spark, tmp_path):
+    """One changed unit: its answers, its book's synthesis and files are made again; other files aren't touched."""
+    from quire.operators import rebuild
+
+    def units(text):
+        return spark.createDataFrame([(b, u, text if (b, u) == (1, 11) else f"t{u}") for b in (1, 2) for u in (10 * b, 10 * b + 1, 10 * b + 2)] , "book_id long, unit_id long, text string")
+
+    versions = {"extract": "p", "verify": "p", "synthesis": "p"}
+    nodes, edges = rebuild.book_nodes(units("old"), versions)
+    none = nodes.limit(0)
+    first = rebuild.stale(nodes, edges, none)
+    assert first.count() == nodes.count() == 2 * (3 * 2 + 2)
+    stored = rebuild.remember(nodes, first, none).cache()
+    assert rebuild.stale(nodes, edges, stored).count() == 0
+    path = str(tmp_path / "made")
+    rebuild.write_changed(first.withColumn("made", F.lit("once")), path, ("book_id", "node"))
+    new, edges = rebuild.book_nodes(units("new"), versions)
+    again = rebuild.stale(new, edges, stored)
+    assert {tuple(r) for r in again.collect()} == {(1, "extract/11"), (1, "verify/11"), (1, "synthesis"), (1, "files")}
+    times = lambda: {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    before = times()
+    rebuild.write_changed(again.withColumn("made", F.lit("twice")), path, ("book_id", "node"))
+    kept = {p for p, t in times().items() if before.get(p) == t}
+    assert len(kept) == 12 and not any("U11" in p for p in kept) and spark.read.parquet(path).where("made = 'twice'").count() == 4
+    stored = rebuild.remember(new, again, stored)
+    assert rebuild.stale(new, edges, stored).count() == 0 and stored.count() == 16
+    other, edges = rebuild.book_nodes(units("new"), versions | {"verify": "q"})
+    assert {r.node for r in rebuild.stale(other, edges, stored).where("book_id = 2").collect()} == {"verify/20", "verify/21", "verify/22", "synthesis", "files"}
+    chain = spark.createDataFrame([(1, str(k), "x") for k in range(6)], "book_id long, node string, own string")
+    ring = spark.createDataFrame([(1, str(k), str((k + 1) % 6)) for k in range(6)], "book_id long, node string, needs string")
+    assert rebuild.stale(chain, ring, chain.where("node <> '3'")).count() == 6
+
+
+def test_boxes_by_a_sweep(spark):
+    """The greatest share of each block in a table against all pairs: many boxes, empty and equal ones, and 1,000 blocks beside 100 tables."""
+    from quire.operators import boxes
+
+    def plain(held):
+        side = lambda a, b, k: max(0, min(a[k + 2], b[k + 2]) - max(a[k], b[k]))
+        return {k: max([side(b[1:], t[1:], 0) * side(b[1:], t[1:], 1) / max(1, (b[3] - b[1]) * (b[4] - b[2])) for t in held if t[0] and min(b[3] - b[1], b[4] - b[2], t[3] - t[1], t[4] - t[2]) > 0], default=0) for k, b in enumerate(held) if not b[0]}
+
+    rng = random.Random(3)
+
+    def box(size):
+        x, y = rng.randrange(0, 600), rng.randrange(0, 800)
+        return x, y, x + rng.randrange(-1, size), y + rng.randrange(-1, size)
+
+    for n in (1, 2, 5, 30, 200):
+        for _ in range(20):
+            held = [(rng.random() < 0.3, *box(rng.choice([3, 60, 400]))) for _ in range(n)]
+            assert boxes.swept(held) == pytest.approx(plain(held))
+    many = [(k < 100, *box(40)) for k in range(1100)]
+    met, beside = [0], boxes._Open.beside
+
+    def counted(self, *a):
+        for x in beside(self, *a):
+            met[0] += 1
+            yield x
+
+    boxes._Open.beside = counted
+    try:
+        assert boxes.swept(many) == pytest.approx(plain(many))
+    finally:
+        boxes._Open.beside = beside
+    assert met[0] < 5_000  # of 100,000 pairs
+    blocks = spark.createDataFrame([(p, k, *b[1:]) for p in (1, 2) for k, b in enumerate(many) if not b[0]] + [(3, 0, 0, 0, 9, 9)], "page long, block long, x0 int, y0 int, x1 int, y1 int")
+    tables = spark.createDataFrame([(p, *b[1:]) for p in (1, 2, 4) for b in many if b[0]], "page long, x0 int, y0 int, x1 int, y1 int")
+    got = {(r.page, r.block): r.share for r in boxes.in_tables(blocks.repartition(5), tables).collect()}
+    assert got == pytest.approx({(p, k): s for p in (1, 2) for k, s in plain(many).items()} | {(3, 0): 0.0})
