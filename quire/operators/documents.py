@@ -287,7 +287,18 @@ def split_parts(books: DataFrame) -> DataFrame:
 BIG_TOKENS, PART_TOKENS = 880_000, 600_000
 
 
-@query()
+_RANK = "case " + " ".join(f"when starts_with(trim(line, ' ' || chr(9) || chr(10) || chr(13)), '{x}') then {r}" for r, x in enumerate(CUT_RANKS)) + " end"
+
+
+@query(f"""
+with recursive t as (select source, string_agg(text, chr(10) order by doc_id) as text from book_docs group by source),
+b as (select source, text, length(text) as n, case when length(text) // 4 * 1000 > {BIG_TOKENS} then cast(ceil(length(text) // 4 * 1000 / {PART_TOKENS}.0) as bigint) else 1 end as parts from t),
+x as (select source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from b),
+l as (select source, {_RANK} as r, sum(length(line) + 1) over (partition by source order by i) - length(line) - 1 as p from x),
+c(source, k, cut) as (select source, cast(0 as bigint), cast(0 as bigint) from b union all
+  select c.source, c.k + 1, cast(min(case when l.r is not null and abs(l.p - b.n / b.parts * (c.k + 1)) <= b.n / b.parts * {CUT_WINDOW} then {{'a': 0, 'r': l.r, 'd': abs(l.p - b.n / b.parts * (c.k + 1)), 'p': l.p}} else {{'a': 1, 'r': 0, 'd': abs(l.p - b.n / b.parts * (c.k + 1)), 'p': l.p}} end).p as bigint)
+  from c join b on b.source = c.source and c.k + 1 < b.parts join l on l.source = c.source and l.p > c.cut group by c.source, c.k)
+select c.source, c.k + 1 as part, cut as a, cast(coalesce(lead(cut) over (partition by c.source order by c.k), b.n) as bigint) as b from c join b on b.source = c.source""")
 def split_book_parts(spark: SparkSession, d: str) -> DataFrame:
     """Spans of each book's parts, as many as its tokens ask for; here tokens count a thousandfold, so that books are big."""
     rows = docs(spark, d, "book_docs").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("r"))

@@ -16,7 +16,6 @@ FINAL_STATES, INTERRUPTED = ("terminado", "error", "cancelado", "interrumpido"),
 #: fixed values: blocks that a prompt text must have
 PROMPT_BLOCKS = ("system", "map", "extract", "synthesis", "verify")
 #: a small text in the shape of a prompt file
-PROMPTS = "intro\n<!-- PROMPT: system -->\nRules.\n\n# CLINICAL TOPIC VOCABULARY\n- `renal` — kidneys\n- `sop` — cycle\n- `general` — other\n\n# Format\n- `none` — no code\n<!-- TASK: map -->\nMap it.\n<!-- TASK: extract -->\nTake {unit}.\n<!-- TASK: verify -->\nCheck.\n"
 
 
 def query(sql: str | None = None):
@@ -103,24 +102,35 @@ def stale_markers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompt_parts(texts: DataFrame) -> DataFrame:
-    """(name, body) of the blocks of a prompt text in column text."""
+    """The other columns of texts with (name, body) of the blocks of the prompt texts in column text."""
     mark = r"<!-- (?:PROMPT|TASK): \w+ -->\s*$"
     block = F.lit(rf"(?ms)^<!-- (?:PROMPT|TASK): (\w+) -->\s*$(.*?)(?=^{mark}|\z)")
     both = F.arrays_zip(F.regexp_extract_all("text", block, F.lit(1)).alias("name"), F.regexp_extract_all("text", block, F.lit(2)).alias("body"))
-    return texts.select(F.explode(both).alias("b")).select("b.name", X.strip(F.col("b.body")).alias("body"))
+    rest = [c for c in texts.columns if c != "text"]
+    return texts.select(*rest, F.explode(both).alias("__b")).select(*rest, F.col("__b.name").alias("name"), X.strip(F.col("__b.body")).alias("body"))
 
 
-_PROMPTS_DUCK = "'" + PROMPTS.replace("'", "''") + "'"
+_PIECE = "substring(coalesce(text, ''), 1 + 40 * k, 160)"
+
+
+def _prompt_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a prompt text of pieces of each document, of which some blocks are absent."""
+    parts = [F.lit("intro\n")]
+    for k, name in enumerate(PROMPT_BLOCKS):
+        head = F.concat(F.lit("<!-- PROMPT: " if k == 0 else "<!-- TASK: "), F.lit(f"{name} -->\n"))
+        parts.append(F.when((F.col("doc_id") + k) % 4 != 0, F.concat(head, F.expr(_PIECE.replace(" k,", f" {k},")), F.lit("\n"))).otherwise(""))
+    return docs.select("doc_id", F.concat(*parts).alias("text"))
 
 
 @query(f"""
-with p as (select unnest(string_split_regex({_PROMPTS_DUCK}, '<!-- (PROMPT|TASK): ')[2:]) as x), b as (select regexp_extract(x, '^(\\w+) -->', 1) as name, trim(regexp_replace(x, '^\\w+ -->', ''), ' ' || chr(10)) as body from p)
-select r.name, body, body is null as missing from (select unnest({list(PROMPT_BLOCKS)}) as name) r left join b on b.name = r.name""")
+with n as (select unnest({list(PROMPT_BLOCKS)}) as name, generate_subscripts({list(PROMPT_BLOCKS)}, 1) - 1 as k)
+select doc_id, name, case when (doc_id + k) % 4 <> 0 then md5(regexp_replace(regexp_replace({_PIECE.replace(" k,", " cast(k as int),")}, '^\s+', ''), '\s+$', '')) end as body_md5, (doc_id + k) % 4 = 0 as missing from documents cross join n""")
 def prompt_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """The required blocks of a prompt text; an absent one stops the program."""
-    parts = prompt_parts(spark.createDataFrame([(PROMPTS,)], "text string"))
-    needed = spark.createDataFrame([(x,) for x in PROMPT_BLOCKS], "name string")
-    return needed.join(parts, "name", "left").select("name", "body", F.col("body").isNull().alias("missing"))
+    """The required blocks of prompt texts, here of pieces of each document; an absent one stops a program."""
+    texts = _prompt_texts(table(spark, d, "documents"))
+    needed = texts.select("doc_id", F.explode(F.array(*[F.lit(x) for x in PROMPT_BLOCKS])).alias("name"))
+    found = needed.join(prompt_parts(texts), ["doc_id", "name"], "left")
+    return found.select("doc_id", "name", F.md5("body").alias("body_md5"), F.col("body").isNull().alias("missing"))
 
 
 def topic_codes(text: Column) -> Column:
@@ -129,9 +139,14 @@ def topic_codes(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(section, F.lit("(?m)^- `([a-z0-9_]+)` —"), F.lit(1)))
 
 
-@query(f"select unnest(regexp_extract_all(regexp_extract({_PROMPTS_DUCK}, '(?s)# CLINICAL TOPIC VOCABULARY(.*?)\\n# ', 1), '(?m)^- `([a-z0-9_]+)` —', 1)) as code")
+@query("select doc_id, unnest(list_distinct(['t_' || doc_id % 50, 'u' || n_chars % 7, 't_' || doc_id % 50, 'v' || doc_id % 2])) as code from documents")
 def vocab_codes(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(PROMPTS,)], "text string").select(F.explode(topic_codes(F.col("text"))).alias("code"))
+    """The topics that prompt texts list; here of each document a vocabulary with repeats, lines of another form, and a section behind it."""
+    code = lambda *c: F.concat(F.lit("- `"), *[x.cast("string") for x in c], F.lit("` — "), F.translate(F.substring("text", 1, 30), "\n#", "  "), F.lit("\n"))
+    doc, n = F.col("doc_id"), F.col("n_chars")
+    lines = [code(F.lit("t_"), doc % 50), code(F.lit("u"), n % 7), code(F.lit("t_"), doc % 50), F.lit("- `No Code` — x\n- bare — y\n"), code(F.lit("v"), doc % 2)]
+    text = F.concat(F.lit("Rules.\n\n# CLINICAL TOPIC VOCABULARY\n"), *lines, F.lit("\n# Format\n- `none` — no code\n"))
+    return table(spark, d, "documents").select("doc_id", F.explode(topic_codes(text)).alias("code"))
 
 
 @query("select doc_id, cast(cast(nullif(regexp_extract(text, '[0-9]{4}'), '') as int) as string) as year from documents")

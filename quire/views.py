@@ -63,6 +63,8 @@ def duck(sql: str) -> str:
     if not used:
         return sql
     head = ", ".join(f"{v} as ({VIEWS[v]})" for v in used)
+    if sql.strip().lower().startswith("with recursive "):
+        return f"with recursive {head}, {sql.strip()[15:]}"
     return f"with {head}, {sql.strip()[5:]}" if sql.strip().lower().startswith("with ") else f"with {head} {sql}"
 
 
