@@ -124,7 +124,7 @@ def _prompt_texts(docs: DataFrame) -> DataFrame:
 
 @query(f"""
 with n as (select unnest({list(PROMPT_BLOCKS)}) as name, generate_subscripts({list(PROMPT_BLOCKS)}, 1) - 1 as k)
-select doc_id, name, case when (doc_id + k) % 4 <> 0 then md5(regexp_replace(regexp_replace({_PIECE.replace(" k,", " cast(k as int),")}, '^\s+', ''), '\s+$', '')) end as body_md5, (doc_id + k) % 4 = 0 as missing from documents cross join n""")
+select doc_id, name, case when (doc_id + k) % 4 <> 0 then md5(regexp_replace(regexp_replace({_PIECE.replace(" k,", " cast(k as int),")}, '^\\s+', ''), '\\s+$', '')) end as body_md5, (doc_id + k) % 4 = 0 as missing from documents cross join n""")
 def prompt_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The required blocks of prompt texts, here of pieces of each document; an absent one stops a program."""
     texts = _prompt_texts(table(spark, d, "documents"))

@@ -120,8 +120,7 @@ class EpubReader(DataSourceReader):
 class EpubSource(DataSource):
     """spark.read.format("epub").load(a folder, a file or a pattern, in a file system that driver and executors mount).
 
-    A schema of some of the columns reads no more than these need; filters on path leave out archives where
-    spark.sql.python.filterPushdown.enabled is set.
+    A schema of some of the columns reads no more than these need, and filters on path leave out archives.
     """
 
     @classmethod
@@ -136,6 +135,8 @@ class EpubSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to the session, and let filters reach its reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(EpubSource)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import posixpath
 import uuid
 import zipfile
 from collections.abc import Mapping
@@ -126,14 +127,56 @@ def _docx(data: bytes) -> str:
     return "\n\n".join(x for x in out if x)
 
 
+def _relations(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """(kind, member) of each relation of a part of an archive, by id."""
+    folder, _, name = part.rpartition("/")
+    member = f"{folder}/_rels/{name}.rels"
+    if member not in z.namelist():
+        return {}
+    at = lambda target: target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join(folder, target))
+    return {e.get("Id"): (e.get("Type", "").rpartition("/")[2], at(e.get("Target", ""))) for e in ElementTree.fromstring(z.read(member))}
+
+
+def _slide(root: ElementTree.Element) -> list[str]:
+    """The texts of a slide's shapes in their order, titles as headings, tables as tables."""
+    local = lambda e: e.tag.rpartition("}")[2]
+    within = lambda e, name: [x for x in e.iter() if local(x) == name]
+    lines = lambda e: "\n".join(t for p in within(e, "p") if (t := "".join(x.text or "" if local(x) == "t" else "\n" if local(x) == "br" else "" for x in p.iter()).strip()))
+    out = []
+    for e in root.iter():
+        if local(e) == "graphicFrame":
+            out += [_table([[lines(c) for c in within(r, "tc")] for r in within(t, "tr")]) for t in within(e, "tbl")]
+        elif local(e) == "sp" and (text := lines(e)):
+            kinds = {p.get("type", "") for p in within(e, "ph")}
+            if not kinds & {"sldNum", "dt", "ftr", "sldImg"}:
+                out.append("# " + text.replace("\n", " ") if kinds & {"title", "ctrTitle"} else text)
+    return [x for x in out if x]
+
+
+def _pptx(data: bytes) -> str:
+    """Slides in their order, each under its number, with its notes behind it."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    show = "ppt/presentation.xml"
+    order = [v for e in ElementTree.fromstring(z.read(show)).iter() if e.tag.rpartition("}")[2] == "sldId" for k, v in e.attrib.items() if k.startswith("{")]
+    parts, relations = [], _relations(z, show)
+    for n, key in enumerate(order, 1):
+        member = relations[key][1]
+        out = [f"<!-- Slide number: {n} -->", *_slide(ElementTree.fromstring(z.read(member)))]
+        for kind, notes in _relations(z, member).values():
+            if kind == "notesSlide" and (told := _slide(ElementTree.fromstring(z.read(notes)))):
+                out += ["### Notes:", *told]
+        parts.append("\n\n".join(out))
+    return "\n\n".join(parts)
+
+
 def generic(path: str, data: bytes) -> str:
-    """A document as Markdown, by its suffix: HTML, Word, CSV, JSON; anything else is text. Raises ValueError for a broken archive."""
+    """A document as Markdown, by its suffix: HTML, Word, slides, CSV, JSON; anything else is text. Raises ValueError for a broken archive."""
     end = path.lower().rpartition(".")[2]
     if end in ("html", "htm", "xhtml"):
         return markdown(data.decode("utf-8", "replace"))
-    if end == "docx":
+    if end in ("docx", "pptx"):
         try:
-            return _docx(data)
+            return _docx(data) if end == "docx" else _pptx(data)
         except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
             raise ValueError(f"broken document: {e}") from e
     text = data.decode("utf-8-sig", "replace")

@@ -931,12 +931,7 @@ def test_epub_source(spark, tmp_path, monkeypatch):
     reader = epub.EpubReader(whole.schema, {"path": str(tmp_path)})
     rest = list(reader.pushFilters([epub.EqualTo(("path",), str(tmp_path / "b.epub")), epub.EqualTo(("pos",), 1)]))
     assert reader.paths == [str(tmp_path / "b.epub")] and len(rest) == 1
-    before = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    try:
-        assert spark.read.format("epub").load(str(tmp_path)).where(F.col("path") == str(tmp_path / "b.epub")).count() == 5
-    finally:
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+    assert spark.read.format("epub").load(str(tmp_path)).where(F.col("path") == str(tmp_path / "b.epub")).count() == 5
 
 
 def test_cache_behind_its_filter(spark):
@@ -1028,3 +1023,24 @@ def test_boxes_by_a_sweep(spark):
     tables = spark.createDataFrame([(p, *b[1:]) for p in (1, 2, 4) for b in many if b[0]], "page long, x0 int, y0 int, x1 int, y1 int")
     got = {(r.page, r.block): r.share for r in boxes.in_tables(blocks.repartition(5), tables).collect()}
     assert got == pytest.approx({(p, k): s for p in (1, 2) for k, s in plain(many).items()} | {(3, 0): 0.0})
+
+
+def test_slides(spark):
+    """Slides in the order of the show, with titles, tables, line breaks and notes; numbers and dates of the page are left out."""
+    p = lambda *runs: "<a:p>" + "".join("<a:br/>" if r is None else f"<a:r><a:t>{r}</a:t></a:r>" for r in runs) + "</a:p>"
+    sp = lambda body, kind="": f"<p:sp><p:nvSpPr><p:nvPr>{f'<p:ph type={chr(34)}{kind}{chr(34)}/>' if kind else ''}</p:nvPr></p:nvSpPr><p:txBody>{body}</p:txBody></p:sp>"
+    slide = lambda *shapes: "<p:sld xmlns:p='P' xmlns:a='A'><p:cSld><p:spTree>" + "".join(shapes) + "</p:spTree></p:cSld></p:sld>"
+    table = "<p:graphicFrame><a:graphic><a:graphicData><a:tbl><a:tr><a:tc><a:txBody>" + p("h|1") + "</a:txBody></a:tc><a:tc><a:txBody>" + p("h2") + "</a:txBody></a:tc></a:tr><a:tr><a:tc><a:txBody>" + p("x") + "</a:txBody></a:tc></a:tr></a:tbl></a:graphicData></a:graphic></p:graphicFrame>"
+    rels = lambda **r: "<Relationships>" + "".join(f"<Relationship Id='{k}' Type='http://x/{t}' Target='{to}'/>" for k, (t, to) in r.items()) + "</Relationships>"
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("ppt/presentation.xml", "<p:presentation xmlns:p='P' xmlns:r='R'><p:sldIdLst><p:sldId id='1' r:id='b'/><p:sldId id='2' r:id='a'/></p:sldIdLst></p:presentation>")
+        z.writestr("ppt/_rels/presentation.xml.rels", rels(a=("slide", "slides/slide1.xml"), b=("slide", "/ppt/slides/slide2.xml"), c=("theme", "theme.xml")))
+        z.writestr("ppt/slides/slide1.xml", slide(sp(p("Last")), sp(p("7"), "sldNum")))
+        z.writestr("ppt/slides/slide2.xml", slide(sp(p("The ", "title"), "title"), sp(p("one", None, "two") + p(" ") + p("three")), table))
+        z.writestr("ppt/slides/_rels/slide2.xml.rels", rels(n=("notesSlide", "../notesSlides/n1.xml")))
+        z.writestr("ppt/notesSlides/n1.xml", slide(sp("", "sldImg"), sp(p("say this"), "body")))
+    df = spark.createDataFrame([("a.PPTX", bytearray(buffer.getvalue())), ("b.pptx", bytearray(b"no"))], "path string, content binary")
+    got = {r.path: (r.text, r.error) for r in files.documents(df).collect()}
+    assert got["a.PPTX"][0] == "<!-- Slide number: 1 -->\n\n# The title\n\none\ntwo\nthree\n\n| h\\|1 | h2 |\n| --- | --- |\n| x |  |\n\n### Notes:\n\nsay this\n\n<!-- Slide number: 2 -->\n\nLast"
+    assert got["b.pptx"][0] is None and got["b.pptx"][1].startswith("broken document")
