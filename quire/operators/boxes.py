@@ -11,6 +11,7 @@ from ..views import duck, table
 QUERIES, ORACLES = {}, {}
 #: fixed value: a block lies in a table if more than this share of it does
 INSIDE = 0.5
+ROWS = 10_000  # blocks of many pages that leave a task together
 
 
 def query(sql: str):
@@ -48,10 +49,12 @@ def swept(boxes: list[tuple]) -> dict[int, float]:
     """For each block's place, the greatest share of it in one table; boxes: (is_table, x0, y0, x1, y1), of one page."""
     tables, blocks = _Open(), _Open()
     best = {k: 0.0 for k, b in enumerate(boxes) if not b[0]}
+    if len(best) in (0, len(boxes)):
+        return best  # no blocks, or no tables
     for k in sorted(range(len(boxes)), key=lambda k: boxes[k][2]):
         is_table, x0, y0, x1, y1 = boxes[k]
-        if x1 <= x0 or y1 <= y0:
-            continue  # no area to share
+        if not (x1 > x0 and y1 > y0):
+            continue  # no area to share, or a side missing
         own, other = (tables, blocks) if is_table else (blocks, tables)
         for a0, n, a1, b1, _ in other.beside(x0, x1, y0):
             # of two open boxes the later one begins at y0
@@ -63,36 +66,51 @@ def swept(boxes: list[tuple]) -> dict[int, float]:
     return best
 
 
+def _shares(batches):
+    """Rows (page, is_table, block, x0, y0, x1, y1), those of a page together, to the share of each block."""
+    import pyarrow as pa
+
+    page, blocks_of, held, out = None, [], [], []
+    names, types = ["page", "block", "share"], None
+
+    def told():
+        out.extend((page, blocks_of[k], share) for k, share in swept(held).items())
+        blocks_of.clear(), held.clear()
+
+    def batch_of():
+        batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), types)], names=names)
+        out.clear()
+        return batch
+
+    for batch in batches:
+        types = [batch.schema.field("page").type, batch.schema.field("block").type, pa.float64()]
+        page_of, is_table, block_of = (batch.column(c).to_pylist() for c in ("page", "is_table", "block"))
+        box = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("x0", "y0", "x1", "y1"))
+        for p, block, row in zip(page_of, block_of, zip(is_table, *box)):
+            if p != page:
+                told()
+                page = p
+                if len(out) >= ROWS:
+                    yield batch_of()
+            blocks_of.append(block)
+            held.append(row)
+    told()
+    if out:
+        yield batch_of()
+
+
 def in_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """(page, block, share, in_table) of blocks(page, block, x0, y0, x1, y1): the greatest share that lies in one of tables(page, x0, y0, x1, y1).
 
-    A page's boxes are one task's; the sweep meets only those that overlap, so the time goes with these and the boxes.
+    A page's boxes are one task's; the sweep meets only those that overlap, so the time goes with these and the boxes. Pages
+    leave a task many at a time. A box that lacks a side shares nothing.
     """
     sides = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
     kind = blocks.schema["block"].dataType
     rows = blocks.select("page", F.lit(False).alias("is_table"), "block", *sides).unionByName(tables.select("page", F.lit(True).alias("is_table"), F.lit(None).cast(kind).alias("block"), *sides))
     rows = rows.repartition("page").sortWithinPartitions("page")
     schema = f"page {blocks.schema['page'].dataType.simpleString()}, block {kind.simpleString()}, share double"
-
-    def run(batches):
-        import pandas as pd
-
-        def told(page, held):
-            best = swept([r[1:] for r in held])
-            return pd.DataFrame({"page": [page] * len(best), "block": [held[k][0] for k in best], "share": list(best.values())})
-
-        page, held = None, []
-        for pdf in batches:
-            for p, is_table, block, *box in pdf.itertuples(index=False):
-                if p != page:
-                    if held:
-                        yield told(page, held)
-                    page, held = p, []
-                held.append((block, is_table, *box))
-        if held:
-            yield told(page, held)
-
-    return rows.mapInPandas(run, schema).withColumn("in_table", F.col("share") > INSIDE)
+    return rows.mapInArrow(_shares, schema).withColumn("in_table", F.col("share") > INSIDE)
 
 
 @query("""

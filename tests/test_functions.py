@@ -1025,6 +1025,22 @@ def test_boxes_by_a_sweep(spark):
     assert got == pytest.approx({(p, k): s for p in (1, 2) for k, s in plain(many).items()} | {(3, 0): 0.0})
 
 
+def test_boxes_leave_in_batches(spark):
+    """Many small pages leave a task together, not a batch each; a box without a side shares nothing."""
+    import pyarrow as pa
+
+    from quire.operators import boxes
+
+    n = 3000
+    blocks = spark.range(n, numPartitions=1).selectExpr("id as page", "'b' as block", "if(id = 5, null, 0.0d) as x0", "0.0d as y0", "10.0d as x1", "10.0d as y1")
+    tables = spark.range(n, numPartitions=1).where("id % 2 = 0").selectExpr("id as page", "0.0d as x0", "0.0d as y0", "4.0d as x1", "if(id = 8, null, 10.0d) as y1")
+    assert {r.page: r.share for r in boxes.in_tables(blocks, tables).collect()} == {k: 0.4 if k % 2 == 0 and k != 8 else 0.0 for k in range(n)}
+    pages = 3 * boxes.ROWS
+    columns = {"page": range(pages), "is_table": [False] * pages, "block": range(pages), **{c: [float(c[1])] * pages for c in ("x0", "y0", "x1", "y1")}}
+    out = list(boxes._shares(pa.RecordBatch.from_pydict({c: list(v)[k : k + 1000] for c, v in columns.items()}) for k in range(0, pages, 1000)))
+    assert len(out) <= 4 and [x for batch in out for x in batch.column(0).to_pylist()] == list(range(pages))
+
+
 def test_slides(spark):
     """Slides in the order of the show, with titles, tables, line breaks and notes; numbers and dates of the page are left out."""
     p = lambda *runs: "<a:p>" + "".join("<a:br/>" if r is None else f"<a:r><a:t>{r}</a:t></a:r>" for r in runs) + "</a:p>"
