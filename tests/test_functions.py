@@ -1041,6 +1041,17 @@ def test_boxes_leave_in_batches(spark):
     assert len(out) <= 4 and [x for batch in out for x in batch.column(0).to_pylist()] == list(range(pages))
 
 
+def test_distinct_pairs_hold_no_sketch(spark, tmp_path):
+    """approx_distinct hands on pairs, not a sketch of 3 kB for each."""
+    from quire.operators import extensions
+
+    spark.range(4000).selectExpr("id as event_id", "if(id % 7 = 0, null, id % 7) as user_id", "if(id % 5 = 0, null, 'e' || id % 3) as event_type").write.parquet(f"{tmp_path}/events.parquet")
+    out = extensions.approx_distinct(spark, str(tmp_path))
+    assert {(r.event_type, r.users, r.near) for r in out.collect()} == {(x, 6, True) for x in (None, "e0", "e1", "e2")}
+    grouped = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "HashAggregate(keys=[event_type" in x and "user_id" in x.split("functions")[0]]
+    assert grouped and not any("approx_count_distinct" in x for x in grouped)
+
+
 def test_slides(spark):
     """Slides in the order of the show, with titles, tables, line breaks and notes; numbers and dates of the page are left out."""
     p = lambda *runs: "<a:p>" + "".join("<a:br/>" if r is None else f"<a:r><a:t>{r}</a:t></a:r>" for r in runs) + "</a:p>"
