@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as X
 from ..sources.pictures import with_headers
@@ -170,30 +170,43 @@ def image_filter(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page", "block", "reason", F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
+def gathered(df: DataFrame, by: list[str], then: str, **of: Column) -> DataFrame:
+    """A row for each group of df's rows, with aggregates: as groupBy, but rows sorted by `by` and `then` are taken as they are.
+
+    Of groups within groups one sort is enough, where each groupBy that collects would sort its rows, before and after a shuffle.
+    """
+    w = W.partitionBy(*by).orderBy(then)
+    every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return df.select(*by, *[c.over(every).alias(k) for k, c in of.items()], F.row_number().over(w).alias("__n")).where("__n = 1").drop("__n")
+
+
 def page_texts(spans: DataFrame, tables: DataFrame, body: Column) -> DataFrame:
     """(page, text): pages as Markdown, from spans(page, block, line, x0, y0, x1, y1, size, bold, text) and tables(page, x0, y0, x1, y1, text).
 
     Lines of a block stay lines, with words cut at their ends joined; blocks of which more than half lies in a table go;
     headings are told by their size against that of the body; each table stands before the first block below it. All is
-    gathered by page, which is small.
+    gathered by page, which is small: spans are dealt by page once and sorted once, and those that are dealt so already stay.
     """
-    line = spans.groupBy("page", "block", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda s: s["text"]), "").alias("t"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max(F.when(X.strip(F.col("text")) != "", F.col("size"))).alias("size"), F.min(F.when(X.strip(F.col("text")) != "", F.col("bold").cast("int"))).alias("bold"))
-    line = line.withColumn("t", X.strip(F.col("t"))).where("t <> ''")
-    block = line.groupBy("page", "block").agg(F.array_sort(F.collect_list(F.struct("line", "t"))).alias("l"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("size").alias("size"), F.min("bold").alias("bold"))
+    sides = {"x0": F.min("x0"), "y0": F.min("y0"), "x1": F.max("x1"), "y1": F.max("y1")}
+    solid = lambda c: F.when(X.strip(F.col("text")) != "", c)
+    spans = spans.repartition("page").sortWithinPartitions("page", "block", "line", "x0")
+    line = gathered(spans, ["page", "block", "line"], "x0", t=F.collect_list(F.struct("x0", "text")), **sides, size=F.max(solid(F.col("size"))), bold=F.min(solid(F.col("bold").cast("int"))))
+    line = line.withColumn("t", X.strip(F.array_join(F.transform(F.array_sort("t"), lambda s: s["text"]), ""))).where("t <> ''")
+    block = gathered(line, ["page", "block"], "line", l=F.collect_list(F.struct("line", "t")), **sides, size=F.max("size"), bold=F.min("bold")).withColumn("l", F.array_sort("l"))
     text = X.dehyphenate(F.array_join(F.transform("l", lambda s: s["t"]), "\n"))
     block = block.withColumn("text", text).withColumn("mark", X.heading(F.col("size"), body, F.length("text"), F.col("bold") == 1, F.size("l")))
     block = block.withColumn("text", F.when(F.col("mark") == "", F.col("text")).otherwise(F.concat("mark", F.translate("text", "\n", " "))))
+    items = gathered(block, ["page"], "block", items=F.collect_list(F.struct("block", F.struct(F.col("y0").alias("y"), F.col("text").alias("label")).alias("s"), "x0", "x1", "y1")))
     boxes = tables.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.col("y0").alias("y"), F.col("text").alias("label"), "x0", "x1", "y1"))).alias("boxes"))
-    block = block.join(boxes, "page", "left")
 
-    def covered(b):
+    def covered(x):
         side = lambda lo, hi, a, z: F.greatest(F.lit(0.0), F.least(hi, z) - F.greatest(lo, a))
-        area = F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1.0))
-        return side(F.col("x0"), F.col("x1"), b["x0"], b["x1"]) * side(F.col("y0"), F.col("y1"), b["y"], b["y1"]) / area > 0.5
+        area = F.greatest((x["x1"] - x["x0"]) * (x["y1"] - x["s"]["y"]), F.lit(1.0))
+        share = lambda b: side(x["x0"], x["x1"], b["x0"], b["x1"]) * side(x["s"]["y"], x["y1"], b["y"], b["y1"]) / area
+        return F.exists("boxes", lambda b: share(b) > 0.5)
 
-    block = block.where(~F.coalesce(F.exists("boxes", covered), F.lit(False)))
-    items = block.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("block", F.struct(F.col("y0").alias("y"), F.col("text").alias("label")).alias("s")))).alias("items"))
-    both = items.join(boxes, "page", "full").select("page", F.coalesce(F.transform("items", lambda x: x["s"]), F.expr("cast(array() as array<struct<y:double,label:string>>)")).alias("items"), F.transform(F.coalesce("boxes", F.array()), lambda b: F.struct(b["y"].alias("y"), b["label"].alias("label"))).alias("tables"))
+    left = F.filter(F.array_sort("items"), lambda x: ~F.coalesce(covered(x), F.lit(False)))
+    both = items.join(boxes, "page", "full").select("page", F.coalesce(F.transform(left, lambda x: x["s"]), F.expr("cast(array() as array<struct<y:double,label:string>>)")).alias("items"), F.transform(F.coalesce("boxes", F.array()), lambda b: F.struct(b["y"].alias("y"), b["label"].alias("label"))).alias("tables"))
     return both.select("page", F.array_join(F.transform(with_tables(F.col("items"), F.col("tables")), lambda s: s["label"]), "\n\n").alias("text"))
 
 
@@ -210,7 +223,7 @@ select page, md5(array_to_string(list_transform(case when t1 is null then items
 def page_markdown(spark: SparkSession, d: str) -> DataFrame:
     """Pages put together from their spans; here blocks are two spans on two lines, and the first block's place is a table's."""
     of = {"size": F.min, "bold": F.bool_and, "n_chars": F.min, "x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
-    s = table(spark, d, "spans").groupBy("page", "block").agg(*[f(c).alias(c) for c, f in of.items()])
+    s = table(spark, d, "spans").select("page", "block", *of).repartition("page").groupBy("page", "block").agg(*[f(c).alias(c) for c, f in of.items()])
     line = F.explode(F.array(F.struct(F.lit(0).alias("line"), F.concat(F.lit("block "), "block", F.lit(" of "), "page", F.lit("-")).alias("text")), F.struct(F.lit(1).alias("line"), F.concat(F.when(F.col("block") % 2 == 0, "low").otherwise("Up"), F.expr("repeat('x', n_chars)")).alias("text"))))
     spans = s.where("block > 1").select("page", "block", line.alias("l"), "x0", "y0", "x1", "y1", "size", "bold").select("page", "block", "l.line", "x0", "y0", "x1", "y1", "size", "bold", "l.text")
     tables = s.where("block = 1").select("page", F.lit(0.0).alias("x0"), "y0", F.lit(0.0).alias("x1"), "y1", F.lit("|table|").alias("text"))

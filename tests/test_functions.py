@@ -1052,6 +1052,21 @@ def test_distinct_pairs_hold_no_sketch(spark, tmp_path):
     assert grouped and not any("approx_count_distinct" in x for x in grouped)
 
 
+def test_pages_from_spans(spark):
+    """Lines, cut words, covered blocks and tables of pages; spans are shuffled by page once, tables once."""
+    box = lambda y: (0.0, y, 50.0, y + 10.0)
+    some = [
+        (1, 1, 1, 5.0, *box(12.0)[1:], 5.0, False, "text"), (1, 1, 1, *box(12.0), 5.0, False, "ple "), (1, 1, 0, *box(0.0), 5.0, False, " exam-"),
+        (1, 2, 0, *box(100.0), 5.0, False, "in the table"), (1, 3, 0, *box(200.0), 9.0, True, "after"), (3, 1, 0, *box(0.0), 5.0, False, "  "), (4, 1, 0, *box(0.0), 5.0, False, "alone"),
+    ]
+    spans = spark.createDataFrame(some, "page long, block int, line int, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, text string")
+    tables = spark.createDataFrame([(1, 0.0, 90.0, 60.0, 130.0, "|t|"), (2, 0.0, 0.0, 1.0, 1.0, "|u|"), (4, 0.0, 50.0, 1.0, 60.0, "|v|")], "page long, x0 double, y0 double, x1 double, y1 double, text string")
+    out = images.page_texts(spans.repartition(3), tables, F.lit(5.0))
+    assert {r.page: r.text for r in out.collect()} == {1: "example text\n\n|t|\n\n# after", 2: "|u|", 4: "alone\n\n|v|"}
+    plan = images.page_texts(spans, tables, F.lit(5.0))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 2
+
+
 def test_slides(spark):
     """Slides in the order of the show, with titles, tables, line breaks and notes; numbers and dates of the page are left out."""
     p = lambda *runs: "<a:p>" + "".join("<a:br/>" if r is None else f"<a:r><a:t>{r}</a:t></a:r>" for r in runs) + "</a:p>"
