@@ -111,9 +111,22 @@ def image_pages(images: DataFrame) -> DataFrame:
     return images.where("xref > 0").groupBy("xref").agg(F.count_distinct("page").alias("pages"), F.min("page").alias("first_page"))
 
 
+BUCKETS = 64  # parts that the places of an image are dealt by
+
+
+def with_image_pages(images: DataFrame) -> DataFrame:
+    """images with their image's `pages` and `first_page`, null where image_pages has none.
+
+    Rows meet by image and part of the pages, so that an image that stands on every page is many tasks.
+    """
+    x = images.withColumn("__part", F.pmod(F.xxhash64("page"), F.lit(BUCKETS)))
+    parts = x.where("xref > 0").select("xref", "__part").distinct().join(image_pages(images), "xref")  # of an image BUCKETS rows at most
+    return x.join(parts, ["xref", "__part"], "left").drop("__part")
+
+
 def page_scans(pages: DataFrame, images: DataFrame) -> DataFrame:
     """pages(page, n_chars, area) with `scanned`: little text, or an image that isn't a background covers nearly all of it; images(page, xref, area)."""
-    seen = images.withColumnRenamed("area", "covers").join(image_pages(images).select("xref", "pages"), "xref", "left")
+    seen = with_image_pages(images).withColumnRenamed("area", "covers")
     full = seen.where(F.coalesce("pages", F.lit(0)) <= MOST_PAGES).groupBy("page").agg(F.max("covers").alias("covers"))
     scanned = (F.col("n_chars") < SCANNED_CHARS) | (F.coalesce("covers", F.lit(0.0)) >= SCAN_SHARE * F.greatest(F.col("area"), F.lit(1.0)))
     return pages.join(full, "page", "left").withColumn("scanned", scanned).drop("covers")
@@ -139,7 +152,7 @@ def page_images(images: DataFrame, page_area: float) -> DataFrame:
     captioned: whether its page has a caption, which halves the least side and lifts the least area. A repeated image is
     listed on its first page only.
     """
-    x = images.join(image_pages(images), "xref", "left")
+    x = with_image_pages(images)
     least = F.when(F.col("captioned"), LEAST_PT / 2).otherwise(float(LEAST_PT))
     often = F.coalesce("pages", F.lit(0)) > MOST_PAGES
     reason = (
@@ -164,9 +177,9 @@ select page, block, reason, reason <> '' and (not contains(reason, 'repetida') o
 def image_filter(spark: SparkSession, d: str) -> DataFrame:
     """Images on pages that rules drop; here spans stand for them, and a page with bold text has a caption."""
     s = table(spark, d, "spans")
-    captioned = s.groupBy("page").agg(F.max(F.col("bold").cast("int")).alias("bold"))
-    i = s.select("page", "block", "xref", (20.0 + F.col("size") * 4).alias("w"), (10.0 + F.col("n_chars")).alias("h")).join(captioned, "page")
-    out = page_images(i.withColumn("captioned", F.col("bold") == 1), 612.0 * 792.0)
+    captioned = F.max(F.col("bold").cast("int")).over(W.partitionBy("page")) == 1
+    i = s.select("page", "block", "xref", (20.0 + F.col("size") * 4).alias("w"), (10.0 + F.col("n_chars")).alias("h"), captioned.alias("captioned"))
+    out = page_images(i, 612.0 * 792.0)
     return out.select("page", "block", "reason", F.coalesce("listed", F.lit(False)).alias("listed"))
 
 

@@ -5,6 +5,7 @@ import random
 import time
 import zipfile
 from bisect import bisect_left
+from collections import Counter
 from itertools import accumulate
 
 import pytest
@@ -1067,6 +1068,24 @@ def test_pages_from_spans(spark):
     assert plan.count("Exchange ") <= 2
 
 
+def test_an_image_on_every_page_is_many_tasks(spark):
+    """Rows of one image meet their counts in many partitions; images on few pages and rows without one stay as they are."""
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = spark.range(4000).selectExpr("id as page", "1L as xref").unionByName(spark.createDataFrame([(7, 2), (9, 2), (9, 2), (5, 0), (6, None)], "page long, xref long"))
+        out = images.with_image_pages(rows).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    one = [r for r in out if r.xref == 1]
+    assert len(out) == 4005 and {(r.pages, r.first_page) for r in one} == {(4000, 0)}
+    assert len({r.task for r in one}) == 4 and max(Counter(r.task for r in one).values()) < 2000
+    assert sorted((r.page, r.xref or 0, r.pages, r.first_page) for r in out if r.xref != 1) == [(5, 0, None, None), (6, 0, None, None), (7, 2, 2, 7), (9, 2, 2, 7), (9, 2, 2, 7)]
+
+
 def test_slides(spark):
     """Slides in the order of the show, with titles, tables, line breaks and notes; numbers and dates of the page are left out."""
     p = lambda *runs: "<a:p>" + "".join("<a:br/>" if r is None else f"<a:r><a:t>{r}</a:t></a:r>" for r in runs) + "</a:p>"
