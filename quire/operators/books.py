@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as X
+from ..staging import materialise
 from ..views import duck, table
 from .documents import ORACLES as _DOCUMENTS
 from .segment import TINY_CHARS, TOC_HITS, TOC_NEIGHBOURS, changed_spans, chapter_pieces, locate_pieces, redone, tiny_units as tiny, unit_name
@@ -69,7 +70,10 @@ def _units(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select source, unit_id, a, b from {_UNITS} u where cast(substring(unit_id, 2) as int) % 5 = 0 and cast(substring(unit_id, 2) as int) % 7 <> 0")
 def span_invalidate(spark: SparkSession, d: str) -> DataFrame:
     """Units whose span isn't the one stored before: here every fifth had begun one place later, every seventh wasn't stored."""
-    after = _units(spark, d)
+    return _invalidated(materialise(_units(spark, d).select("source", "unit_id", "a", "b"), "units"))
+
+
+def _invalidated(after: DataFrame) -> DataFrame:
     k = F.substring("unit_id", 2, 20).try_cast("int")
     before = after.where(k % 7 != 0).withColumn("a", F.col("a") + F.when(k % 5 == 0, 1).otherwise(0))
     return changed_spans(before, after)
@@ -101,10 +105,11 @@ with c as (select source, unit_id from {_UNITS} u where cast(substring(unit_id,
 select source, unit_id, unnest(['extract', 'verify', 'fatal']) as kind from c union all select distinct source, '-', 'synthesis' from c""")
 def redone_files(spark: SparkSession, d: str) -> DataFrame:
     """Stored answers that changed spans make void: the units' own, and the book's synthesis."""
-    after = _units(spark, d).select("source", "unit_id")
+    units = materialise(_units(spark, d).select("source", "unit_id", "a", "b"), "units")
+    after = units.select("source", "unit_id")
     files = after.withColumn("kind", F.explode(F.array(F.lit("extract"), F.lit("verify"), F.lit("fatal"))))
     files = files.unionByName(after.select("source", F.lit("-").alias("unit_id"), F.lit("synthesis").alias("kind")).distinct())
-    return redone(span_invalidate(spark, d), files)
+    return redone(_invalidated(units), files)
 
 
 def map_line(unit: Column, kind: Column, chars: Column, title: Column) -> Column:

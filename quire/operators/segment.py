@@ -32,6 +32,7 @@ def chapter_pieces(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 CHUNK = 256  # pieces of a book that are searched together
+SOME, MANY = 32, 2000  # pieces that a worker holds as Python strings, rows that leave it together
 _FOUND = "kind int, source string, pos long, line long, r long, off long, k long, equal boolean, text string"
 PIECE, HIT, KNOWN, LINE = range(4)
 
@@ -47,9 +48,8 @@ def _search(batches):
 
     names = [c.split()[0] for c in _FOUND.split(", ")]
     kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
-    told, units, known, automaton = None, {}, set(), None
-    for batch in batches:
-        out = []
+    told, units, known, automaton, out = None, {}, set(), None, []
+    for batch in (b.slice(k, SOME) for b in batches for k in range(0, b.num_rows, SOME)):
         for source, _, kind, pos, text, starts in zip(*(c.to_pylist() for c in batch.columns)):
             if kind == 0:
                 if told == (source, starts):
@@ -76,8 +76,11 @@ def _search(batches):
                 out += [(HIT, source, pos, i, rank[i], offsets[i], k, bare[i] == first, first) for k in units[first]]
             out += [(LINE, source, pos, i, rank[i], offsets[i], None, None, bare[i]) for i in {i for i, _ in hits}]
             out += [(KNOWN, source, pos, i, rank[i], offsets[i], None, None, x) for i, x in enumerate(bare) if x in known]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names=names)
+            if len(out) >= MANY:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names=names)
+                out.clear()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names=names)
 
 
 def _chosen(skip_contents: bool):

@@ -1086,6 +1086,20 @@ def test_an_image_on_every_page_is_many_tasks(spark):
     assert sorted((r.page, r.xref or 0, r.pages, r.first_page) for r in out if r.xref != 1) == [(5, 0, None, None), (6, 0, None, None), (7, 2, 2, 7), (9, 2, 2, 7), (9, 2, 2, 7)]
 
 
+def test_search_leaves_in_small_batches():
+    """Pieces that reach a worker in one batch leave it in many small ones, with the rows that they give one by one."""
+    import pyarrow as pa
+
+    starts = [{"k": k, "start": f"# Chapter {k}"} for k in range(1, 4)]
+    rows = [("s", 0, 0, None, None, starts)] + [("s", 0, 1, k, f"# Chapter {k % 5}\nbody {k}\n# Chapter 1", None) for k in range(1, 3001)]
+    kind = pa.schema([("source", pa.string()), ("chunk", pa.int64()), ("kind", pa.int32()), ("pos", pa.int64()), ("text", pa.string()), ("starts", pa.list_(pa.struct([("k", pa.int64()), ("start", pa.string())])))])
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), kind)], schema=kind)
+    whole, single = list(segment._search([batch(rows)])), list(segment._search(batch([r]) for r in rows))
+    every = lambda found: sorted(str(r) for b in found for r in b.to_pylist())
+    assert every(whole) == every(single) and sum(b.num_rows for b in whole) > 9000
+    assert len(whole) > 3 and max(b.num_rows for b in whole) < 2 * segment.MANY
+
+
 def test_slides(spark):
     """Slides in the order of the show, with titles, tables, line breaks and notes; numbers and dates of the page are left out."""
     p = lambda *runs: "<a:p>" + "".join("<a:br/>" if r is None else f"<a:r><a:t>{r}</a:t></a:r>" for r in runs) + "</a:p>"
