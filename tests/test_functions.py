@@ -1100,6 +1100,13 @@ def test_search_leaves_in_small_batches():
     assert len(whole) > 3 and max(b.num_rows for b in whole) < 2 * segment.MANY
 
 
+def test_changed_units_are_located_once(spark, data):
+    """What changed is told from stored spans: units aren't sought for each side of the comparison."""
+    from quire.operators import books
+
+    assert "MapInArrow" not in books.span_invalidate(spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_slides(spark):
     """Slides in the order of the show, with titles, tables, line breaks and notes; numbers and dates of the page are left out."""
     p = lambda *runs: "<a:p>" + "".join("<a:br/>" if r is None else f"<a:r><a:t>{r}</a:t></a:r>" for r in runs) + "</a:p>"
