@@ -145,7 +145,9 @@ def locate_pieces(pieces: DataFrame, units: DataFrame, skip_contents: bool = Tru
     begins at 0, the last ends with the book. (source, k, unit_id, a, b, toc_skipped, start_line, end)
 
     All starts of a book are sought at once by one automaton, in chunks of pieces that tasks share. Only hits, counts and
-    lines that were hit leave the chunks; hits are chosen in their order, one after the other, of a book in one task.
+    lines that were hit leave the chunks; hits are chosen in their order, one after the other, of a book in one task. Tables
+    of pieces and lines grow with the input, and are merged: by the size of their files they would pass for small, and go
+    through the driver.
     """
     pieces = pieces.select(F.col("source").cast("string").alias("source"), F.col("pos").cast("long").alias("pos"), "text")
     units = units.select(F.col("source").cast("string").alias("source"), F.col("k").cast("long").alias("k"), "start")
@@ -159,18 +161,18 @@ def locate_pieces(pieces: DataFrame, units: DataFrame, skip_contents: bool = Tru
 
     order = W.partitionBy("source").orderBy("pos")
     own = found.where(F.col("kind") == PIECE).withColumn("r0", F.sum("r").over(order) - F.col("r")).withColumn("off0", F.sum("off").over(order) - F.col("off"))
-    base = own.select("source", "pos", "r0", "off0")  # numbers of the pieces, a row each
+    base = own.select("source", "pos", "r0", "off0").hint("merge")  # numbers of the pieces, a row each
     book = found.where(F.col("kind") == PIECE).groupBy("source").agg((F.sum("off") - 1).alias("chars"), F.min_by("text", "pos").alias("first"))
     near = found.where(F.col("kind") == KNOWN).join(base, ["source", "pos"]).select("source", (F.col("r0") + F.col("r")).alias("at"), "text")
     near = near.select("source", F.explode(F.array(*[F.col("at") + i for i in range(-TOC_NEIGHBOURS, TOC_NEIGHBOURS + 1) if i])).alias("at"), "text")
     near = near.groupBy("source", "at").agg(F.collect_list("text").alias("beside"))  # six lines at most
-    hits = found.where(F.col("kind") == HIT).join(base, ["source", "pos"]).withColumn("at", F.col("r0") + F.col("r")).join(near, ["source", "at"], "left")
+    hits = found.where(F.col("kind") == HIT).join(base, ["source", "pos"]).withColumn("at", F.col("r0") + F.col("r")).join(near.hint("merge"), ["source", "at"], "left")
     others = F.filter("beside", lambda x: x != F.col("text"))
     hits = hits.select("source", "k", "equal", "pos", "line", (F.coalesce(F.size(others), F.lit(0)) >= TOC_HITS).alias("contents"))
     hits = hits.repartition("source").sortWithinPartitions("source", "k", F.desc("equal"), "pos", "line")
     won = hits.mapInArrow(_chosen(skip_contents), "source string, k long, pos long, line long, skipped boolean")
     lines = found.where(F.col("kind") == LINE).select("source", "pos", "line", "off", F.col("text").alias("head"))
-    won = won.join(lines, ["source", "pos", "line"]).join(base, ["source", "pos"]).join(book, "source").withColumn("a", F.col("off0") + F.col("off"))
+    won = won.join(lines.hint("merge"), ["source", "pos", "line"]).join(base, ["source", "pos"]).join(book, "source").withColumn("a", F.col("off0") + F.col("off"))
     after, first = W.partitionBy("source").orderBy("k"), F.row_number().over(W.partitionBy("source").orderBy("k")) == 1
     return won.select(
         "source", "k", unit_name(F.col("k")).alias("unit_id"), F.when(first, 0).otherwise(F.col("a")).cast("long").alias("a"), F.coalesce(F.lead("a").over(after), "chars").alias("b"),
@@ -195,7 +197,7 @@ def tiny_units(spans: DataFrame) -> DataFrame:
 
 def redone(changed: DataFrame, files: DataFrame) -> DataFrame:
     """files(source, unit_id, kind) that go when spans change: the units' answers, and every synthesis of a book with such a unit."""
-    own = files.join(changed.select("source", "unit_id"), ["source", "unit_id"], "left_semi").where("kind <> 'synthesis'")
+    own = files.join(changed.select("source", "unit_id").hint("merge"), ["source", "unit_id"], "left_semi").where("kind <> 'synthesis'")
     whole = files.where("kind = 'synthesis'").join(changed.select("source").distinct(), "source", "left_semi")
     return own.unionByName(whole)
 
@@ -203,4 +205,4 @@ def redone(changed: DataFrame, files: DataFrame) -> DataFrame:
 def changed_spans(before: DataFrame, after: DataFrame) -> DataFrame:
     """Units whose span moved: their results are redone. New units have none yet."""
     old = before.select("source", "unit_id", F.col("a").alias("a0"), F.col("b").alias("b0"))
-    return after.join(old, ["source", "unit_id"]).where("a <> a0 or b <> b0").select("source", "unit_id", "a", "b")
+    return after.join(old.hint("merge"), ["source", "unit_id"]).where("a <> a0 or b <> b0").select("source", "unit_id", "a", "b")

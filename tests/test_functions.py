@@ -1107,6 +1107,22 @@ def test_changed_units_are_located_once(spark, data):
     assert "MapInArrow" not in books.span_invalidate(spark, data)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_redone_files_locate_once_and_merge(spark, data, monkeypatch):
+    """Units are located once for all stored answers; tables that grow with the input are merged, not sent through the driver."""
+    from quire.operators import books
+
+    calls, locate = [], books.locate_pieces
+    monkeypatch.setattr(books, "locate_pieces", lambda *a: calls.append(a) or locate(*a))
+    books.redone_files(spark, data)
+    assert len(calls) == 1
+    spans = spark.createDataFrame([("s", "U01", 0, 5), ("s", "U02", 5, 9)], "source string, unit_id string, a long, b long")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    moved = segment.changed_spans(spans, spans)
+    assert "BroadcastHashJoin" not in plan(moved) and "SortMergeJoin" in plan(moved)
+    located = plan(segment.locate_pieces(*segment.chapter_pieces(books.table(spark, data, "book_docs"))))
+    assert located.count("BroadcastHashJoin") <= 1  # with a row for each book
+
+
 def test_slides(spark):
     """Slides in the order of the show, with titles, tables, line breaks and notes; numbers and dates of the page are left out."""
     p = lambda *runs: "<a:p>" + "".join("<a:br/>" if r is None else f"<a:r><a:t>{r}</a:t></a:r>" for r in runs) + "</a:p>"
